@@ -119,3 +119,22 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice(e, 17, 32).alias("embedding_clap_ensemble"),
         F.when(v % 97 != 0, e).alias("embedding_hybrid"),
     )
+
+
+def tag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every (embedding row, taxonomy tag), packed per row."""
+    from cuematch.sources.taxonomy import tag_list
+
+    v = F.col("vec_id")
+
+    def scored(t: Column) -> Column:
+        n = t["tag_no"]
+        raw = (31 * v + 17 * n + v * n) % 139
+        return F.struct(
+            n.alias("tag_no"), t["category"].alias("category"), t["name"].alias("name"),
+            (F.lit(0.15) + raw / F.lit(1150.0)).alias("score"),
+        )
+
+    return table(spark, sf_dir, "embeddings").select(
+        (v + TRACK_BASE).alias("id"), F.transform(tag_list(), scored).alias("tag_scores")
+    )

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ZERO = 0.0
 
@@ -40,6 +43,32 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(usable, dot(a, b) / (na * nb)).otherwise(F.lit(ZERO))
 
 
+@F.arrow_udf(DoubleType())
+def _dot_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Dot products of two list columns, batch by batch."""
+    la = np.asarray(a.value_lengths().fill_null(0), dtype=np.int64)
+    lb = np.asarray(b.value_lengths().fill_null(0), dtype=np.int64)
+    usable = (la == lb) & (la > 0)
+    out = np.zeros(len(la))
+    if usable.any():
+        keep = pa.array(usable)
+        x = np.asarray(a.filter(keep).flatten(), dtype=np.float64)
+        y = np.asarray(b.filter(keep).flatten(), dtype=np.float64)
+        starts = np.concatenate([[0], np.cumsum(la[usable])[:-1]])
+        out[usable] = np.add.reduceat(x * y, starts)
+    return pa.array(out)
+
+
+def cosine_batch(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """:func:`cosine` with the products computed in Arrow batches.
+
+    Array expressions run element by element in the JVM; for many pairs of
+    long vectors the batch form is several times faster.
+    """
+    scale = norm_a * norm_b
+    return F.when(scale > 0, _dot_batch(a, b) / scale).otherwise(F.lit(ZERO))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; NULL when either vector is NULL."""
     return F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0) - cosine(a, b))

@@ -145,8 +145,11 @@ def embedding_score(weights: dict[str, float]) -> Column:
 
 
 def similarities(enable_audio_aux: bool) -> dict[str, Column]:
+    """Five cosines of a pair; the audio one compares the scene's hybrid vector."""
     def pair(s: str, t: str) -> Column:
-        return V.cosine(F.col(f"s_{s}"), F.col(f"t_{t}"), F.col(f"s_{s}_norm"), F.col(f"t_{t}_norm"))
+        return V.cosine_batch(
+            F.col(f"s_{s}"), F.col(f"t_{t}"), F.col(f"s_{s}_norm"), F.col(f"t_{t}_norm")
+        )
 
     return {
         "main_similarity": pair("main", "main"),
@@ -158,22 +161,35 @@ def similarities(enable_audio_aux: bool) -> dict[str, Column]:
 
 
 def score_pairs(
-    pairs: DataFrame, scenes: DataFrame, tracks: DataFrame, config: MatchConfig, bounded: bool = False
+    pairs: DataFrame,
+    scenes: DataFrame,
+    tracks: DataFrame,
+    config: MatchConfig,
+    send_scenes: bool = False,
+    send_pairs: bool = False,
 ) -> DataFrame:
     """Every score and static penalty of (scene_query_id, track_query_id) pairs.
 
     ``weighted_score`` is the weighted sum before penalties; the two penalties
     that depend on earlier scenes are added by the ranking.
 
-    ``bounded`` says that the caller has checked the size of pairs and scenes
-    (see plans/matching.py): then the track catalog, by far the largest side
-    with five vectors per row, is scored where it is scanned, without a shuffle.
+    The two flags say that the caller has checked a size (plans/matching.py).
+    With ``send_pairs`` the pairs go to the tracks, so a large catalog with its
+    five vectors per row is scored where it is scanned; otherwise tracks and
+    pairs meet in a shuffle by track. With ``send_scenes`` the scenes go to the
+    pairs, so no vector is moved again.
     """
     w = config.weights
     left = prepare_scenes(scenes)
-    if bounded:
-        pairs, left = F.broadcast(pairs), F.broadcast(left)
-    joined = prepare_tracks(tracks).join(pairs, "track_query_id").join(left, "scene_query_id")
+    if send_scenes:
+        left = F.broadcast(left)
+    if send_pairs:
+        pairs = F.broadcast(pairs)
+    else:
+        # A fixed count keeps the costly part below spread over all cores.
+        n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.repartition(n, "track_query_id")
+    joined = pairs.join(prepare_tracks(tracks), "track_query_id").join(left, "scene_query_id")
     conflicts = shared(F.col("s_must_not"), F.col("t_should"))
     parts = {
         **similarities(config.enable_audio_aux),

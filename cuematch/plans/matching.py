@@ -13,15 +13,21 @@ from cuematch.plans.storage import materialize
 _PAIR_BYTES = 32  # a candidate pair in memory
 
 
-def is_bounded(scenes: DataFrame, config: MatchConfig) -> bool:
-    """True when the scenes and their candidate pairs fit the broadcast limit."""
+def side_sizes(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> tuple[bool, bool]:
+    """Which sides may be sent whole: (scenes, candidate pairs).
+
+    Both must fit the broadcast limit; the pairs are sent only to a catalog
+    with more rows than there can be pairs.
+    """
     row = scenes.agg(
         F.count("*").alias("n"),
         F.sum(F.greatest(F.size("embedding_hybrid"), F.lit(0))).alias("numbers"),
     ).first()
-    pairs = row["n"] * config.candidate_union_limit * _PAIR_BYTES
+    pairs = row["n"] * config.candidate_union_limit
     vectors = (row["numbers"] or 0) * 4 * 4  # four vectors of four-byte numbers
-    return max(pairs, vectors) <= config.broadcast_limit_bytes
+    limit = config.broadcast_limit_bytes
+    small_pairs = pairs * _PAIR_BYTES <= limit and tracks.count() > pairs
+    return vectors <= limit, small_pairs
 
 
 def scored_candidates(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> DataFrame:
@@ -31,7 +37,8 @@ def scored_candidates(scenes: DataFrame, tracks: DataFrame, config: MatchConfig)
     the cut.
     """
     pairs = retrieval.candidates(scenes, tracks, config).select("scene_query_id", "track_query_id")
-    return scoring.score_pairs(pairs, scenes, tracks, config, bounded=is_bounded(scenes, config))
+    send_scenes, send_pairs = side_sizes(scenes, tracks, config)
+    return scoring.score_pairs(pairs, scenes, tracks, config, send_scenes, send_pairs)
 
 
 def preview_scene(scenes: DataFrame, tracks: DataFrame, scene_id: int, config: MatchConfig) -> DataFrame:
