@@ -102,9 +102,12 @@ def weighted_average(vectors: Sequence[Column], weights: Sequence[float], unit:
     same = F.lit(True)
     for other in vectors[1:]:
         same = same & F.coalesce(F.size(first) == F.size(other), F.lit(False))
+    def add(total: Column, v: Column, w: float) -> Column:
+        return F.zip_with(total, doubles(v), lambda s, x: s + x * F.lit(float(w)))
+
     scaled = F.transform(doubles(first), lambda x: x * F.lit(float(weights[0])))
     for v, w in zip(vectors[1:], weights[1:]):
-        scaled = F.zip_with(scaled, doubles(v), lambda s, x, w=w: s + x * F.lit(float(w)))
+        scaled = add(scaled, v, w)
     mean = F.transform(scaled, lambda x: x / F.lit(total))
     checked = F.when(is_filled(first) & same, mean).otherwise(
         F.raise_error(F.lit("vectors to average are missing or differ in length"))
@@ -115,7 +118,7 @@ def weighted_average(vectors: Sequence[Column], weights: Sequence[float], unit:
 def decode_vector(text: Column) -> Column:
     """``"[0.1, 0.2]"`` or ``"(0.1, 0.2)"`` to ARRAY<FLOAT>; NULL or blank gives []."""
     parts = F.split(F.regexp_replace(text, r"^[\s\[\(]+|[\s\]\)]+$", ""), ",")
-    kept = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda x: x != "")
     return F.coalesce(kept.cast("array<float>"), F.array().cast("array<float>"))
 
 
