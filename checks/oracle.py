@@ -484,7 +484,7 @@ def oracle_sql() -> dict[str, str]:
                         f"filename as track_filename, filepath as track_filepath, {full3}, style_signature, dialogue as dialogue_safe_applied from matches")
     q["report_short"] = f"""{RANKED} select {PLACE}, rank_position, theme_title_en as scene_theme_title_en, filename as track_filename,
       semantic_title_en as track_semantic_title_en, {half_up3('final_score')} as final_score from matches where rank_position <= 3"""
-    q["report_order"] = f"""{RANKED} select {PLACE}, {IDS}, row_number() over (order by episode_nr, scene_nr, theme_nr, theme_title_en, rank_position, tid) as line from matches"""
+    q["report_order"] = f"{RANKED} select {PLACE}, {IDS}, theme_title_en as scene_theme_title_en, rank_position from matches"
     q["report_grouped"] = f"""{RANKED} select {PLACE}, theme_title_en as scene_theme_title_en, array_to_string(list(tid order by rank_position), '|') as track_query_ids
       from matches group by {PLACE}, theme_title_en"""
     # lookups

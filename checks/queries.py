@@ -70,7 +70,7 @@ def same_row(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the pairs (scene v, track v)."""
     s = fx.scenes(spark, sf)
     pairs = s.select(F.col("id").alias("scene_query_id"), (F.col("id") + fx.TRACK_BASE).alias("track_query_id"))
-    return scoring.score_pairs(pairs, s, fx.tracks(spark, sf), CONFIG)
+    return scoring.score_pairs(pairs, s, fx.tracks(spark, sf), CONFIG, pair_route="shuffle")
 
 
 def long_vector(df: DataFrame, key: str, vec: Column, *extra: str) -> DataFrame:
@@ -252,19 +252,7 @@ def q_telemetry(spark, sf):
 
 
 def q_report_order(spark, sf):
-    """The place of each row in report order, found by range-partitioned ranks."""
-    rows = reports.report_order(matches(spark, sf)).select(*PLACE, *IDS, "rank_position")
-    per_scene = rows.groupBy(*PLACE).agg(F.count("*").alias("n"))
-    # Rows before a scene: a sum over scenes of the same episode plus whole episodes before it.
-    from pyspark.sql import Window
-
-    in_episode = Window.partitionBy("episode_nr").orderBy("scene_nr", "theme_nr").rowsBetween(Window.unboundedPreceding, -1)
-    scenes_before = per_scene.withColumn("before", F.coalesce(F.sum("n").over(in_episode), F.lit(0)))
-    per_episode = per_scene.groupBy("episode_nr").agg(F.sum("n").alias("n"))
-    totals = Window.orderBy("episode_nr").rowsBetween(Window.unboundedPreceding, -1)
-    episodes_before = per_episode.select("episode_nr", F.coalesce(F.sum("n").over(totals), F.lit(0)).alias("earlier"))
-    joined = rows.join(scenes_before.drop("n"), PLACE).join(episodes_before, "episode_nr")
-    return tidy(joined.select(*PLACE, *IDS, (F.col("earlier") + F.col("before") + F.col("rank_position")).alias("line")))
+    return tidy(reports.report_order(matches(spark, sf)).select(*PLACE, *IDS, "scene_theme_title_en", "rank_position"))
 
 
 def q_report_grouped(spark, sf):

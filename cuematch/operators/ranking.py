@@ -9,8 +9,8 @@ steps:
    any history (``contenders``).
 2. Fold the contenders in scene order. Sorted partitions stream through
    ``mapInArrow``; memory holds one scene and a counter per style, never an
-   episode. It emits one row per (scene, style): the uses so far and the
-   previous winner.
+   episode. It emits one row per scene: the uses of its styles so far and
+   the previous winner.
 3. In parallel, join that context to all candidates and rank them.
 """
 
@@ -81,7 +81,7 @@ def contenders(scored: DataFrame) -> DataFrame:
     )
 
 
-_CONTEXT = "scene_query_id long, style_signature string, style_uses int, previous_track_id long"
+_CONTEXT = "scene_query_id long, styles array<string>, uses array<int>, previous_track_id long"
 _FOLD_COLUMNS = [
     "episode_nr", "scene_query_id", "track_query_id", "style_signature", "weighted_score",
     "before", "after", "embedding_score", "semantic_score", "targets_score", "hybrid_similarity",
@@ -112,9 +112,10 @@ def _fold(style_limit: int):
             ids, styles, uses, before = zip(*out)
             out.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(styles, pa.string()), pa.array(uses, pa.int32()),
+                [pa.array(ids, pa.int64()), pa.array(styles, pa.list_(pa.string())),
+                 pa.array(uses, pa.list_(pa.int32())),
                  pa.array([None if b < 0 else b for b in before], pa.int64())],
-                names=["scene_query_id", "style_signature", "style_uses", "previous_track_id"],
+                names=["scene_query_id", "styles", "uses", "previous_track_id"],
             )
 
         def scenes(table: pa.Table, last: bool):
@@ -139,8 +140,8 @@ def _fold(style_limit: int):
             styles = scene["style_signature"]
             uses = np.array([used.get(s, 0) for s in styles])
             scene_id = int(scene["scene_query_id"][0])
-            for s in dict.fromkeys(styles):
-                out.append((scene_id, s, used.get(s, 0), previous))
+            met = list(dict.fromkeys(styles))
+            out.append((scene_id, met, [used.get(s, 0) for s in met], previous))
             best = winner(scene, uses, previous)
             previous = int(scene["track_query_id"][best])
             used[styles[best]] = used.get(styles[best], 0) + 1
@@ -165,7 +166,7 @@ def _fold(style_limit: int):
 
 
 def scene_context(scored: DataFrame, config: MatchConfig) -> DataFrame:
-    """(scene, style) -> uses so far and the track that won the scene before."""
+    """Per scene: uses so far of its styles, and the track that won the scene before."""
     ordered = (
         contenders(scored)
         .repartition("episode_nr")
@@ -181,15 +182,20 @@ def rank_episodes(scored: DataFrame, config: MatchConfig) -> DataFrame:
     ``scored`` is read twice, once for the contenders and once for the final
     ranking; write it to a table first when it is costly (see plans/matching.py).
     """
-    context = scene_context(scored, config)
+    # Joined by scene alone, so the ranking below needs no further shuffle.
+    context = scene_context(scored, config).select(
+        "scene_query_id", F.map_from_arrays("styles", "uses").alias("style_uses"), "previous_track_id"
+    )
     limit = config.style_duplicate_limit
+    uses = F.element_at("style_uses", F.col("style_signature"))
     placed = (
-        scored.join(context, ["scene_query_id", "style_signature"])
-        .withColumn("style_redundancy_penalty", scoring.style_penalty(F.col("style_uses"), limit))
+        scored.join(context, "scene_query_id")
+        .withColumn("style_redundancy_penalty", scoring.style_penalty(uses, limit))
         .withColumn(
             "same_track_consecutive_penalty",
             F.when(F.col("track_query_id") == F.col("previous_track_id"), fv.SAME_TRACK_PENALTY).otherwise(0.0),
         )
+        .drop("style_uses", "previous_track_id")
     )
     ranked = rank_within_scene(scoring.with_final_score(placed))
     return ranked.filter(F.col("rank_position") <= config.rank_top_n)

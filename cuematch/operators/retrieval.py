@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,12 +140,14 @@ def _narrow(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _top_k(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(
-        F.col("distance").asc_nulls_last(), F.col("item_id").asc()
-    )
+    order = Window.partitionBy("query_id").orderBy(*_order())
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _order():
+    return F.col("distance").asc_nulls_last(), F.col("item_id").asc()
+
+
 def _collect_vectors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = df.toArrow()
     ids = np.asarray(table.column("id"), dtype=np.int64)
@@ -158,23 +161,58 @@ def vector_bytes(df: DataFrame, vec_col: str = "vec") -> int:
     return int(row["n"] or 0) * 8
 
 
-def _scan(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+_MERGE_WIDTH = 64  # tasks whose results are merged first
+
+
+def _scan_lists(searches: list[tuple[DataFrame, int]], items: DataFrame) -> DataFrame:
+    """One walk over the items for several searches, given as (queries, k).
+
+    ``items`` holds id and one vector column per search, in the same order.
+    Returns (list_no, query_id, item_id, distance) with at most k rows per
+    list, query and group of tasks.
+    """
     spark: SparkSession = items.sparkSession
-    shared = spark.sparkContext.broadcast(_collect_vectors(queries))
+    sides = [(*_collect_vectors(q), k) for q, k in searches]
+    shared = spark.sparkContext.broadcast(sides)
+    width = _MERGE_WIDTH
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        best = None
+        best = [_Nearest(ids, vectors, k) if len(ids) else None for ids, vectors, k in shared.value]
+        seen = False
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows:
                 continue
-            best = best or _Nearest(ids, vectors, k)
-            matrix, missing = _matrix(batch.column(1))
-            best.add(np.asarray(batch.column(0), dtype=np.int64), matrix, missing)
-        if best is not None:
-            yield best.result()
+            seen = True
+            item_ids = np.asarray(batch.column(0), dtype=np.int64)
+            for no, nearest_items in enumerate(best):
+                if nearest_items is not None:
+                    matrix, missing = _matrix(batch.column(no + 1))
+                    nearest_items.add(item_ids, matrix, missing)
+        group = TaskContext.get().partitionId() // width
+        for no, nearest_items in enumerate(best):
+            if seen and nearest_items is not None:
+                out = nearest_items.result()
+                n = out.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, no, dtype=np.int32)), pa.array(np.full(n, group, dtype=np.int32)),
+                     *out.columns],
+                    names=["list_no", "task_group", *out.schema.names],
+                )
+
+    found = items.mapInArrow(walk, "list_no int, task_group int, " + _PAIRS)
+    # With very many tasks a query gets k rows from each: merge groups of tasks
+    # first, so no single sort sees them all.
+    limits = F.element_at(F.array(*[F.lit(k) for _q, k in searches]), F.col("list_no") + 1)
+    group = Window.partitionBy("list_no", "query_id", "task_group").orderBy(*_order())
+    return (
+        found.withColumn("place", F.row_number().over(group))
+        .filter(F.col("place") <= limits)
+        .drop("place", "task_group")
+    )
+
 
-    return _top_k(items.mapInArrow(walk, _PAIRS), k)
+def _scan(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    return _top_k(_scan_lists([(queries, k)], items).drop("list_no"), k)
 
 
 def _kind(df: DataFrame) -> str:
@@ -384,13 +422,19 @@ def union_candidates(first: DataFrame, second: DataFrame, limit: int) -> DataFra
     both = first.select("query_id", "item_id", F.lit(0).alias("source"), "rank").unionByName(
         second.select("query_id", "item_id", F.lit(1).alias("source"), "rank")
     )
-    # Of an item in both lists the earlier place counts. One shuffle by query
-    # serves both windows; each list holds at most k rows per query.
+    return _merge_lists(both.repartition("query_id"), limit)
+
+
+def _merge_lists(both: DataFrame, limit: int) -> DataFrame:
+    """Of an item in both lists the earlier place counts; then cut.
+
+    The rows are already partitioned by query, which serves both windows; each
+    list holds at most k rows per query.
+    """
     seen = Window.partitionBy("query_id", "item_id").orderBy("source", "rank")
     order = Window.partitionBy("query_id").orderBy("source", "rank")
     return (
-        both.repartition("query_id")
-        .withColumn("copy", F.row_number().over(seen))
+        both.withColumn("copy", F.row_number().over(seen))
         .filter(F.col("copy") == 1)
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= limit)
@@ -398,21 +442,35 @@ def union_candidates(first: DataFrame, second: DataFrame, limit: int) -> DataFra
     )
 
 
-def candidates(scenes: DataFrame, tracks: DataFrame, config) -> DataFrame:
+def candidates(scenes: DataFrame, tracks: DataFrame, config, method: str | None = None) -> DataFrame:
     """Candidate (scene_query_id, track_query_id, place) of every scene.
 
-    A track without a hybrid vector is left out after the cut, as an item that
-    fails the minimum contract.
+    The nearest by hybrid vector come first, then unseen ones by ensemble
+    vector. Scenes that fit the broadcast limit are searched in one walk over
+    the tracks, with both vectors read together.
     """
-    by_hybrid = nearest(
-        scenes, tracks, config.candidate_pool_hybrid, "embedding_hybrid",
-        limit_bytes=config.broadcast_limit_bytes,
-    )
-    by_ensemble = nearest(
-        scenes, tracks, config.candidate_pool_ensemble, "embedding_clap_ensemble",
-        limit_bytes=config.broadcast_limit_bytes,
-    )
-    union = union_candidates(by_hybrid, by_ensemble, config.candidate_union_limit)
+    k_hybrid, k_ensemble = config.candidate_pool_hybrid, config.candidate_pool_ensemble
+    by = ["embedding_hybrid", "embedding_clap_ensemble"]
+    if method is None:
+        # The hybrid vector is the widest; both lists of vectors are sent.
+        small = 2 * vector_bytes(scenes, by[0]) <= config.broadcast_limit_bytes
+        method = "scan" if small else "cells"
+    if method == "scan":
+        searches = [
+            (_narrow(scenes, "id", name).filter(V.is_filled(F.col("vec"))), k)
+            for name, k in zip(by, (k_hybrid, k_ensemble))
+        ]
+        items = tracks.select(F.col("id").cast("long").alias("id"), *by)
+        found = _scan_lists(searches, items).repartition("query_id")
+        limits = F.when(F.col("list_no") == 0, k_hybrid).otherwise(k_ensemble)
+        order = Window.partitionBy("query_id", "list_no").orderBy(*_order())
+        both = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits)
+        union = _merge_lists(both.withColumnRenamed("list_no", "source"), config.candidate_union_limit)
+    else:
+        lists = [
+            nearest(scenes, tracks, k, name, method=method) for name, k in zip(by, (k_hybrid, k_ensemble))
+        ]
+        union = union_candidates(*lists, config.candidate_union_limit)
     return union.select(
         F.col("query_id").alias("scene_query_id"), F.col("item_id").alias("track_query_id"), "place"
     )

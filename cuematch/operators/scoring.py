@@ -166,27 +166,31 @@ def score_pairs(
     tracks: DataFrame,
     config: MatchConfig,
     send_scenes: bool = False,
-    send_pairs: bool = False,
+    pair_route: str = "shuffle",
 ) -> DataFrame:
     """Every score and static penalty of (scene_query_id, track_query_id) pairs.
 
     ``weighted_score`` is the weighted sum before penalties; the two penalties
     that depend on earlier scenes are added by the ranking.
 
-    The two flags say that the caller has checked a size (plans/matching.py).
-    With ``send_pairs`` the pairs go to the tracks, so a large catalog with its
-    five vectors per row is scored where it is scanned; otherwise tracks and
-    pairs meet in a shuffle by track. With ``send_scenes`` the scenes go to the
-    pairs, so no vector is moved again.
+    ``send_scenes`` says that the size of the scenes was checked
+    (plans/matching.py): they go to the pairs, so no vector is moved again.
+    ``pair_route`` says how pairs and tracks meet:
+
+    * ``send``: few pairs, large catalog. The pairs go to the tracks, which
+      are scored where they are scanned.
+    * ``spread``: few pairs, small catalog. Pairs are spread by track over a
+      fixed number of tasks, so the costly part uses every core.
+    * ``shuffle``: many pairs. A plain join by track, which adaptive execution
+      splits where a track is a candidate of very many scenes.
     """
     w = config.weights
     left = prepare_scenes(scenes)
     if send_scenes:
         left = F.broadcast(left)
-    if send_pairs:
+    if pair_route == "send":
         pairs = F.broadcast(pairs)
-    else:
-        # A fixed count keeps the costly part below spread over all cores.
+    elif pair_route == "spread":
         n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         pairs = pairs.repartition(n, "track_query_id")
     joined = pairs.join(prepare_tracks(tracks), "track_query_id").join(left, "scene_query_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +15,37 @@ from cuematch.plans.storage import materialize
 _PAIR_BYTES = 32  # a candidate pair in memory
 
 
-def side_sizes(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> tuple[bool, bool]:
-    """Which sides may be sent whole: (scenes, candidate pairs).
+@dataclass(frozen=True)
+class Sizes:
+    """What a check of the sizes allows; see :func:`check_sizes`."""
+
+    method: str          # how to search: "scan" or "cells"
+    send_scenes: bool    # scenes may be sent to the pairs
+    pairs: str           # "send", "spread" or "shuffle", see scoring.score_pairs
+
+
+def check_sizes(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> Sizes:
+    """Decide from one narrow aggregate what may be sent whole.
 
-    Both must fit the broadcast limit; the pairs are sent only to a catalog
-    with more rows than there can be pairs.
+    Nothing above ``broadcast_limit_bytes`` is. Pairs are sent only to a
+    catalog with more rows than there can be pairs.
     """
     row = scenes.agg(
         F.count("*").alias("n"),
         F.sum(F.greatest(F.size("embedding_hybrid"), F.lit(0))).alias("numbers"),
     ).first()
-    pairs = row["n"] * config.candidate_union_limit
-    vectors = (row["numbers"] or 0) * 4 * 4  # four vectors of four-byte numbers
     limit = config.broadcast_limit_bytes
-    small_pairs = pairs * _PAIR_BYTES <= limit and tracks.count() > pairs
-    return vectors <= limit, small_pairs
+    pairs = row["n"] * config.candidate_union_limit
+    numbers = row["numbers"] or 0
+    if pairs * _PAIR_BYTES > limit:
+        route = "shuffle"
+    else:
+        route = "send" if tracks.count() > pairs else "spread"
+    return Sizes(
+        method="scan" if 2 * numbers * 8 <= limit else "cells",  # two vectors as doubles
+        send_scenes=4 * numbers * 4 <= limit,                    # four vectors as floats
+        pairs=route,
+    )
 
 
 def scored_candidates(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> DataFrame:
@@ -36,9 +54,12 @@ def scored_candidates(scenes: DataFrame, tracks: DataFrame, config: MatchConfig)
     Only (scene, track) ids travel through the search; wide columns join after
     the cut.
     """
-    pairs = retrieval.candidates(scenes, tracks, config).select("scene_query_id", "track_query_id")
-    send_scenes, send_pairs = side_sizes(scenes, tracks, config)
-    return scoring.score_pairs(pairs, scenes, tracks, config, send_scenes, send_pairs)
+    sizes = check_sizes(scenes, tracks, config)
+    pairs = retrieval.candidates(scenes, tracks, config, sizes.method)
+    return scoring.score_pairs(
+        pairs.select("scene_query_id", "track_query_id"), scenes, tracks, config,
+        sizes.send_scenes, sizes.pairs,
+    )
 
 
 def preview_scene(scenes: DataFrame, tracks: DataFrame, scene_id: int, config: MatchConfig) -> DataFrame:
