@@ -20,7 +20,7 @@ from cuematch.functions import arrays, hints, text
 from cuematch.functions import vectors as V
 from cuematch.operators import contract, embed, ranking, retrieval, scenes, scoring, signals, tags, validate
 from cuematch.plans import catalog, ingest, matching, persist, reports, views
-from cuematch.plans.storage import materialize
+from cuematch.plans.storage import materialize, spread
 from cuematch.session import ship
 from cuematch.sources import decode, files, taxonomy
 
@@ -376,11 +376,11 @@ def q_constraint_report(spark, sf):
 # --- tags and contract -------------------------------------------------------
 
 def _selection(spark, sf) -> DataFrame:
-    return contract.with_selection(fx.tag_scores(spark, sf))
+    return contract.with_selection(spread(fx.tag_scores(spark, sf)))
 
 
 def _contracts(spark, sf) -> DataFrame:
-    return contract.track_contracts(fx.tag_scores(spark, sf), analysis_col=None)
+    return contract.track_contracts(spread(fx.tag_scores(spark, sf)), analysis_col=None)
 
 
 def q_tag_select(spark, sf):
@@ -514,13 +514,13 @@ def q_episode_number(spark, sf):
 
 
 def q_scene_split(spark, sf):
-    raw = fx.table(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+    raw = spread(fx.table(spark, sf, "documents").select("doc_id", "text")).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
     found, _rejects = scenes.scenes_of(files.prepare_screenplays(raw), HEADER)
     return tidy(found.select("episode_nr", "scene_nr", "scene_txt"))
 
 
 def q_embed_texts(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     rows = embed.embed_texts(docs, {"text": "v"}, embed.hashing_encoder(64)).select("doc_id", F.posexplode("v").alias("bucket", "value"))
     return tidy(rows.filter(F.col("value") != 0))
 

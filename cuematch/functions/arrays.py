@@ -9,8 +9,22 @@ from pyspark.sql import functions as F
 
 
 def strings(values: Sequence[str] = ()) -> Column:
-    """ARRAY<STRING> literal."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """ARRAY<STRING> literal, built in one call whatever its length."""
+    if not values:
+        return F.expr("cast(array() as array<string>)")
+    return F.expr("array(" + ", ".join(map(quoted, values)) + ")")
+
+
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def string_lists(table: dict[str, Sequence[str]]) -> Column:
+    """MAP<STRING, ARRAY<STRING>> literal."""
+    entries = [f"{quoted(k)}, array({', '.join(map(quoted, v))})" for k, v in table.items()]
+    return F.expr(f"map({', '.join(entries)})")
 
 
 def or_empty(c: Column) -> Column:
@@ -34,7 +48,8 @@ def share_of_first(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """|A n B| / |A u B| of two sets; 0 when either is empty."""
     both = (F.size(a) > 0) & (F.size(b) > 0)
-    return F.when(both, shared(a, b) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    common = shared(a, b)
+    return F.when(both, common / (F.size(a) + F.size(b) - common)).otherwise(F.lit(0.0))
 
 
 def scale_match(a: Column, b: Column, scale: Sequence[str] | None, step: float) -> Column:

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from cuematch import fixed_values as fv
 
 # Characters cut by strip(): Unicode white space and the four separators 1C-1F.
-_BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
-_STRIP = f"^{_BLANK}+|{_BLANK}+$"
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # A noncharacter, reserved for internal marks and never part of a text.
 _MARK = "\ufdd0"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def normalize_whitespace(c: Column) -> Column:

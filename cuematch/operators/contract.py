@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuematch import fixed_values as fv
-from cuematch.functions.arrays import or_empty, strings, top_distinct
+from cuematch.functions.arrays import or_empty, quoted, string_lists, strings, top_distinct
 from cuematch.functions.text import cut, title_case, words
 from cuematch.functions.vectors import clamp01
 from cuematch.operators.tags import bind, names_in, names_of, score_lookup, select_tags
@@ -37,12 +37,11 @@ def dialogue_safe_score(lookup: Column) -> Column:
 
 def profile_candidates(lookup: Column, selected: Column, safe_score: Column) -> Column:
     """Up to three scene profiles whose hinted tags score best."""
-    hints = F.array(
-        *[
-            F.struct(F.lit(no).alias("no"), F.lit(name).alias("name"), strings(tags).alias("tags"))
-            for no, (name, tags) in enumerate(fv.PROFILE_HINTS.items())
-        ]
-    )
+    rows = [
+        f"named_struct('no', {no}, 'name', {quoted(name)}, 'tags', array({', '.join(map(quoted, tags))}))"
+        for no, (name, tags) in enumerate(fv.PROFILE_HINTS.items())
+    ]
+    hints = F.expr(f"array({', '.join(rows)})")
 
     def scored(p: Column) -> Column:
         base = F.aggregate(p["tags"], F.lit(0.0), lambda s, t: s + _score(lookup, t))
@@ -107,10 +106,7 @@ def music_targets(selected: Column, analysis: Column | None = None) -> Column:
 
 
 def _contrary_of(name: Column) -> Column:
-    pairs = []
-    for tag, others in fv.CONTRARY_TAGS.items():
-        pairs += [F.lit(tag), strings(others)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), strings())
+    return F.coalesce(F.try_element_at(string_lists(fv.CONTRARY_TAGS), name), strings())
 
 
 def _banned(names: Column, value: Column) -> Column:
@@ -136,14 +132,11 @@ def must_not_tags(selected: Column, lookup: Column, semantics: Column, targets:
         safe >= fv.DIALOGUE_STRONG_AT,
         _banned(strings(fv.LOUD_TAGS), F.lit(fv.LOUD_BASE) + F.lit(fv.LOUD_SHARE) * safe),
     ).otherwise(nothing)
-    bans = []
-    for profile, tags in fv.PROFILE_BANS.items():
-        bans += [F.lit(profile), strings(tags)]
     by_profile = F.flatten(
         F.transform(
             F.slice(semantics["weight_profile_candidates"], 1, 2),
             lambda p: _banned(
-                F.coalesce(F.try_element_at(F.create_map(*bans), p), strings()), F.lit(fv.PROFILE_BAN_SCORE)
+                F.coalesce(F.try_element_at(string_lists(fv.PROFILE_BANS), p), strings()), F.lit(fv.PROFILE_BAN_SCORE)
             ),
         )
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -21,14 +23,19 @@ from cuematch.functions.text import strip
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hashing_encoder(dim: int = fv.VECTOR_DIM) -> Encoder:
     """Word counts hashed into ``dim`` buckets: the first 8 hex digits of MD5, modulo ``dim``."""
 
     def encode(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            for word in re.findall(r"[a-z0-9]+", text.lower()):
-                out[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
+            for word, n in Counter(re.findall(r"[a-z0-9]+", text.lower())).items():
+                out[row, _word_hash(word) % dim] += n
         return out
 
     return encode

@@ -192,7 +192,8 @@ def score_pairs(
         pairs = F.broadcast(pairs)
     elif pair_route == "spread":
         n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = pairs.repartition(n, "track_query_id")
+        # The hint keeps the pairs from being sent to a catalog of few tasks.
+        pairs = pairs.repartition(n, "track_query_id").hint("merge")
     joined = pairs.join(prepare_tracks(tracks), "track_query_id").join(left, "scene_query_id")
     conflicts = shared(F.col("s_must_not"), F.col("t_should"))
     parts = {

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuematch import fixed_values as fv
+from cuematch.functions.arrays import quoted
 
 SCORES = "array<struct<tag_no:int,category:string,name:string,score:double>>"
 
@@ -38,20 +39,20 @@ def _ranked(rows: Column) -> Column:
     )
 
 
-def _rule(values) -> Column:
+def _rule(values) -> str:
     top_k, threshold, margin, required = values
-    return F.struct(
-        F.lit(top_k).alias("top_k"), F.lit(threshold).alias("threshold"),
-        F.lit(margin).alias("margin"), F.lit(required).alias("required"),
+    return (
+        f"named_struct('top_k', {top_k}, 'threshold', double({threshold!r}), "
+        f"'margin', double({margin!r}), 'required', {required})"
     )
 
 
 def rule_of(category: Column) -> Column:
     """Selection rule of a category; unknown categories get the default rule."""
-    pairs = []
-    for name, values in fv.CATEGORY_RULES.items():
-        pairs += [F.lit(name), _rule(values)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), category), _rule(fv.DEFAULT_RULE))
+    entries = [f"{quoted(name)}, {_rule(values)}" for name, values in fv.CATEGORY_RULES.items()]
+    return F.coalesce(
+        F.try_element_at(F.expr(f"map({', '.join(entries)})"), category), F.expr(_rule(fv.DEFAULT_RULE))
+    )
 
 
 def _keep(rows: Column, rule: Column) -> Column:

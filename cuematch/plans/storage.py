@@ -34,3 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, spread over all cores when it comes in fewer pieces.
+
+    For costly work per row on a small file. A large table already comes in
+    many pieces and is left as it is. Only for plain scans: finding the number
+    of pieces plans the query.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

@@ -16,6 +16,9 @@ def local_session(app: str = "cuematch", cpus: int | str = "*", partitions: int
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Wide projections generate methods the JIT compiler skips; beyond this
+        # size Spark then splits them instead of fusing the stage.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CUEMATCH_DRIVER_MEMORY", "8g"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuematch import fixed_values as fv
+from cuematch.functions.arrays import quoted
 from cuematch.functions.text import tag_prompts
 
 _KIND = "map<string, struct<category_pl: string, tags: map<string, string>>>"
@@ -67,9 +68,8 @@ def tag_rows() -> list[tuple[int, str, str]]:
 
 def tag_list() -> Column:
     """The built-in taxonomy as an array literal of (tag_no, category, name)."""
-    return F.array(
-        *[
-            F.struct(F.lit(no).alias("tag_no"), F.lit(category).alias("category"), F.lit(name).alias("name"))
-            for no, category, name in tag_rows()
-        ]
-    )
+    rows = [
+        f"named_struct('tag_no', {no}, 'category', {quoted(category)}, 'name', {quoted(name)})"
+        for no, category, name in tag_rows()
+    ]
+    return F.expr(f"array({', '.join(rows)})")
