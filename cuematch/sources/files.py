@@ -45,8 +45,10 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
 
 def screenplays(spark: SparkSession, path: str) -> DataFrame:
     """Text files as (file_name, episode_nr, text), one row per file."""
+    # The name comes percent-encoded; a plus sign stands for itself there.
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
     raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
+        F.url_decode(encoded).alias("file_name"), F.col("value").alias("text")
     )
     return prepare_screenplays(raw)
 
