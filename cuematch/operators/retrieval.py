@@ -86,6 +86,7 @@ class _Nearest:
     def add(self, item_ids: np.ndarray, vectors: np.ndarray, missing: np.ndarray) -> None:
         if vectors.shape[1] != self.raw.shape[1]:
             vectors = np.zeros((len(item_ids), self.raw.shape[1]))
+        found = [(self.rows, self.items, self.dist)]
         here = np.flatnonzero(~missing)
         if len(here):
             x = vectors[here]
@@ -99,21 +100,17 @@ class _Nearest:
                     floor = np.maximum(floor, np.partition(sims, at, axis=1)[:, at])
                 q, j = np.nonzero(sims >= (floor - _SLACK)[:, None])
                 q += lo
-                self._append(q, item_ids[here[j]], _exact_distance(self.raw[q], x[j]))
+                found.append((q, item_ids[here[j]], _exact_distance(self.raw[q], x[j])))
         gone = item_ids[missing]
         if len(gone):
             # Only the k smallest ids without a vector can ever be wanted.
             gone = np.sort(gone)[: self.k]
             q = np.repeat(np.arange(len(self.ids)), len(gone))
-            self._append(q, np.tile(gone, len(self.ids)), np.full(len(q), np.inf))
+            found.append((q, np.tile(gone, len(self.ids)), np.full(len(q), np.inf)))
+        self.rows, self.items, self.dist = (np.concatenate(parts) for parts in zip(*found))
         if len(self.rows) > 4 * self.k * len(self.ids):
             self._trim()
 
-    def _append(self, q, items, dist) -> None:
-        self.rows = np.concatenate([self.rows, q])
-        self.items = np.concatenate([self.items, items])
-        self.dist = np.concatenate([self.dist, dist])
-
     def _trim(self) -> None:
         order = np.lexsort((self.items, self.dist, self.rows))
         rows = self.rows[order]
@@ -161,6 +158,7 @@ def vector_bytes(df: DataFrame, vec_col: str = "vec") -> int:
     return int(row["n"] or 0) * 8
 
 
+_MAX_CELLS = 2048
 _MERGE_WIDTH = 64  # tasks whose results are merged first
 
 
@@ -224,9 +222,12 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _cells(
-    queries: DataFrame, items: DataFrame, k: int, n_cells: int, block_rows: int
+    queries: DataFrame, items: DataFrame, k: int, n_cells: int | None, block_rows: int
 ) -> DataFrame:
     spark = items.sparkSession
+    if n_cells is None:
+        # More items allow finer cells; the pivots stay below a fixed number.
+        n_cells = int(min(_MAX_CELLS, max(16, math.sqrt(items.count()))))
     placed_items = items.filter(V.is_filled(F.col("vec")) & (V.norm(F.col("vec")) > 0))
     # Pivots: a fixed number of items, spread by a hash of the id.
     _, pivots = _collect_vectors(placed_items.orderBy(F.xxhash64("id"), "id").limit(n_cells))
@@ -306,21 +307,26 @@ def _cells(
     probes = queries.mapInArrow(probe, f"id long, vec {_kind(queries)}, cell int")
     visits = {r["cell"]: int(r["n"]) for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
-    def blocks(counts_by_cell: dict[int, int]):
-        """Blocks per cell, as a map literal of at most one entry per cell."""
-        pairs = []
-        for cell, n in sorted(counts_by_cell.items()):
-            pairs += [F.lit(cell), F.lit(max(1, math.ceil(n / block_rows)))]
-        made = F.create_map(*pairs) if pairs else F.create_map(F.lit(-2), F.lit(1))
-        return F.coalesce(F.element_at(made, F.col("cell")), F.lit(1))
-
-    def keyed(df: DataFrame, own: dict[int, int], other: dict[int, int], mine: str, theirs: str):
-        return df.withColumn(mine, F.pmod(F.xxhash64("id"), blocks(own))).withColumn(
-            theirs, F.explode(F.sequence(F.lit(0), blocks(other) - 1).cast("array<long>"))
+    # Blocks per cell, at most one row per cell: a bounded broadcast.
+    split = lambda n: max(1, math.ceil(n / block_rows))
+    per_cell = F.broadcast(
+        spark.createDataFrame(
+            [(c, split(size.get(c, 0)), split(visits.get(c, 0))) for c in sorted({*size, *visits})],
+            "cell int, item_blocks int, query_blocks int",
+        )
+    )
+
+    def keyed(df: DataFrame, mine: str, theirs: str) -> DataFrame:
+        """Rows in one block of their own side, copied to every block of the other."""
+        return (
+            df.join(per_cell, "cell")
+            .withColumn(f"{mine}_block", F.pmod(F.xxhash64("id"), F.col(f"{mine}_blocks")))
+            .withColumn(f"{theirs}_block", F.explode(F.sequence(F.lit(0), F.col(f"{theirs}_blocks") - 1)))
+            .select("id", "vec", "cell", F.col("item_block").cast("int"), F.col("query_block").cast("int"))
         )
 
-    left = keyed(probes, visits, size, "query_block", "item_block")
-    right = keyed(located.select("id", "vec", "cell"), size, visits, "item_block", "query_block")
+    left = keyed(probes, "query", "item")
+    right = keyed(located.select("id", "vec", "cell"), "item", "query")
     keys = ["cell", "item_block", "query_block"]
 
     def meet(q: pa.Table, x: pa.Table) -> pa.Table:
@@ -348,8 +354,8 @@ def nearest(
     item_id: str = "id",
     limit_bytes: int = 64 << 20,
     method: str | None = None,
-    n_cells: int = 256,
-    block_rows: int = 16384,
+    n_cells: int | None = None,
+    block_rows: int = 65536,
 ) -> DataFrame:
     """The k nearest items of every query: (query_id, item_id, distance, rank).
 
