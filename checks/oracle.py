@@ -529,6 +529,33 @@ def oracle_sql() -> dict[str, str]:
         (select sum(len(i))::bigint from si) as scene_issue_count, (select sum(len(i))::bigint from ti) as track_issue_count,
         (select string_agg(x, '|' order by {PLACE}, id, k) from (select * from sx order by {PLACE}, id, k limit 10)) as scene_issue_samples,
         (select string_agg(x, '|' order by id, k) from (select * from tx order by id, k limit 10)) as track_issue_samples"""
+    q["episode_validation"] = f"""with {BOTH},
+      si as (select id, {PLACE}, {s_issues} as i from fx_s where episode_nr = 2),
+      near as (select t.id from fx_t t, (select * from fx_s where episode_nr = 2 order by scene_nr, theme_nr, id limit 1) s
+        order by 1 - {cos('s.e_hyb', 't.e_hyb')} asc nulls last, t.id limit 20),
+      ti as (select id, {t_issues} as i from fx_t where id in (select id from near)),
+      sx as (select {PLACE}, id, unnest(i) as x, generate_subscripts(i, 1) as k from si), tx as (select id, unnest(i) as x, generate_subscripts(i, 1) as k from ti)
+      select (select count(*) from si) as scene_count, (select count(*) from ti) as track_count, (select count(*) from fx_t) as track_query_rows,
+        (select sum(len(i))::bigint from si) as scene_issue_count, (select sum(len(i))::bigint from ti) as track_issue_count,
+        coalesce((select string_agg(x, '|' order by {PLACE}, id, k) from (select * from sx order by {PLACE}, id, k limit 10)), '') as scene_issue_samples,
+        coalesce((select string_agg(x, '|' order by id, k) from (select * from tx order by id, k limit 10)), '') as track_issue_samples"""
+    texts_of = " union all ".join(
+        [f"select id, 0 as p, theme_title_pl || '. ' || description_en as txt from fx_s", "select id, 1, tags_summary_en from fx_s"]
+        + [f"select id, {i + 2}, '{p} ' || id from fx_s" for i, p in enumerate(PROMPTS)]
+    )
+    weight = "case p " + " ".join(f"when {i + 2} then {d(w)}" for i, w in enumerate(fv.ENSEMBLE_PROMPTS.values())) + " end"
+    as_float = lambda x: f"cast(cast({x} as float) as double)"
+    q["scene_vectors"] = f"""with {SCENES}, txt as ({texts_of}), tok as ({token_rows('txt', 'id, p', 'txt', 64)}),
+      pv as (select id, p, bucket, {as_float('cnt / sqrt(sum(cnt * cnt) over (partition by id, p))')} as x from tok),
+      e0 as (select id, bucket, sum({weight} * x) as x from pv where p >= 2 group by id, bucket),
+      ens as (select id, bucket, {as_float('x / sqrt(sum(x * x) over (partition by id))')} as x from e0),
+      h0 as (select id, bucket, sum(x) as x from (
+        select id, bucket, {d(.45)} * x as x from pv where p = 0 union all select id, bucket, {d(.20)} * x from pv where p = 1
+        union all select id, bucket, {d(.35)} * x from ens) group by id, bucket),
+      hyb as (select id, bucket, {as_float('x / sqrt(sum(x * x) over (partition by id))')} as x from h0),
+      every as (select id, 'main' as kind, bucket, x from pv where p = 0 union all select id, 'tags', bucket, x from pv where p = 1
+        union all select id, 'clap_ensemble', bucket, x from ens union all select id, 'hybrid', bucket, x from hyb)
+      select id, kind, cast(bucket as bigint) as pos, {r6('x')} as value from every where abs(x) > 1e-6"""
     q["usable_tracks"] = f"with {TRACKS} select id from fx_t where e_hyb is not null"
     q["constraint_report"] = f"""with {_existing_tracks()}, raw as (
         select doc_id, case when doc_id % 7 = 0 then '{{"should_have_tags":[]}}' when doc_id % 7 = 1 then '{{"should_have_tags":"x","must_not_tags":[]}}'
@@ -643,15 +670,20 @@ def oracle_sql() -> dict[str, str]:
         case when n_chars % 3 = 0 then 'overlapping tags: calm' end], lambda x: x is not null), '|') as issues from documents"""
     q["assemble_records"] = """select doc_id + 1 as scene_nr, k as theme_nr, 'why' as segmentation_reason, 'T' || doc_id || '-' || k as theme_title_en,
         'sum ' || doc_id as tags_summary_en from documents, (select unnest([1, 2]) as k)"""
-    vocab_checks = {
-        "emotional_direction": ("emotion", "emotion", False), "narrative_function": ("narrative", "narrative", False),
-        "weight_profile": ("profile", "scene", True), "sound_character_target": ("sound", "sound_character", False),
+    category_of = {
+        "emotional_direction": ("emotion", "emotion"), "narrative_function": ("narrative", "narrative"),
+        "weight_profile": ("[profile]", "scene"), "energy_target": ("[energy]", "energy"), "tempo_target": ("[tempo]", "tempo"),
+        "rhythm_target": ("[rhythm]", "rhythm"), "intensity_shape_target": ("[shape]", "intensity_shape"),
+        "sound_character_target": ("sound", "sound_character"), "should_have_tags": ("should", None), "must_not_tags": ("must_not", None),
+    }
+    allowed_of = {
+        c: [fv.ANSWER_NARRATIVE_SWAP.get(w, w) if c == "narrative" else w for w in data["tags"]] for c, data in fv.TAXONOMY.items()
     }
-    rows = []
-    for field, (column, category, single) in vocab_checks.items():
-        allowed = [fv.ANSWER_NARRATIVE_SWAP.get(w, w) if category == "narrative" else w for w in fv.TAXONOMY[category]["tags"]]
-        listed = f"[{column}]" if single else column
-        rows.append(f"select id, '{field}' as field, unnest(list_filter(list_distinct({listed}), lambda x: not list_contains({lit_list(allowed)}, x))) as word from fx_s")
+    allowed_of[None] = sorted({w for listed in allowed_of.values() for w in listed})
+    rows = [
+        f"select id, '{field}' as field, unnest(list_filter(list_distinct({column}), lambda x: not list_contains({lit_list(allowed_of[category])}, x))) as word from fx_s"
+        for field, (column, category) in category_of.items()
+    ]
     q["vocab_check"] = f"with {SCENES} " + " union all ".join(rows)
     prompts_text = " || chr(10) || ".join(f"'{p}: {p} ' || id" for p in PROMPTS)
     q["field_lines"] = f"""with {SCENES}

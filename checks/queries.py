@@ -358,6 +358,21 @@ def q_validation_report(spark, sf):
     return tidy(validate.validation_report(fx.scenes(spark, sf), fx.tracks(spark, sf)))
 
 
+def q_episode_validation(spark, sf):
+    return tidy(matching.episode_validation(fx.scenes(spark, sf), fx.tracks(spark, sf), 2))
+
+
+def q_scene_vectors(spark, sf):
+    """The four vectors of every scene, with the title that is never empty."""
+    rows = fx.scenes(spark, sf).drop("embedding_main", "embedding_tags", "embedding_clap_ensemble", "embedding_hybrid")
+    rows = embed.scene_vectors(rows.withColumn("theme_title_en", F.col("theme_title_pl")), embed.hashing_encoder(64))
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(f"embedding_{k}").alias("v")) for k in ("main", "tags", "clap_ensemble", "hybrid")
+    ])
+    long = rows.select("id", F.inline(cells)).select("id", "kind", F.posexplode("v").alias("pos", "value"))
+    return tidy(long.filter(F.abs("value") > 1e-6))
+
+
 def q_usable_tracks(spark, sf):
     return tidy(matching.usable_tracks(fx.tracks(spark, sf)).select("id"))
 
@@ -675,8 +690,7 @@ def q_assemble_records(spark, sf):
 
 
 def q_vocab_check(spark, sf):
-    rows = scenes.vocabulary_report(fx.scenes(spark, sf), "id")
-    return tidy(rows.filter(F.col("field").isin("emotional_direction", "narrative_function", "weight_profile", "sound_character_target")))
+    return tidy(scenes.vocabulary_report(fx.scenes(spark, sf), "id"))
 
 
 def q_field_lines(spark, sf):

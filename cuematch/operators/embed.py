@@ -93,13 +93,16 @@ def hybrid_vector(main: Column, tags: Column, ensemble: Column) -> Column:
 
 def _package(df: DataFrame, title: str, description: str, prompts: str, encoder: Encoder | None) -> DataFrame:
     kept = df.columns
+    lacking = (F.coalesce(strip(F.col(title)), F.lit("")) == "") | (
+        F.coalesce(strip(F.col(description)), F.lit("")) == ""
+    )
+    main = F.concat(strip(F.col(title)), F.lit(". "), strip(F.col(description)))
     texts = df.withColumn(
-        "_main_text",
-        F.concat(strip(F.col(title)), F.lit(". "), strip(F.col(description))),
-    ).withColumn("_tags_text", F.col("tags_summary_en"))
+        "_main_text", F.when(lacking, F.raise_error(F.lit(f"{title} or {description} is empty"))).otherwise(main)
+    ).withColumn("_tags_text", strip(F.col("tags_summary_en")))
     wanted = {"_main_text": "embedding_main", "_tags_text": "embedding_tags"}
     for name in fv.ENSEMBLE_PROMPTS:
-        texts = texts.withColumn(f"_{name}", F.col(f"{prompts}.{name}"))
+        texts = texts.withColumn(f"_{name}", strip(F.col(f"{prompts}.{name}")))
         wanted[f"_{name}"] = f"_v_{name}"
     embedded = embed_texts(texts, wanted, encoder)
     ensemble = ensemble_vector([F.col(f"_v_{name}") for name in fv.ENSEMBLE_PROMPTS])

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,6 +153,19 @@ def _collect_vectors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, matrix
 
 
+def _collect_lists(df: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) per vector column, without the rows that lack the vector."""
+    table = df.toArrow()
+    ids = np.asarray(table.column(0), dtype=np.int64)
+    out = []
+    for no in range(1, table.num_columns):
+        sizes = pc.fill_null(pc.list_value_length(table.column(no)), 0)
+        filled = np.asarray(sizes) > 0
+        matrix, _ = _matrix(table.column(no).filter(pa.array(filled)))
+        out.append((ids[filled], matrix))
+    return out
+
+
 def vector_bytes(df: DataFrame, vec_col: str = "vec") -> int:
     """Size of the vectors as doubles, found by one narrow aggregate."""
     row = df.agg(F.sum(F.greatest(F.size(vec_col), F.lit(0))).alias("n")).first()
@@ -162,16 +176,18 @@ _MAX_CELLS = 2048
 _MERGE_WIDTH = 64  # tasks whose results are merged first
 
 
-def _scan_lists(searches: list[tuple[DataFrame, int]], items: DataFrame) -> DataFrame:
-    """One walk over the items for several searches, given as (queries, k).
+def _scan_lists(queries: DataFrame, ks: list[int], items: DataFrame) -> DataFrame:
+    """One walk over the items for several searches.
 
-    ``items`` holds id and one vector column per search, in the same order.
-    Returns (list_no, query_id, item_id, distance) with at most k rows per
-    list, query and group of tasks.
+    ``queries`` and ``items`` hold id and one vector column per search, in the
+    same order; ``ks`` the number of neighbours of each. A query without a
+    vector takes no part in that search. Returns (list_no, query_id, item_id,
+    distance) with at most k rows per list, query and group of tasks.
     """
     spark: SparkSession = items.sparkSession
-    sides = [(*_collect_vectors(q), k) for q, k in searches]
-    shared = spark.sparkContext.broadcast(sides)
+    shared = spark.sparkContext.broadcast(
+        [(*side, k) for side, k in zip(_collect_lists(queries), ks)]
+    )
     width = _MERGE_WIDTH
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +216,7 @@ def _scan_lists(searches: list[tuple[DataFrame, int]], items: DataFrame) -> Data
     found = items.mapInArrow(walk, "list_no int, task_group int, " + _PAIRS)
     # With very many tasks a query gets k rows from each: merge groups of tasks
     # first, so no single sort sees them all.
-    limits = F.element_at(F.array(*[F.lit(k) for _q, k in searches]), F.col("list_no") + 1)
+    limits = F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("list_no") + 1)
     group = Window.partitionBy("list_no", "query_id", "task_group").orderBy(*_order())
     return (
         found.withColumn("place", F.row_number().over(group))
@@ -210,7 +226,7 @@ def _scan_lists(searches: list[tuple[DataFrame, int]], items: DataFrame) -> Data
 
 
 def _scan(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    return _top_k(_scan_lists([(queries, k)], items).drop("list_no"), k)
+    return _top_k(_scan_lists(queries, [k], items).drop("list_no"), k)
 
 
 def _kind(df: DataFrame) -> str:
@@ -462,12 +478,9 @@ def candidates(scenes: DataFrame, tracks: DataFrame, config, method: str | None
         small = 2 * vector_bytes(scenes, by[0]) <= config.broadcast_limit_bytes
         method = "scan" if small else "cells"
     if method == "scan":
-        searches = [
-            (_narrow(scenes, "id", name).filter(V.is_filled(F.col("vec"))), k)
-            for name, k in zip(by, (k_hybrid, k_ensemble))
-        ]
-        items = tracks.select(F.col("id").cast("long").alias("id"), *by)
-        found = _scan_lists(searches, items).repartition("query_id")
+        narrow = [F.col("id").cast("long").alias("id"), *by]
+        found = _scan_lists(scenes.select(*narrow), [k_hybrid, k_ensemble], tracks.select(*narrow))
+        found = found.repartition("query_id")
         limits = F.when(F.col("list_no") == 0, k_hybrid).otherwise(k_ensemble)
         order = Window.partitionBy("query_id", "list_no").orderBy(*_order())
         both = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits)

@@ -16,19 +16,21 @@ def scenes_of(screenplays: DataFrame, header: str = fv.SCENE_HEADER) -> tuple[Da
 
     Scenes are numbered by their place, not by the printed number.
     """
-    split = screenplays.withColumn("scenes", split_scenes(F.col("text"), header))
+    split = split_scenes(F.col("text"), header)
+    # A text without scenes explodes to no rows, so the costly split is done
+    # once; a filter on it would be pushed below and split again.
+    good = screenplays.filter(F.col("episode_nr").isNotNull()).select(
+        "file_name", "episode_nr", F.posexplode(split).alias("place", "scene_txt")
+    )
+    scenes = good.select("file_name", "episode_nr", (F.col("place") + 1).alias("scene_nr"), "scene_txt")
     keyword = header_keyword(header)
     reason = (
         F.when(F.col("episode_nr").isNull(), "no episode number in the file name")
         .when(F.coalesce("text", F.lit("")) == "", "empty text")
-        .when(F.size("scenes") == 0, f'no scene headers found, expected keyword "{keyword}"')
+        .when(F.size(split) == 0, f'no scene headers found, expected keyword "{keyword}"')
     )
-    marked = split.withColumn("reason", reason)
-    good = marked.filter(F.col("reason").isNull()).select(
-        "file_name", "episode_nr", F.posexplode("scenes").alias("place", "scene_txt")
-    )
-    scenes = good.select("file_name", "episode_nr", (F.col("place") + 1).alias("scene_nr"), "scene_txt")
-    return scenes, marked.filter(F.col("reason").isNotNull()).select("file_name", "reason")
+    rejects = screenplays.select("file_name", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return scenes, rejects
 
 
 # --- stored answers ----------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuematch.config import MatchConfig
 from cuematch.functions import vectors as V
-from cuematch.operators import ranking, retrieval, scoring
+from cuematch.operators import ranking, retrieval, scoring, validate
 from cuematch.plans.storage import materialize
 
 _PAIR_BYTES = 32  # a candidate pair in memory
@@ -109,3 +109,18 @@ def low_confidence(matches: DataFrame, threshold: float) -> DataFrame:
 def usable_tracks(tracks: DataFrame) -> DataFrame:
     """Tracks that meet the minimum contract: a hybrid vector."""
     return tracks.filter(V.is_filled(F.col("embedding_hybrid")))
+
+
+def episode_validation(
+    scenes: DataFrame, tracks: DataFrame, episode_nr: int, sample: int = 20, config: MatchConfig = MatchConfig()
+) -> DataFrame:
+    """Input check before a run: the episode's scenes, and the ``sample`` tracks
+    nearest to its first scene. One row, with the size of the whole catalog."""
+    own = scenes.filter(F.col("episode_nr") == episode_nr)
+    first = own.orderBy("scene_nr", "theme_nr", "id").limit(1)
+    near = retrieval.nearest(first, tracks, sample, limit_bytes=config.broadcast_limit_bytes)
+    sampled = tracks.join(near.select(F.col("item_id").alias("id")), "id", "left_semi")
+    report = validate.validation_report(own, sampled)
+    total = tracks.agg(F.count("*").alias("track_query_rows"))
+    # Two single-row tables.
+    return report.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
