@@ -467,6 +467,8 @@ def oracle_sql() -> dict[str, str]:
                           f"{joined('t.emotion')} as track_emotions, s.energy as scene_energy, t.energy as track_energy, {joined('s.should')} as scene_tags, "
                           f"{joined('t.should')} as track_tags, {r6('final_score')} as final_score from matches m join fx_s s on s.id = m.sid join fx_t t on t.id = m.tid")
     q["match_compare"] = q["match_compare"].replace(f"select {PLACE},", "select m.episode_nr, m.scene_nr, m.theme_nr,")
+    q["match_explanation"] = (f"{RANKED} select {IDS}, theme_title_en, filename, {r6('energy_match_score')} as energy_match_score, "
+                              f"{r6('dialogue_score')} as dialogue_match_score, {r6('penalty_total')} as penalty_total, style_signature, tid as metadata_track from matches")
     q["episode_summary"] = f"""{RANKED} select episode_nr, count(*) as total_match_rows, count(distinct sid) as total_scene_themes,
       count(distinct tid) as distinct_tracks_used, {r6('max(final_score)')} as max_final_score, {r6('min(final_score)')} as min_final_score,
       {mean_of([*SCORES6, 'penalty_total'])} from matches group by episode_nr"""
@@ -574,6 +576,10 @@ def oracle_sql() -> dict[str, str]:
     q["confidence_profile"] = f"{TAGS3} select id, {r6('mean')} as mean_score, {r6('hi')} as max_score, {r6('lo')} as min_score from picked"
     q["tag_vocab"] = f"{TAGS1} select category, string_agg(distinct name, '|' order by name) as names from sel group by category"
     q["tags_in_categories"] = f"{TAGS1} select distinct name from sel where category in ('emotion', 'atmosphere')"
+    q["tag_prompts"] = f"""{TAGS1} select id, n as tag_no, 'cinematic instrumental music with ' || t || '|music tagged as ' || replace(category, '_', ' ') || ': ' || t
+        || '|film underscore with ' || t as prompts from (select *, replace(name, '_', ' ') as t from sel)"""
+    q["taxonomy_rows"] = """select k as tag_no, case when k < 2 then 'first' else lang end as category, case when k < 2 then source else lang end as category_pl,
+        t || doc_id as name, t as name_pl from documents, (values (0, 'b'), (1, 'a'), (2, 'z'), (3, 'y'), (4, 'x')) v(k, t)"""
     q["profile_candidates"] = f"{TAGS2} select id, {joined('profiles')} as profiles from cands"
     q["track_semantics"] = f"{TAGS2} select id, {joined('emotion')} as emotional_direction, {joined('narrative')} as narrative_function, {joined('profiles')} as profiles, {r6('t3r')} as dialogue_safe_score, safe as dialogue_safe from sem"
     q["track_targets"] = f"{TAGS2} select id, energy, tempo, rhythm, shape, {joined('sound')} as sound from tgt"

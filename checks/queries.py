@@ -255,6 +255,18 @@ def q_report_order(spark, sf):
     return tidy(reports.report_order(matches(spark, sf)).select(*PLACE, *IDS, "scene_theme_title_en", "rank_position"))
 
 
+def q_match_explanation(spark, sf):
+    told = lambda path: F.get_json_object("match_explanation", path)
+    return tidy(matches(spark, sf).select(
+        *IDS, told("$.scene.theme_title_en").alias("theme_title_en"), told("$.track.filename").alias("filename"),
+        told("$.component_scores.energy_match_score").cast("double").alias("energy_match_score"),
+        told("$.component_scores.dialogue_match_score").cast("double").alias("dialogue_match_score"),
+        told("$.penalties.penalty_total").cast("double").alias("penalty_total"),
+        told("$.penalties.style_signature").alias("style_signature"),
+        F.get_json_object("match_metadata", "$.track_query_id").cast("long").alias("metadata_track"),
+    ))
+
+
 def q_report_grouped(spark, sf):
     rows = reports.grouped_report(matches(spark, sf))
     return tidy(rows.select(*PLACE, "scene_theme_title_en", F.col("matches.track_query_id").alias("track_query_ids")))
@@ -442,6 +454,24 @@ def q_tags_in_categories(spark, sf):
     return catalog.tags_in(_selected_rows(spark, sf), ["emotion", "atmosphere"])
 
 
+def q_tag_prompts(spark, sf):
+    """Prompts of every selected tag of every track."""
+    rows = _selection(spark, sf).select("id", F.inline("selected_tags"))
+    return tidy(taxonomy.with_prompts(rows).select("id", "tag_no", "prompts"))
+
+
+def q_taxonomy_rows(spark, sf):
+    """Every document stands for a small taxonomy of two categories."""
+    n = F.col("doc_id").cast("string")
+    category = lambda label, *tag_names: F.struct(label.alias("category_pl"), F.map_from_arrays(
+        F.array(*[F.concat(F.lit(t), n) for t in tag_names]), F.array(*[F.lit(t) for t in tag_names])).alias("tags"))
+    made = fx.table(spark, sf, "documents").select(F.to_json(F.map_from_arrays(
+        F.array(F.lit("first"), F.col("lang")),
+        F.array(category(F.col("source"), "b", "a"), category(F.col("lang"), "z", "y", "x")),
+    )).alias("value"))
+    return tidy(taxonomy.flatten_tags(made))
+
+
 def q_profile_candidates(spark, sf):
     return tidy(_contracts(spark, sf).select("id", F.col("track_music_semantics.weight_profile_candidates").alias("profiles")))
 

@@ -131,3 +131,35 @@ def test_run_summary_of_nothing(spark, sf):
     empty = spark.createDataFrame([], "final_score double, embedding_score double")
     row = matching.run_summary(empty, matching.telemetry(fx.scenes(spark, sf), scored)).first()
     assert row["match_count"] == 0 and row["scene_without_candidates"] == row["scene_count"] > 0
+
+
+def test_pairs_are_sent_to_the_tracks(spark, sf, tmp_path):
+    """On the route for a large catalog no track vector is shuffled."""
+    fx.tracks(spark, sf).write.parquet(str(tmp_path / "t"))
+    tracks = spark.read.parquet(str(tmp_path / "t"))
+    pairs = spark.createDataFrame([(0, fx.TRACK_BASE + 1)], "scene_query_id long, track_query_id long")
+    scored = scoring.score_pairs(pairs, fx.scenes(spark, sf), tracks, MatchConfig(), True, "send")
+    plan = scored._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Exchange hashpartitioning" not in plan and "NestedLoop" not in plan and plan.count("BroadcastExchange") == 2
+    assert scored.count() == 1
+
+
+def test_route_follows_the_sizes(spark, sf):
+    s, t = fx.scenes(spark, sf), fx.tracks(spark, sf)
+    n = s.count()
+    few = MatchConfig(candidate_union_limit=1)
+    assert matching.check_sizes(s.limit(n // 2), t, few).pairs == "send"
+    assert matching.check_sizes(s, t, MatchConfig()).pairs == "spread"
+    tight = matching.check_sizes(s, t, MatchConfig(broadcast_limit_bytes=1000))
+    assert (tight.method, tight.send_scenes, tight.pairs) == ("cells", False, "shuffle")
+
+
+def test_tight_limit_gives_the_same_matches(spark, sf):
+    s = fx.scenes(spark, sf).filter("episode_nr <= 3")
+    small = dict(candidate_pool_hybrid=15, candidate_pool_ensemble=8, candidate_union_limit=20)
+    rows = [
+        sorted((r["scene_query_id"], r["rank_position"], r["track_query_id"], round(r["final_score"], 9))
+               for r in matching.rank_all(s, fx.tracks(spark, sf), MatchConfig(**small, **extra)).collect())
+        for extra in ({}, {"broadcast_limit_bytes": 1000})
+    ]
+    assert rows[0] == rows[1] and len(rows[0]) == 600

@@ -166,3 +166,16 @@ def test_mean_pool_and_tag_scores(spark):
     scores = embed.score_tags(tracks, vecs).first()["tag_scores"]
     want = {r["tag_no"]: r["embedding"][0] for r in vecs.collect()}
     assert len(scores) == 122 and all(s["score"] == pytest.approx(want[s["tag_no"]], abs=1e-6) for s in scores)
+
+
+def test_contracts_need_no_shuffle(spark, sf):
+    from checks import standins as fx
+
+    plan = contract.track_contracts(fx.tag_scores(spark, sf), analysis_col=None)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_mean_pool_combines_before_the_shuffle(spark):
+    segments = spark.createDataFrame([("a", [1.0, 0.0])], "filepath string, embedding array<float>")
+    plan = embed.mean_pool(segments, "filepath", "embedding")._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("ObjectHashAggregate") == 2
