@@ -244,12 +244,15 @@ def _cells(
     if n_cells is None:
         # More items allow finer cells; the pivots stay below a fixed number.
         n_cells = int(min(_MAX_CELLS, max(16, math.sqrt(items.count()))))
-    placed_items = items.filter(V.is_filled(F.col("vec")) & (V.norm(F.col("vec")) > 0))
-    # Pivots: a fixed number of items, spread by a hash of the id.
-    _, pivots = _collect_vectors(placed_items.orderBy(F.xxhash64("id"), "id").limit(n_cells))
+    # Pivots: a fixed number of items, spread by a hash of the id. Rows without
+    # direction cannot serve; without any pivot one axis does, as all items then
+    # lie in the cell of those without direction.
+    filled = items.filter(V.is_filled(F.col("vec")))
+    _, pivots = _collect_vectors(filled.orderBy(F.xxhash64("id"), "id").limit(n_cells))
+    pivots, norms = _unit(pivots)
+    pivots = pivots[norms > 0]
     if not len(pivots):
-        return _scan(queries.limit(0), items, k)
-    pivots, _ = _unit(pivots)
+        pivots = np.eye(1, max(1, pivots.shape[1]))
     shared = spark.sparkContext.broadcast(pivots)
 
     def place(batches):
@@ -300,10 +303,11 @@ def _cells(
             order = np.argsort(ceiling, axis=1)
             total = np.cumsum(n[order], axis=1)
             enough = total >= k
-            at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
-            bound = np.where(
-                at >= 0, np.take_along_axis(ceiling, order, 1)[np.arange(len(at)), at], np.inf
-            )
+            bound = np.full(len(units), np.inf)
+            sure = np.flatnonzero(enough.any(axis=1))
+            if len(sure):
+                at = order[sure, enough[sure].argmax(axis=1)]
+                bound[sure] = ceiling[sure, at]
             visit = (angle - far) <= (bound + 1e-7)[:, None]
             visit |= (norms == 0)[:, None]  # a zero vector is equally far from everything
             q, c = np.nonzero(visit)

@@ -66,6 +66,15 @@ def test_more_wanted_than_there_are(spark, method):
     assert as_lists(got) == {10: [1, 3, 0, 2]}
 
 
+@pytest.mark.parametrize("method", ["scan", "cells"])
+def test_items_without_direction(spark, method):
+    items = [(5, [0.0, 0.0]), (6, None), (2, [0.0, 0.0]), (1, None)]
+    got = retrieval.nearest(frame(spark, [(10, [1.0, 0.0])]), frame(spark, items), 3, "v", method=method)
+    assert as_lists(got) == {10: [2, 5, 1]}
+    only_null = retrieval.nearest(frame(spark, [(10, [1.0, 0.0])]), frame(spark, [(7, None), (3, None)]), 3, "v", method=method)
+    assert as_lists(only_null) == {10: [3, 7]}
+
+
 def test_size_decides_the_method(spark, monkeypatch):
     called = []
     monkeypatch.setattr(retrieval, "_scan", lambda *a: called.append("scan"))
