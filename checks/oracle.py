@@ -576,9 +576,9 @@ def oracle_sql() -> dict[str, str]:
     q["confidence_profile"] = f"{TAGS3} select id, {r6('mean')} as mean_score, {r6('hi')} as max_score, {r6('lo')} as min_score from picked"
     q["tag_vocab"] = f"{TAGS1} select category, string_agg(distinct name, '|' order by name) as names from sel group by category"
     q["tags_in_categories"] = f"{TAGS1} select distinct name from sel where category in ('emotion', 'atmosphere')"
-    q["tag_prompts"] = f"""{TAGS1} select id, n as tag_no, 'cinematic instrumental music with ' || t || '|music tagged as ' || replace(category, '_', ' ') || ': ' || t
+    q["tag_prompts"] = f"""{TAGS1} select id, cast(n as bigint) as tag_no, 'cinematic instrumental music with ' || t || '|music tagged as ' || replace(category, '_', ' ') || ': ' || t
         || '|film underscore with ' || t as prompts from (select *, replace(name, '_', ' ') as t from sel)"""
-    q["taxonomy_rows"] = """select k as tag_no, case when k < 2 then 'first' else lang end as category, case when k < 2 then source else lang end as category_pl,
+    q["taxonomy_rows"] = """select cast(k as bigint) as tag_no, case when k < 2 then 'first' else lang end as category, case when k < 2 then source else lang end as category_pl,
         t || doc_id as name, t as name_pl from documents, (values (0, 'b'), (1, 'a'), (2, 'z'), (3, 'y'), (4, 'x')) v(k, t)"""
     q["profile_candidates"] = f"{TAGS2} select id, {joined('profiles')} as profiles from cands"
     q["track_semantics"] = f"{TAGS2} select id, {joined('emotion')} as emotional_direction, {joined('narrative')} as narrative_function, {joined('profiles')} as profiles, {r6('t3r')} as dialogue_safe_score, safe as dialogue_safe from sem"
@@ -603,7 +603,7 @@ def oracle_sql() -> dict[str, str]:
         from tags t cross join (select unnest(range(64)) as bucket) b left join tv on tv.n = t.n and tv.bucket = b.bucket group by t.n),
       ranked as (select e.vec_id as query_id, t.n as item_id, 1 - {cos('e.embedding', 't.v')} as dist,
         row_number() over (partition by e.vec_id order by round(1 - {cos('e.embedding', 't.v')}, 12), t.n) as rank from embeddings e, tvec t)
-      select query_id, item_id, {r6('dist')} as distance, rank from ranked where rank <= 20"""
+      select query_id, cast(item_id as bigint) as item_id, {r6('dist')} as distance, rank from ranked where rank <= 20"""
     # numbers
     q["audio_hints"] = f"""with x as (select event_id, value / 100 as rms, value / 500 as zcr, value * 50 as centroid,
         case when event_type <> 'error' then cast(event_id % 200 as int) end as bpm from events)
@@ -626,7 +626,7 @@ def oracle_sql() -> dict[str, str]:
     # texts
     q["whitespace"] = f"select doc_id, {whitespace_sql('text')} as text from documents"
     q["episode_number"] = r"""with s as (select page_id, regexp_replace(list_extract(string_split(url, '/'), -1), '^(.+)\.[^.]+$', '\1') as stem from pages)
-      select page_id, case when regexp_matches(stem, '[0-9]') then cast(regexp_extract(stem, '([0-9]{1,6})', 1) as int) end as episode_nr from s"""
+      select page_id, case when regexp_matches(stem, '[0-9]') then cast(regexp_extract(stem, '([0-9]{1,6})', 1) as bigint) end as episode_nr from s"""
     q["scene_split"] = f"""with n as (select doc_id, {whitespace_sql('text')} as text from documents),
         p as (select doc_id, string_split(regexp_replace(text, '(?mi){HEADER}', chr(64976) || '\\0', 'g'), chr(64976))[2:] as parts from n),
         x as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as k from p),
@@ -674,7 +674,7 @@ def oracle_sql() -> dict[str, str]:
         case when n_chars % 5 = 0 then 'tags_summary_en is longer than 120' end,
         case when lang = 'en' then 'weight_profile is empty' end,
         case when n_chars % 3 = 0 then 'overlapping tags: calm' end], lambda x: x is not null), '|') as issues from documents"""
-    q["assemble_records"] = """select doc_id + 1 as scene_nr, k as theme_nr, 'why' as segmentation_reason, 'T' || doc_id || '-' || k as theme_title_en,
+    q["assemble_records"] = """select doc_id + 1 as scene_nr, cast(k as bigint) as theme_nr, 'why' as segmentation_reason, 'T' || doc_id || '-' || k as theme_title_en,
         'sum ' || doc_id as tags_summary_en from documents, (select unnest([1, 2]) as k)"""
     category_of = {
         "emotional_direction": ("emotion", "emotion"), "narrative_function": ("narrative", "narrative"),
@@ -693,7 +693,7 @@ def oracle_sql() -> dict[str, str]:
     q["vocab_check"] = f"with {SCENES} " + " union all ".join(rows)
     prompts_text = " || chr(10) || ".join(f"'{p}: {p} ' || id" for p in PROMPTS)
     q["field_lines"] = f"""with {SCENES}
-      select id, 1 as field_no, 'episode_nr' as field, cast(episode_nr as varchar) as value from fx_s union all
+      select id, cast(1 as bigint) as field_no, 'episode_nr' as field, cast(episode_nr as varchar) as value from fx_s union all
       select id, 2, 'scene_nr', cast(scene_nr as varchar) from fx_s union all select id, 3, 'theme_nr', cast(theme_nr as varchar) from fx_s union all
       select id, 4, 'segmentation_reason', segmentation_reason from fx_s union all select id, 5, 'theme_title_pl', theme_title_pl from fx_s union all
       select id, 6, 'theme_title_en', theme_title_en from fx_s union all select id, 7, 'description_en', description_en from fx_s union all
