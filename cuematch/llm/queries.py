@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuematch.llm import mixing, pieces, sharding
+from cuematch.llm import mixing, ngram_join, pieces, sharding
 from cuematch.session import ship
 
 
@@ -23,6 +23,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("cls")
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -48,6 +52,7 @@ def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": jaccard_join,
     "op4_mix_sources": mix_sources,
     "op6_sentence_pieces": sentence_pieces,
     "op9_feistel_shards": feistel_shards,
