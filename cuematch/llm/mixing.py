@@ -7,9 +7,9 @@ fixed order: the open unit meets the next one, mass moves from one to the other,
 in a direction drawn so that the expectation stays, until one of the two is
 empty or full. Then that unit is decided and the other one stays open. Each
 group passes its open unit on, groups of open units are folded in the same way,
-and so on up a tree until one is left per source, which is drawn. Words move
-from unit to unit and never get lost, so a source misses its target by less
-than one unit.
+and so on up a tree until one is left per source, which is rounded to the nearer
+side. Words move from unit to unit and never get lost, so a source misses its
+target by at most half a unit.
 
 Groups are hash buckets of about ``fan_in`` units, so a source of any size is
 just more groups. Rows that are equal in all columns are one unit with a count.
@@ -147,8 +147,8 @@ def mix(
             "source", F.col("fold.size").alias("size"), last["unit"].alias("unit"), F.col("fold.key").alias("key"),
             F.col("fold.mass").alias("mass"), F.floor(F.col("group") / F.lit(fan_in)).alias("group"),
         )
-    drawn = (_draw(F.col("key"), F.lit(0).cast("long"), seed + 2 + levels) * F.col("size") < F.col("mass")).cast("int")
-    decided.append(open_.select(F.struct("key", "size", "mass", "unit").alias("u"), drawn.alias("extra")))
+    nearer = (F.col("size") < F.col("mass") * 2).cast("int")
+    decided.append(open_.select(F.struct("key", "size", "mass", "unit").alias("u"), nearer.alias("extra")))
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
