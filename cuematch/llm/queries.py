@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuematch.llm import mixing, ngram_join, pieces, sharding
+from cuematch.llm import language_model, mixing, ngram_join, pieces, sharding
 from cuematch.session import ship
 
 
@@ -51,11 +51,18 @@ def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_model.score_texts(docs, ~language_model.held_out(F.col("doc_id")))
+    return out.withColumn("held_out", language_model.held_out(F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": jaccard_join,
     "op4_mix_sources": mix_sources,
     "op6_sentence_pieces": sentence_pieces,
     "op9_feistel_shards": feistel_shards,
+    "op10_gru_scores": gru_scores,
 }
 
 SQL: dict[str, str] = {}
