@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuematch.llm import language_model, mixing, ngram_join, pieces, sharding
+from cuematch.llm import language_model, mixing, ngram_join, pieces, repeats, sharding
 from cuematch.session import ship
 
 
@@ -44,6 +44,14 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.feistel_shards(_table(spark, sf_dir, "documents"))
     return rows.select(
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": jaccard_join,
     "op4_mix_sources": mix_sources,
     "op6_sentence_pieces": sentence_pieces,
+    "op8_repeated_bytes": repeated_bytes,
     "op9_feistel_shards": feistel_shards,
     "op10_gru_scores": gru_scores,
 }
