@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuematch.llm import language_model, mixing, ngram_join, pieces, repeats, sharding
+from cuematch.llm import language_model, mixing, ngram_join, pieces, quality, repeats, sharding
 from cuematch.session import ship
 
 
@@ -44,6 +44,11 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.classify(docs, quality.trusted_ids(labels)).drop("row")
+
+
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.without_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": jaccard_join,
     "op4_mix_sources": mix_sources,
     "op6_sentence_pieces": sentence_pieces,
+    "op7_kneser_ney_quality": kneser_ney_quality,
     "op8_repeated_bytes": repeated_bytes,
     "op9_feistel_shards": feistel_shards,
     "op10_gru_scores": gru_scores,
