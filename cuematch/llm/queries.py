@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuematch.llm import language_model, mixing, ngram_join, pieces, quality, repeats, sharding
+from cuematch.llm import language_model, mixing, ngram_join, pieces, quality, repeats, secret_scan, sharding
 from cuematch.session import ship
 
 
@@ -44,6 +44,11 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "number", "begin", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 def kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     return quality.classify(docs, quality.trusted_ids(labels)).drop("row")
@@ -73,6 +78,7 @@ def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": jaccard_join,
     "op4_mix_sources": mix_sources,
+    "op5_secret_findings": secret_findings,
     "op6_sentence_pieces": sentence_pieces,
     "op7_kneser_ney_quality": kneser_ney_quality,
     "op8_repeated_bytes": repeated_bytes,
