@@ -22,7 +22,7 @@ those links are known: only pairs of different components are compared, as
 sketches, in place. So copies by the thousand do not become pairs, and no pair
 of different components is left out.
 
-Check. Pairs whose sketches (one bit per shingle) differ too much are dropped;
+Check. Pairs whose sketches (four to eight bits per shingle) differ too much are dropped;
 the rest are verified on the whole texts. Documents with equal sets are one node
 throughout. Sets and shingles are compared as 64-bit hashes.
 
@@ -82,7 +82,7 @@ def _bands(size: np.ndarray) -> np.ndarray:
 
 
 def _sketches(codes: np.ndarray, text: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-    bits = np.maximum(64, 2 << _bands(size)).astype(np.int64)
+    bits = np.maximum(64, 8 << _bands(size)).astype(np.int64)
     start = np.cumsum(bits) - bits
     at = start[text] + (codes & (bits[text] - 1).astype(np.uint64)).astype(np.int64)
     parity = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
@@ -287,11 +287,19 @@ def _cross(t: Fraction):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)]
+        sent: set[tuple[int, int]] = set()  # a pair meets in many runs
 
         def done(rows: list, last: int) -> Iterator[pa.RecordBatch]:
             for part in np.split(np.arange(last), np.flatnonzero(rows[0][1:last] != rows[0][: last - 1]) + 1) if last else []:
+                new = []
                 for a, b in pairs([x[part] for x in rows]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    new += [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if p not in sent]
+                if new:
+                    if len(sent) > 500_000:
+                        sent.clear()
+                    sent.update(new)
+                    a, b = zip(*new, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
