@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuematch.llm import language_model, mixing, ngram_join, pieces, quality, repeats, secret_scan, sharding
+from cuematch.llm import language_model, mixing, ngram_join, pieces, prefix_forest, quality, repeats, secret_scan, sharding, vector_dedup
 from cuematch.session import ship
 
 
@@ -23,6 +23,14 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def pstable_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def prefix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("cls")
 
@@ -76,7 +84,9 @@ def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pstable_duplicates": pstable_duplicates,
     "op2_jaccard_join": jaccard_join,
+    "op3_prefix_neighbours": prefix_neighbours,
     "op4_mix_sources": mix_sources,
     "op5_secret_findings": secret_findings,
     "op6_sentence_pieces": sentence_pieces,
