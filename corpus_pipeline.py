@@ -11,7 +11,10 @@ from cuematch.plans.storage import materialize
 from cuematch.session import ship
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("mix_sources", stages.mix_sources),
+    ("quality_classifier", stages.keep_good),
+    ("jaccard_join", stages.keep_one_of_each_group),
+    ("secret_scan", stages.redact_secrets),
+    ("source_mix", stages.mix_sources),
     ("sentence_pieces", stages.sentence_pieces),
 ]
 
