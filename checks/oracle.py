@@ -388,7 +388,7 @@ def token_rows(source: str, key: str, text: str, dim: int) -> str:
     """(key, bucket, cnt) word counts of the hashing encoder."""
     return f"""
 select {key}, ('0x' || substr(md5(w), 1, 8))::ubigint % {dim} as bucket, cast(count(*) as double) as cnt
-from (select {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) as w from {source}) group by all"""
+from (select {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) as w from {source}) group by all"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -645,7 +645,7 @@ def oracle_sql() -> dict[str, str]:
         count(*) filter (where status = 'skipped') as skipped, count(*) filter (where status = 'error') as failed,
         count(*) filter (where status <> 'skipped') as total_attempted,
         {r6("cast(count(*) filter (where status in ('inserted', 'updated')) as double) / greatest(1, count(*) filter (where status <> 'skipped'))")} as success_rate,
-        (select string_agg(filepath || ': IOError: bad file', '|' order by filepath) from (select filepath from o where status = 'error' order by filepath limit 50)) as errors from o"""
+        (select string_agg(filepath || ' :: IOError :: bad file', '|' order by filepath) from (select filepath from o where status = 'error' order by filepath limit 50)) as errors from o"""
     q["audio_names"] = """select url as path from (select page_id, url || case page_id % 4 when 0 then '/a.MP3' when 1 then '/._b.wav' when 2 then '/c.flac' else '/d.txt' end as url from pages)
       where regexp_matches(lower(url), '\\.(wav|mp3|flac|ogg|m4a)$') and not regexp_matches(url, '/\\._[^/]*$')"""
     q["upsert_tracks"] = f"""with {TRACKS},{_existing_tracks()} select coalesce(o.id, t.id) as id, coalesce(t.filename, o.filename) as filename, filepath,

@@ -146,7 +146,7 @@ def q_knn_hybrid(spark, sf):
 
 def q_knn_cells(spark, sf):
     return tidy(retrieval.nearest(
-        fx.scenes(spark, sf), fx.tracks(spark, sf), CONFIG.candidate_pool_hybrid, method="cells", n_cells=16
+        fx.scenes(spark, sf), fx.tracks(spark, sf), CONFIG.candidate_pool_hybrid, method="slices", limit_bytes=64 << 10
     ))
 
 

@@ -94,7 +94,7 @@ class MatchConfig:
     low_confidence_threshold: float = fv.LOW_FINAL
     weights: ScoringWeights = field(default_factory=ScoringWeights)
     # Scene vectors are sent to every task up to this size; beyond it the
-    # search runs as a shuffled join over cells (see operators/retrieval.py).
+    # search runs once per slice of the queries (see operators/retrieval.py).
     broadcast_limit_bytes: int = 64 << 20
 
     def __post_init__(self) -> None:

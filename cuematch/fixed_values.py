@@ -172,6 +172,10 @@ ENERGY_BOUNDS = [(0.030, "very_low"), (0.060, "low"), (0.110, "medium"), (0.180,
 RHYTHM_BOUNDS = [(0.035, "floating"), (0.070, "steady"), (0.110, "syncopated")]
 SOUND_BOUNDS = [(1600, ["intimate", "analog"]), (3200, ["atmospheric", "textured"])]
 SOUND_ABOVE = ["clean", "wide"]
+DRIVING_BPM = 120
+PEAK_RMS = 0.14
+PULSE_CROSSINGS = 0.09
+BUILD_RMS = 0.08
 PITCH_CLASSES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 AUDIO_SUFFIXES = [".wav", ".mp3", ".flac", ".ogg", ".m4a"]
 

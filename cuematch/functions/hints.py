@@ -25,16 +25,16 @@ def energy_hint(rms: Column) -> Column:
 
 
 def rhythm_hint(crossing_rate: Column, bpm: Column) -> Column:
-    return F.when(bpm >= 120, "driving").otherwise(
+    return F.when(bpm >= fv.DRIVING_BPM, "driving").otherwise(
         _below(crossing_rate, fv.RHYTHM_BOUNDS, "irregular")
     )
 
 
 def intensity_hint(rms: Column, crossing_rate: Column) -> Column:
     return (
-        F.when(rms > 0.14, "climax_peak")
-        .when(crossing_rate > 0.09, "pulsating")
-        .when(rms > 0.08, "gradual_build")
+        F.when(rms > fv.PEAK_RMS, "climax_peak")
+        .when(crossing_rate > fv.PULSE_CROSSINGS, "pulsating")
+        .when(rms > fv.BUILD_RMS, "gradual_build")
         .otherwise("static")
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -29,21 +28,31 @@ def _word_hash(word: str) -> int:
 
 
 def hashing_encoder(dim: int = fv.VECTOR_DIM) -> Encoder:
-    """Word counts hashed into ``dim`` buckets: the first 8 hex digits of MD5, modulo ``dim``."""
+    """Word counts hashed into ``dim`` buckets: the first 8 hex digits of MD5, modulo ``dim``.
+
+    Words are runs of letters and digits of any script. Each distinct word of a
+    batch is hashed once.
+    """
 
     def encode(texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for word, n in Counter(re.findall(r"[a-z0-9]+", text.lower())).items():
-                out[row, _word_hash(word) % dim] += n
-        return out
+        words = [re.findall(r"[^\W_]+", text.lower()) for text in texts]
+        bucket = {w: _word_hash(w) % dim for w in set().union(*words)}
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        columns = np.fromiter((bucket[w] for listed in words for w in listed), np.int64, len(rows))
+        return np.bincount(rows * dim + columns, minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
 
     return encode
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
+def _unit_rows(m: np.ndarray, texts: Sequence[str]) -> np.ndarray:
+    """Rows of length one; a matrix of another shape or a row without direction is an error."""
+    if m.ndim != 2 or len(m) != len(texts) or not m.shape[1]:
+        raise ValueError(f"the encoder gave shape {m.shape} for {len(texts)} texts")
     norms = np.linalg.norm(m, axis=1)
-    return m / np.where(norms > 0, norms, 1.0)[:, None]
+    bad = np.flatnonzero(~np.isfinite(norms) | (norms == 0))
+    if len(bad):
+        raise ValueError(f"the encoder gave no usable vector for {len(bad)} texts, first {texts[bad[0]][:80]!r}")
+    return m / norms[:, None]
 
 
 def embed_texts(df: DataFrame, columns: dict[str, str], encoder: Encoder | None = None) -> DataFrame:
@@ -70,7 +79,8 @@ def embed_texts(df: DataFrame, columns: dict[str, str], encoder: Encoder | None
                 continue
             out = list(batch.columns)
             for text in columns:
-                matrix = _unit_rows(np.asarray(encode(batch.column(names.index(text)).to_pylist())))
+                texts = batch.column(names.index(text)).to_pylist()
+                matrix = _unit_rows(np.asarray(encode(texts)), texts)
                 flat = pa.array(matrix.astype(np.float32).ravel())
                 offsets = pa.array(np.arange(0, flat.__len__() + 1, matrix.shape[1], dtype=np.int32))
                 out.append(pa.ListArray.from_arrays(offsets, flat))
@@ -161,14 +171,28 @@ def score_tags(
     """Cosine of each track with every tag, packed as ``tag_scores`` per track.
 
     The tag vectors are at most one row per tag of the taxonomy; their size is
-    checked before they are sent to the tasks. Tracks are not shuffled.
+    checked before they are sent to the tasks. Beyond the limit they go in slices,
+    and the slices' scores of a track are put together. Tracks are not shuffled
+    otherwise.
     """
-    from cuematch.operators.retrieval import _matrix, _unit, vector_bytes
+    from cuematch.operators.retrieval import vector_bytes
+
+    size = vector_bytes(tag_vecs, "embedding")
+    if size > limit_bytes:
+        slices = -(-2 * size // limit_bytes)
+        number = F.pmod(F.xxhash64("tag_no"), F.lit(slices))
+        parts = [_score_some(tracks, tag_vecs.filter(number == s), track_vec, track_id) for s in range(slices)]
+        joined = functools.reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.flatten(F.collect_list("tag_scores")).alias("t"))
+        return joined.select("id", F.array_sort("t").alias("tag_scores"))
+    return _score_some(tracks, tag_vecs, track_vec, track_id)
+
+
+def _score_some(tracks: DataFrame, tag_vecs: DataFrame, track_vec: str, track_id: str) -> DataFrame:
+    from cuematch.operators.retrieval import _lengths, _matrix, _unit
 
-    if vector_bytes(tag_vecs, "embedding") > limit_bytes:
-        raise ValueError("tag vectors exceed the broadcast limit")
     table = tag_vecs.select("tag_no", "category", "name", "embedding").toArrow().sort_by("tag_no")
-    matrix, _ = _matrix(table.column("embedding"))
+    column = table.column("embedding").combine_chunks()
+    matrix, _ = _matrix(column, int(_lengths(column).max()) if len(column) else 0)
     units, _ = _unit(matrix)
     info = [table.column(c).to_pylist() for c in ("tag_no", "category", "name")]
     shared = tracks.sparkSession.sparkContext.broadcast((units, info))
@@ -179,9 +203,8 @@ def score_tags(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m, _ = _matrix(batch.column(1))
-            u, _ = _unit(m)
-            sims = u @ tags.T if u.shape[1] == tags.shape[1] else np.zeros((len(u), len(tags)))
+            u, _ = _unit(_matrix(batch.column(1), tags.shape[1])[0])
+            sims = u @ tags.T
             n, k = sims.shape
             values = pa.StructArray.from_arrays(
                 [
@@ -195,7 +218,7 @@ def score_tags(
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), values)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "tag_scores"])
 
-    narrow = tracks.select(F.col(track_id).cast("long").alias("id"), F.col(track_vec).alias("vec"))
+    narrow = tracks.select(F.col(track_id).alias("id"), F.col(track_vec).alias("vec"))
     return narrow.mapInArrow(
-        run, "id long, tag_scores array<struct<tag_no:int,category:string,name:string,score:double>>"
+        run, f"id {narrow.schema['id'].dataType.simpleString()}, tag_scores array<struct<tag_no:int,category:string,name:string,score:double>>"
     )

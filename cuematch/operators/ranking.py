@@ -92,9 +92,10 @@ def _fold(style_limit: int):
     """Walk contenders sorted by episode and scene; emit the context of each scene."""
     free = max(0, style_limit - 1)
 
-    def winner(scene: dict[str, np.ndarray], uses: np.ndarray, previous) -> int:
+    def winner(scene: dict[str, np.ndarray], uses: np.ndarray, previous: int | None) -> int:
         style = fv.STYLE_STEP * np.maximum(0, uses - free)
-        same = np.where(scene["track_query_id"] == previous, fv.SAME_TRACK_PENALTY, 0.0)
+        repeated = np.zeros(len(uses), bool) if previous is None else scene["track_query_id"] == previous
+        same = np.where(repeated, fv.SAME_TRACK_PENALTY, 0.0)
         total = scene["before"] + style + same + scene["after"]
         final = np.clip(scene["weighted_score"] - total, 0.0, 1.0)
         order = np.lexsort((
@@ -104,7 +105,7 @@ def _fold(style_limit: int):
         return int(order[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        episode, previous, used = None, -1, {}
+        episode, previous, used = None, None, {}
         out: list[tuple] = []
         rest: pa.Table | None = None
 
@@ -114,7 +115,7 @@ def _fold(style_limit: int):
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(styles, pa.list_(pa.string())),
                  pa.array(uses, pa.list_(pa.int32())),
-                 pa.array([None if b < 0 else b for b in before], pa.int64())],
+                 pa.array(before, pa.int64())],
                 names=["scene_query_id", "styles", "uses", "previous_track_id"],
             )
 
@@ -136,7 +137,7 @@ def _fold(style_limit: int):
         def step(scene):
             nonlocal episode, previous, used
             if scene["episode_nr"][0] != episode:
-                episode, previous, used = scene["episode_nr"][0], -1, {}
+                episode, previous, used = scene["episode_nr"][0], None, {}
             styles = scene["style_signature"]
             uses = np.array([used.get(s, 0) for s in styles])
             scene_id = int(scene["scene_query_id"][0])

@@ -5,17 +5,18 @@ Two exact ways, same result and same tie-break (distance, then item id):
 * ``scan``: the query vectors, after a check of their size, go to every task;
   each task walks its own items once and keeps the k nearest per query, so a
   shuffle moves at most k rows per query and task. Items are never shuffled.
-* ``cells``: neither side is sent whole. Items and queries meet in a shuffled
-  equi-join on (cell, item block, query block). Cells are cut by the triangle
-  inequality on angles, so a query only visits cells that can still hold one of
-  its k nearest; large cells and much-visited cells are split into blocks.
+* ``slices``: query vectors beyond the limit are cut by a hash of the id into
+  slices that fit it, and each slice is a scan of its own. Items are read once
+  per slice and never shuffled.
 
 NULL item vectors sort last, by id. A query without a vector has no neighbours.
+An item vector of another length than the query's has cosine 0 with it.
 """
 
 from __future__ import annotations
 
-import math
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +30,37 @@ from cuematch.functions import vectors as V
 
 _SLACK = 1e-9        # wider than the error of a matrix product in double
 _QUERY_BLOCK = 256   # queries per matrix product inside a task
+_PAIR_NUMBERS = 1 << 22  # numbers of pairs whose exact distance is computed at once
 _PAIRS = "query_id long, item_id long, distance double"
 
 
 # --- inside tasks ------------------------------------------------------------
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as a matrix, and which rows are missing.
+def _lengths(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(column), 0))
 
-    Rows of another length than the first filled one become zero rows, so
-    their cosine is 0.
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column as a matrix of ``width`` numbers, and which rows are missing.
+
+    Rows of another length become zero rows, so their cosine is 0.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
-    missing = np.asarray(column.is_null())
-    sizes = np.zeros(n, dtype=np.int64)
-    if n and not missing.all():
-        sizes[~missing] = np.asarray(column.value_lengths().drop_null())
-    width = int(sizes[sizes > 0][0]) if (sizes > 0).any() else 0
-    out = np.zeros((n, width))
-    good = sizes == width
+    out = np.zeros((len(column), width))
+    good = _lengths(column) == width
     if width and good.any():
-        picked = column.filter(pa.array(good & ~missing))
-        out[good & ~missing] = np.asarray(picked.flatten(), dtype=np.float64).reshape(-1, width)
-    return out, missing
+        picked = column.filter(pa.array(good))
+        out[good] = np.asarray(picked.flatten(), dtype=np.float64).reshape(-1, width)
+    return out, np.asarray(column.is_null())
+
+
+def _by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the filled rows of each length."""
+    sizes = _lengths(column)
+    for width in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == width)
+        yield rows, _matrix(column.take(pa.array(rows)), int(width))[0]
 
 
 def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +80,22 @@ def _exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1.0 - np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
 
 
+def _few_of_each(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """The rows without those whose vector stands in k rows of smaller id."""
+    if len(rows) <= k or not vectors.shape[1]:
+        return rows
+    bits = (vectors[rows] + 0.0).view(np.uint64)
+    odd = np.random.default_rng(vectors.shape[1]).integers(1, 2**63, vectors.shape[1], dtype=np.uint64) | np.uint64(1)
+    code = ((bits ^ (bits >> np.uint64(29))) * odd).sum(axis=1)
+    order = np.lexsort((ids[rows], code))
+    sorted_code = code[order]
+    first = np.searchsorted(sorted_code, sorted_code)
+    many = np.arange(len(order)) - first >= k
+    # equal codes are taken for equal vectors only if they are
+    many[many] = (bits[order[many]] == bits[order[first[many]]]).all(axis=1)
+    return np.sort(rows[order[~many]])
+
+
 class _Nearest:
     """Running k nearest items of a block of queries."""
 
@@ -85,12 +108,9 @@ class _Nearest:
         self.dist = np.zeros(0)
 
     def add(self, item_ids: np.ndarray, vectors: np.ndarray, missing: np.ndarray) -> None:
-        if vectors.shape[1] != self.raw.shape[1]:
-            vectors = np.zeros((len(item_ids), self.raw.shape[1]))
-        found = [(self.rows, self.items, self.dist)]
-        here = np.flatnonzero(~missing)
+        here = _few_of_each(np.flatnonzero(~missing), item_ids, vectors, self.k)
         if len(here):
-            x = vectors[here]
+            x, ids = vectors[here], item_ids[here]
             ux, _ = _unit(x)
             for lo in range(0, len(self.ids), _QUERY_BLOCK):
                 hi = min(lo + _QUERY_BLOCK, len(self.ids))
@@ -100,18 +120,33 @@ class _Nearest:
                     at = sims.shape[1] - self.k
                     floor = np.maximum(floor, np.partition(sims, at, axis=1)[:, at])
                 q, j = np.nonzero(sims >= (floor - _SLACK)[:, None])
-                q += lo
-                found.append((q, item_ids[here[j]], _exact_distance(self.raw[q], x[j])))
+                self._take(q + lo, ids, x, j)
         gone = item_ids[missing]
         if len(gone):
             # Only the k smallest ids without a vector can ever be wanted.
             gone = np.sort(gone)[: self.k]
             q = np.repeat(np.arange(len(self.ids)), len(gone))
-            found.append((q, np.tile(gone, len(self.ids)), np.full(len(q), np.inf)))
-        self.rows, self.items, self.dist = (np.concatenate(parts) for parts in zip(*found))
+            self._append(q, np.tile(gone, len(self.ids)), np.full(len(q), np.inf))
         if len(self.rows) > 4 * self.k * len(self.ids):
             self._trim()
 
+    def _take(self, q: np.ndarray, ids: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
+        """Exact distances of the pairs, a bounded number at a time, and the k best of each query."""
+        part = max(1, _PAIR_NUMBERS // max(1, x.shape[1]))
+        dist = np.concatenate(
+            [_exact_distance(self.raw[q[i : i + part]], x[j[i : i + part]]) for i in range(0, len(q), part)] or [np.zeros(0)]
+        )
+        order = np.lexsort((ids[j], dist, q))
+        rows = q[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = order[place < self.k]
+        self._append(q[keep], ids[j[keep]], dist[keep])
+
+    def _append(self, rows: np.ndarray, items: np.ndarray, dist: np.ndarray) -> None:
+        self.rows = np.concatenate((self.rows, rows))
+        self.items = np.concatenate((self.items, items))
+        self.dist = np.concatenate((self.dist, dist))
+
     def _trim(self) -> None:
         order = np.lexsort((self.items, self.dist, self.rows))
         rows = self.rows[order]
@@ -146,33 +181,21 @@ def _order():
     return F.col("distance").asc_nulls_last(), F.col("item_id").asc()
 
 
-def _collect_vectors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _collect_lists(df: DataFrame) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """(ids, matrix) per length, per vector column, without the rows that lack the vector."""
     table = df.toArrow()
-    ids = np.asarray(table.column("id"), dtype=np.int64)
-    matrix, _ = _matrix(table.column("vec"))
-    return ids, matrix
+    ids = np.asarray(table.column(0), dtype=np.int64)
+    columns = [table.column(no).combine_chunks() for no in range(1, table.num_columns)]
+    return [[(ids[rows], matrix) for rows, matrix in _by_width(column)] for column in columns]
 
 
-def _collect_lists(df: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) per vector column, without the rows that lack the vector."""
-    table = df.toArrow()
-    ids = np.asarray(table.column(0), dtype=np.int64)
-    out = []
-    for no in range(1, table.num_columns):
-        sizes = pc.fill_null(pc.list_value_length(table.column(no)), 0)
-        filled = np.asarray(sizes) > 0
-        matrix, _ = _matrix(table.column(no).filter(pa.array(filled)))
-        out.append((ids[filled], matrix))
-    return out
-
-
-def vector_bytes(df: DataFrame, vec_col: str = "vec") -> int:
-    """Size of the vectors as doubles, found by one narrow aggregate."""
-    row = df.agg(F.sum(F.greatest(F.size(vec_col), F.lit(0))).alias("n")).first()
+def vector_bytes(df: DataFrame, *vec_cols: str) -> int:
+    """Size of the vectors as doubles and of an id per row, found by one narrow aggregate."""
+    numbers = sum((F.greatest(F.size(c), F.lit(0)) for c in vec_cols or ("vec",)), F.lit(1))
+    row = df.agg(F.sum(numbers).alias("n")).first()
     return int(row["n"] or 0) * 8
 
 
-_MAX_CELLS = 2048
 _MERGE_WIDTH = 64  # tasks whose results are merged first
 
 
@@ -185,26 +208,26 @@ def _scan_lists(queries: DataFrame, ks: list[int], items: DataFrame) -> DataFram
     distance) with at most k rows per list, query and group of tasks.
     """
     spark: SparkSession = items.sparkSession
+    some = functools.reduce(operator.or_, [V.is_filled(F.col(c)) for c in queries.columns[1:]])
     shared = spark.sparkContext.broadcast(
-        [(*side, k) for side, k in zip(_collect_lists(queries), ks)]
+        [(no, *side, k) for no, (sides, k) in enumerate(zip(_collect_lists(queries.filter(some)), ks)) for side in sides]
     )
     width = _MERGE_WIDTH
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [_Nearest(ids, vectors, k) if len(ids) else None for ids, vectors, k in shared.value]
+        best = [(no, _Nearest(ids, vectors, k)) for no, ids, vectors, k in shared.value]
         seen = False
         for batch in batches:
             if not batch.num_rows:
                 continue
             seen = True
             item_ids = np.asarray(batch.column(0), dtype=np.int64)
-            for no, nearest_items in enumerate(best):
-                if nearest_items is not None:
-                    matrix, missing = _matrix(batch.column(no + 1))
-                    nearest_items.add(item_ids, matrix, missing)
+            for no, nearest_items in best:
+                matrix, missing = _matrix(batch.column(no + 1), nearest_items.raw.shape[1])
+                nearest_items.add(item_ids, matrix, missing)
         group = TaskContext.get().partitionId() // width
-        for no, nearest_items in enumerate(best):
-            if seen and nearest_items is not None:
+        for no, nearest_items in best:
+            if seen:
                 out = nearest_items.result()
                 n = out.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -229,139 +252,12 @@ def _scan(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return _top_k(_scan_lists(queries, [k], items).drop("list_no"), k)
 
 
-def _kind(df: DataFrame) -> str:
-    return df.schema["vec"].dataType.simpleString()
-
-
-def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
-
-
-def _cells(
-    queries: DataFrame, items: DataFrame, k: int, n_cells: int | None, block_rows: int
-) -> DataFrame:
-    spark = items.sparkSession
-    if n_cells is None:
-        # More items allow finer cells; the pivots stay below a fixed number.
-        n_cells = int(min(_MAX_CELLS, max(16, math.sqrt(items.count()))))
-    # Pivots: a fixed number of items, spread by a hash of the id. Rows without
-    # direction cannot serve; without any pivot one axis does, as all items then
-    # lie in the cell of those without direction.
-    filled = items.filter(V.is_filled(F.col("vec")))
-    _, pivots = _collect_vectors(filled.orderBy(F.xxhash64("id"), "id").limit(n_cells))
-    pivots, norms = _unit(pivots)
-    pivots = pivots[norms > 0]
-    if not len(pivots):
-        pivots = np.eye(1, max(1, pivots.shape[1]))
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def place(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix, missing = _matrix(batch.column(1))
-            units, norms = _unit(matrix)
-            flat = missing | (norms == 0)
-            angle = (
-                _angles(units, shared.value)
-                if units.shape[1] == shared.value.shape[1]
-                else np.zeros((len(units), len(shared.value)))
-            )
-            cell = np.where(flat, -1, angle.argmin(axis=1))
-            radius = np.where(flat, 0.0, angle.min(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(radius)],
-                names=["id", "vec", "cell", "radius"],
-            )
-
-    located = items.mapInArrow(
-        place, f"id long, vec {_kind(items)}, cell int, radius double"
-    )
-    stats = (
-        located.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("reach")).collect()
-    )  # one row per cell
-    size = {r["cell"]: int(r["n"]) for r in stats}
-    reach = {r["cell"]: float(r["reach"]) for r in stats}
-    real = np.array(sorted(c for c in size if c >= 0), dtype=np.int32)
-    counts = np.array([size[c] for c in real])
-    reaches = np.array([reach[c] for c in real])
-    shared_cells = spark.sparkContext.broadcast((real, counts, reaches, -1 in size))
-
-    def probe(batches):
-        cells, n, far, has_flat = shared_cells.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix, _ = _matrix(batch.column(1))
-            units, norms = _unit(matrix)
-            if units.shape[1] == shared.value.shape[1]:
-                angle = _angles(units, shared.value[cells])
-            else:
-                angle = np.zeros((len(units), len(cells)))
-                norms = np.zeros(len(units))
-            ceiling = angle + far          # every item of the cell is at most this far
-            order = np.argsort(ceiling, axis=1)
-            total = np.cumsum(n[order], axis=1)
-            enough = total >= k
-            bound = np.full(len(units), np.inf)
-            sure = np.flatnonzero(enough.any(axis=1))
-            if len(sure):
-                at = order[sure, enough[sure].argmax(axis=1)]
-                bound[sure] = ceiling[sure, at]
-            visit = (angle - far) <= (bound + 1e-7)[:, None]
-            visit |= (norms == 0)[:, None]  # a zero vector is equally far from everything
-            q, c = np.nonzero(visit)
-            cell = cells[c]
-            if has_flat:
-                # Items without direction sit at a right angle or last: visit when
-                # the bound does not rule them out.
-                open_rows = np.flatnonzero((bound > math.pi / 2 - 1e-7) | (norms == 0))
-                q = np.concatenate([q, open_rows])
-                cell = np.concatenate([cell, np.full(len(open_rows), -1, dtype=np.int32)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q)),
-                 pa.array(cell.astype(np.int32))],
-                names=["id", "vec", "cell"],
-            )
-
-    probes = queries.mapInArrow(probe, f"id long, vec {_kind(queries)}, cell int")
-    visits = {r["cell"]: int(r["n"]) for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-
-    # Blocks per cell, at most one row per cell: a bounded broadcast.
-    split = lambda n: max(1, math.ceil(n / block_rows))
-    per_cell = F.broadcast(
-        spark.createDataFrame(
-            [(c, split(size.get(c, 0)), split(visits.get(c, 0))) for c in sorted({*size, *visits})],
-            "cell int, item_blocks int, query_blocks int",
-        )
-    )
-
-    def keyed(df: DataFrame, mine: str, theirs: str) -> DataFrame:
-        """Rows in one block of their own side, copied to every block of the other."""
-        return (
-            df.join(per_cell, "cell")
-            .withColumn(f"{mine}_block", F.pmod(F.xxhash64("id"), F.col(f"{mine}_blocks")))
-            .withColumn(f"{theirs}_block", F.explode(F.sequence(F.lit(0), F.col(f"{theirs}_blocks") - 1)))
-            .select("id", "vec", "cell", F.col("item_block").cast("int"), F.col("query_block").cast("int"))
-        )
-
-    left = keyed(probes, "query", "item")
-    right = keyed(located.select("id", "vec", "cell"), "item", "query")
-    keys = ["cell", "item_block", "query_block"]
-
-    def meet(q: pa.Table, x: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()),
-                          "distance": pa.array([], pa.float64())})
-        if not q.num_rows or not x.num_rows:
-            return empty
-        q_matrix, _ = _matrix(q.column("vec"))
-        best = _Nearest(np.asarray(q.column("id"), dtype=np.int64), q_matrix, k)
-        x_matrix, missing = _matrix(x.column("vec"))
-        best.add(np.asarray(x.column("id"), dtype=np.int64), x_matrix, missing)
-        return pa.Table.from_batches([best.result()])
-
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, _PAIRS)
-    return _top_k(pairs, k)
+def _sliced_lists(queries: DataFrame, ks: list[int], items: DataFrame, limit_bytes: int) -> DataFrame:
+    """:func:`_scan_lists` once per slice of the queries; a slice is about half the limit."""
+    slices = max(1, -(-2 * vector_bytes(queries, *queries.columns[1:]) // max(1, limit_bytes)))
+    number = F.pmod(F.xxhash64("id"), F.lit(slices))
+    found = [_scan_lists(queries.filter(number == s), ks, items) for s in range(slices)]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def nearest(
@@ -374,12 +270,10 @@ def nearest(
     item_id: str = "id",
     limit_bytes: int = 64 << 20,
     method: str | None = None,
-    n_cells: int | None = None,
-    block_rows: int = 65536,
 ) -> DataFrame:
     """The k nearest items of every query: (query_id, item_id, distance, rank).
 
-    ``method`` forces ``"scan"`` or ``"cells"``; by default the size of the
+    ``method`` forces ``"scan"`` or ``"slices"``; by default the size of the
     query vectors decides.
     """
     if k < 1:
@@ -387,10 +281,10 @@ def nearest(
     q = _narrow(queries, query_id, query_vec).filter(V.is_filled(F.col("vec")))
     x = _narrow(items, item_id, item_vec or query_vec)
     if method is None:
-        method = "scan" if vector_bytes(q) <= limit_bytes else "cells"
+        method = "scan" if vector_bytes(q) <= limit_bytes else "slices"
     if method == "scan":
         return _scan(q, x, k)
-    return _cells(q, x, k, n_cells, block_rows)
+    return _top_k(_sliced_lists(q, [k], x, limit_bytes).drop("list_no"), k)
 
 
 def nearest_of_few(
@@ -414,25 +308,28 @@ def nearest_of_few(
     spark = queries.sparkSession
     table = few.toArrow()
     item_ids = np.asarray(table.column("id"), dtype=np.int64)
-    matrix, missing = _matrix(table.column("vec"))
-    shared = spark.sparkContext.broadcast((item_ids, matrix, missing))
+    shared = spark.sparkContext.broadcast((item_ids, table.column("vec").combine_chunks()))
 
     def walk(batches):
-        ids, vectors, gone = shared.value
+        ids, column = shared.value
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            q, _ = _matrix(batch.column(1))
-            best = _Nearest(np.asarray(batch.column(0), dtype=np.int64), q, k)
-            best.add(ids, vectors, gone)
-            done = best.result()
-            rows = best.rows
-            first = np.searchsorted(rows, np.arange(len(best.ids)))
-            rank = np.arange(len(rows)) - first[rows] + 1
-            yield pa.RecordBatch.from_arrays(
-                [*done.columns, pa.array(rank.astype(np.int32))],
-                names=["query_id", "item_id", "distance", "rank"],
-            )
+            query_ids = np.asarray(batch.column(0), dtype=np.int64)
+            for at, q in _by_width(batch.column(1)):
+                if q.shape[1] not in known:
+                    known[q.shape[1]] = _matrix(column, q.shape[1])
+                best = _Nearest(query_ids[at], q, k)
+                best.add(ids, *known[q.shape[1]])
+                done = best.result()
+                rows = best.rows
+                first = np.searchsorted(rows, np.arange(len(best.ids)))
+                rank = np.arange(len(rows)) - first[rows] + 1
+                yield pa.RecordBatch.from_arrays(
+                    [*done.columns, pa.array(rank.astype(np.int32))],
+                    names=["query_id", "item_id", "distance", "rank"],
+                )
 
     q = _narrow(queries, query_id, query_vec).filter(V.is_filled(F.col("vec")))
     return q.mapInArrow(walk, _PAIRS + ", rank int")
@@ -472,28 +369,24 @@ def candidates(scenes: DataFrame, tracks: DataFrame, config, method: str | None
     """Candidate (scene_query_id, track_query_id, place) of every scene.
 
     The nearest by hybrid vector come first, then unseen ones by ensemble
-    vector. Scenes that fit the broadcast limit are searched in one walk over
-    the tracks, with both vectors read together.
+    vector. Both vectors are read in one walk over the tracks, for all scenes or
+    for each slice of them that fits the broadcast limit.
     """
     k_hybrid, k_ensemble = config.candidate_pool_hybrid, config.candidate_pool_ensemble
     by = ["embedding_hybrid", "embedding_clap_ensemble"]
+    narrow = [F.col("id").cast("long").alias("id"), *by]
+    sides, ks = (scenes.select(*narrow), tracks.select(*narrow)), [k_hybrid, k_ensemble]
     if method is None:
-        # The hybrid vector is the widest; both lists of vectors are sent.
-        small = 2 * vector_bytes(scenes, by[0]) <= config.broadcast_limit_bytes
-        method = "scan" if small else "cells"
+        method = "scan" if vector_bytes(scenes, *by) <= config.broadcast_limit_bytes else "slices"
     if method == "scan":
-        narrow = [F.col("id").cast("long").alias("id"), *by]
-        found = _scan_lists(scenes.select(*narrow), [k_hybrid, k_ensemble], tracks.select(*narrow))
-        found = found.repartition("query_id")
-        limits = F.when(F.col("list_no") == 0, k_hybrid).otherwise(k_ensemble)
-        order = Window.partitionBy("query_id", "list_no").orderBy(*_order())
-        both = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits)
-        union = _merge_lists(both.withColumnRenamed("list_no", "source"), config.candidate_union_limit)
+        found = _scan_lists(sides[0], ks, sides[1])
     else:
-        lists = [
-            nearest(scenes, tracks, k, name, method=method) for name, k in zip(by, (k_hybrid, k_ensemble))
-        ]
-        union = union_candidates(*lists, config.candidate_union_limit)
+        found = _sliced_lists(sides[0], ks, sides[1], config.broadcast_limit_bytes)
+    found = found.repartition("query_id")
+    limits = F.when(F.col("list_no") == 0, k_hybrid).otherwise(k_ensemble)
+    order = Window.partitionBy("query_id", "list_no").orderBy(*_order())
+    both = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits)
+    union = _merge_lists(both.withColumnRenamed("list_no", "source"), config.candidate_union_limit)
     return union.select(
         F.col("query_id").alias("scene_query_id"), F.col("item_id").alias("track_query_id"), "place"
     )

@@ -159,6 +159,17 @@ def assemble_records(valid_lists: DataFrame, valid_queries: DataFrame) -> DataFr
     return joined.withColumn("id", F.xxhash64("episode_nr", "scene_nr", "theme_nr"))
 
 
+def assembly_rejects(lists: DataFrame, queries: DataFrame) -> DataFrame:
+    """What :func:`assemble_records` leaves out: (episode_nr, scene_nr, theme_nr, reason)."""
+    keys = ["episode_nr", "scene_nr", "theme_nr"]
+    good = F.coalesce((F.col("episode_nr") > 0) & (F.col("scene_nr") > 0), F.lit(False))
+    themes, asked = themes_of(lists).select(keys), queries.select(keys)
+    odd = lists.filter(~good).select("episode_nr", "scene_nr", F.lit(None).cast("int").alias("theme_nr"), F.lit("numbers must be positive").alias("reason"))
+    alone = themes.join(asked, keys, "left_anti").withColumn("reason", F.lit("theme without a valid query"))
+    lost = asked.join(themes, keys, "left_anti").withColumn("reason", F.lit("query without a theme"))
+    return odd.unionByName(alone).unionByName(lost)
+
+
 def answer_vocabulary() -> dict[str, list[str]]:
     """Allowed words per field of a scene answer."""
     words = {category: list(data["tags"]) for category, data in fv.TAXONOMY.items()}

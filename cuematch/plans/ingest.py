@@ -47,7 +47,7 @@ def ingest_report(outcomes: DataFrame, samples: int = 50) -> DataFrame:
     counts = counts.withColumn("total_attempted", attempted).withColumn(
         "success_rate", (F.col("inserted") + F.col("updated")) / F.greatest(F.lit(1), attempted)
     )
-    text = F.concat(F.col("filepath"), F.lit(": "), F.coalesce("error_type", F.lit("")), F.lit(": "), F.coalesce("error", F.lit("")))
+    text = F.concat(F.col("filepath"), F.lit(" :: "), F.coalesce("error_type", F.lit("")), F.lit(" :: "), F.coalesce("error", F.lit("")))
     first = outcomes.filter(F.col("status") == "error").select("filepath", text.alias("text")).orderBy("filepath").limit(samples)
     listed = first.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("filepath", "text"))), lambda r: r["text"]).alias("errors")
@@ -68,6 +68,7 @@ def import_tracks(
     """
     from cuematch.operators import contract, embed
     from cuematch.plans.persist import upsert_tracks
+    from cuematch.plans.storage import materialize
 
     fresh = left_to_import(features, existing) if skip_existing else features
     good = fresh.filter(F.col("status") == "ok")
@@ -75,9 +76,12 @@ def import_tracks(
         "filepath", F.col("embedding").cast("array<float>").alias("embedding_audio")
     )
     ready = good.join(pooled, "filepath").withColumn("id", F.xxhash64("filepath"))
-    scored = ready.join(embed.score_tags(ready, tag_vecs), "id")
+    ready = materialize(ready, "ready")
+    scores = embed.score_tags(ready, tag_vecs, track_id="filepath").withColumnRenamed("id", "filepath")
+    scored = ready.join(scores, "filepath")
     rows = contract.track_contracts(scored.drop("status", "error_type", "error"))
-    content = upsert_tracks(existing, embed.track_vectors(rows, encoder))
+    # Encoded once; both results read the table.
+    content = materialize(upsert_tracks(existing, embed.track_vectors(rows, encoder)), "tracks")
     done = content.filter(F.col("merge_action") != "kept").select(
         "filepath", F.col("merge_action").alias("status"),
         F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error"),

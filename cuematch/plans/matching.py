@@ -19,11 +19,25 @@ _PAIR_BYTES = 32  # a candidate pair in memory
 class Sizes:
     """What a check of the sizes allows; see :func:`check_sizes`."""
 
-    method: str          # how to search: "scan" or "cells"
+    method: str          # how to search: "scan" or "slices"
     send_scenes: bool    # scenes may be sent to the pairs
     pairs: str           # "send", "spread" or "shuffle", see scoring.score_pairs
 
 
+def _row_bytes(df: DataFrame):
+    """Size of a row in memory: numbers and texts, nested ones as JSON, 16 for each column."""
+    total = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind == "array" and f.dataType.elementType.typeName() in ("float", "double", "integer", "long"):
+            total = total + F.greatest(F.size(c), F.lit(0)) * 8
+        elif kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "struct", "map"):
+            total = total + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+    return total
+
+
 def check_sizes(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> Sizes:
     """Decide from one narrow aggregate what may be sent whole.
 
@@ -32,18 +46,18 @@ def check_sizes(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> Si
     """
     row = scenes.agg(
         F.count("*").alias("n"),
-        F.sum(F.greatest(F.size("embedding_hybrid"), F.lit(0))).alias("numbers"),
+        F.sum(F.greatest(F.size("embedding_hybrid"), F.lit(0)) + F.greatest(F.size("embedding_clap_ensemble"), F.lit(0)) + 1).alias("numbers"),
+        F.sum(_row_bytes(scenes)).alias("bytes"),
     ).first()
     limit = config.broadcast_limit_bytes
     pairs = row["n"] * config.candidate_union_limit
-    numbers = row["numbers"] or 0
     if pairs * _PAIR_BYTES > limit:
         route = "shuffle"
     else:
         route = "send" if tracks.count() > pairs else "spread"
     return Sizes(
-        method="scan" if 2 * numbers * 8 <= limit else "cells",  # two vectors as doubles
-        send_scenes=4 * numbers * 4 <= limit,                    # four vectors as floats
+        method="scan" if (row["numbers"] or 0) * 8 <= limit else "slices",  # both vectors as doubles, and ids
+        send_scenes=(row["bytes"] or 0) <= limit,
         pairs=route,
     )
 

@@ -9,25 +9,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuematch.plans import storage
+
 
 def _now() -> Column:
     return F.current_timestamp().cast("timestamp_ntz")
 
 
+def last_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last in ``order``; among equals the one with the largest hash of all columns.
+
+    A missing value comes first in the order. Combined map-side.
+    """
+    by = F.struct(*[F.struct(F.col(c).isNotNull(), c) for c in order], F.xxhash64(*rows.columns))
+    kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), by).alias("_last"))
+    return kept.select("_last.*")
+
+
 def upsert(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("id", "created_at")
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("id", "created_at"),
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Content after merging ``incoming`` by key, with a ``merge_action`` column.
 
+    Of several incoming rows of one key the last counts, in ``order`` (by
+    default ``updated_at`` where there is one), see :func:`last_of_each`.
+
     Incoming rows replace all columns but ``keep``, which stay as first stored.
     ``merge_action`` is ``inserted``, ``updated`` or ``kept``. ``updated_at``
-    is set on inserted and updated rows when the table has it. Keys must be
-    unique on each side. One full outer join: a single shuffle by key.
+    is set on inserted and updated rows when the table has it. Stored keys must
+    be unique. One full outer join: a single shuffle by key.
     """
     columns = list(existing.columns)
+    if order is None:
+        order = [c for c in ("updated_at",) if c in incoming.columns]
+    incoming = last_of_each(incoming, keys, order)
     a = existing.withColumn("_has_a", F.lit(True)).alias("a")
     b = incoming.withColumn("_has_b", F.lit(True)).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
@@ -126,8 +147,58 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def overwrite_episodes(matches: DataFrame, path: str) -> None:
-    """Replace, on storage, the episode partitions that occur in ``matches``; others stay."""
+def publish(df: DataFrame, path: str) -> str:
+    """Write content as a new version of the table at ``path`` and make it the current one.
+
+    A version is a folder of its own; the pointer file beside it is replaced
+    last, so readers see the old version or the new one, whole. Returns the
+    version's name. The content may be read from the version it replaces.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    write_snapshot(df, f"{path}/versions/{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/current-{version}")
+    fs = target.getFileSystem(conf)
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fresh, target, options)
+    return version
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of the table at ``path``."""
+    version = spark.read.text(f"{path}/current").first()["value"]
+    return spark.read.parquet(f"{path}/versions/{version}")
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> None:
+    """Delete all versions but the current one; no reader may still use them."""
+    version = spark.read.text(f"{path}/current").first()["value"]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    for status in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+        if status.getPath().getName() != version:
+            storage.delete(spark, status.getPath().toString())
+
+
+def overwrite_episodes(matches: DataFrame, path: str, episodes: Sequence[int] | None = None) -> None:
+    """Replace episode partitions on storage; others stay.
+
+    Without ``episodes`` those that occur in ``matches`` are replaced. With it,
+    exactly those are: only their rows are written, and a partition that gets no
+    rows is removed.
+    """
+    spark = matches.sparkSession
+    if episodes is not None:
+        wanted = [_positive(e) for e in episodes]
+        matches = matches.filter(F.col("episode_nr").isin(wanted))
+        filled = {r[0] for r in matches.select("episode_nr").distinct().collect()}  # at most the given ones
     (
         matches.repartition("episode_nr", F.pmod(F.xxhash64("scene_query_id"), F.lit(16)))
         .write.mode("overwrite")
@@ -135,3 +206,5 @@ def overwrite_episodes(matches: DataFrame, path: str) -> None:
         .partitionBy("episode_nr")
         .parquet(path)
     )
+    for episode in [] if episodes is None else sorted(set(wanted) - filled):
+        storage.delete(spark, f"{path}/episode_nr={episode}")

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local run, a test) is a folder made.
+    Only where the session names none and runs in this one process (a test, a
+    trial) is a folder made; on a cluster each executor would write to a disk of
+    its own, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -19,19 +21,38 @@ def work_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cuematch-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared folder."""
+    return f"{work_dir(spark)}/cuematch-{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder where Spark's file systems find it; a missing one is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written for itself; their readers are done."""
+    delete(spark, run_dir(spark))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once as Parquet and read them back.
 
     A table in the shared folder survives the loss of executors, and later
-    readers prune its columns.
+    readers prune its columns. :func:`clear` removes them.
     """
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

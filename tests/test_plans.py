@@ -1,3 +1,6 @@
+import datetime
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,6 +155,10 @@ def test_episode_partitions_on_storage(spark, tmp_path):
     persist.overwrite_episodes(make([(1, 1, 0.1), (2, 2, 0.2)]), path)
     persist.overwrite_episodes(make([(2, 3, 0.9)]), path)
     assert sorted((r["episode_nr"], r["score"]) for r in spark.read.parquet(path).collect()) == [(1, 0.1), (2, 0.9)]
+    persist.overwrite_episodes(make([(1, 4, 0.5)]).limit(0), path, episodes=[1, 7])
+    assert [(r["episode_nr"], r["score"]) for r in spark.read.parquet(path).collect()] == [(2, 0.9)]
+    persist.overwrite_episodes(make([(1, 4, 0.5), (2, 9, 0.3), (3, 3, 0.3)]), path, episodes=[1])
+    assert sorted((r["episode_nr"], r["score"]) for r in spark.read.parquet(path).collect()) == [(1, 0.5), (2, 0.9)]
     with pytest.raises(ValueError):
         persist.delete_episode(make([(1, 1, 0.1)]), 0)
     persist.write_snapshot(make([(1, 1, 0.1)]), str(tmp_path / "s"))
@@ -173,7 +180,7 @@ def test_materialize_uses_the_shared_folder(spark):
         assert folder == named.rstrip("/")
     df = storage.materialize(spark.range(5), "numbers")
     assert df.count() == 5
-    assert all(f"{folder.split(':')[-1]}/numbers-" in name for name in df.inputFiles())
+    assert all(f"{storage.run_dir(spark).split(':')[-1]}/numbers-" in name for name in df.inputFiles())
 
 
 # --- ingest ------------------------------------------------------------------
@@ -199,7 +206,7 @@ def test_import_run(spark):
     assert len(first["embedding_hybrid"]) == 32 and first["track_music_targets"]["energy_target"]
     report = ingest.ingest_report(outcomes).first()
     assert (report["inserted"], report["failed"], report["success_rate"]) == (2, 2, 0.5)
-    assert report["errors"] == ["l/c.mp3: IOError: broken", "l/d.mp3: NoSegments: no segment vectors"]
+    assert report["errors"] == ["l/c.mp3 :: IOError :: broken", "l/d.mp3 :: NoSegments :: no segment vectors"]
     again, second = ingest.import_tracks(features, segments, tag_vecs, content.drop("merge_action"), encoder)
     report = ingest.ingest_report(second).first()
     assert (report["inserted"], report["updated"], report["skipped"]) == (0, 0, 2)
@@ -231,3 +238,62 @@ def test_answer_vocabulary():
     assert "narrative_release" in allowed["narrative_function"] and "release" not in allowed["narrative_function"]
     assert "release" in allowed["intensity_shape_target"] and "release" in allowed["should_have_tags"]
     assert len(allowed["emotional_direction"]) == len(fv.TAXONOMY["emotion"]["tags"])
+
+
+def test_published_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    make = lambda rows: spark.createDataFrame(rows, "id long, filepath string, note string, updated_at timestamp_ntz")
+    persist.publish(make([(1, "a", "old", None), (2, "b", "old", None)]), path)
+    first = datetime.datetime(2024, 1, 1)
+    incoming = make([(7, "b", "later", first + datetime.timedelta(days=1)), (8, "b", "earlier", first), (9, "c", "none", None), (9, "c", "new", first)])
+    once = persist.upsert_tracks(persist.published(spark, path), incoming)
+    persist.publish(once.drop("merge_action"), path)
+    got = sorted((r["id"], r["filepath"], r["note"]) for r in persist.published(spark, path).collect())
+    assert got == [(1, "a", "old"), (2, "b", "later"), (9, "c", "new")]
+    persist.drop_old_versions(spark, path)
+    assert len(list((tmp_path / "t/versions").iterdir())) == 1
+    assert persist.published(spark, path).count() == 3
+
+
+def test_themes_without_a_query_are_rejects(spark):
+    from cuematch import schemas
+    from cuematch.operators import scenes
+
+    theme = {f.name: "x" for f in schemas.THEME.fields if f.dataType.typeName() == "string"}
+    lists = spark.createDataFrame(
+        [(1, 1, {"segmentation_reason": "r", "themes": [theme, theme]}), (0, 5, {"segmentation_reason": "r", "themes": [theme]})],
+        schemas.T.StructType([
+            schemas.T.StructField("episode_nr", schemas.T.IntegerType()), schemas.T.StructField("scene_nr", schemas.T.IntegerType()),
+            schemas.T.StructField("parsed", schemas.THEME_LIST),
+        ]),
+    )
+    queries = spark.createDataFrame([(1, 1, 1), (4, 4, 4)], "episode_nr int, scene_nr int, theme_nr int")
+    got = {tuple(r) for r in scenes.assembly_rejects(lists, queries).collect()}
+    assert got == {
+        (0, 5, None, "numbers must be positive"), (1, 1, 2, "theme without a valid query"), (4, 4, 4, "query without a theme"),
+    }
+
+
+def test_tables_of_a_run_are_cleared_and_a_cluster_needs_a_folder(spark, monkeypatch):
+    from cuematch.plans import storage
+
+    storage.materialize(spark.range(3), "kept-for-a-test").count()
+    folder = storage.run_dir(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    storage.delete(spark, f"{storage.run_dir(spark)}/not-there")
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.work_dir(Session())

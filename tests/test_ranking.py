@@ -95,8 +95,8 @@ def test_routes_agree(spark, sf):
             "scene_query_id", "track_query_id", F.round("weighted_score", 9)).collect()
         results.append(sorted(map(tuple, rows)))
     assert results[0] == results[1] == results[2] and results[0]
-    by_cells = retrieval.candidates(s, t, config, "cells").select("scene_query_id", "track_query_id").collect()
-    assert sorted(map(tuple, by_cells)) == sorted(map(tuple, pairs.collect()))
+    by_slices = retrieval.candidates(s, t, config, "slices").select("scene_query_id", "track_query_id").collect()
+    assert sorted(map(tuple, by_slices)) == sorted(map(tuple, pairs.collect()))
 
 
 def test_preview_and_unknown_scene(spark, sf):
@@ -151,7 +151,7 @@ def test_route_follows_the_sizes(spark, sf):
     assert matching.check_sizes(s.limit(n // 2), t, few).pairs == "send"
     assert matching.check_sizes(s, t, MatchConfig()).pairs == "spread"
     tight = matching.check_sizes(s, t, MatchConfig(broadcast_limit_bytes=1000))
-    assert (tight.method, tight.send_scenes, tight.pairs) == ("cells", False, "shuffle")
+    assert (tight.method, tight.send_scenes, tight.pairs) == ("slices", False, "shuffle")
 
 
 def test_tight_limit_gives_the_same_matches(spark, sf):

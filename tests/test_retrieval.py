@@ -49,24 +49,24 @@ def clustered(seed, n, dim=6, copies=False):
     return rows
 
 
-@pytest.mark.parametrize("method", ["scan", "cells"])
+@pytest.mark.parametrize("method", ["scan", "slices"])
 @pytest.mark.parametrize("k", [1, 7, 60])
 def test_exact_with_hot_copies_nulls_and_zeros(spark, method, k):
     items = clustered(1, 150, copies=True) + [(900, None), (901, [0.0] * 6), (902, None)]
     queries = clustered(2, 20) + [(500, None), (501, []), (502, [0.0] * 6), (503, [1.0] * 6)]
-    got = retrieval.nearest(frame(spark, queries), frame(spark, items), k, "v", method=method, n_cells=6, block_rows=16)
+    got = retrieval.nearest(frame(spark, queries), frame(spark, items), k, "v", method=method, limit_bytes=400)
     assert as_lists(got) == brute(queries, items, k)
 
 
-@pytest.mark.parametrize("method", ["scan", "cells"])
+@pytest.mark.parametrize("method", ["scan", "slices"])
 def test_more_wanted_than_there_are(spark, method):
     items = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (0, None)]
     queries = [(10, [1.0, 0.0])]
-    got = retrieval.nearest(frame(spark, queries), frame(spark, items), 9, "v", method=method, n_cells=2)
+    got = retrieval.nearest(frame(spark, queries), frame(spark, items), 9, "v", method=method, limit_bytes=40)
     assert as_lists(got) == {10: [1, 3, 0, 2]}
 
 
-@pytest.mark.parametrize("method", ["scan", "cells"])
+@pytest.mark.parametrize("method", ["scan", "slices"])
 def test_items_without_direction(spark, method):
     items = [(5, [0.0, 0.0]), (6, None), (2, [0.0, 0.0]), (1, None)]
     got = retrieval.nearest(frame(spark, [(10, [1.0, 0.0])]), frame(spark, items), 3, "v", method=method)
@@ -77,12 +77,62 @@ def test_items_without_direction(spark, method):
 
 def test_size_decides_the_method(spark, monkeypatch):
     called = []
-    monkeypatch.setattr(retrieval, "_scan", lambda *a: called.append("scan"))
-    monkeypatch.setattr(retrieval, "_cells", lambda *a: called.append("cells"))
+
+    class Stop(Exception):
+        pass
+
+    def stop(name):
+        def run(*_):
+            called.append(name)
+            raise Stop
+
+        return run
+
+    monkeypatch.setattr(retrieval, "_scan", stop("scan"))
+    monkeypatch.setattr(retrieval, "_sliced_lists", stop("slices"))
     q = frame(spark, clustered(3, 10))
-    retrieval.nearest(q, q, 2, "v", limit_bytes=10 * 6 * 8)
-    retrieval.nearest(q, q, 2, "v", limit_bytes=10 * 6 * 8 - 1)
-    assert called == ["scan", "cells"]
+    for limit in (10 * 7 * 8, 10 * 7 * 8 - 1):
+        with pytest.raises(Stop):
+            retrieval.nearest(q, q, 2, "v", limit_bytes=limit)
+    assert called == ["scan", "slices"]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_vectors_of_unequal_length(spark, parts):
+    """Only the rows that differ from a query in length lose their direction, wherever they stand."""
+    items = [(0, [1.0]), *clustered(8, 30), (900, [2.0, 1.0]), (901, [])]
+    queries = [(1, [0.5, 0.25]), *((100 + i, v) for i, v in clustered(9, 6)), (2, [3.0])]
+    want = {}
+    for qid, v in queries:
+        same = [(i, x if x and len(x) == len(v) else [0.0] * len(v)) for i, x in items]
+        want |= brute([(qid, v)], same, 8)
+    for method in ("scan", "slices"):
+        got = retrieval.nearest(frame(spark, queries, 1), frame(spark, items, parts), 8, "v", method=method, limit_bytes=200)
+        assert as_lists(got) == want
+    assert as_lists(retrieval.nearest_of_few(frame(spark, queries, 1), frame(spark, items, parts), 8, "v", "v")) == want
+
+
+def test_many_copies_in_bounded_memory():
+    """20,000 copies of one vector of 512 numbers: the task holds k of them for each query."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    copy = rng.normal(size=512)
+    items = np.tile(copy, (20_000, 1))
+    queries = np.concatenate((np.tile(copy, (128, 1)), rng.normal(size=(128, 512))))
+    ids = rng.permutation(20_000)
+    results = []
+    for size in (20_000, 3_000):
+        best = retrieval._Nearest(np.arange(256), queries, 30)
+        tracemalloc.start()
+        for i in range(0, 20_000, size):
+            best.add(ids[i : i + size], items[i : i + size], np.zeros(len(items[i : i + size]), bool))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1 << 30
+        results.append(best.result().to_pydict())
+    assert results[0] == results[1]
+    assert sorted(set(results[0]["item_id"])) == list(range(30))
 
 
 def test_nearest_of_few(spark):
@@ -110,6 +160,6 @@ def test_union_keeps_order_and_drops_copies(spark):
 
 def test_no_cross_join_in_the_plans(spark):
     q, x = frame(spark, clustered(6, 10)), frame(spark, clustered(7, 40))
-    for method in ("scan", "cells"):
-        plan = retrieval.nearest(q, x, 3, "v", method=method, n_cells=4)._jdf.queryExecution().toString()
+    for method in ("scan", "slices"):
+        plan = retrieval.nearest(q, x, 3, "v", method=method)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,27 +45,8 @@ def test_read_tags(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(0, "b", "B", "z", "zz"), (1, "b", "B", "a", "aa"), (2, "a", "A", "m", "mm")]
 
 
-def loop_select(entries):
-    """The rule as a loop, for comparison."""
-    groups = {}
-    for e in sorted(entries):
-        groups.setdefault(e[1], []).append(e)
-    chosen = []
-    for category, rows in groups.items():
-        k, thr, margin, required = fv.CATEGORY_RULES.get(category, fv.DEFAULT_RULE)
-        rows = sorted(rows, key=lambda e: -e[3])
-        kept = []
-        for i, e in enumerate(rows[:k]):
-            after = rows[i + 1][3] if i + 1 < len(rows) else -1.0
-            if e[3] >= thr and (e[3] - after >= margin or len(kept) < required or e[3] >= thr + 0.035):
-                kept.append(e)
-        if not kept and required and rows[0][3] >= thr - 0.020:
-            kept = rows[:1]
-        chosen += kept
-    return [(e[1], e[2]) for e in sorted(chosen, key=lambda e: -e[3])]
-
-
-def test_selection_equals_a_loop(spark):
+def test_selection_properties(spark):
+    """What must and must not be kept, over many random score lists."""
     rng = random.Random(5)
     data = []
     for i in range(120):
@@ -72,9 +54,23 @@ def test_selection_equals_a_loop(spark):
         listed += [(500, "new", "one", 0.23), (501, "new", "two", 0.2)]
         rng.shuffle(listed)
         data.append((i, listed))
-    got = spark.createDataFrame(data, SCHEMA).select("id", tags.select_tags(F.col("tag_scores")).alias("s")).collect()
-    for r in got:
-        assert [(e["category"], e["name"]) for e in r["s"]] == loop_select(data[r["id"]][1])
+    alone = [(1000 * (1 + i) + j, [e for e in listed if e[1] == c]) for i, listed in data[:20] for j, c in enumerate(fv.CATEGORY_RULES)]
+    got = {r["id"]: r["s"] for r in spark.createDataFrame(data + alone, SCHEMA).select("id", tags.select_tags(F.col("tag_scores")).alias("s")).collect()}
+    for i, listed in data:
+        scores = [e["score"] for e in got[i]]
+        assert scores == sorted(scores, reverse=True)
+        for category in {e[1] for e in listed}:
+            most, threshold, _margin, required = fv.CATEGORY_RULES.get(category, fv.DEFAULT_RULE)
+            own = [e["score"] for e in got[i] if e["category"] == category]
+            best = max(e[3] for e in listed if e[1] == category)
+            assert len(own) <= most
+            assert not own or max(own) == best or min(own) >= threshold
+            assert all(x >= threshold for x in own) or (own == [best] and required and best >= threshold - fv.FALLBACK_SLACK)
+            assert own or best < threshold + fv.SURE_BONUS
+            assert own or not required or best < threshold - fv.FALLBACK_SLACK
+        if i < 20:  # a category is judged alone
+            for j, category in enumerate(fv.CATEGORY_RULES):
+                assert [e["name"] for e in got[1000 * (1 + i) + j]] == [e["name"] for e in got[i] if e["category"] == category]
 
 
 def test_selection_edges(spark):
@@ -179,3 +175,28 @@ def test_mean_pool_combines_before_the_shuffle(spark):
     segments = spark.createDataFrame([("a", [1.0, 0.0])], "filepath string, embedding array<float>")
     plan = embed.mean_pool(segments, "filepath", "embedding")._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("ObjectHashAggregate") == 2
+
+
+@pytest.mark.parametrize("text", ["напряжение в темноте", "ένταση στο σκοτάδι", "黑暗中的紧张", "napięcie rośnie"])
+def test_encoder_reads_any_script(text):
+    encode = embed.hashing_encoder(64)
+    row = encode([text])[0]
+    assert row.sum() == len(text.split()) and (encode([text.upper()])[0] == row).all()
+
+
+def test_encoder_errors(spark):
+    rows = spark.createDataFrame([(1, "words"), (2, "!!! ...")], "id long, text string")
+    with pytest.raises(Exception, match="no usable vector"):
+        embed.embed_texts(rows, {"text": "v"}).collect()
+    with pytest.raises(Exception, match="shape"):
+        embed.embed_texts(rows.limit(1), {"text": "v"}, lambda texts: np.ones((len(texts) + 1, 4))).collect()
+
+
+def test_tag_scores_in_slices(spark):
+    vecs = embed.tag_vectors(taxonomy.with_prompts(taxonomy.default_tags(spark)), embed.hashing_encoder(8))
+    tracks = spark.createDataFrame([(1, [float(i) for i in range(8)]), (2, [1.0] * 8), (3, [1.0])], "id long, embedding_audio array<float>")
+    whole, sliced = (
+        {r["id"]: [(t["tag_no"], round(t["score"], 12)) for t in r["tag_scores"]] for r in embed.score_tags(tracks, vecs, limit_bytes=n).collect()}
+        for n in (64 << 20, 2000)
+    )
+    assert whole == sliced and len(whole[1]) == 122
