@@ -139,7 +139,7 @@ def test_nearest_of_few(spark):
     items, queries = clustered(4, 12), clustered(5, 30)
     got = retrieval.nearest_of_few(frame(spark, queries), frame(spark, items), 4, "v", "v")
     assert as_lists(got) == brute(queries, items, 4)
-    beyond = retrieval.nearest_of_few(frame(spark, queries), frame(spark, items), 4, "v", "v", limit_bytes=8)
+    beyond = retrieval.nearest_of_few(frame(spark, queries), frame(spark, items), 4, "v", "v", limit_bytes=600)
     assert as_lists(beyond) == brute(queries, items, 4)
 
 
