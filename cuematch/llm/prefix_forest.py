@@ -13,7 +13,8 @@ First walk: entries per query and prefix length. Then each query's longest
 prefix with enough entries. Second walk: the vectors in its ranges, with exact
 distances; a task keeps k per query, and the tasks' results meet in one shuffle.
 The wanted number is ``share`` of all vectors (tuned for evenly spread vectors,
-which have no near neighbours to be found early), ``least`` at the least.
+which have no near neighbours to be found early; a vector counts once per tree),
+``least`` at the least.
 
 Queries come to the driver and go out in slices of ``SLICE`` vectors, with one
 pair of walks for each slice.
@@ -156,7 +157,7 @@ def _searched(model, k: int):
 
 
 def nearest(
-    vectors: DataFrame, query: Column, k: int = 10, trees: int = 24, share: float = 0.8, least: int = 2000, seed: int = 5, slice_size: int = SLICE
+    vectors: DataFrame, query: Column, k: int = 10, trees: int = 24, share: float = 1.0, least: int = 2000, seed: int = 5, slice_size: int = SLICE
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that ``query`` (over vec_id) marks."""
     spark = vectors.sparkSession
