@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from cuematch.plans.storage import materialize
 
 _RUN = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = rf"""(?<=[=:][ ]?["']?){_RUN}{{8,}}|(?<!{_RUN})(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}"""
+CANDIDATE = rf"""(?<=[=:][ ]?["']?)(?!//){_RUN}{{8,}}|(?<!{_RUN})(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}"""
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?"
 NAMED = rf"(?i)(?:{NAMES})[A-Za-z_\-]*[\"']?\s*(?:=|:|:=|=>)\s*[\"']?$"
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|npm_|pypi-|hf_|eyJ)[A-Za-z0-9+/_\-]{12,}$"
@@ -160,7 +160,8 @@ def labelled(found: DataFrame) -> DataFrame:
     number = v.rlike(r"^[0-9+/_\-]+$")
     address = before.rlike(r"[@.]$") | after.rlike(r"^@[A-Za-z0-9]") | before.rlike(r"[/\\]$")
     plain = v.rlike(r"^[A-Za-z\-]+$") & ~before.rlike(NAMED)
-    out = found.withColumn("secret", F.when(sure, 1).when(number | address | plain, 0)).where("secret is not null")
+    path = v.rlike(r"^[A-Za-z0-9_\-]*(?:/[a-z0-9_\-]*)+$") & ~before.rlike(NAMED)
+    out = found.withColumn("secret", F.when(sure, 1).when(number | address | plain | path, 0)).where("secret is not null")
     blank = before.rlike(NAMED) & (F.pmod(F.xxhash64("value", F.lit(5)), F.lit(3)) == 0)
     return out.withColumn("before", F.when(blank, F.regexp_replace("before", rf"(?i)(?:{NAMES})", "value")).otherwise(F.col("before")))
 
