@@ -419,6 +419,10 @@ def oracle_sql() -> dict[str, str]:
     q["knn_hybrid"] = f"with {BOTH},{knn('hyb', 'e_hyb', 150)} select sid as query_id, tid as item_id, {r6('dist')} as distance, rk as rank from hyb"
     q["knn_cells"] = q["knn_hybrid"]
     q["knn_ensemble"] = f"with {BOTH},{knn('ens', 'e_ens', 60)} select sid as query_id, tid as item_id, {r6('dist')} as distance, rk as rank from ens"
+    ragged = f"case when x.vec_id % 3 = 1 then 1.0 else 1 - {cos('s.embedding', 'x.embedding')} end"
+    q["knn_ragged"] = f"""select query_id, item_id, {r6('dist')} as distance, rank from (
+      select s.vec_id as query_id, x.vec_id + {TRACK_BASE} as item_id, {ragged} as dist,
+        row_number() over (partition by s.vec_id order by {ragged}, x.vec_id) as rank from embeddings s, embeddings x) where rank <= 20"""
     q["candidate_union"] = f"with {CANDIDATES} select {IDS}, place from cand"
     # scores of the pair (scene v, track v)
     same = f"with {SAME_ROW},{SCORED} select {IDS}, "
@@ -455,6 +459,8 @@ def oracle_sql() -> dict[str, str]:
                          + rounded(["final_score", "embedding_score", "penalty_total"]) + " from alone where rank_position <= 5")
     q["episode_ranking"] = (f"{RANKED} select {PLACE}, {IDS}, rank_position, "
                             + rounded(["final_score", *COMPONENTS, *PENALTIES]) + ", style_signature, dialogue as dialogue_safe_applied from matches")
+    q["episode_ranking_hashed"] = (f"{RANKED} select {PLACE}, {IDS}, rank_position, " + rounded(["final_score", "same_track_consecutive_penalty"]) + ", style_signature from matches").replace(
+        f"vec_id + {TRACK_BASE} as id, 'cue_'", f"case when vec_id % 2 = 1 then -(vec_id + 5) else vec_id + {TRACK_BASE} end as id, 'cue_'")
     q["preview_rows"] = (f"{RANKED} select {IDS}, scene_nr, theme_nr, theme_title_en, filename as track_filename, semantic_title_en as track_semantic_title_en, rank_position, "
                          + rounded(["final_score", "embedding_score", "semantic_score", "targets_score", "tag_selection_score", "penalty_total"])
                          + ", style_signature from matches where rank_position <= 5")
@@ -622,7 +628,8 @@ def oracle_sql() -> dict[str, str]:
         y as (select o_orderkey, n, i, {start} as s from x, (select unnest(range(5)) as i) where n >= 960000 or i = 0)
       select o_orderkey, i as segment_no, {seconds('s')} as start_sec, {seconds('case when n < 960000 then n else s + 960000 end')} as end_sec from y"""
     q["pitch_class"] = f"""select vec_id as id, list_extract({lit_list(K)}, list_position(v, list_max(v))) as musical_key
-        from (select vec_id, list_slice(embedding, 1, 12) as v from embeddings)"""
+        from (select vec_id, list_transform(range(0, 12), lambda c: round(list_sum(list_transform(
+          list_filter(range(1, len(embedding) + 1), lambda i: (i - 1) % 12 = c), lambda i: cast(embedding[i] as double))), 9)) as v from embeddings)"""
     # texts
     q["whitespace"] = f"select doc_id, {whitespace_sql('text')} as text from documents"
     q["episode_number"] = r"""with s as (select page_id, regexp_replace(list_extract(string_split(url, '/'), -1), '^(.+)\.[^.]+$', '\1') as stem from pages)
@@ -652,6 +659,9 @@ def oracle_sql() -> dict[str, str]:
       {r6('coalesce(t.duration_sec, o.duration_sec)')} as duration_sec, coalesce(t.semantic_title_en, o.semantic_title_en) as semantic_title_en,
       case when t.id is null then 'kept' when o.id is null then 'inserted' else 'updated' end as merge_action
       from old o full outer join (select id, filename, filepath, duration_sec, semantic_title_en from fx_t) t using (filepath)"""
+    q["upsert_published"] = f"""with {TRACKS},{_existing_tracks()} select coalesce(o.id, t.id) as id, coalesce(t.filename, o.filename) as filename, filepath,
+      {r6('coalesce(t.duration_sec, o.duration_sec)')} as duration_sec, coalesce(t.semantic_title_en, o.semantic_title_en) as semantic_title_en, t.id is not null as stamped
+      from old o full outer join (select id, filename, filepath, duration_sec, semantic_title_en from fx_t) t using (filepath)"""
     q["upsert_scenes"] = f"""with {SCENES}, o as (select doc_id + 9000 as id, doc_id // 40 + 1 as episode_nr, (doc_id % 40) // 2 + 1 as scene_nr, doc_id % 2 + 1 as theme_nr, 'Old ' || doc_id as theme_title_en from documents)
       select coalesce(o.id, s.id) as id, {PLACE}, coalesce(s.theme_title_en, o.theme_title_en) as theme_title_en,
       case when s.id is null then 'kept' when o.id is null then 'inserted' else 'updated' end as merge_action
@@ -659,6 +669,8 @@ def oracle_sql() -> dict[str, str]:
     match_old = f"""om as (select doc_id // 40 + 1 as episode_nr, doc_id as scene_query_id, (doc_id * 7) % 500 + {TRACK_BASE} as track_query_id, cast(n_chars as double) as final_score from documents),
       nm as (select vec_id // 20 + 1 as episode_nr, vec_id as scene_query_id, (vec_id * 7) % 500 + {TRACK_BASE} as track_query_id, cast(label as double) as final_score from embeddings)"""
     q["replace_episode"] = f"""with {match_old} select * from om where episode_nr <> 3 union all select * from nm where episode_nr = 3"""
+    q["rerun_episode"] = f"""with {match_old} select * from om where episode_nr <> 2 union all select * from nm where episode_nr = 2"""
+    q["replace_empty"] = f"""with {match_old} select * from om where episode_nr not in (2, 4) union all select * from nm where episode_nr = 2"""
     q["replace_episodes"] = f"""with {match_old} select * from om where episode_nr not in (select episode_nr from nm) union all select * from nm"""
     q["merge_matches"] = f"""with {match_old} select coalesce(n.episode_nr, o.episode_nr) as episode_nr, scene_query_id, track_query_id, coalesce(n.final_score, o.final_score) as final_score,
       case when n.final_score is null then 'kept' when o.final_score is null then 'inserted' else 'updated' end as merge_action

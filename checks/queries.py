@@ -6,6 +6,7 @@ words are joined with ``|``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from cuematch.functions import arrays, hints, text
 from cuematch.functions import vectors as V
 from cuematch.operators import contract, embed, ranking, retrieval, scenes, scoring, signals, tags, validate
 from cuematch.plans import catalog, ingest, matching, persist, reports, views
-from cuematch.plans.storage import materialize, spread
+from cuematch.plans.storage import materialize, run_dir, spread
 from cuematch.session import ship
 from cuematch.sources import decode, files, taxonomy
 
@@ -150,6 +151,14 @@ def q_knn_cells(spark, sf):
     ))
 
 
+def q_knn_ragged(spark, sf):
+    """Items of unequal length: every third one lacks a quarter of its numbers."""
+    v = F.col("vec_id")
+    cut = F.when(v % 3 == 1, F.slice("embedding", 1, 48)).otherwise(F.col("embedding"))
+    items = emb(spark, sf).select((v + fx.TRACK_BASE).alias("id"), cut.alias("embedding"))
+    return tidy(retrieval.nearest(emb(spark, sf).select("id", "embedding"), items, 20, "embedding"))
+
+
 def q_knn_ensemble(spark, sf):
     return tidy(retrieval.nearest(
         fx.scenes(spark, sf), fx.tracks(spark, sf), CONFIG.candidate_pool_ensemble, "embedding_clap_ensemble"
@@ -199,6 +208,15 @@ def q_episode_ranking(spark, sf):
     ))
 
 
+def q_episode_ranking_hashed(spark, sf):
+    """The ranking with negative track ids, as hashes give them."""
+    n = F.col("id") - fx.TRACK_BASE
+    t = fx.tracks(spark, sf).withColumn("id", F.when(n % 2 == 1, -(n + 5)).otherwise(F.col("id")))
+    pairs = matching.scored_candidates(fx.scenes(spark, sf), t, CONFIG)
+    rows = ranking.rank_episodes(materialize(pairs, "scored-hashed"), CONFIG)
+    return tidy(rows.select(*PLACE, *IDS, "rank_position", "final_score", "same_track_consecutive_penalty", "style_signature"))
+
+
 def q_preview_rows(spark, sf):
     return tidy(ranking.preview_rows(ranked(spark, sf), CONFIG.preview_top_n))
 
@@ -542,9 +560,17 @@ def q_segment_ranges(spark, sf):
     return tidy(rows.select("o_orderkey", "segment_no", "r.start_sec", "r.end_sec"))
 
 
+def _folded_classes() -> Column:
+    """Twelve sums over all numbers of a vector, by position modulo twelve."""
+    kept = lambda c: F.filter("embedding", lambda _x, i: i % 12 == c)
+    return F.array(*[
+        F.round(F.aggregate(kept(c), F.lit(0.0), lambda a, x: a + x.cast("double")), 9) for c in range(12)
+    ])
+
+
 def q_pitch_class(spark, sf):
     return tidy(emb(spark, sf).select(
-        "id", arrays.argmax_label(F.slice("embedding", 1, 12), fv.PITCH_CLASSES).alias("musical_key")
+        "id", arrays.argmax_label(_folded_classes(), fv.PITCH_CLASSES).alias("musical_key")
     ))
 
 
@@ -614,6 +640,21 @@ def q_upsert_tracks(spark, sf):
     return tidy(persist.upsert_tracks(_old_tracks(spark, sf), incoming))
 
 
+def q_upsert_published(spark, sf):
+    """Two upserts through the published table; of two incoming rows of a path the later one counts."""
+    path = f"{run_dir(spark)}/published-{uuid.uuid4().hex}"
+    stamp = lambda day: F.lit(f"2024-01-0{day}").cast("timestamp_ntz")
+    persist.publish(_old_tracks(spark, sf).withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), path)
+    new = fx.tracks(spark, sf).select("id", "filename", "filepath", "duration_sec", "semantic_title_en")
+    early = new.withColumn("semantic_title_en", F.lit("early")).withColumn("updated_at", stamp(1))
+    both = new.withColumn("updated_at", stamp(2)).unionByName(early)
+    for rows in (early, both):
+        persist.publish(persist.upsert_tracks(persist.published(spark, path), rows).drop("merge_action"), path)
+    persist.drop_old_versions(spark, path)
+    out = persist.published(spark, path).withColumn("stamped", F.col("updated_at").isNotNull())
+    return tidy(out.drop("updated_at"))
+
+
 def q_upsert_scenes(spark, sf):
     n = F.col("doc_id")
     old = fx.table(spark, sf, "documents").select(
@@ -641,6 +682,20 @@ def q_replace_episode(spark, sf):
     return tidy(persist.replace_episode(*_match_tables(spark, sf), 3))
 
 
+def q_rerun_episode(spark, sf):
+    old, new = _match_tables(spark, sf)
+    return tidy(persist.rerun_episode(old, new.filter("episode_nr = 2"), 2))
+
+
+def q_replace_empty(spark, sf):
+    """On storage: episodes 2 and 4 are replaced, 4 by nothing."""
+    old, new = _match_tables(spark, sf)
+    path = f"{run_dir(spark)}/episodes-{uuid.uuid4().hex}"
+    persist.overwrite_episodes(old, path)
+    persist.overwrite_episodes(new.filter("episode_nr <> 4"), path, episodes=[2, 4])
+    return tidy(spark.read.schema(old.schema).parquet(path).select(*old.columns))
+
+
 def q_replace_episodes(spark, sf):
     return tidy(persist.replace_episodes(*_match_tables(spark, sf)))
 
