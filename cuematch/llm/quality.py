@@ -187,7 +187,7 @@ def row_hash(docs: DataFrame) -> Column:
 def classify(
     docs: DataFrame,
     trusted: DataFrame,
-    sample_bytes: int = 3_000_000,
+    sample_bytes: int = 1_000_000,
     high: float = 0.999,
     margin: float = 1.1,
     support: int = 100,
