@@ -4,7 +4,7 @@ Everything is DataFrame and SQL functions and Spark's own forest; no Python runs
 on the executors.
 
 Candidates are runs of credential characters with a digit (12 characters or
-more), and values behind an assignment (8 or more). The text between candidates
+more) or a known prefix, and values behind an assignment (8 or more). The text between candidates
 gives each one its neighbours on both sides, up to 60 characters.
 
 Features: length, shares of digits, capitals and distinct characters, switches
@@ -40,10 +40,11 @@ from pyspark.sql import functions as F
 from cuematch.plans.storage import materialize
 
 _RUN = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = rf"""(?<=[=:][ ]?["']?)(?!//){_RUN}{{8,}}|(?<!{_RUN})(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}"""
+_KINDS = r"AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|npm_|pypi-|hf_|eyJ"
+CANDIDATE = rf"""(?<=[=:][ ]?["']?)(?!//){_RUN}{{8,}}|(?<!{_RUN})(?:(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}|(?:{_KINDS}){_RUN}{{12,}})"""
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?"
 NAMED = rf"(?i)(?:{NAMES})[A-Za-z_\-]*[\"']?\s*(?:=|:|:=|=>)\s*[\"']?$"
-PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|npm_|pypi-|hf_|eyJ)[A-Za-z0-9+/_\-]{12,}$"
+PREFIXES = rf"^(?:{_KINDS}){_RUN}{{12,}}$"
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 _N = len(_SYMBOLS) + 1
 MASK = "<secret>"
