@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuematch.llm import bwt
-from cuematch.llm.words import BYTE_CODES, mixed, powers, slices, text_bytes
+from cuematch.llm.words import BYTE_CODES, SLICE_BYTES, mixed, powers, slices, text_bytes
 from cuematch.plans.storage import materialize
 
 LENGTH = 200
@@ -114,7 +114,7 @@ def _units(data: np.ndarray, starts: np.ndarray, seeds: tuple[int, ...] = (0,)):
 def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Rows, bytes, offsets and place within the text, for slices of texts or pieces of a long one."""
     data, offsets = text_bytes(texts)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, min(SLICE_BYTES, PIECE)):
         begin, end = int(offsets[a]), int(offsets[b])
         if end - begin <= PIECE:
             yield np.arange(a, b), data[begin:end], offsets[a : b + 1] - begin, 0
