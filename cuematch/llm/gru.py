@@ -18,7 +18,7 @@ CLASSES = 64
 SHORT = WORDS_PER_CLASS * CLASSES  # short list, the end token at 0
 TAIL = SHORT
 HIDDEN = 16
-BLOCK = 32  # steps whose outputs are computed together
+BLOCK = 24_000  # tokens whose outputs are computed together
 _NAMES = ("x", "u", "c", "cb", "w", "wb")
 
 
@@ -76,17 +76,29 @@ def _log_softmax(a: np.ndarray) -> np.ndarray:
     return a - np.log(np.exp(a).sum(1, keepdims=True))
 
 
+def _picked(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Entries ``at`` of the log softmax of each row."""
+    with np.errstate(over="ignore"):
+        total = np.exp(a).sum(1)
+    if not np.isfinite(total).all():
+        return _log_softmax(a)[np.arange(len(a)), at]
+    return a[np.arange(len(a)), at] - np.log(total)
+
+
 def log_probs(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target: of its class, and of the word within it."""
-    cls = np.minimum(target // WORDS_PER_CLASS, CLASSES)
-    out = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(h)), cls].astype(np.float64)
+    cls = np.minimum(target // WORDS_PER_CLASS, CLASSES).astype(np.int16)
     order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[k] : edges[k + 1]]
-        inner = _log_softmax(h[rows] @ p["w"][k] + p["wb"][k])
-        out[rows] += inner[np.arange(len(rows)), target[rows] - k * WORDS_PER_CLASS]
-    return out
+    edges = np.searchsorted(cls[order], np.arange(CLASSES + 2))
+    h, target = h[order], target[order]
+    out = _picked(h @ p["c"] + p["cb"], cls[order]).astype(np.float64)
+    for k in range(CLASSES):
+        s = slice(edges[k], edges[k + 1])
+        if edges[k] < edges[k + 1]:
+            out[s] += _picked(h[s] @ p["w"][k] + p["wb"][k], target[s] - k * WORDS_PER_CLASS)
+    back = np.empty(len(out))
+    back[order] = out
+    return back
 
 
 def _lanes(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -118,8 +130,9 @@ def score(p: dict, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         text[s, lane[i]] = i
         start[first[i], lane[i]] = True
     h, before = np.zeros((lanes, HIDDEN), np.float32), np.zeros(lanes, np.int64)
-    for t in range(0, steps, BLOCK):
-        size = min(BLOCK, steps - t)
+    block = max(1, BLOCK // lanes)
+    for t in range(0, steps, block):
+        size = min(block, steps - t)
         states = np.empty((size, lanes, HIDDEN), np.float32)
         for j in range(size):
             new = start[t + j]

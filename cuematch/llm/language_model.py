@@ -8,10 +8,11 @@ beyond the short list, so that the probabilities sum to one with one unseen
 word. A text's score carries the state from its first token to its last.
 
 Training. Every training text gives segments of 64 tokens: one in ``every``, at
-a phase drawn from the text's hash, and one at least. Tasks train copies of the
-parameters on their segments by truncated backpropagation (windows of 16); the
-copies are averaged by their numbers of tokens, in two steps, after each round.
-Work and traffic grow with the corpus.
+a phase drawn from the text's hash, and one at least. Texts are dealt to the
+rounds by hash. Tasks train copies of the parameters on their segments by
+truncated backpropagation (windows of 16); the copies are averaged by their
+numbers of tokens, in two steps, after each round. Work and traffic grow with the
+corpus.
 
 Counts of words beyond the short list: up to ``send`` words they go to all
 tasks as two arrays; beyond that, words of texts and counts meet in a shuffle.
@@ -40,7 +41,7 @@ from cuematch.plans.storage import materialize
 END = np.uint64(0x7E57_0000_0000_0E0D)
 SEGMENT = 64
 _SEND = 4_000_000
-_SCORE_BYTES = 6 << 20
+_SCORE_BYTES = 12 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,8 +106,8 @@ class _Model:
         return np.where(self.words[at] == tokens, self.counts[at], 0)
 
 
-def _segments(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, every: int, turn: int, turns: int):
-    """Inputs and targets (segments x steps) of the segments that this round takes from each text."""
+def _segments(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, every: int):
+    """Inputs and targets (segments x steps) of the segments taken from each text."""
     begin = np.cumsum(counts) - counts
     number = -(-counts // SEGMENT)
     text = np.repeat(np.arange(len(counts)), number)
@@ -114,7 +115,6 @@ def _segments(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, every: int
     draw = (mixed(first + counts.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
     period = np.minimum(number, every)
     take = (k - draw[text]) % period[text] == 0
-    take &= (k // np.maximum(period[text], 1) + draw[text] // 64) % turns == turn
     text, k = text[take], k[take]
     at = begin[text] + k * SEGMENT
     left = counts[text] - k * SEGMENT
@@ -127,7 +127,7 @@ def _segments(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, every: int
     return before, target
 
 
-def _trained(model, every: int, turn: int, turns: int, rate: float):
+def _trained(model, every: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         trainer = gru.Trainer(gru.unpacked(m.flat), rate)
@@ -146,7 +146,7 @@ def _trained(model, every: int, turn: int, turns: int, rate: float):
             for a, b in slices(offsets):
                 tokens, counts = _tokens(data, offsets[a : b + 1])
                 ids = m.number(tokens)
-                found = _segments(ids, counts, tokens[np.cumsum(counts) - counts], every, turn, turns)
+                found = _segments(ids, counts, tokens[np.cumsum(counts) - counts], every)
                 if len(found[1]):
                     waiting.append(found)
                     batch(trainer.lanes)
@@ -253,7 +253,8 @@ def score_texts(docs: DataFrame, train: Column, every: int = 8, rounds: int = 2,
     flat = gru.packed(gru.fresh(np.array(inside, float), max(n - sum(inside), 0)))
     for turn in range(rounds if n else 0):
         model = spark.sparkContext.broadcast(_Model(short, n, v, flat))
-        parts = learn.select("text").mapInArrow(_trained(model, every, turn, rounds, rate / (1 + turn)), "flat binary, tokens long")
+        dealt = learn.where(F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(rounds)) == turn)
+        parts = dealt.select("text").mapInArrow(_trained(model, every, rate / (1 + turn)), "flat binary, tokens long")
         flat = _average(parts, flat)
     words = numbers = None
     if v <= send:
