@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuematch.llm import language_model, mixing, ngram_join, pieces, prefix_forest, quality, repeats, secret_scan, sharding, vector_dedup
+from cuematch.llm.sql import SQL  # noqa: F401
 from cuematch.session import ship
 
 
@@ -95,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_feistel_shards": feistel_shards,
     "op10_gru_scores": gru_scores,
 }
-
-SQL: dict[str, str] = {}
