@@ -685,7 +685,9 @@ def oracle_sql() -> dict[str, str]:
     q["query_validation"] = f"""select doc_id as scene_nr, array_to_string(list_filter([
         case when n_chars % 5 = 0 then 'tags_summary_en is longer than 120' end,
         case when lang = 'en' then 'weight_profile is empty' end,
-        case when n_chars % 3 = 0 then 'overlapping tags: calm' end], lambda x: x is not null), '|') as issues from documents"""
+        case when n_chars % 3 = 0 then 'overlapping tags: calm' end,
+        case when doc_id % 7 = 3 then 'energy_target is not a text' end,
+        case when doc_id % 11 = 5 then 'sound_character_target is not a list of texts' end], lambda x: x is not null), '|') as issues from documents"""
     q["assemble_records"] = """select doc_id + 1 as scene_nr, cast(k as bigint) as theme_nr, 'why' as segmentation_reason, 'T' || doc_id || '-' || k as theme_title_en,
         'sum ' || doc_id as tags_summary_en from documents, (select unnest([1, 2]) as k)"""
     category_of = {

@@ -752,7 +752,10 @@ def q_query_validation(spark, sf):
     summary = F.when(F.col("n_chars") % 5 == 0, F.repeat(F.lit("x"), 121)).otherwise("ok")
     profile = F.when(F.col("lang") == "en", " \t").otherwise("dialogue")
     must = F.when(F.col("n_chars") % 3 == 0, F.array(F.lit("calm"))).otherwise(F.array(F.lit("wide")))
-    answers = _docs(spark, sf).select(F.col("doc_id").alias("scene_nr"), _query_json(summary, profile, must).alias("answer"))
+    answer = _query_json(summary, profile, must)
+    answer = F.when(F.col("doc_id") % 7 == 3, F.replace(answer, F.lit('"low"'), F.lit("3"))).otherwise(answer)
+    answer = F.when(F.col("doc_id") % 11 == 5, F.replace(answer, F.lit('["dense"]'), F.lit('["dense",null]'))).otherwise(answer)
+    answers = _docs(spark, sf).select(F.col("doc_id").alias("scene_nr"), answer.alias("answer"))
     return tidy(scenes.check_theme_queries(answers).select("scene_nr", "issues"))
 
 

@@ -50,10 +50,55 @@ def _null_issue(c: Column, label: str) -> Column:
     return F.when(c.isNull(), f"{label} is missing")
 
 
+def _odd_kind(value: Column, wanted: str) -> Column:
+    """Whether a JSON value has another kind; a missing or null one has none."""
+    kind = F.schema_of_variant(value)
+    fits = kind.isin("VOID", "ARRAY<VOID>", wanted) if wanted.startswith("ARRAY") else kind.isin("VOID", wanted)
+    return F.coalesce(~fits, F.lit(False))
+
+
+def _at(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+_THEME_TEXTS = ["theme_title_pl", "theme_title_en", "description_en", "theme_txt"]
+
+
+def theme_list_kinds(raw: Column) -> Column:
+    """Issues of the kinds of values in a theme list, ``raw`` being a variant: a text must be a JSON string."""
+    inner = F.flatten(F.transform(
+        F.try_variant_get(raw, "$.themes", "array<variant>"),
+        lambda t, i: F.array_compact(F.array(*[
+            F.when(_odd_kind(_at(t, f), "STRING"), F.concat(F.lit("themes["), i.cast("string"), F.lit(f"].{f} is not a text")))
+            for f in _THEME_TEXTS
+        ])),
+    ))
+    reason = F.when(_odd_kind(_at(raw, "segmentation_reason"), "STRING"), "segmentation_reason is not a text")
+    return F.concat(F.coalesce(inner, strings()), F.array_compact(F.array(reason)))
+
+
+def theme_query_kinds(raw: Column, answer: Column) -> Column:
+    """Issues of the kinds of values in a theme query: texts, and lists of texts without a null."""
+    texts, lists = ["tags_summary_en"], []
+    for group, schema in (
+        ("scene_music_semantics", schemas.SCENE_SEMANTICS), ("scene_music_targets", schemas.TARGETS),
+        ("scene_tag_selection", schemas.SCENE_TAG_SELECTION), ("clap_prompt_ensemble", schemas.PROMPT_ENSEMBLE),
+    ):
+        for f in schema.fields:
+            kind = f.dataType.typeName()
+            if kind in ("string", "array"):
+                (texts if kind == "string" else lists).append(f"{group}.{f.name}")
+    issues = [F.when(_odd_kind(_at(raw, p), "STRING"), f"{p.split('.')[-1]} is not a text") for p in texts]
+    for p in lists:
+        group, name = p.split(".")
+        holds_null = F.coalesce(F.exists(answer[group][name], lambda x: x.isNull()), F.lit(False))
+        issues.append(F.when(_odd_kind(_at(raw, p), "ARRAY<STRING>") | holds_null, f"{name} is not a list of texts"))
+    return F.array_compact(F.array(*issues))
+
+
 def theme_list_issues(answer: Column) -> Column:
     """Issues of a parsed theme list."""
     themes = answer["themes"]
-    fields = ["theme_title_pl", "theme_title_en", "description_en", "theme_txt"]
     inner = F.flatten(
         F.transform(
             themes,
@@ -64,7 +109,7 @@ def theme_list_issues(answer: Column) -> Column:
                             F.coalesce(strip(t[f]), F.lit("")) == "",
                             F.concat(F.lit("themes["), i.cast("string"), F.lit(f"].{f} is empty")),
                         )
-                        for f in fields
+                        for f in _THEME_TEXTS
                     ]
                 )
             ),
@@ -105,13 +150,15 @@ def theme_query_issues(answer: Column) -> Column:
 def check_theme_lists(answers: DataFrame, json_col: str = "answer") -> DataFrame:
     """Add ``parsed`` and ``issues`` to stored theme lists."""
     parsed = answers.withColumn("parsed", F.from_json(json_col, schemas.THEME_LIST))
-    return parsed.withColumn("issues", theme_list_issues(F.col("parsed")))
+    kinds = theme_list_kinds(F.try_parse_json(json_col))
+    return parsed.withColumn("issues", F.concat(theme_list_issues(F.col("parsed")), kinds))
 
 
 def check_theme_queries(answers: DataFrame, json_col: str = "answer") -> DataFrame:
     """Add ``parsed`` and ``issues`` to stored theme queries."""
     parsed = answers.withColumn("parsed", F.from_json(json_col, schemas.THEME_QUERY))
-    return parsed.withColumn("issues", theme_query_issues(F.col("parsed")))
+    kinds = theme_query_kinds(F.try_parse_json(json_col), F.col("parsed"))
+    return parsed.withColumn("issues", F.concat(theme_query_issues(F.col("parsed")), kinds))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -297,3 +297,17 @@ def test_tables_of_a_run_are_cleared_and_a_cluster_needs_a_folder(spark, monkeyp
 
     with pytest.raises(ValueError, match="checkpoint"):
         storage.work_dir(Session())
+
+
+def test_kinds_of_stored_answers(spark):
+    from cuematch.operators import scenes
+
+    rows = [
+        '{"themes":[{"theme_title_pl":1,"theme_title_en":"a","description_en":["x"],"theme_txt":"t"}],"segmentation_reason":true}',
+        '{"themes":[{"theme_title_pl":"1","theme_title_en":"a","description_en":"d","theme_txt":"t"}],"segmentation_reason":"r"}',
+        "no json",
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, answer string")
+    got = {r["id"]: set(r["issues"]) for r in scenes.check_theme_lists(df).collect()}
+    assert {"themes[0].theme_title_pl is not a text", "themes[0].description_en is not a text", "segmentation_reason is not a text"} <= got[0]
+    assert got[1] == set() and got[2]
