@@ -690,6 +690,10 @@ def oracle_sql() -> dict[str, str]:
         case when doc_id % 11 = 5 then 'sound_character_target is not a list of texts' end], lambda x: x is not null), '|') as issues from documents"""
     q["assemble_records"] = """select doc_id + 1 as scene_nr, cast(k as bigint) as theme_nr, 'why' as segmentation_reason, 'T' || doc_id || '-' || k as theme_title_en,
         'sum ' || doc_id as tags_summary_en from documents, (select unnest([1, 2]) as k)"""
+    q["assembly_rejects"] = """with k as (select doc_id, doc_id % 6 as m, doc_id % 5 = 2 and k = 2 as no_query, k from documents, (select unnest([1, 2]) as k))
+      select -(doc_id + 1) as scene_nr, cast(null as bigint) as theme_nr, 'numbers must be positive' as reason from documents where doc_id % 6 = 5
+      union all select doc_id + 1, cast(k as bigint), 'theme without a valid query' from k where m < 4 and no_query
+      union all select doc_id + 1, cast(k as bigint), 'query without a theme' from k where m >= 4 and not no_query"""
     category_of = {
         "emotional_direction": ("emotion", "emotion"), "narrative_function": ("narrative", "narrative"),
         "weight_profile": ("[profile]", "scene"), "energy_target": ("[energy]", "energy"), "tempo_target": ("[tempo]", "tempo"),

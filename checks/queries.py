@@ -759,7 +759,8 @@ def q_query_validation(spark, sf):
     return tidy(scenes.check_theme_queries(answers).select("scene_nr", "issues"))
 
 
-def q_assemble_records(spark, sf):
+def _answers(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Checked theme lists and theme queries, two themes to a document."""
     docs = _docs(spark, sf).select(F.lit(1).alias("episode_nr"), (F.col("doc_id") + 1).cast("int").alias("scene_nr"), "doc_id")
     theme = lambda k: F.struct(
         F.lit("t").alias("theme_title_pl"),
@@ -773,7 +774,19 @@ def q_assemble_records(spark, sf):
     queries = scenes.check_theme_queries(docs.withColumn("theme_nr", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
         "answer", _query_json(F.concat(F.lit("sum "), F.col("doc_id").cast("string")), F.lit("dialogue"), wide)
     ))
-    rows = scenes.assemble_records(scenes.split_valid(lists)[0], scenes.split_valid(queries)[0])
+    return scenes.split_valid(lists)[0], scenes.split_valid(queries)[0]
+
+
+def q_assembly_rejects(spark, sf):
+    """Themes whose query is lost, queries whose list is, and lists without a number."""
+    lists, asked = _answers(spark, sf)
+    lists = lists.filter("doc_id % 6 <> 4").withColumn("scene_nr", F.expr("if(doc_id % 6 = 5, -scene_nr, scene_nr)"))
+    asked = asked.filter("not (doc_id % 5 = 2 and theme_nr = 2)")
+    return tidy(scenes.assembly_rejects(lists, asked).select("scene_nr", "theme_nr", "reason"))
+
+
+def q_assemble_records(spark, sf):
+    rows = scenes.assemble_records(*_answers(spark, sf))
     return tidy(rows.select("scene_nr", "theme_nr", "segmentation_reason", "theme_title_en", "tags_summary_en"))
 
 
