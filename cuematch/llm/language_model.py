@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuematch.llm import gru
-from cuematch.llm.words import mixed, slices, text_bytes, word_hashes
+from cuematch.llm.words import mixed, slices, text_bytes, trimmed, word_hashes
 from cuematch.plans.storage import materialize
 
 END = np.uint64(0x7E57_0000_0000_0E0D)
@@ -78,7 +78,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(word, c): every distinct token of the texts, as a hash, and its number."""
-    parts = docs.select("text").mapInArrow(_counted, "word long, c long")
+    parts = docs.select("text").mapInArrow(trimmed(_counted), "word long, c long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -175,7 +175,7 @@ def _average(parts: DataFrame, flat: np.ndarray) -> np.ndarray:
     """Weighted mean of the tasks' parameters, summed on a few executors first."""
     parts = materialize(parts, "parameters")
     groups = max(1, math.isqrt(parts.count()))
-    sums = parts.repartition(groups, F.xxhash64("flat")).mapInArrow(_summed, parts.schema)
+    sums = parts.repartition(groups, F.xxhash64("flat")).mapInArrow(trimmed(_summed), parts.schema)
     total, weight = np.zeros(len(flat)), 0
     for row in sums.toLocalIterator():
         total += np.frombuffer(row["flat"], "<f8")
@@ -228,7 +228,7 @@ def _joined_sums(docs: DataFrame, counts: DataFrame, m: _Model) -> DataFrame:
     """Per distinct row: known, base and tail, by a shuffled join of words with counts."""
     spark = docs.sparkSession
     short = F.broadcast(spark.createDataFrame([(int(x),) for x in m.short.view(np.int64)], "word long").withColumn("near", F.lit(True)))
-    words = docs.select("row", "text").mapInArrow(_words, "row long, word long, k long").dropDuplicates(["row", "word"])
+    words = docs.select("row", "text").mapInArrow(trimmed(_words), "row long, word long, k long").dropDuplicates(["row", "word"])
     c = F.coalesce("c", F.lit(0))
     joined = words.join(counts, "word", "left").join(short, "word", "left")
     far = F.col("near").isNull()
@@ -254,7 +254,7 @@ def score_texts(docs: DataFrame, train: Column, every: int = 8, rounds: int = 2,
     for turn in range(rounds if n else 0):
         model = spark.sparkContext.broadcast(_Model(short, n, v, flat))
         dealt = learn.where(F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(rounds)) == turn)
-        parts = dealt.select("text").mapInArrow(_trained(model, every, rate / (1 + turn)), "flat binary, tokens long")
+        parts = dealt.select("text").mapInArrow(trimmed(_trained(model, every, rate / (1 + turn))), "flat binary, tokens long")
         flat = _average(parts, flat)
     words = numbers = None
     if v <= send:
@@ -266,7 +266,7 @@ def score_texts(docs: DataFrame, train: Column, every: int = 8, rounds: int = 2,
     model = spark.sparkContext.broadcast(own)
     row = F.xxhash64("doc_id", "text")
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
-    out = sent.mapInArrow(_scored(model), "doc_id long, row long, n_tokens long, n_known long, base_score double, score double")
+    out = sent.mapInArrow(trimmed(_scored(model)), "doc_id long, row long, n_tokens long, n_known long, base_score double, score double")
     if words is None:
         sums = _joined_sums(docs.select(row.alias("row"), "text"), counts, own)
         out = out.join(sums, "row").withColumns({"n_known": F.col("known_"), "base_score": F.col("base_"), "score": F.col("score") + F.col("tail_")})

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuematch.llm.components import components
-from cuematch.llm.words import distinct, mixed, shingles, slices, text_bytes, word_hashes
+from cuematch.llm.words import distinct, mixed, shingles, slices, text_bytes, trimmed, word_hashes
 from cuematch.plans.storage import materialize
 
 _SINGLE = 64  # below this size every shingle is a piece
@@ -354,24 +354,24 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame
     """The pairs that hold on whole texts. Texts are read again, and only those in a pair are shuffled."""
     needed = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
     send = F.broadcast if needed.count() <= _SEND else (lambda x: x)
-    texts = docs.select("text").mapInArrow(_class_texts(k), "cls long, text string").join(send(needed), "cls", "left_semi")
+    texts = docs.select("text").mapInArrow(trimmed(_class_texts(k)), "cls long, text string").join(send(needed), "cls", "left_semi")
     texts = texts.groupBy("cls").agg(F.first("text").alias("text"))
     second = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, t), "a long, b long, shared long, `union` long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_verified(k, t)), "a long, b long, shared long, `union` long")
 
 
 def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
     """One row per document: doc_id, row (hash of all its columns), n (set size), cls (id of its set, null if empty), sketch."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     sent = docs.select(F.col("doc_id").cast("long"), row.alias("row"), "text")
-    return sent.mapInArrow(_described(k), "doc_id long, row long, n long, cls long, sketch binary")
+    return sent.mapInArrow(trimmed(_described(k)), "doc_id long, row long, n long, cls long, sketch binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
     """(node, root) over the ids of shingle sets: the components of all links between different sets."""
-    sigs = docs.select("text").mapInArrow(_signatures(k, t), "sig long, cls long, n int")
-    runs = sigs.repartition("sig").sortWithinPartitions("sig", "n", "cls").mapInArrow(_runs(t), "sig long, a long, b long, n int")
+    sigs = docs.select("text").mapInArrow(trimmed(_signatures(k, t)), "sig long, cls long, n int")
+    runs = sigs.repartition("sig").sortWithinPartitions("sig", "n", "cls").mapInArrow(trimmed(_runs(t)), "sig long, a long, b long, n int")
     runs = materialize(runs, "runs")
     sets = materialize(classes.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
 
@@ -380,7 +380,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int = 5, t: Fraction = Fractio
 
     pairs = runs.where("b is not null").select("a", "b").distinct()
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    near = materialize(near.mapInArrow(_near(t), "a long, b long"), "near")
+    near = materialize(near.mapInArrow(trimmed(_near(t)), "a long, b long"), "near")
     found = materialize(_verify(docs, near, k, t).select("a", "b"), "verified")
     roots = materialize(components(found), "roots")
 
@@ -390,7 +390,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int = 5, t: Fraction = Fractio
     open_ = long.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
     left = long.join(open_, "sig", "left_semi").join(sets.select(F.col("cls").alias("a"), "sketch"), "a")
     left = left.select("sig", "a", F.col("n").cast("long").alias("n"), "root", "sketch")
-    more = left.repartition("sig").sortWithinPartitions("sig", "n", "a").mapInArrow(_cross(t), "a long, b long")
+    more = left.repartition("sig").sortWithinPartitions("sig", "n", "a").mapInArrow(trimmed(_cross(t)), "a long, b long")
     more = materialize(more.distinct(), "cross")
     if more.isEmpty():
         return roots

@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from cuematch.llm.words import slices
+from cuematch.llm.words import slices, trimmed
 
 MARK = "▁"
-SLICE = 4 << 20
-TABLE_CHUNKS = 400_000
+SLICE = 1 << 20
+TABLE_CHUNKS = 150_000
 LONG_CHUNK = 200
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | No
     n = len(keep)
     sent = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias(f"c{n}"))
     schema = StructType([*sent.schema.fields[:n], StructField(f"c{n}", BinaryType()), StructField(f"c{n + 1}", StringType())])
-    out = sent.mapInArrow(_encoder(model, n), schema)
+    out = sent.mapInArrow(trimmed(_encoder(model, n)), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([*keep, "ids", "decoded"])])
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuematch.llm.words import mixed, slices, text_bytes, word_hashes
+from cuematch.llm.words import mixed, slices, text_bytes, trimmed, word_hashes
 from cuematch.plans.storage import materialize
 
 START, END = np.uint64(0x5747_0000_0000_0001), np.uint64(0x5747_0000_0000_0003)
@@ -90,7 +90,7 @@ def _contexts(counts: DataFrame, by: list[str], c: str, d: list[float]) -> DataF
 
 def _tables(texts: DataFrame) -> dict[str, DataFrame] | None:
     """Probabilities of seen n-grams and weights of contexts, keyed by words."""
-    tri = materialize(texts.select("text").mapInArrow(_trigrams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "trigrams")
+    tri = materialize(texts.select("text").mapInArrow(trimmed(_trigrams), "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "trigrams")
     bi = materialize(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
     uni = materialize(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
     total, words = uni.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -206,7 +206,7 @@ def classify(
     tables = _tables(rows.join(send(chosen), "doc_id", "left_semi"))
     model = docs.sparkSession.sparkContext.broadcast(KneserNey(tables)) if tables else None
     schema = "doc_id long, row long, lang string, n_tokens long, log10_prob double"
-    scored = materialize(rows.mapInArrow(_scored(model), schema), "scored")
+    scored = materialize(rows.mapInArrow(trimmed(_scored(model)), schema), "scored")
     scored = scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))).withColumn(
         "band", F.floor(F.log2("n_tokens") / 2).cast("int")
     )

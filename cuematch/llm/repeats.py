@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuematch.llm import bwt
-from cuematch.llm.words import BYTE_CODES, SLICE_BYTES, mixed, powers, slices, text_bytes
+from cuematch.llm.words import BYTE_CODES, SLICE_BYTES, mixed, powers, slices, text_bytes, trimmed
 from cuematch.plans.storage import materialize
 
 LENGTH = 200
@@ -139,7 +139,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(docs: DataFrame) -> DataFrame:
     """(uid, whole, compare, crowd) of the units that occur twice or share their anchor."""
-    parts = docs.select("text").mapInArrow(_counted, "key long, uid long, c long")
+    parts = docs.select("text").mapInArrow(trimmed(_counted), "key long, uid long, c long")
     units = parts.repartition("key").groupBy("key", "uid").agg(F.sum("c").alias("c"))
     units = units.withColumn("u", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1 or u > 1")
     return units.select("uid", (F.col("c") > 1).alias("whole"), (F.col("u") > 1).alias("compare"), (F.col("u") > CROWD).alias("crowd"))
@@ -195,7 +195,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_units(docs: DataFrame, table: DataFrame, kinds: int) -> DataFrame:
     """doc_id, text and the list of the document's units of a wanted kind, by joins. table: uid, kind, spans."""
-    listed = docs.select("row", "text").mapInArrow(_listed, "row long, first long, stop long, key long, uid long")
+    listed = docs.select("row", "text").mapInArrow(trimmed(_listed), "row long, first long, stop long, key long, uid long")
     found = listed.join(table.where(F.col("kind").bitwiseAND(kinds) > 0), "uid")
     lists = found.groupBy("row").agg(F.collect_set(F.struct("first", "stop", "key", "uid", "kind", "spans")).alias("units"))
     return docs.join(lists, "row", "left").select("doc_id", "text", F.col("units").cast(_UNIT))
@@ -335,15 +335,15 @@ def without_repeats(docs: DataFrame, send: int = _SEND) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     schema = "key long, uid long, at int, content binary"
     if small:
-        contents = narrow.mapInArrow(_contents(table(settled.where("compare"), False)), schema)
+        contents = narrow.mapInArrow(trimmed(_contents(table(settled.where("compare"), False))), schema)
     else:
         kinds = settled.selectExpr("uid", f"{_KIND} as kind", "cast(null as binary) as spans")
-        contents = _with_units(docs, kinds, 2).mapInArrow(_contents(None), schema)
+        contents = _with_units(docs, kinds, 2).mapInArrow(trimmed(_contents(None)), schema)
     contents = contents.repartition("key").dropDuplicates(["key", "uid", "at"]).sortWithinPartitions("key")
-    runs = contents.mapInArrow(_transformed, "uid long, spans binary").groupBy("uid").agg(F.array_join(F.collect_list(F.hex("spans")), "").alias("h"))
+    runs = contents.mapInArrow(trimmed(_transformed), "uid long, spans binary").groupBy("uid").agg(F.array_join(F.collect_list(F.hex("spans")), "").alias("h"))
     runs = materialize(runs.select("uid", F.unhex("h").alias("spans")), "spans")
     final = settled.join(runs, "uid", "left").where("whole or spans is not null")
     if small:
-        return narrow.mapInArrow(_cut(table(final, True)), "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+        return narrow.mapInArrow(trimmed(_cut(table(final, True))), "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
     kinds = final.selectExpr("uid", f"{_KIND} as kind", "spans")
-    return _with_units(docs, kinds, 3).mapInArrow(_cut(None), "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return _with_units(docs, kinds, 3).mapInArrow(trimmed(_cut(None)), "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")

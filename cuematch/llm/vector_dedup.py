@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuematch.llm.components import components
-from cuematch.llm.vectors import blob, from_blobs, row_codes, units, valid_rows
+from cuematch.llm.vectors import from_blobs, row_codes, units, valid_rows
 from cuematch.llm.words import mixed
 from cuematch.plans.storage import materialize
 

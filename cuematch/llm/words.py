@@ -8,7 +8,8 @@ its own and is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,22 @@ _STEP = np.uint64(0x9E3779B97F4A7C13)
 _ORDER = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function of batches; at its end freed memory goes back to the system.
+
+    Workers are used again by later stages, beside an executor that has grown.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Numbers spread over all 64 bits (the finaliser of MurmurHash3)."""
     x = x ^ (x >> np.uint64(33))
