@@ -1,15 +1,16 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Training. A bounded sample of the trusted documents, ``sample_bytes`` of text per
-language at most (about; chosen by the documents' hashes, from one half of them),
-gives word trigrams. Counts, continuation counts and context counts are grouped
-by their words in shuffles, and joined to probabilities of seen n-grams and
-weights of contexts, with three discounts per order from the counts of counts.
-The bound on the sample bounds the model, which is sent to all tasks.
+Training. All text of one half of the trusted documents (by the hash of their
+ids) gives word trigrams. Counts, continuation counts and context counts are
+grouped by their words in shuffles, and joined to probabilities of seen n-grams
+and weights of contexts, with three discounts per order from the counts of counts.
 
 Scoring. Every word of every text, and its end, gets the probability of its
-trigram, or the weighted one of the bigram, and so on down to unseen words.
-Perplexity is 10 to the mean negative log10.
+trigram, or the weighted one of the bigram, and so on down to unseen words. Each
+seen n-gram has one number, what it adds to the log10 beyond shorter ones, so a
+text's log10 is a sum over its n-grams: each text's distinct n-grams with their
+multiplicities meet the numbers in a shuffle by the n-gram's hash. No part of the
+model goes through the driver. Perplexity is 10 to the mean negative log10.
 
 Thresholds. Trusted documents of the other half, scored like all others, give
 quantiles of perplexity per language and length band (powers of four, at least
@@ -102,11 +103,11 @@ def _tables(texts: DataFrame) -> dict[str, DataFrame] | None:
     p1 = uni.select("w", ((F.col("c") - _discount(F.col("c"), d1)) / F.lit(total) + F.lit(floor)).alias("p1"))
     c2 = _contexts(bi, ["v"], "c", d2)
     p2 = bi.join(c2, "v").join(p1, "w")
-    p2 = p2.select("v", "w", ((F.col("c") - _discount(F.col("c"), d2)) / F.col("total") + F.col("weight") * F.col("p1")).alias("p2"))
+    p2 = p2.select("v", "w", "weight", "p1", ((F.col("c") - _discount(F.col("c"), d2)) / F.col("total") + F.col("weight") * F.col("p1")).alias("p2"))
     p2 = materialize(p2, "bigram-shares")
     c3 = _contexts(tri, ["u", "v"], "c", d3)
-    p3 = tri.join(c3, ["u", "v"]).join(p2, ["v", "w"])
-    p3 = p3.select("u", "v", "w", ((F.col("c") - _discount(F.col("c"), d3)) / F.col("total") + F.col("weight") * F.col("p2")).alias("p3"))
+    p3 = tri.join(c3, ["u", "v"]).join(p2.select("v", "w", "p2"), ["v", "w"])
+    p3 = p3.select("u", "v", "w", "weight", "p2", ((F.col("c") - _discount(F.col("c"), d3)) / F.col("total") + F.col("weight") * F.col("p2")).alias("p3"))
     floor_ = texts.sparkSession.createDataFrame([(float(floor),)], "p double")
     return {"p3": p3, "c3": c3.select("u", "v", "weight"), "p2": p2, "c2": c2.select("v", "weight"), "p1": p1, "floor": floor_}
 
@@ -124,7 +125,7 @@ class _Lookup:
 
 
 class KneserNey:
-    """The model in one process: log10 probabilities of words after two others."""
+    """A small model in one process: log10 probabilities of words after two others. ``classify`` joins instead."""
 
     def __init__(self, tables: dict[str, DataFrame]):
         def read(name: str, *keys: str) -> _Lookup:
@@ -154,20 +155,75 @@ class KneserNey:
         return out
 
 
-def _scored(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value if model is not None else None
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(3))
-            for a, b in slices(offsets):
-                u, v, w, text = _sequences(data, offsets[a : b + 1])
-                n = np.bincount(text, minlength=b - a)
-                logs = pa.nulls(b - a, pa.float64()) if m is None else pa.array(np.bincount(text, m.log10(u, v, w), b - a))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(n, pa.int64()), logs], names=["doc_id", "row", "lang", "n_tokens", "log10_prob"]
-                )
-
-    return run
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, value) of n-grams given by one to three words and a value."""
+    for batch in batches:
+        words = [batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns - 1)]
+        key = words[0]
+        for w in words[1:]:
+            key = _pair(key, w)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(batch.num_columns - 1)], names=["key", "value"])
+
+
+def _numbers(tables: dict[str, DataFrame], floor: float) -> DataFrame:
+    """(key, value): what each n-gram adds to the log10 of a text, beyond ``floor`` for each of its words.
+
+    A context adds its weight; a seen word, bigram or trigram adds its probability
+    and takes away what its shorter forms and their weights have added.
+    """
+    log = lambda c: F.log10(F.col(c))
+    parts = [
+        tables["p1"].select("w", log("p1") - F.lit(floor)),
+        tables["c2"].select("v", log("weight")),
+        tables["p2"].select("v", "w", log("p2") - log("weight") - log("p1")),
+        tables["c3"].select("u", "v", log("weight")),
+        tables["p3"].select("u", "v", "w", log("p3") - log("weight") - log("p2")),
+    ]
+    out = None
+    for part in parts:
+        keyed = part.toDF(*part.columns[:-1], "value").mapInArrow(trimmed(_keyed), "key long, value double")
+        out = keyed if out is None else out.unionAll(keyed)
+    return out.groupBy("key").agg(F.sum("value").alias("value"))
+
+
+def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, key, k): each text's distinct n-grams of one to three words, the start as first context."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        row = batch.column(0).to_numpy()
+        for a, b in slices(offsets):
+            u, v, w, text = _sequences(data, offsets[a : b + 1])
+            start, each = np.full(b - a, START), np.arange(b - a)
+            key = np.concatenate((w, start, _pair(v, w), _pair(start, start), _pair(_pair(u, v), w)))
+            owner = np.concatenate((text, each, text, each, text))
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+            k = np.diff(np.append(first, len(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(row[a:b][owner[first]]), pa.array(key[first].view(np.int64)), pa.array(k, pa.int32())], names=["row", "key", "k"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their numbers of words, ends included, in place of the texts."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(3))
+        n = [word_hashes(data, offsets[a : b + 1])[1] + 1 for a, b in slices(offsets)]
+        n = np.concatenate(n) if n else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64())], names=["doc_id", "row", "lang", "n_tokens"])
+
+
+def _scored(rows: DataFrame, tables: dict[str, DataFrame] | None) -> DataFrame:
+    """doc_id, row, lang, n_tokens, log10_prob of every row."""
+    counted = materialize(rows.mapInArrow(trimmed(_counted), "doc_id long, row long, lang string, n_tokens long"), "counted")
+    if tables is None:
+        return counted.withColumn("log10_prob", F.lit(None).cast("double"))
+    floor = float(np.log10(tables["floor"].first()[0]))
+    grams = rows.select("row", "text").mapInArrow(trimmed(_ngrams), "row long, key long, k int")
+    sums = grams.join(_numbers(tables, floor), "key").groupBy("row").agg(F.sum(F.col("k") * F.col("value")).alias("sum"))
+    copies = counted.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat have added up
+    each = copies.join(sums, "row", "left").select("row", (F.coalesce("sum", F.lit(0.0)) / F.col("copies")).alias("sum"))
+    logs = F.round(F.col("n_tokens") * F.lit(floor) + F.col("sum"), 9)  # sums of doubles vary in the last digits with the order
+    return materialize(counted.join(each, "row").select("doc_id", "row", "lang", "n_tokens", logs.alias("log10_prob")), "scored")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -187,7 +243,6 @@ def row_hash(docs: DataFrame) -> Column:
 def classify(
     docs: DataFrame,
     trusted: DataFrame,
-    sample_bytes: int = 1_000_000,
     high: float = 0.999,
     margin: float = 1.1,
     support: int = 100,
@@ -195,18 +250,9 @@ def classify(
     """doc_id, row (hash of all columns), lang, n_tokens, log10_prob, perplexity, upper, keep of every document."""
     row = row_hash(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "lang", "text")
-    good = materialize(
-        rows.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(trusted.select("doc_id").distinct(), "doc_id"), "trusted"
-    )
-    first = good.where(_half(F.col("doc_id")) == 0)
-    share = first.groupBy("lang").agg(F.sum("bytes").alias("all")).select(F.col("lang").alias("_l"), F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("all"), F.lit(1))).alias("share"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = materialize(first.join(share, first["lang"].eqNullSafe(share["_l"])).where(draw < F.col("share")).select("doc_id").distinct(), "chosen")
-    send = F.broadcast if chosen.count() <= _SEND else (lambda x: x)
-    tables = _tables(rows.join(send(chosen), "doc_id", "left_semi"))
-    model = docs.sparkSession.sparkContext.broadcast(KneserNey(tables)) if tables else None
-    schema = "doc_id long, row long, lang string, n_tokens long, log10_prob double"
-    scored = materialize(rows.mapInArrow(trimmed(_scored(model)), schema), "scored")
+    first = materialize(trusted.select("doc_id").distinct().where(_half(F.col("doc_id")) == 0), "training-half")
+    send = F.broadcast if first.count() <= _SEND else (lambda x: x)
+    scored = _scored(rows, _tables(rows.join(send(first), "doc_id", "left_semi")))
     scored = scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))).withColumn(
         "band", F.floor(F.log2("n_tokens") / 2).cast("int")
     )

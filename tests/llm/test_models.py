@@ -136,6 +136,25 @@ def test_kneser_ney_sums_to_one(spark):
         assert p.sum() + new == pytest.approx(1, abs=1e-4) and (p > 0).all()
 
 
+def test_all_trusted_text_counts_and_joined_scores_are_the_models(spark):
+    rng = random.Random(6)
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    half = [r["doc_id"] for r in trusted.where(quality._half(F.col("doc_id")) == 0).collect()]
+    rows = [(i, cases.prose(rng, 20_000 if i in half else 40) + f" seldom{i}", "en", "s", 1) for i in range(60)]
+    rows += [(200, f"ba seldom{half[0]} seldom{half[-1]}", "en", "s", 1), (None, None, None, None, None), rows[3], rows[3]]
+    docs = cases.table(spark, rows)
+    got = quality.classify(docs, trusted).collect()
+    assert len(got) == len(rows)
+    model = quality.KneserNey(quality._tables(docs.join(spark.createDataFrame([(i,) for i in half], "doc_id long"), "doc_id", "left_semi").select("text")))
+    want = []
+    for r in rows:
+        u, v, w, _ = quality._sequences(*quality.text_bytes(quality.pa.array([r[1]], quality.pa.string())))
+        want.append((r[0], len(w), model.log10(u, v, w).sum()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, b in zip(sorted(((r["doc_id"], r["n_tokens"], r["log10_prob"]) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5)
+
+
 def test_clean_texts_stay_and_noise_goes(spark):
     rng = random.Random(3)
     clean = [(i, cases.prose(rng, 120), "en", "s", 1) for i in range(500)]
