@@ -7,9 +7,9 @@ log((c + 1) / (n + v + 1)) within the class, over the n tokens and v words
 beyond the short list, so that the probabilities sum to one with one unseen
 word. A text's score carries the state from its first token to its last.
 
-Training. Every training text gives segments of 64 tokens: one in ``every``, at
-a phase drawn from the text's hash, and one at least. Texts are dealt to the
-rounds by hash. Tasks train copies of the parameters on their segments by
+Training. Every training text gives all its tokens in segments of 64 (or one
+segment in ``every``, at a phase drawn from the text's hash, and one at least).
+Texts are dealt to the rounds by hash, each to one. Tasks train copies of the parameters on their segments by
 truncated backpropagation (windows of 16); the copies are averaged by their
 numbers of tokens, in two steps, after each round. Work and traffic grow with the
 corpus.
@@ -239,7 +239,7 @@ def _joined_sums(docs: DataFrame, counts: DataFrame, m: _Model) -> DataFrame:
     )
 
 
-def score_texts(docs: DataFrame, train: Column, every: int = 8, rounds: int = 2, rate: float = 0.01, send: int = _SEND) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, every: int = 1, rounds: int = 2, rate: float = 0.01, send: int = _SEND) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every document; ``train`` marks those to learn from."""
     spark = docs.sparkSession
     learn = docs.where(train)

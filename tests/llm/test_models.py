@@ -42,6 +42,20 @@ def test_scores_and_both_ways_of_counting(spark):
     assert ways[0] == pytest.approx(ways[1], rel=1e-5)
 
 
+def test_every_training_token_is_trained_on_once(spark, monkeypatch):
+    seen, average = [], language_model._average
+
+    def counted(parts, flat):
+        parts = language_model.materialize(parts, "parts")
+        seen.append(parts.agg(F.sum("tokens")).first()[0])
+        return average(parts, flat)
+
+    monkeypatch.setattr(language_model, "_average", counted)
+    docs = cases.table(spark, cases.documents(copies=3))
+    out = language_model.score_texts(docs, ~language_model.held_out(F.col("doc_id"))).collect()
+    assert sum(seen) == out[0]["train_tokens"]
+
+
 def test_no_training_texts_and_empty_table(spark):
     docs = cases.table(spark, [(1, "some words", "en", "s", 1), (2, None, None, None, None)])
     out = language_model.score_texts(docs, F.lit(False)).collect()
