@@ -13,14 +13,16 @@ multiplicities meet the numbers in a shuffle by the n-gram's hash. No part of th
 model goes through the driver. Perplexity is 10 to the mean negative log10.
 
 Thresholds. Trusted documents of the other half, scored like all others, give
-quantiles of perplexity per language and length band (powers of four, at least
-``support`` documents, else of the language, else of all): a document is kept
-up to the ``high`` quantile times ``margin``. There is no lower end: a copy of
+quantiles of perplexity per language and length band (powers of four): a document
+is kept up to the ``high`` quantile times ``margin``. A language's quantile is its
+own median times its spread (quantile by median); the spread of n documents is
+drawn towards that of all languages about their own medians with the weight of
+``support`` documents, and a band's quantile in the same way towards its language's. There is no lower end: a copy of
 trusted text is known to the model by heart.
 
 Nulls and edges: a null or empty text has its end as only word. A null language
-is a language of its own; a language without trusted documents uses the
-quantiles of all. Without any trusted document everything is kept and
+is a language of its own; documents of a language without trusted documents in
+that half are kept. Without any trusted document everything is kept and
 perplexity is null. A null doc_id is never trusted. Rows that repeat are scored
 alike. An empty table gives no rows.
 """
@@ -240,6 +242,22 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _limited(scored: DataFrame, known: DataFrame, value: str, name: str, high: float, margin: float, support: int) -> DataFrame:
+    """``scored`` with the limit ``name`` of ``value`` for each row's language and band; null for a language not in ``known``."""
+    at = lambda c, p: F.percentile_approx(c, p, F.lit(100_000))
+    own = known.groupBy(F.col("lang").alias("_l")).agg(at(value, 0.5).alias("_mid"), at(value, high).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    own = materialize(own, "limits")
+    spread = known.join(own, known["lang"].eqNullSafe(own["_l"])).agg(at(F.col(value) / F.col("_mid"), high)).first()[0]
+    shrunk = (F.col("_n") * F.col("_q") / F.col("_mid") + F.lit(support) * F.lit(spread).cast("double")) / (F.col("_n") + support)
+    own = own.select("_l", (F.col("_mid") * shrunk).alias("_own"))
+    fine = known.groupBy(F.col("lang").alias("_m"), F.col("band").alias("_b")).agg(at(value, high).alias("_fine"), F.count(F.lit(1)).alias("_k"))
+    out = scored.join(own, scored["lang"].eqNullSafe(own["_l"]), "left")
+    out = out.join(fine, out["lang"].eqNullSafe(fine["_m"]) & (out["band"] == fine["_b"]), "left")
+    k = F.coalesce("_k", F.lit(0))
+    limit = (k * F.coalesce("_fine", F.lit(0.0)) + F.lit(support) * F.col("_own")) / (k + support) * F.lit(margin)
+    return out.select(*scored.columns, limit.alias(name))
+
+
 def classify(
     docs: DataFrame,
     trusted: DataFrame,
@@ -257,16 +275,9 @@ def classify(
         "band", F.floor(F.log2("n_tokens") / 2).cast("int")
     )
     known = scored.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where(_half(F.col("doc_id")) == 1)
-    ends = F.percentile_approx("perplexity", high, F.lit(100_000)).alias("q")
-    fine = known.groupBy("lang", "band").agg(ends, F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    fine = fine.select(F.col("lang").alias("_l"), F.col("band").alias("_b"), F.col("q").alias("q2"))
-    mid = known.groupBy("lang").agg(ends, F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select(F.col("lang").alias("_m"), F.col("q").alias("q1"))
-    every = known.agg(ends).first()[0]
-    out = scored.join(fine, scored["lang"].eqNullSafe(fine["_l"]) & (scored["band"] == fine["_b"]), "left")
-    out = out.join(mid, out["lang"].eqNullSafe(mid["_m"]), "left")
-    upper = F.coalesce("q2", "q1", F.lit(every).cast("double")) * F.lit(margin)
-    keep = F.coalesce(F.col("perplexity") <= upper, F.lit(True))
-    return out.select("doc_id", "row", "lang", "n_tokens", "log10_prob", "perplexity", upper.alias("upper"), keep.alias("keep"))
+    out = _limited(scored, known, "perplexity", "upper", high, margin, support)
+    keep = F.coalesce(F.col("perplexity") <= F.col("upper"), F.lit(True))
+    return out.select("doc_id", "row", "lang", "n_tokens", "log10_prob", "perplexity", "upper", keep.alias("keep"))
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:

@@ -181,6 +181,20 @@ def test_clean_texts_stay_and_noise_goes(spark):
     assert kept.columns == docs.columns and kept.count() == sum(got.values())
 
 
+def test_rare_and_unlabelled_languages_have_own_limits(spark):
+    rng = random.Random(9)
+    prose = lambda mark, n=120: " ".join(w + mark for w in cases.prose(rng, n).split())
+    rows = [(i, cases.prose(rng, 120), "en", "s", 1) for i in range(400)]
+    rows += [(1000 + i, prose("x"), "rare", "s", 1) for i in range(60)]
+    rows += [(2000 + i, prose("y"), "unlabelled", "s", 1) for i in range(30)] + [(3000 + i, prose("z"), None, "s", 1) for i in range(30)]
+    trusted = spark.createDataFrame([(i,) for i in [*range(400), *range(1000, 1030)]], "doc_id long")
+    out = quality.classify(cases.table(spark, rows), trusted).collect()
+    assert all(r["keep"] and r["upper"] is None for r in out if r["lang"] in ("unlabelled", None))
+    limits = {lang: {r["upper"] for r in out if r["lang"] == lang} for lang in ("en", "rare")}
+    assert min(limits["rare"]) > max(limits["en"])
+    assert sum(r["keep"] for r in out if r["lang"] == "rare") >= 58 and sum(r["keep"] for r in out if r["lang"] == "en") >= 396
+
+
 def test_quality_of_awkward_tables(spark):
     rows = cases.documents(copies=3)
     docs = cases.table(spark, rows)
