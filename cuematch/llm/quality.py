@@ -18,7 +18,9 @@ is kept up to the ``high`` quantile times ``margin``. A language's quantile is i
 own median times its spread (quantile by median); the spread of n documents is
 drawn towards that of all languages about their own medians with the weight of
 ``support`` documents, and a band's quantile in the same way towards its language's. There is no lower end: a copy of
-trusted text is known to the model by heart.
+trusted text is known to the model by heart. Repetition, which perplexity does not
+see, is a second view: the number of words by that of distinct trigrams, limited by
+the same quantiles (``most``).
 
 Nulls and edges: a null or empty text has its end as only word. A null language
 is a language of its own; documents of a language without trusted documents in
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuematch.llm.words import mixed, slices, text_bytes, trimmed, word_hashes
+from cuematch.llm.words import distinct, mixed, slices, text_bytes, trimmed, word_hashes
 from cuematch.plans.storage import materialize
 
 START, END = np.uint64(0x5747_0000_0000_0001), np.uint64(0x5747_0000_0000_0003)
@@ -206,17 +208,21 @@ def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with their numbers of words, ends included, in place of the texts."""
+    """The rows with their numbers of words, ends included, and of words by distinct trigrams, in place of the texts."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(3))
-        n = [word_hashes(data, offsets[a : b + 1])[1] + 1 for a, b in slices(offsets)]
-        n = np.concatenate(n) if n else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64())], names=["doc_id", "row", "lang", "n_tokens"])
+        n, new = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in slices(offsets):
+            u, v, w, text = _sequences(data, offsets[a : b + 1])
+            n.append(np.bincount(text, minlength=b - a))
+            new.append(np.bincount(distinct(_pair(_pair(u, v), w), text)[1], minlength=b - a))
+        n, new = np.concatenate(n), np.concatenate(new)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(n / new)], names=["doc_id", "row", "lang", "n_tokens", "repetition"])
 
 
 def _scored(rows: DataFrame, tables: dict[str, DataFrame] | None) -> DataFrame:
-    """doc_id, row, lang, n_tokens, log10_prob of every row."""
-    counted = materialize(rows.mapInArrow(trimmed(_counted), "doc_id long, row long, lang string, n_tokens long"), "counted")
+    """doc_id, row, lang, n_tokens, repetition, log10_prob of every row."""
+    counted = materialize(rows.mapInArrow(trimmed(_counted), "doc_id long, row long, lang string, n_tokens long, repetition double"), "counted")
     if tables is None:
         return counted.withColumn("log10_prob", F.lit(None).cast("double"))
     floor = float(np.log10(tables["floor"].first()[0]))
@@ -225,7 +231,7 @@ def _scored(rows: DataFrame, tables: dict[str, DataFrame] | None) -> DataFrame:
     copies = counted.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat have added up
     each = copies.join(sums, "row", "left").select("row", (F.coalesce("sum", F.lit(0.0)) / F.col("copies")).alias("sum"))
     logs = F.round(F.col("n_tokens") * F.lit(floor) + F.col("sum"), 9)  # sums of doubles vary in the last digits with the order
-    return materialize(counted.join(each, "row").select("doc_id", "row", "lang", "n_tokens", logs.alias("log10_prob")), "scored")
+    return materialize(counted.join(each, "row").select("doc_id", "row", "lang", "n_tokens", "repetition", logs.alias("log10_prob")), "scored")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -265,7 +271,7 @@ def classify(
     margin: float = 1.1,
     support: int = 100,
 ) -> DataFrame:
-    """doc_id, row (hash of all columns), lang, n_tokens, log10_prob, perplexity, upper, keep of every document."""
+    """doc_id, row (hash of all columns), lang, n_tokens, log10_prob, perplexity, upper, repetition, most, keep of every document."""
     row = row_hash(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "lang", "text")
     first = materialize(trusted.select("doc_id").distinct().where(_half(F.col("doc_id")) == 0), "training-half")
@@ -276,8 +282,9 @@ def classify(
     )
     known = scored.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where(_half(F.col("doc_id")) == 1)
     out = _limited(scored, known, "perplexity", "upper", high, margin, support)
-    keep = F.coalesce(F.col("perplexity") <= F.col("upper"), F.lit(True))
-    return out.select("doc_id", "row", "lang", "n_tokens", "log10_prob", "perplexity", "upper", keep.alias("keep"))
+    out = _limited(out, known, "repetition", "most", high, margin, support)
+    keep = F.coalesce(F.col("perplexity") <= F.col("upper"), F.lit(True)) & F.coalesce(F.col("repetition") <= F.col("most"), F.lit(True))
+    return out.select("doc_id", "row", "lang", "n_tokens", "log10_prob", "perplexity", "upper", "repetition", "most", keep.alias("keep"))
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:

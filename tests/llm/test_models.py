@@ -181,6 +181,16 @@ def test_clean_texts_stay_and_noise_goes(spark):
     assert kept.columns == docs.columns and kept.count() == sum(got.values())
 
 
+def test_repeated_words_and_lines_go(spark):
+    rng = random.Random(10)
+    rows = [(i, cases.prose(rng, 120), "en", "s", 1) for i in range(400)]
+    words = rows[0][1].split()
+    rows += [(1000, " ".join(words[:1] * 500), "en", "s", 1), (1001, " ".join(words[:8] * 30), "en", "s", 1)]
+    trusted = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(cases.table(spark, rows), trusted).collect()}
+    assert not got[1000] and not got[1001] and sum(got[i] for i in range(400)) >= 396
+
+
 def test_rare_and_unlabelled_languages_have_own_limits(spark):
     rng = random.Random(9)
     prose = lambda mark, n=120: " ".join(w + mark for w in cases.prose(rng, n).split())
