@@ -4,7 +4,9 @@ Everything is DataFrame and SQL functions and Spark's own forest; no Python runs
 on the executors.
 
 Candidates are runs of credential characters with a digit (12 characters or
-more) or a known prefix, and values behind an assignment (8 or more). The text between candidates
+more) or a known prefix, runs behind an assignment (8 or more), and behind the
+assignment of a name such as password every quoted value, and every other one up to
+a blank or its last sign that is no closing mark, of any characters and length. The text between candidates
 gives each one its neighbours on both sides, up to 60 characters.
 
 Features: length, shares of digits, capitals and distinct characters, switches
@@ -41,9 +43,12 @@ from cuematch.plans.storage import materialize
 
 _RUN = r"[A-Za-z0-9+/_\-]"
 _KINDS = r"AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|npm_|pypi-|hf_|eyJ"
-CANDIDATE = rf"""(?<=[=:][ ]?["']?)(?!//){_RUN}{{8,}}|(?<!{_RUN})(?:(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}|(?:{_KINDS}){_RUN}{{12,}})"""
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?"
-NAMED = rf"(?i)(?:{NAMES})[A-Za-z_\-]*[\"']?\s*(?:=|:|:=|=>)\s*[\"']?$"
+_SCHEME = r"(?:(?:bearer|basic|token)\s{1,8})?"
+_BEHIND_NAME = rf"""(?<=[\s"'=:>])(?<=(?i:(?:{NAMES})[A-Za-z_\-]{{0,24}}["']?\s{{0,8}}(?::=|=>|=|:)\s{{0,8}}{_SCHEME}["']?))"""
+_VALUE = r"""(?:(?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|(?!(?i:bearer|basic|token)\s)[^\s"'=:>](?:\S*[^\s"',;.)\]}>])?)"""
+CANDIDATE = rf"""{_BEHIND_NAME}{_VALUE}|(?<=[=:][ ]?["']?)(?!//){_RUN}{{8,}}|(?<!{_RUN})(?:(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}|(?:{_KINDS}){_RUN}{{12,}})"""
+NAMED = rf"(?i)(?:{NAMES})[A-Za-z_\-]*[\"']?\s*(?:=|:|:=|=>)\s*{_SCHEME}[\"']?$"
 PREFIXES = rf"^(?:{_KINDS}){_RUN}{{12,}}$"
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 _N = len(_SYMBOLS) + 1
@@ -156,13 +161,14 @@ def features(found: DataFrame, table: list[float], words: list[str]) -> DataFram
 def labelled(found: DataFrame) -> DataFrame:
     """Candidates that are sure by form, with ``secret`` 1 or 0; a third of the named ones without their name."""
     v, before, after = F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
-    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= 12) & ~v.contains("/")
+    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= 6) & ~v.contains("/")
+    prose = v.rlike(r"^\p{L}\p{Ll}*$") & before.rlike(r":\s*$") & after.rlike(r"^[,;.]?\s+\p{Ll}+[\s,.]") & ~before.rlike(r"(?i)(?:bearer|basic|token)\s+$")
     sure = v.rlike(PREFIXES) | (before.rlike(NAMED) & mixed)
     number = v.rlike(r"^[0-9+/_\-]+$")
     address = before.rlike(r"[@.]$") | after.rlike(r"^@[A-Za-z0-9]") | before.rlike(r"[/\\]$")
     plain = v.rlike(r"^[A-Za-z\-]+$") & ~before.rlike(NAMED)
     path = v.rlike(r"^[A-Za-z0-9_\-]*(?:/[a-z0-9_\-]*)+$") & ~before.rlike(NAMED)
-    out = found.withColumn("secret", F.when(sure, 1).when(number | address | plain | path, 0)).where("secret is not null")
+    out = found.withColumn("secret", F.when(sure, 1).when(number | address | plain | path | prose, 0)).where("secret is not null")
     blank = before.rlike(NAMED) & (F.pmod(F.xxhash64("value", F.lit(5)), F.lit(3)) == 0)
     return out.withColumn("before", F.when(blank, F.regexp_replace("before", rf"(?i)(?:{NAMES})", "value")).otherwise(F.col("before")))
 
@@ -201,6 +207,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     return rows.select("doc_id", "row", "number", "begin", "value", score.alias("score")).withColumn("secret", F.col("score") >= threshold)
 
 
+def _masked(text: Column, value: Column) -> Column:
+    """MASK for the value; a short one only where it is no part of a longer word."""
+    alone = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), value, F.lit(r"\E(?![\p{L}\p{N}])"))
+    short = (F.length(value) < 8) & ~value.contains("\\E")
+    return F.when(short, F.regexp_replace(text, alone, F.lit(MASK))).otherwise(F.replace(text, value, F.lit(MASK)))
+
+
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """All documents, secrets replaced by MASK; ``n_chars``, where there is one, counts the new text."""
     secrets = scan(docs, **options).where("secret").groupBy("row").agg(F.collect_set("value").alias("__values"))
@@ -208,7 +221,7 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     send = F.broadcast if secrets.count() <= _SEND // 10 else (lambda x: x)
     longest = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
-    clean = F.when(F.col("__values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK))))
+    clean = F.when(F.col("__values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), _masked))
     out = docs.withColumn("__row", row).join(send(secrets), "__row", "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("text"))

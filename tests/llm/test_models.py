@@ -253,6 +253,24 @@ def test_planted_secrets_are_found_and_others_left(spark):
         assert (r["text"], r["n_chars"]) == (want, len(want))
 
 
+def test_named_values_of_any_characters_are_candidates_and_go(spark):
+    shapes = [
+        ('password = "p@ssw0rd!x9"', "p@ssw0rd!x9"), ('password="Tr0ub4dor&3"', "Tr0ub4dor&3"), ("pwd: hunter2", "hunter2"), ("token =  AbCdEfGhIjKlMn", "AbCdEfGhIjKlMn"),
+        ("secret => QwErTyUiOpAsDf", "QwErTyUiOpAsDf"), ("Authorization: Bearer AbCdEfGhIjKlMnOpQrSt", "AbCdEfGhIjKlMnOpQrSt"), ("passphrase: 'two w0rds, one!'", "two w0rds, one!"),
+    ]
+    rows, _ = planted(120)
+    rng = random.Random(11)
+    rows += [(1000 + i, f"{cases.prose(rng, 30)} {text} {cases.prose(rng, 30)}", "en", "s", 1) for i, (text, _) in enumerate(shapes)]
+    rows += [(2000 + i, f"{cases.prose(rng, 30)} the secret: {w} was here and {cases.prose(rng, 30)}", "en", "s", 1) for i, w in enumerate(["nobody", "she", "rain", "someone"] * 5)]
+    docs = cases.table(spark, rows)
+    found = {(r["doc_id"], r["value"]) for r in secret_scan.candidates(docs).collect()}
+    assert all((1000 + i, value) in found for i, (_, value) in enumerate(shapes))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    assert all(clean[1000 + i] == texts[1000 + i].replace(value, secret_scan.MASK) for i, (_, value) in enumerate(shapes))
+    assert all(clean[i] == texts[i] for i in texts if i >= 2000)
+
+
 def test_held_out_findings(spark):
     """A forest from labelled findings of some documents judges those of others."""
     rows, secrets = planted(240)
