@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuematch.llm import language_model, mixing, ngram_join, pieces, prefix_forest, quality, repeats, secret_scan, sharding, vector_dedup
+from cuematch.llm import bpe, language_model, merkle, mixing, ngram_join, pieces, prefix_forest, quality, repeats, resampling, secret_scan, sharding, vector_dedup
 from cuematch.llm.sql import SQL  # noqa: F401
 from cuematch.session import ship
 
@@ -84,6 +84,38 @@ def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", language_model.held_out(F.col("doc_id")))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    touched = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(2)) == 0
+    text = F.when(touched, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, replacement=merkle.leaf(docs, changed={"text": text})).proofs()
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    drawn = resampling.resample(docs, benchmark, n=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def bpe_model() -> str:
+    """The public tokenizer that marks word ends; the same path on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(_table(spark, sf_dir, "documents"), bpe_model(), keep=["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pstable_duplicates": pstable_duplicates,
     "op2_jaccard_join": jaccard_join,
@@ -95,4 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_bytes": repeated_bytes,
     "op9_feistel_shards": feistel_shards,
     "op10_gru_scores": gru_scores,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_target_resample": target_resample,
+    "op13_bpe_tree": bpe_tree,
 }
