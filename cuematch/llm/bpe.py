@@ -43,7 +43,7 @@ from cuematch.llm.words import slices, trimmed
 from cuematch.plans.storage import materialize
 
 SLICE = 1 << 20
-TABLE_CHUNKS = 150_000
+TABLE_CHUNKS = 400_000
 LONG_CHUNK = 200
 FAN = 16
 WINDOW = 8
@@ -100,8 +100,9 @@ class Bpe:
                 del self.known[c]
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False) if ids else []
+    def decode(self, ids: list[bytes]) -> list[str]:
+        numbers = [np.frombuffer(x, "<i4").tolist() for x in ids]
+        return self.tokenizer.decode_batch(numbers, skip_special_tokens=False) if ids else []
 
     def pieces(self, text: bytes, size: int) -> Iterator[tuple[str, str, bool]]:
         """Kind (text, words or part), content, and whether it goes on with the word of the piece before."""
@@ -217,9 +218,9 @@ def _encoder(path: str, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             texts = batch.column(at).cast(pa.large_binary())
             lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             for a, b in slices(np.concatenate(([0], np.cumsum(lengths))), SLICE):
-                ids = _lists(bpe.encode(texts.slice(a, b - a).to_pylist()))
+                ids = bpe.encode(texts.slice(a, b - a).to_pylist())
                 part = batch.slice(a, b - a)
-                yield _batch([*(part.column(i) for i in range(at)), ids, pa.array(bpe.decode(ids.to_pylist()), pa.string())])
+                yield _batch([*(part.column(i) for i in range(at)), _lists(ids), pa.array(bpe.decode(ids), pa.string())])
 
     return run
 
@@ -265,8 +266,8 @@ def _piece_encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def _joiner(path: str) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("node").combine_chunks()
-        ids = group.column("ids").to_pylist()
-        nodes = [(i, np.array(x, "<i4")) for i, x in zip(group.column("inside").to_pylist(), ids, strict=True)]
+        inside = group.column("inside").to_pylist()
+        nodes = [(x, group.column("ids")[i].values.to_numpy()) for i, x in enumerate(inside)]
         whole = Bpe(path).concatenated(nodes)
         return pa.table({
             "key": group.column("key")[:1], "node": pa.array([group.column("node")[0].as_py() // FAN]),
@@ -282,7 +283,8 @@ def _decoder(path: str, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             for r in range(len(batch)):
                 row = batch.slice(r, 1)
-                yield _batch([*row.columns, pa.array(bpe.decode(row.column(at).to_pylist()), pa.string())])
+                ids = row.column(at).flatten().to_numpy().astype("<i4").tobytes()
+                yield _batch([*row.columns, pa.array(bpe.decode([ids]), pa.string())])
 
     return run
 
