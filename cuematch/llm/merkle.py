@@ -236,11 +236,10 @@ def _way(arity: int, carried: list[str], replaced: bool) -> Callable[[Iterator[p
             proof = [m[m > 0].tobytes() + upper[0][b] for m, b in zip(mine, block, strict=True)]
             part = table.take(pa.array(rows))
             out = [part.column(c).combine_chunks() for c in carried] + [pa.array(proof, pa.binary())]
-            taken = [r for r in records]
             if replaced:
                 steps = [np.frombuffer(w, np.uint8).reshape(-1, unit + 1) for w in upper[1]]
                 folded = _matrix(part.column("replacement"))
-                for record in taken:
+                for record in records:
                     folded = _folded(folded, record, arity)
                 for level in range(max(map(len, steps), default=0)):
                     table_of = np.zeros((len(own), unit + 1), np.uint8)
@@ -250,7 +249,7 @@ def _way(arity: int, carried: list[str], replaced: bool) -> Callable[[Iterator[p
                     folded = _folded(folded, table_of[block], arity)
                 out.append(_binary(folded))
             else:
-                own_way = np.stack(taken, 1) if taken else np.zeros((len(rows), 0, unit + 1), np.uint8)
+                own_way = np.stack(records, 1) if records else np.zeros((len(rows), 0, unit + 1), np.uint8)
                 out.append(pa.array([w[w[:, 0] > 0].tobytes() + upper[1][b] for w, b in zip(own_way, block, strict=True)], pa.binary()))
             names = [*carried, "proof", "folded" if replaced else "way"]
             for batch in pa.table(dict(zip(names, out, strict=True))).to_batches(2048):
@@ -330,6 +329,7 @@ def manifest(
         F.col(f"`{source}`").alias("source"), F.col(f"`{id_}`").alias("id"), own.alias("leaf"),
         F.unhex(own).alias("digest"), F.unhex(own if replacement is None else replacement).alias("replacement"),
     )
+    rows = materialize(rows, "merkle-rows")  # else finding the sort's ranges hashes the texts once more
     placed, _n = numbered(rows, ["source", "id", "leaf"], "row")
     starts = placed.groupBy("source").agg(F.min("row").alias("tree"), F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "of")
     leaves = placed.join(starts, placed["source"].eqNullSafe(starts["of"])).select(

@@ -36,6 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from cuematch.llm.sharding import numbered
 from cuematch.llm.words import trimmed
+from cuematch.plans.storage import materialize
 
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 TABLE = bytes(x if x in _WORD else x + 32 if 0x41 <= x <= 0x5A else 0x20 for x in range(256))
@@ -141,7 +142,7 @@ def resample(
     (rounded down) are drawn. ``target`` has a text column of the same name.
     """
     gains = bucket_gains(docs, target, n, buckets, text)
-    weighed = weights(docs, gains, n, [id_], text)
+    weighed = materialize(weights(docs, gains, n, [id_], text), "weights")  # else finding the sort's ranges walks the texts once more
     scored = weighed.withColumn("score", F.col("weight") + noise(F.col(f"`{id_}`"), seed))
     scored = scored.withColumn("_late", F.col("n_words") < least_words).withColumn("_down", -F.col("score"))
     placed, _total = numbered(scored, ["_late", "_down", id_, "weight"], "_row")
