@@ -417,7 +417,7 @@ def oracle_sql() -> dict[str, str]:
     q["mean_pool"] = q["mean_pool"].replace("any_value(n) as n_segments", "any_value(n) // 64 as n_segments")
     # retrieval
     q["knn_hybrid"] = f"with {BOTH},{knn('hyb', 'e_hyb', 150)} select sid as query_id, tid as item_id, {r6('dist')} as distance, rk as rank from hyb"
-    q["knn_cells"] = q["knn_hybrid"]
+    q["knn_cells"] = q["knn_floors"] = q["knn_hybrid"]
     q["knn_ensemble"] = f"with {BOTH},{knn('ens', 'e_ens', 60)} select sid as query_id, tid as item_id, {r6('dist')} as distance, rk as rank from ens"
     ragged = f"case when x.vec_id % 3 = 1 then 1.0 else 1 - {cos('s.embedding', 'x.embedding')} end"
     q["knn_ragged"] = f"""select query_id, item_id, {r6('dist')} as distance, rank from (

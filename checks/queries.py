@@ -151,6 +151,11 @@ def q_knn_cells(spark, sf):
     ))
 
 
+def q_knn_floors(spark, sf):
+    """As knn_hybrid, with the walk over a sample that bounds what is shuffled."""
+    return tidy(retrieval.nearest(fx.scenes(spark, sf), fx.tracks(spark, sf), CONFIG.candidate_pool_hybrid, floors=True))
+
+
 def q_knn_ragged(spark, sf):
     """Items of unequal length: every third one lacks a quarter of its numbers."""
     v = F.col("vec_id")

@@ -7,7 +7,16 @@ Two exact ways, same result and same tie-break (distance, then item id):
   shuffle moves at most k rows per query and task. Items are never shuffled.
 * ``slices``: query vectors beyond the limit are cut by a hash of the id into
   slices that fit it, and each slice is a scan of its own. Items are read once
-  per slice and never shuffled.
+  per slice and never shuffled. Slices run one after the other, so the driver and
+  the tasks hold one of them at a time.
+
+Many tasks would each send k rows per query, nearly all of them far from the
+answer. With ``floors`` a first walk over an eighth of the items, chosen by hash,
+gives each query two bounds: the k-th best of the sample, which at least k items
+surely reach, and a nearer one that about 1.5 k items are expected to reach. The
+second walk stores what reaches the sure bound; only what reaches the nearer one
+is shuffled, and for the few queries that got less than k that way all their
+stored rows. The answer is the same.
 
 NULL item vectors sort last, by id. A query without a vector has no neighbours.
 An item vector of another length than the query's has cosine 0 with it.
@@ -27,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuematch.functions import vectors as V
+from cuematch.plans.storage import materialize
 
 _SLACK = 1e-9        # wider than the error of a matrix product in double
 _QUERY_BLOCK = 256   # queries per matrix product inside a task
@@ -99,10 +109,12 @@ def _few_of_each(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int)
 class _Nearest:
     """Running k nearest items of a block of queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, sure: np.ndarray | None = None):
         self.ids, self.raw, self.k = ids, vectors, k
         self.units, _ = _unit(vectors)
-        self.floor = np.full(len(ids), -np.inf)  # k-th similarity so far
+        none = np.full(len(ids), -np.inf)
+        self.bounded = (none if sure is None else sure) > -np.inf
+        self.floor = none if sure is None else sure.copy()  # k-th similarity so far
         self.rows = np.zeros(0, dtype=np.int64)
         self.items = np.zeros(0, dtype=np.int64)
         self.dist = np.zeros(0)
@@ -125,8 +137,9 @@ class _Nearest:
         if len(gone):
             # Only the k smallest ids without a vector can ever be wanted.
             gone = np.sort(gone)[: self.k]
-            q = np.repeat(np.arange(len(self.ids)), len(gone))
-            self._append(q, np.tile(gone, len(self.ids)), np.full(len(q), np.inf))
+            free = np.flatnonzero(~self.bounded)  # k items with a vector reach a bound
+            q = np.repeat(free, len(gone))
+            self._append(q, np.tile(gone, len(free)), np.full(len(q), np.inf))
         if len(self.rows) > 4 * self.k * len(self.ids):
             self._trim()
 
@@ -154,7 +167,7 @@ class _Nearest:
         place = np.arange(len(rows)) - first[rows]
         keep = order[place < self.k]
         last = rows[place == self.k - 1]
-        self.floor[last] = 1.0 - self.dist[order[place == self.k - 1]]
+        self.floor[last] = np.maximum(self.floor[last], 1.0 - self.dist[order[place == self.k - 1]])
         self.rows, self.items, self.dist = self.rows[keep], self.items[keep], self.dist[keep]
 
     def result(self) -> pa.RecordBatch:
@@ -196,67 +209,176 @@ def vector_bytes(df: DataFrame, *vec_cols: str) -> int:
     return int(row["n"] or 0) * 8
 
 
-_MERGE_WIDTH = 64  # tasks whose results are merged first
+_MERGE_WIDTH = 64   # tasks whose results are merged first
+_SAMPLED = 8        # one item in so many gives the floors
+_MANY_TASKS = 16    # from here on floors are worth a second walk
 
+# (list number, query ids, vectors, k, sure bounds, near bounds)
+Lists = list[tuple[int, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]
 
-def _scan_lists(queries: DataFrame, ks: list[int], items: DataFrame) -> DataFrame:
-    """One walk over the items for several searches.
 
-    ``queries`` and ``items`` hold id and one vector column per search, in the
-    same order; ``ks`` the number of neighbours of each. A query without a
-    vector takes no part in that search. Returns (list_no, query_id, item_id,
-    distance) with at most k rows per list, query and group of tasks.
-    """
-    spark: SparkSession = items.sparkSession
+def _lists(queries: DataFrame, ks: list[int]) -> Lists:
     some = functools.reduce(operator.or_, [V.is_filled(F.col(c)) for c in queries.columns[1:]])
-    shared = spark.sparkContext.broadcast(
-        [(no, *side, k) for no, (sides, k) in enumerate(zip(_collect_lists(queries.filter(some)), ks)) for side in sides]
-    )
-    width = _MERGE_WIDTH
+    sides = enumerate(zip(_collect_lists(queries.filter(some)), ks))
+    open_ = lambda ids: np.full(len(ids), -np.inf)
+    return [(no, ids, m, k, open_(ids), open_(ids)) for no, (found, k) in sides for ids, m in found]
+
+
+def _hoped(k: int) -> int:
+    """The place in the sample that stands for a little more than k items of all."""
+    share = k / _SAMPLED
+    return int(np.ceil(share + 2 * np.sqrt(share) + 1))
+
+
+def _with_floors(lists: Lists, items: DataFrame) -> Lists:
+    """The lists with bounds from a walk over one item in ``_SAMPLED``."""
+    shared = items.sparkSession.sparkContext.broadcast(lists)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(no, _Nearest(ids, vectors, k)) for no, ids, vectors, k in shared.value]
+        best = [(no, _Nearest(ids, vectors, k)) for no, ids, vectors, k, *_ in shared.value]
+        for batch in batches:
+            ids = np.asarray(batch.column(0), dtype=np.int64)
+            for no, found in best:
+                matrix, missing = _matrix(batch.column(no + 1), found.raw.shape[1])
+                found.add(ids[~missing], matrix[~missing], missing[~missing])
+        group = TaskContext.get().partitionId() // _MERGE_WIDTH
+        for no, found in best:
+            out = found.result()
+            rows = pa.table({"at": found.rows, "sim": 1.0 - out.column("distance").to_numpy(zero_copy_only=False)})
+            packed = rows.group_by("at", use_threads=False).aggregate([("sim", "list")])
+            n = packed.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, no, np.int32)), pa.array(np.full(n, group, np.int32)),
+                 pa.array(found.ids[packed.column("at").to_numpy()]), packed.column("sim_list").combine_chunks()],
+                names=["list_no", "task_group", "query_id", "sims"],
+            )
+
+    ks = {no: k for no, _ids, _m, k, *_ in lists}
+    most = F.element_at(F.create_map(*[F.lit(x) for no, k in ks.items() for x in (no, k)]), F.col("list_no"))
+    best = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c)), asc=False), F.lit(1), F.first(most))
+    sampled = items.filter(F.pmod(F.xxhash64("id"), F.lit(_SAMPLED)) == 0)
+    found = sampled.mapInArrow(walk, "list_no int, task_group int, query_id long, sims array<double>")
+    merged = found.groupBy("list_no", "query_id", "task_group").agg(best("sims").alias("sims"))
+    merged = merged.groupBy("list_no", "query_id").agg(best("sims").alias("sims"))
+    hoped = F.element_at(F.create_map(*[F.lit(x) for no, k in ks.items() for x in (no, _hoped(k))]), F.col("list_no"))
+    bounds = merged.select(
+        "list_no", "query_id", F.get("sims", most - 1).alias("sure"), F.get("sims", F.least(hoped, most) - 1).alias("near")
+    ).collect()  # two numbers per query of a list that was broadcast
+    shared.destroy()
+    known = {(r["list_no"], r["query_id"]): (r["sure"], r["near"]) for r in bounds if r["sure"] is not None}
+    out = []
+    for no, ids, vectors, k, *_ in lists:
+        pairs = [known.get((no, int(i)), (-np.inf, -np.inf)) for i in ids]
+        sure, near = np.array(pairs, dtype=np.float64).reshape(-1, 2).T
+        out.append((no, ids, vectors, k, sure - _SLACK, near - _SLACK))
+    return out
+
+
+def _walked(lists: Lists, items: DataFrame):
+    """(rows, broadcast) of one walk over the items: at most k rows per list, query and task."""
+    shared = items.sparkSession.sparkContext.broadcast(lists)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(no, _Nearest(ids, vectors, k, sure), near) for no, ids, vectors, k, sure, near in shared.value]
         seen = False
         for batch in batches:
             if not batch.num_rows:
                 continue
             seen = True
             item_ids = np.asarray(batch.column(0), dtype=np.int64)
-            for no, nearest_items in best:
+            for no, nearest_items, _near in best:
                 matrix, missing = _matrix(batch.column(no + 1), nearest_items.raw.shape[1])
                 nearest_items.add(item_ids, matrix, missing)
-        group = TaskContext.get().partitionId() // width
-        for no, nearest_items in best:
+        group = TaskContext.get().partitionId() // _MERGE_WIDTH
+        for no, nearest_items, near in best:
             if seen:
                 out = nearest_items.result()
                 n = out.num_rows
+                is_near = nearest_items.dist <= 1.0 - near[nearest_items.rows]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, no, dtype=np.int32)), pa.array(np.full(n, group, dtype=np.int32)),
-                     *out.columns],
-                    names=["list_no", "task_group", *out.schema.names],
+                     *out.columns, pa.array(is_near)],
+                    names=["list_no", "task_group", *out.schema.names, "near"],
                 )
 
-    found = items.mapInArrow(walk, "list_no int, task_group int, " + _PAIRS)
-    # With very many tasks a query gets k rows from each: merge groups of tasks
-    # first, so no single sort sees them all.
+    return items.mapInArrow(walk, "list_no int, task_group int, " + _PAIRS + ", near boolean"), shared
+
+
+def _merged(found: DataFrame, ks: list[int]) -> DataFrame:
+    """With very many tasks a query gets k rows from each: groups of tasks are
+    merged first, so no single sort sees them all."""
     limits = F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("list_no") + 1)
     group = Window.partitionBy("list_no", "query_id", "task_group").orderBy(*_order())
     return (
         found.withColumn("place", F.row_number().over(group))
         .filter(F.col("place") <= limits)
-        .drop("place", "task_group")
+        .drop("place", "task_group", "near")
     )
 
 
-def _scan(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    return _top_k(_scan_lists(queries, [k], items).drop("list_no"), k)
+def _many_tasks(items: DataFrame) -> bool:
+    """Whether a walk over the items takes many tasks, by the size its plan expects."""
+    spark = items.sparkSession
+    size = int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return size >= _MANY_TASKS * part
 
 
-def _sliced_lists(queries: DataFrame, ks: list[int], items: DataFrame, limit_bytes: int) -> DataFrame:
-    """:func:`_scan_lists` once per slice of the queries; a slice is about half the limit."""
+def _near_rows(lists: Lists, items: DataFrame) -> DataFrame:
+    """Rows of a walk with floors that can still be wanted; the walk's own rows are stored."""
+    walked, shared = _walked(_with_floors(lists, items), items)
+    stored = materialize(walked, "walked")
+    shared.destroy()
+    counts = stored.filter("near").groupBy("list_no", "query_id").count()
+    enough = {(r["list_no"], r["query_id"]): r["count"] for r in counts.collect()}  # a number per query of the broadcast lists
+    short = [(no, int(i)) for no, ids, _m, k, *_ in lists for i in ids if enough.get((no, int(i)), 0) < k]
+    if not short:
+        return stored.filter("near")
+    few = stored.sparkSession.createDataFrame(short, "list_no int, query_id long").withColumn("short", F.lit(True))
+    return stored.join(F.broadcast(few), ["list_no", "query_id"], "left").filter("near or short").drop("short")
+
+
+def _scan_lists(queries: DataFrame, ks: list[int], items: DataFrame, floors: bool | None = None) -> DataFrame:
+    """One search of the items for several lists.
+
+    ``queries`` and ``items`` hold id and one vector column per list, in the
+    same order; ``ks`` the number of neighbours of each. A query without a
+    vector takes no part in that list. Returns (list_no, query_id, item_id,
+    distance) with at most k rows per list, query and group of tasks.
+    """
+    lists = _lists(queries, ks)
+    if floors if floors is not None else _many_tasks(items):
+        return _merged(_near_rows(lists, items), ks)
+    return _merged(_walked(lists, items)[0], ks)
+
+
+def _scan(queries: DataFrame, items: DataFrame, k: int, floors: bool | None = None) -> DataFrame:
+    return _top_k(_scan_lists(queries, [k], items, floors).drop("list_no"), k)
+
+
+def _sliced_lists(
+    queries: DataFrame, ks: list[int], items: DataFrame, limit_bytes: int, floors: bool | None = None
+) -> DataFrame:
+    """:func:`_scan_lists` once per slice of the queries; a slice is about half the limit.
+
+    Each slice is walked and stored before the next one is read.
+    """
     slices = max(1, -(-2 * vector_bytes(queries, *queries.columns[1:]) // max(1, limit_bytes)))
     number = F.pmod(F.xxhash64("id"), F.lit(slices))
-    found = [_scan_lists(queries.filter(number == s), ks, items) for s in range(slices)]
+    floors = _many_tasks(items) if floors is None else floors
+    found = []
+    for s in range(slices):
+        lists = _lists(queries.filter(number == s), ks)
+        if not lists:
+            continue
+        if floors:
+            found.append(materialize(_merged(_near_rows(lists, items), ks), "slice"))
+            continue
+        walked, shared = _walked(lists, items)
+        found.append(materialize(_merged(walked, ks), "slice"))
+        shared.destroy()
+    if not found:
+        return _merged(_walked([], items)[0], ks)
     return functools.reduce(DataFrame.unionByName, found)
 
 
@@ -270,11 +392,13 @@ def nearest(
     item_id: str = "id",
     limit_bytes: int = 64 << 20,
     method: str | None = None,
+    floors: bool | None = None,
 ) -> DataFrame:
     """The k nearest items of every query: (query_id, item_id, distance, rank).
 
     ``method`` forces ``"scan"`` or ``"slices"``; by default the size of the
-    query vectors decides.
+    query vectors decides. ``floors`` forces the walk for bounds or leaves it
+    out; by default the expected number of tasks decides.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -283,8 +407,8 @@ def nearest(
     if method is None:
         method = "scan" if vector_bytes(q) <= limit_bytes else "slices"
     if method == "scan":
-        return _scan(q, x, k)
-    return _top_k(_sliced_lists(q, [k], x, limit_bytes).drop("list_no"), k)
+        return _scan(q, x, k, floors)
+    return _top_k(_sliced_lists(q, [k], x, limit_bytes, floors).drop("list_no"), k)
 
 
 def nearest_of_few(
@@ -365,7 +489,9 @@ def _merge_lists(both: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def candidates(scenes: DataFrame, tracks: DataFrame, config, method: str | None = None) -> DataFrame:
+def candidates(
+    scenes: DataFrame, tracks: DataFrame, config, method: str | None = None, floors: bool | None = None
+) -> DataFrame:
     """Candidate (scene_query_id, track_query_id, place) of every scene.
 
     The nearest by hybrid vector come first, then unseen ones by ensemble
@@ -379,9 +505,9 @@ def candidates(scenes: DataFrame, tracks: DataFrame, config, method: str | None
     if method is None:
         method = "scan" if vector_bytes(scenes, *by) <= config.broadcast_limit_bytes else "slices"
     if method == "scan":
-        found = _scan_lists(sides[0], ks, sides[1])
+        found = _scan_lists(sides[0], ks, sides[1], floors)
     else:
-        found = _sliced_lists(sides[0], ks, sides[1], config.broadcast_limit_bytes)
+        found = _sliced_lists(sides[0], ks, sides[1], config.broadcast_limit_bytes, floors)
     found = found.repartition("query_id")
     limits = F.when(F.col("list_no") == 0, k_hybrid).otherwise(k_ensemble)
     order = Window.partitionBy("query_id", "list_no").orderBy(*_order())

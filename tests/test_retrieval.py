@@ -50,11 +50,11 @@ def clustered(seed, n, dim=6, copies=False):
 
 
 @pytest.mark.parametrize("method", ["scan", "slices"])
-@pytest.mark.parametrize("k", [1, 7, 60])
-def test_exact_with_hot_copies_nulls_and_zeros(spark, method, k):
+@pytest.mark.parametrize("k,floors", [(1, False), (7, False), (60, False), (1, True), (7, True), (60, True)])
+def test_exact_with_hot_copies_nulls_and_zeros(spark, method, k, floors):
     items = clustered(1, 150, copies=True) + [(900, None), (901, [0.0] * 6), (902, None)]
     queries = clustered(2, 20) + [(500, None), (501, []), (502, [0.0] * 6), (503, [1.0] * 6)]
-    got = retrieval.nearest(frame(spark, queries), frame(spark, items), k, "v", method=method, limit_bytes=400)
+    got = retrieval.nearest(frame(spark, queries), frame(spark, items), k, "v", method=method, limit_bytes=1200, floors=floors)
     assert as_lists(got) == brute(queries, items, k)
 
 
@@ -135,6 +135,49 @@ def test_many_copies_in_bounded_memory():
     assert sorted(set(results[0]["item_id"])) == list(range(30))
 
 
+def test_floors_keep_far_rows_out_of_the_shuffle(spark, monkeypatch):
+    """64 tasks, 100 wanted: without floors 64 x 100 rows a query are merged, with them fewer than 2 x 100."""
+    items, queries, k = clustered(11, 12_800), clustered(12, 30), 100
+    q, x = frame(spark, queries, 2), frame(spark, items, 64)
+    sent = []
+    merged = retrieval._merged
+    monkeypatch.setattr(retrieval, "_merged", lambda found, ks: sent.append(found.count()) or merged(found, ks))
+    got = {f: as_lists(retrieval.nearest(q, x, k, "v", floors=f)) for f in (False, True)}
+    assert got[True] == got[False] == brute(queries, items, k)
+    assert sent[0] == 64 * k * len(queries)
+    assert sent[1] < 2 * k * len(queries)
+
+
+def test_queries_beyond_their_near_bound_fall_back_on_the_sure_one(spark, monkeypatch):
+    items, queries = clustered(13, 3000), clustered(14, 25)
+    monkeypatch.setattr(retrieval, "_hoped", lambda k: 1)  # far too near for nearly all queries
+    q, x = frame(spark, queries, 2), frame(spark, items, 9)
+    assert as_lists(retrieval.nearest(q, x, 20, "v", floors=True)) == brute(queries, items, 20)
+
+
+def test_slices_run_one_after_the_other(spark, monkeypatch):
+    """A slice's vectors leave the driver and the tasks before the next slice is collected."""
+    events, lists, walked = [], retrieval._lists, retrieval._walked
+
+    def collected(*a):
+        out = lists(*a)
+        events.append(("collected", sum(len(x[1]) for x in out)))
+        return out
+
+    def sent(*a):
+        rows, shared = walked(*a)
+        monkeypatch.setattr(shared, "destroy", lambda *_: events.append(("destroyed", 0)))
+        return rows, shared
+
+    monkeypatch.setattr(retrieval, "_lists", collected)
+    monkeypatch.setattr(retrieval, "_walked", sent)
+    items, queries = clustered(15, 60), clustered(16, 40)
+    got = retrieval.nearest(frame(spark, queries), frame(spark, items), 3, "v", method="slices", limit_bytes=1600)
+    assert as_lists(got) == brute(queries, items, 3)
+    assert [e for e, _ in events] == ["collected", "destroyed"] * (len(events) // 2) and len(events) >= 6
+    assert max(n for _, n in events) < 40
+
+
 def test_nearest_of_few(spark):
     items, queries = clustered(4, 12), clustered(5, 30)
     got = retrieval.nearest_of_few(frame(spark, queries), frame(spark, items), 4, "v", "v")
