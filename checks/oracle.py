@@ -564,6 +564,27 @@ def oracle_sql() -> dict[str, str]:
       every as (select id, 'main' as kind, bucket, x from pv where p = 0 union all select id, 'tags', bucket, x from pv where p = 1
         union all select id, 'clap_ensemble', bucket, x from ens union all select id, 'hybrid', bucket, x from hyb)
       select id, kind, cast(bucket as bigint) as pos, {r6('x')} as value from every where abs(x) > 1e-6"""
+    odd = " union all ".join(
+        ["select id, 0 as p, 'Cue ' || v || '. Track ' || v as txt from k where v % 23 <> 5", "select id, 1, 'Summary' from k where v % 29 <> 7"]
+        + [f"select id, {i + 2}, '{p} ' || v // 10 from k" + (" where v % 31 <> 11" if p == "emotion_prompt" else "") for i, p in enumerate(PROMPTS)]
+    )
+    good = "v % 23 <> 5 and v % 29 <> 7 and v % 31 <> 11"
+    wordless = "'the encoder gave no usable vector for ''!!!'''"
+    q["track_vectors"] = f"""with k as (select vec_id + {TRACK_BASE} as id, vec_id as v from embeddings), txt as ({odd}), tok as ({token_rows('txt', 'id, p', 'txt', 64)}),
+      pv as (select id, p, bucket, {as_float('cnt / sqrt(sum(cnt * cnt) over (partition by id, p))')} as x from tok),
+      whole as (select id from k where {good}),
+      e0 as (select id, bucket, sum({weight} * x) as x from pv where p >= 2 and id in (select id from whole) group by id, bucket),
+      ens as (select id, bucket, {as_float('x / sqrt(sum(x * x) over (partition by id))')} as x from e0),
+      h0 as (select id, bucket, sum(x) as x from (
+        select id, bucket, {d(.45)} * x as x from pv where p = 0 union all select id, bucket, {d(.20)} * x from pv where p = 1
+        union all select id, bucket, {d(.35)} * x from ens) where id in (select id from whole) group by id, bucket),
+      hyb as (select id, bucket, {as_float('x / sqrt(sum(x * x) over (partition by id))')} as x from h0),
+      every as (select id, 'main' as kind, bucket, x from pv where p = 0 union all select id, 'tags', bucket, x from pv where p = 1
+        union all select id, 'clap_ensemble', bucket, x from ens union all select id, 'hybrid', bucket, x from hyb)
+      select id, kind, cast(bucket as bigint) as pos, {r6('x')} as value, cast(null as varchar) as error_type, cast(null as varchar) as error from every where abs(x) > 1e-6
+      union all select id, 'main_text', null, null, 'EmptyText', 'main_text is empty' from k where v % 23 = 5
+      union all select id, 'tags_text', null, null, 'NoVector', {wordless} from k where v % 29 = 7
+      union all select id, 'emotion_prompt', null, null, 'ValueError', 'cannot read boom ' || v from k where v % 31 = 11"""
     q["usable_tracks"] = f"with {TRACKS} select id from fx_t where e_hyb is not null"
     q["constraint_report"] = f"""with {_existing_tracks()}, raw as (
         select doc_id, case when doc_id % 7 = 0 then '{{"should_have_tags":[]}}' when doc_id % 7 = 1 then '{{"should_have_tags":"x","must_not_tags":[]}}'
@@ -655,6 +676,18 @@ def oracle_sql() -> dict[str, str]:
         (select string_agg(filepath || ' :: IOError :: bad file', '|' order by filepath) from (select filepath from o where status = 'error' order by filepath limit 50)) as errors from o"""
     q["audio_names"] = """select url as path from (select page_id, url || case page_id % 4 when 0 then '/a.MP3' when 1 then '/._b.wav' when 2 then '/c.flac' else '/d.txt' end as url from pages)
       where regexp_matches(lower(url), '\\.(wav|mp3|flac|ogg|m4a)$') and not regexp_matches(url, '/\\._[^/]*$')"""
+    q["import_run"] = f"""with {TRACKS},{_existing_tracks()}, t as (select *, id - {TRACK_BASE} as v from fx_t),
+        o as (select *, case when filepath in (select filepath from old) then 'skipped' when v % 10 = 9 then 'IOError' when v % 17 = 3 then 'NoSegments'
+            when v % 19 = 4 then 'UnevenSegments' when v % 37 = 8 then 'NoDirection' when v % 23 = 5 then 'EmptyText' when v % 29 = 7 then 'NoVector'
+            when v % 31 = 11 then 'ValueError' else 'inserted' end as s,
+          array_to_string(list_filter([case when v % 23 = 5 then 'main_text: main_text is empty' end,
+            case when v % 29 = 7 then 'tags_text: ' || {wordless} end,
+            case when v % 31 = 11 then 'emotion_prompt: cannot read boom ' || v end], lambda x: x is not null), '; ') as texts from t)
+      select filepath, case when s in ('skipped', 'inserted') then s else 'error' end as status, case when s not in ('skipped', 'inserted') then s end as error_type,
+        case s when 'skipped' then null when 'inserted' then null when 'IOError' then 'bad file' when 'NoSegments' then 'no segment vectors'
+          when 'UnevenSegments' then 'segment vectors of unequal length' when 'NoDirection' then 'the mean of the segment vectors is zero' else texts end as error,
+        case s when 'skipped' then old_title when 'inserted' then 'Cue ' || v end as title
+      from o left join (select filepath, semantic_title_en as old_title from old) using (filepath)"""
     q["upsert_tracks"] = f"""with {TRACKS},{_existing_tracks()} select coalesce(o.id, t.id) as id, coalesce(t.filename, o.filename) as filename, filepath,
       {r6('coalesce(t.duration_sec, o.duration_sec)')} as duration_sec, coalesce(t.semantic_title_en, o.semantic_title_en) as semantic_title_en,
       case when t.id is null then 'kept' when o.id is null then 'inserted' else 'updated' end as merge_action

@@ -640,6 +640,67 @@ def q_audio_names(spark, sf):
     return files.keep_audio(listing).select("path")
 
 
+def _odd_texts(rows: DataFrame, v: Column) -> DataFrame:
+    """Texts of a track: some descriptions empty, some summaries without a word, some prompts the encoder cannot read."""
+    n = v.cast("string")
+    prompt = lambda p: F.when((v % 31 == 11) & F.lit(p == "emotion_prompt"), F.concat(F.lit("boom "), n)).otherwise(
+        F.concat(F.lit(f"{p} "), (F.floor(v / 10)).cast("string"))
+    )
+    return rows.withColumns({
+        "semantic_title_en": F.concat(F.lit("Cue "), n),
+        "description_en": F.when(v % 23 == 5, " ").otherwise(F.concat(F.lit("Track "), n)),
+        "tags_summary_en": F.when(v % 29 == 7, "!!!").otherwise("Summary"),
+        "track_clap_prompt_ensemble": F.struct(*[prompt(p).alias(p) for p in fv.ENSEMBLE_PROMPTS]),
+    })
+
+
+def _picky_encoder() -> embed.Encoder:
+    """The word hashes, but a text with the word boom is refused."""
+    encode = embed.hashing_encoder(64)
+
+    def run(texts):
+        bad = [t for t in texts if "boom" in t]
+        if bad:
+            raise ValueError(f"cannot read {bad[0]}")
+        return encode(texts)
+
+    return run
+
+
+def q_track_vectors(spark, sf):
+    """The vectors of every track, and what its texts lack."""
+    rows = _odd_texts(fx.tracks(spark, sf).select("id"), F.col("id") - fx.TRACK_BASE)
+    rows = materialize(embed.track_vectors(rows, _picky_encoder(), errors="errors"), "track-vectors")
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(f"embedding_{k}").alias("v")) for k in ("main", "tags", "clap_ensemble", "hybrid")
+    ])
+    long = rows.select("id", F.inline(cells)).select("id", "kind", F.posexplode("v").alias("pos", "value"))
+    told = rows.select("id", F.inline("errors")).select("id", F.col("column").alias("kind"), "error_type", "error")
+    return tidy(long.filter(F.abs("value") > 1e-6).unionByName(told, allowMissingColumns=True))
+
+
+def q_import_run(spark, sf):
+    """An import over every vector: known files, broken files, odd segments and odd texts among good ones."""
+    v = F.col("vec_id")
+    lib = fx.tracks(spark, sf).select((F.col("id") - fx.TRACK_BASE).alias("vec_id"), "filename", "filepath", "duration_sec", "bpm", "musical_key")
+    bad = v % 10 == 9
+    features = lib.withColumns({
+        "status": F.when(bad, "error").otherwise("ok"), "error_type": F.when(bad, "IOError"), "error": F.when(bad, "bad file"),
+    }).drop("vec_id")
+    first = F.when(v % 37 == 8, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    second = F.when(v % 19 == 4, F.slice("embedding", 1, 48)).otherwise(first)
+    segments = emb(spark, sf).filter(v % 17 != 3).join(lib.select("vec_id", "filepath"), "vec_id").select(
+        "filepath", F.explode(F.array(first, second)).alias("embedding")
+    )
+    tag_vecs = embed.tag_vectors(taxonomy.with_prompts(taxonomy.default_tags(spark)), embed.hashing_encoder(64))
+    number = F.substring("filename", 5, 5).cast("long")
+    content, outcomes = ingest.import_tracks(
+        features, segments, tag_vecs, _old_tracks(spark, sf), _picky_encoder(),
+        describe=lambda rows: _odd_texts(rows.drop("tag_scores"), number),
+    )
+    return tidy(outcomes.join(content.select("filepath", F.col("semantic_title_en").alias("title")), "filepath", "left"))
+
+
 def q_upsert_tracks(spark, sf):
     incoming = fx.tracks(spark, sf).select("id", "filename", "filepath", "duration_sec", "semantic_title_en")
     return tidy(persist.upsert_tracks(_old_tracks(spark, sf), incoming))

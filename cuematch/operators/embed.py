@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from cuematch import fixed_values as fv
 from cuematch.functions import vectors as V
 from cuematch.functions.text import strip
+from cuematch.plans.storage import materialize
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -44,49 +45,115 @@ def hashing_encoder(dim: int = fv.VECTOR_DIM) -> Encoder:
     return encode
 
 
-def _unit_rows(m: np.ndarray, texts: Sequence[str]) -> np.ndarray:
-    """Rows of length one; a matrix of another shape or a row without direction is an error."""
+_ERRORS = "array<struct<column:string,error_type:string,error:string>>"
+
+
+def _try(encode: Encoder, texts: Sequence[str]) -> list[tuple[np.ndarray | None, str | None, str | None]]:
+    """(unit vector, error type, error) of each text.
+
+    A matrix of another shape is an error of the encoder as a whole and raises.
+    Where the encoder itself fails, the texts are halved until the one is found.
+    """
+    try:
+        m = np.asarray(encode(texts))
+    except Exception as error:  # any model may stand behind it; the text is reported, the others go on
+        if len(texts) == 1:
+            return [(None, type(error).__name__, str(error)[:500])]
+        half = len(texts) // 2
+        return _try(encode, texts[:half]) + _try(encode, texts[half:])
     if m.ndim != 2 or len(m) != len(texts) or not m.shape[1]:
         raise ValueError(f"the encoder gave shape {m.shape} for {len(texts)} texts")
+    m = m.astype(np.float64)
     norms = np.linalg.norm(m, axis=1)
-    bad = np.flatnonzero(~np.isfinite(norms) | (norms == 0))
-    if len(bad):
-        raise ValueError(f"the encoder gave no usable vector for {len(bad)} texts, first {texts[bad[0]][:80]!r}")
-    return m / norms[:, None]
+    good = np.isfinite(norms) & (norms > 0)
+    return [
+        (m[i] / norms[i], None, None) if good[i] else (None, "NoVector", f"the encoder gave no usable vector for {texts[i][:80]!r}")
+        for i in range(len(texts))
+    ]
 
 
-def embed_texts(df: DataFrame, columns: dict[str, str], encoder: Encoder | None = None) -> DataFrame:
-    """Add a unit vector per text column: ``columns`` maps text column to vector column.
+def encoded_texts(texts: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """(hash, text, vector, error_type, error): each distinct text of the column ``text``, encoded once and stored.
 
-    The encoder gets the texts of an Arrow batch and returns a matrix; any
-    model can stand in. An empty or missing text fails the job.
+    Nothing but the texts goes through Python. A text that the encoder cannot
+    take has an error in place of its vector; the others are not touched by it.
     """
     encode = encoder or hashing_encoder()
-    names = df.columns
-    schema = T.StructType(
-        df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType())) for out in columns.values()]
-    )
-    empty = [F.coalesce(strip(F.col(c)), F.lit("")) == "" for c in columns]
-    for c, is_empty in zip(columns, empty):
-        df = df.withColumn(
-            c, F.when(is_empty, F.raise_error(F.lit(f"{c} is empty"))).otherwise(F.col(c))
-        )
-    df = df.select(*names)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = list(batch.columns)
-            for text in columns:
-                texts = batch.column(names.index(text)).to_pylist()
-                matrix = _unit_rows(np.asarray(encode(texts)), texts)
-                flat = pa.array(matrix.astype(np.float32).ravel())
-                offsets = pa.array(np.arange(0, flat.__len__() + 1, matrix.shape[1], dtype=np.int32))
-                out.append(pa.ListArray.from_arrays(offsets, flat))
-            yield pa.RecordBatch.from_arrays(out, names=[*names, *columns.values()])
+            found = _try(encode, batch.column(1).to_pylist())
+            vectors = [None if v is None else v.astype(np.float32) for v, _kind, _text in found]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(vectors, pa.list_(pa.float32())),
+                 pa.array([kind for _v, kind, _text in found], pa.string()), pa.array([text for _v, _kind, text in found], pa.string())],
+                names=["hash", "text", "vector", "error_type", "error"],
+            )
+
+    distinct = texts.select(F.xxhash64("text").alias("hash"), "text").distinct()
+    made = distinct.mapInArrow(run, "hash long, text string, vector array<float>, error_type string, error string")
+    return materialize(made, "encoded")
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(strip(F.col(c)), F.lit("")) == ""
+
+
+def embed_rows(
+    df: DataFrame, columns: dict[str, str], encoder: Encoder | None = None, errors: str = "encode_errors"
+) -> DataFrame:
+    """Add a unit vector per text column, and what went wrong as ``errors``.
 
-    return df.mapInArrow(run, schema)
+    ``columns`` maps text column to vector column. ``errors`` is an array of
+    (column, error_type, error), empty for a row with all its vectors; a failed
+    text has a NULL vector. All columns' texts make one narrow table, in which
+    each distinct text stands once; its vector goes back to the rows by hash and
+    text. With several text columns the rows are stored once under a number.
+    """
+    names = list(columns)
+    answer = F.struct("vector", "error_type", "error")
+    if len(names) == 1:
+        texts = df.filter(~_blank(names[0])).select(F.col(names[0]).alias("text"))
+        known = encoded_texts(texts, encoder).select("hash", F.col("text").alias("_text"), answer.alias("_0"))
+        hashed = df.withColumn("_hash", F.when(~_blank(names[0]), F.xxhash64(names[0])))
+        joined = hashed.join(known, (F.col("_hash") == F.col("hash")) & (F.col(names[0]) == F.col("_text")), "left")
+    else:
+        keyed = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        cells = F.array(*[F.struct(F.lit(i).alias("no"), F.when(~_blank(c), F.col(c)).alias("text")) for i, c in enumerate(names)])
+        long = keyed.select("_row", F.inline(cells)).filter(F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+        known = encoded_texts(long, encoder)
+        one = [F.max_by(answer, F.when(F.col("no") == i, F.lit(1))).alias(f"_{i}") for i in range(len(names))]
+        joined = keyed.join(long.join(known, ["hash", "text"]).groupBy("_row").agg(*one), "_row", "left")
+    told = F.array(*[
+        F.when(_blank(c), F.struct(F.lit(c).alias("column"), F.lit("EmptyText").alias("error_type"), F.lit(f"{c} is empty").alias("error")))
+        .otherwise(F.struct(F.lit(c).alias("column"), F.col(f"_{i}.error_type").alias("error_type"), F.col(f"_{i}.error").alias("error")))
+        for i, c in enumerate(names)
+    ])
+    return joined.select(
+        *[df[c] if len(names) == 1 else F.col(c) for c in df.columns],
+        *[F.col(f"_{i}.vector").alias(out) for i, out in enumerate(columns.values())],
+        F.filter(told, lambda e: e["error_type"].isNotNull()).cast(_ERRORS).alias(errors),
+    )
+
+
+def _first_error(errors: str) -> Column:
+    return F.concat(F.get(errors, F.lit(0))["column"], F.lit(": "), F.get(errors, F.lit(0))["error"])
+
+
+def embed_texts(df: DataFrame, columns: dict[str, str], encoder: Encoder | None = None) -> DataFrame:
+    """:func:`embed_rows` for texts that must all have a vector: any error fails the job.
+
+    The encoder gets the distinct texts of an Arrow batch and returns a matrix;
+    any model can stand in.
+    """
+    rows = embed_rows(df, columns, encoder, "_errors")
+    checked = [
+        F.when(F.size("_errors") > 0, F.raise_error(_first_error("_errors"))).otherwise(F.col(out)).alias(out)
+        for out in columns.values()
+    ]
+    return rows.select(*df.columns, *checked)
 
 
 def ensemble_vector(vectors: Sequence[Column]) -> Column:
@@ -101,41 +168,48 @@ def hybrid_vector(main: Column, tags: Column, ensemble: Column) -> Column:
     return V.weighted_average([main, tags, ensemble], list(fv.HYBRID_WEIGHTS.values()))
 
 
-def _package(df: DataFrame, title: str, description: str, prompts: str, encoder: Encoder | None) -> DataFrame:
+def _package(
+    df: DataFrame, title: str, description: str, prompts: str, encoder: Encoder | None, errors: str | None
+) -> DataFrame:
     kept = df.columns
-    lacking = (F.coalesce(strip(F.col(title)), F.lit("")) == "") | (
-        F.coalesce(strip(F.col(description)), F.lit("")) == ""
-    )
+    lacking = _blank(title) | _blank(description)
     main = F.concat(strip(F.col(title)), F.lit(". "), strip(F.col(description)))
-    texts = df.withColumn(
-        "_main_text", F.when(lacking, F.raise_error(F.lit(f"{title} or {description} is empty"))).otherwise(main)
-    ).withColumn("_tags_text", strip(F.col("tags_summary_en")))
+    texts = df.withColumn("_main_text", F.when(~lacking, main)).withColumn("_tags_text", strip(F.col("tags_summary_en")))
     wanted = {"_main_text": "embedding_main", "_tags_text": "embedding_tags"}
     for name in fv.ENSEMBLE_PROMPTS:
         texts = texts.withColumn(f"_{name}", strip(F.col(f"{prompts}.{name}")))
         wanted[f"_{name}"] = f"_v_{name}"
-    embedded = embed_texts(texts, wanted, encoder)
+    embedded = embed_rows(texts, wanted, encoder, "_errors")
+    lengths = F.array_distinct(F.filter(F.array(*[F.size(v) for v in wanted.values()]), lambda n: n > 0))
+    uneven = F.struct(F.lit("").alias("column"), F.lit("UnevenVectors").alias("error_type"), F.lit("vectors of unequal length").alias("error"))
+    labelled = F.transform("_errors", lambda e: F.struct(
+        F.ltrim(e["column"], F.lit("_")).alias("column"), e["error_type"].alias("error_type"), F.ltrim(e["error"], F.lit("_")).alias("error")
+    ))
+    embedded = embedded.withColumn("_errors", F.when((F.size("_errors") == 0) & (F.size(lengths) > 1), F.array(uneven)).otherwise(labelled))
+    good = F.size("_errors") == 0
+    if errors is None:
+        good = F.when(~good, F.raise_error(_first_error("_errors")).cast("boolean")).otherwise(F.lit(True))
+    whole = lambda v: F.when(good, v.cast("array<float>"))
     ensemble = ensemble_vector([F.col(f"_v_{name}") for name in fv.ENSEMBLE_PROMPTS])
-    return (
-        embedded.withColumn("embedding_clap_ensemble", ensemble.cast("array<float>"))
-        .withColumn(
-            "embedding_hybrid",
-            hybrid_vector(
-                F.col("embedding_main"), F.col("embedding_tags"), F.col("embedding_clap_ensemble")
-            ).cast("array<float>"),
-        )
-        .select(*kept, "embedding_main", "embedding_tags", "embedding_clap_ensemble", "embedding_hybrid")
+    out = embedded.withColumn("embedding_clap_ensemble", whole(ensemble)).withColumn(
+        "embedding_hybrid", whole(hybrid_vector(F.col("embedding_main"), F.col("embedding_tags"), F.col("embedding_clap_ensemble")))
     )
+    told = [] if errors is None else [F.col("_errors").alias(errors)]
+    return out.select(*kept, "embedding_main", "embedding_tags", "embedding_clap_ensemble", "embedding_hybrid", *told)
+
 
+def scene_vectors(records: DataFrame, encoder: Encoder | None = None, errors: str | None = None) -> DataFrame:
+    """Add the four vectors of a scene record.
 
-def scene_vectors(records: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """Add the four vectors of a scene record."""
-    return _package(records, "theme_title_en", "description_en", "clap_prompt_ensemble", encoder)
+    A text without a vector fails the job, or, with ``errors``, is told in that
+    column (see :func:`embed_rows`); such a row lacks its two averaged vectors.
+    """
+    return _package(records, "theme_title_en", "description_en", "clap_prompt_ensemble", encoder, errors)
 
 
-def track_vectors(contracts: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """Add the four text vectors of a track; the audio vector comes from :func:`mean_pool`."""
-    return _package(contracts, "semantic_title_en", "description_en", "track_clap_prompt_ensemble", encoder)
+def track_vectors(contracts: DataFrame, encoder: Encoder | None = None, errors: str | None = None) -> DataFrame:
+    """Add the four text vectors of a track, as :func:`scene_vectors`; the audio vector comes from :func:`mean_pool`."""
+    return _package(contracts, "semantic_title_en", "description_en", "track_clap_prompt_ensemble", encoder, errors)
 
 
 def tag_vectors(tags: DataFrame, encoder: Encoder | None = None) -> DataFrame:
@@ -170,8 +244,9 @@ def score_tags(
 ) -> DataFrame:
     """Cosine of each track with every tag, packed as ``tag_scores`` per track.
 
-    The tag vectors are at most one row per tag of the taxonomy; their size is
-    checked before they are sent to the tasks. Beyond the limit they go in slices,
+    A tag of another length than a track scores 0 with it. The tag vectors are at
+    most one row per tag of the taxonomy; their size is checked before they are
+    sent to the tasks. Beyond the limit they go in slices,
     and the slices' scores of a track are put together. Tracks are not shuffled
     otherwise.
     """
@@ -188,12 +263,11 @@ def score_tags(
 
 
 def _score_some(tracks: DataFrame, tag_vecs: DataFrame, track_vec: str, track_id: str) -> DataFrame:
-    from cuematch.operators.retrieval import _lengths, _matrix, _unit
+    from cuematch.operators.retrieval import _by_width, _unit
 
     table = tag_vecs.select("tag_no", "category", "name", "embedding").toArrow().sort_by("tag_no")
     column = table.column("embedding").combine_chunks()
-    matrix, _ = _matrix(column, int(_lengths(column).max()) if len(column) else 0)
-    units, _ = _unit(matrix)
+    units = {m.shape[1]: (at, _unit(m)[0]) for at, m in _by_width(column)}
     info = [table.column(c).to_pylist() for c in ("tag_no", "category", "name")]
     shared = tracks.sparkSession.sparkContext.broadcast((units, info))
 
@@ -203,9 +277,12 @@ def _score_some(tracks: DataFrame, tag_vecs: DataFrame, track_vec: str, track_id
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u, _ = _unit(_matrix(batch.column(1), tags.shape[1])[0])
-            sims = u @ tags.T
-            n, k = sims.shape
+            n, k = batch.num_rows, len(numbers)
+            sims = np.zeros((n, k))
+            for rows, vectors in _by_width(batch.column(1)):
+                if vectors.shape[1] in tags:
+                    at, own = tags[vectors.shape[1]]
+                    sims[np.ix_(rows, at)] = _unit(vectors)[0] @ own.T
             values = pa.StructArray.from_arrays(
                 [
                     pa.array(np.tile(np.array(numbers, dtype=np.int32), n)),
@@ -215,7 +292,7 @@ def _score_some(tracks: DataFrame, tag_vecs: DataFrame, track_vec: str, track_id
                 ],
                 fields=list(kind),
             )
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), values)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), values)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "tag_scores"])
 
     narrow = tracks.select(F.col(track_id).alias("id"), F.col(track_vec).alias("vec"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,15 +58,33 @@ def ingest_report(outcomes: DataFrame, samples: int = 50) -> DataFrame:
     return counts.withColumn("one", F.lit(1)).join(listed.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def _outcome(rows: DataFrame, status: str, error_type: Column | None = None, error: Column | None = None) -> DataFrame:
+    none = F.lit(None)
+    return rows.select(
+        "filepath", F.lit(status).alias("status"),
+        (none if error_type is None else error_type).cast("string").alias("error_type"),
+        (none if error is None else error).cast("string").alias("error"),
+    )
+
+
 def import_tracks(
     features: DataFrame, segment_vectors: DataFrame, tag_vecs: DataFrame, existing: DataFrame,
-    encoder=None, skip_existing: bool = True,
+    encoder=None, skip_existing: bool = True, describe: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(new track content, outcomes) of an import run.
+    """(new track content, outcomes) of an import run that no single file can stop.
 
     ``features`` holds one row per scanned file: filename, filepath,
     duration_sec, bpm, musical_key, audio_analysis, segmentation, status,
     error_type, error. ``segment_vectors`` is (filepath, embedding).
+    ``describe`` makes contract rows of tracks with tag scores, by default
+    :func:`contract.track_contracts`.
+
+    Every scanned file has one row (filepath, status, error_type, error) in
+    ``outcomes``: ``inserted``, ``updated``, ``skipped``, or ``error`` where its
+    features failed, its segments are missing (``NoSegments``), of unequal length
+    (``UnevenSegments``) or without direction (``NoDirection``), or a text has no
+    vector (the encoder's error and the texts concerned). Only files without an
+    error are in the content.
     """
     from cuematch.operators import contract, embed
     from cuematch.plans.persist import upsert_tracks
@@ -72,30 +92,42 @@ def import_tracks(
 
     fresh = left_to_import(features, existing) if skip_existing else features
     good = fresh.filter(F.col("status") == "ok")
-    pooled = embed.mean_pool(segment_vectors, "filepath", "embedding").select(
+    numbers = F.size("embedding")
+    sized = segment_vectors.groupBy("filepath").agg(F.min(numbers).alias("least"), F.max(numbers).alias("most"))
+    checked = good.join(sized, "filepath", "left").withColumn(
+        "problem", F.when(F.col("least").isNull() | (F.col("most") < 1), "NoSegments").when(F.col("least") != F.col("most"), "UnevenSegments")
+    )
+    even = segment_vectors.join(sized.filter("least = most and least > 0").select("filepath"), "filepath", "left_semi")
+    pooled = embed.mean_pool(even, "filepath", "embedding").select(
         "filepath", F.col("embedding").cast("array<float>").alias("embedding_audio")
     )
-    ready = good.join(pooled, "filepath").withColumn("id", F.xxhash64("filepath"))
-    ready = materialize(ready, "ready")
+    directed = F.exists("embedding_audio", lambda x: (x != 0) & ~F.isnan(x))
+    audible = checked.join(pooled, "filepath", "left").withColumn(
+        "problem", F.coalesce("problem", F.when(~F.coalesce(directed, F.lit(False)), "NoDirection"))
+    ).drop("least", "most")
+    audible = materialize(audible, "audible")
+    ready = audible.filter(F.col("problem").isNull()).drop("problem").withColumn("id", F.xxhash64("filepath"))
     scores = embed.score_tags(ready, tag_vecs, track_id="filepath").withColumnRenamed("id", "filepath")
     scored = ready.join(scores, "filepath")
-    rows = contract.track_contracts(scored.drop("status", "error_type", "error"))
-    # Encoded once; both results read the table.
-    content = materialize(upsert_tracks(existing, embed.track_vectors(rows, encoder)), "tracks")
-    done = content.filter(F.col("merge_action") != "kept").select(
-        "filepath", F.col("merge_action").alias("status"),
-        F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error"),
-    )
-    failed = fresh.filter(F.col("status") == "error").select("filepath", "status", "error_type", "error")
-    silent = good.join(pooled, "filepath", "left_anti").select(
-        "filepath", F.lit("error").alias("status"), F.lit("NoSegments").alias("error_type"),
-        F.lit("no segment vectors").alias("error"),
+    rows = (describe or contract.track_contracts)(scored.drop("status", "error_type", "error"))
+    # Encoded once; content and outcomes read the table.
+    encoded = materialize(embed.track_vectors(rows, encoder, errors="encode_errors"), "encoded-tracks")
+    whole = encoded.filter(F.size("encode_errors") == 0).drop("encode_errors")
+    content = materialize(upsert_tracks(existing, whole), "tracks")
+
+    merged = content.filter(F.col("merge_action") != "kept")
+    done = merged.select("filepath", F.col("merge_action").alias("status"), *[F.lit(None).cast("string").alias(c) for c in ("error_type", "error")])
+    told = {"NoSegments": "no segment vectors", "UnevenSegments": "segment vectors of unequal length", "NoDirection": "the mean of the segment vectors is zero"}
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in told.items() for x in pair]), F.col("problem"))
+    failed = fresh.filter(F.col("status") == "error")
+    silent = audible.filter(F.col("problem").isNotNull())
+    wordless = encoded.filter(F.size("encode_errors") > 0)
+    texts = F.concat_ws("; ", F.transform("encode_errors", lambda e: F.concat_ws(": ", F.when(e["column"] != "", e["column"]), e["error"])))
+    outcomes = (
+        done.unionByName(_outcome(failed, "error", F.col("error_type"), F.col("error")))
+        .unionByName(_outcome(silent, "error", F.col("problem"), named))
+        .unionByName(_outcome(wordless, "error", F.get("encode_errors", F.lit(0))["error_type"], texts))
     )
-    outcomes = done.unionByName(failed).unionByName(silent)
     if skip_existing:
-        skipped = already_indexed(features, existing).select(
-            "filepath", F.lit("skipped").alias("status"),
-            F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error"),
-        )
-        outcomes = outcomes.unionByName(skipped)
+        outcomes = outcomes.unionByName(_outcome(already_indexed(features, existing), "skipped"))
     return content, outcomes

@@ -200,3 +200,54 @@ def test_tag_scores_in_slices(spark):
         for n in (64 << 20, 2000)
     )
     assert whole == sliced and len(whole[1]) == 122
+
+
+def test_tags_of_another_length_score_zero(spark):
+    """One longer tag, in whatever slice, takes nothing from the others."""
+    tags = spark.createDataFrame(
+        [(0, "c", "a", [1.0, 0.0]), (1, "c", "b", [0.0, 2.0]), (2, "c", "long", [1.0, 1.0, 1.0, 1.0]), (3, "c", "none", None)],
+        "tag_no int, category string, name string, embedding array<float>",
+    )
+    tracks = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0, 0.0, 2.0]), (4, None)], "id long, embedding_audio array<float>")
+    want = {1: [1, 0, 0, 0], 2: [0, 1, 0, 0], 3: [0, 0, 0.5, 0], 4: [0, 0, 0, 0]}
+    for limit in (64 << 20, 60):
+        got = {r["id"]: [t["score"] for t in r["tag_scores"]] for r in embed.score_tags(tracks, tags, limit_bytes=limit).collect()}
+        assert got == want
+
+
+def test_each_distinct_text_is_encoded_once(spark, tmp_path):
+    encode, folder = embed.hashing_encoder(8), str(tmp_path)
+
+    def counting(texts):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        return encode(texts)
+
+    rows = spark.createDataFrame([(i, f"title {i % 3}", "same" if i % 2 else f"title {i % 5}") for i in range(60)], "id long, a string, b string").repartition(7)
+    out = embed.embed_rows(rows, {"a": "va", "b": "vb"}, counting)
+    got = {r["id"]: (r["va"], r["vb"], r["encode_errors"]) for r in out.collect()}
+    out.count()
+    seen = [t for f in tmp_path.iterdir() for t in f.read_text().split("\n")]
+    assert sorted(seen) == sorted({f"title {i}" for i in range(5)} | {"same"})
+    unit = lambda t: (encode([t])[0] / np.linalg.norm(encode([t])[0])).tolist()
+    assert len(got) == 60
+    for i, (va, vb, errors) in got.items():
+        assert va == pytest.approx(unit(f"title {i % 3}")) and vb == pytest.approx(unit("same" if i % 2 else f"title {i % 5}")) and errors == []
+
+
+def test_a_bad_text_is_a_row_and_stops_nothing(spark):
+    encode = embed.hashing_encoder(8)
+
+    def picky(texts):
+        if any("boom" in t for t in texts):
+            raise KeyError("boom")
+        return encode(texts)
+
+    rows = spark.createDataFrame([(1, "fine"), (2, " "), (3, "a boom"), (4, "!!"), (5, None), (6, "fine")], "id long, t string")
+    got = {r["id"]: (r["v"] is not None, [(e["column"], e["error_type"]) for e in r["encode_errors"]]) for r in embed.embed_rows(rows, {"t": "v"}, picky).collect()}
+    assert got == {1: (True, []), 2: (False, [("t", "EmptyText")]), 3: (False, [("t", "KeyError")]), 4: (False, [("t", "NoVector")]),
+                   5: (False, [("t", "EmptyText")]), 6: (True, [])}
+    plan = embed.embed_rows(rows, {"t": "v"}, picky)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # the rows meet the stored vectors; only the narrow table of texts went through Python
