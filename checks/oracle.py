@@ -723,6 +723,32 @@ def oracle_sql() -> dict[str, str]:
         case when doc_id % 11 = 5 then 'sound_character_target is not a list of texts' end], lambda x: x is not null), '|') as issues from documents"""
     q["assemble_records"] = """select doc_id + 1 as scene_nr, cast(k as bigint) as theme_nr, 'why' as segmentation_reason, 'T' || doc_id || '-' || k as theme_title_en,
         'sum ' || doc_id as tags_summary_en from documents, (select unnest([1, 2]) as k)"""
+    scene_parts = f"""n as (select doc_id, {whitespace_sql('text')} as text from documents),
+        p as (select doc_id, string_split(regexp_replace(text, '(?mi){HEADER}', chr(64976) || '\\0', 'g'), chr(64976))[2:] as parts from n where doc_id % 17 <> 9),
+        x as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as k from p),
+        y as (select doc_id, k, {strip_sql('part')} as scene_txt from x),
+        sc as (select doc_id as e, row_number() over (partition by doc_id order by k) as n, scene_txt from y where scene_txt <> '')"""
+    q["scene_import"] = f"""with {SCENES}, {match_old}, {scene_parts},
+        lists as (select * from sc where n % 7 <> 3 and e % 11 <> 5), twice as (select * from sc where e % 5 <> 2 and e % 29 = 3 and n = 2),
+        asked as (select * from sc where e % 5 <> 2 and not (e % 29 = 3 and n = 2)),
+        made as (select l.* from lists l join asked using (e, n) where e > 0),
+        r(e, n, k, stage, reason) as (
+          select null, null, null, 'text', 'no episode number in the file name' from documents where doc_id % 17 = 9
+          union all select doc_id, null, null, 'text', case when coalesce(text, '') = '' then 'empty text' else 'no scene headers found, expected keyword "' || '{HEADER}' || '"' end
+            from n where doc_id % 17 <> 9 and doc_id not in (select e from sc)
+          union all select e, 100000, null, 'answers', 'theme list without a scene' from sc where n = 1
+          union all select e, n, null, 'answers', 'scene without a theme list' from sc where n % 7 = 3
+          union all select e, n, null, 'answers', 'themes[0].theme_title_en is empty' from sc where n % 7 <> 3 and e % 11 = 5
+          union all select e, n, 1, 'answers', 'several answers for one theme query' from twice, (values (1), (2))
+          union all select e, n, null, 'answers', 'numbers must be positive' from lists where e = 0
+          union all select e, n, 1, 'answers', 'theme without a valid query' from lists l where e > 0 and not exists (from asked a where a.e = l.e and a.n = l.n)
+          union all select e, n, 1, 'answers', 'query without a theme' from asked a where not exists (from lists l where l.e = a.e and l.n = a.n and l.e > 0)
+          union all select e, n, 1, 'vectors', 'tags_text: ' || {wordless} from made where e % 13 = 6)
+      select 'scene' as kind, e as episode_nr, n as scene_nr, cast(1 as bigint) as theme_nr, 'T' || e as theme_title_en, cast(length(scene_txt) as bigint) as n, cast(null as varchar) as note
+        from made where e % 13 <> 6
+      union all select 'scene', {PLACE}, theme_title_en, length('Text ' || id), null from fx_s where episode_nr not in (select e from sc)
+      union all select 'reject', e, n, k, stage, null, reason from r
+      union all select 'match', episode_nr, scene_query_id, null, null, track_query_id, null from om where episode_nr not in (select e from sc)"""
     q["assembly_rejects"] = """with k as (select doc_id, doc_id % 6 as m, doc_id % 5 = 2 and k = 2 as no_query, k from documents, (select unnest([1, 2]) as k))
       select -(doc_id + 1) as scene_nr, cast(null as bigint) as theme_nr, 'numbers must be positive' as reason from documents where doc_id % 6 = 5
       union all select doc_id + 1, cast(k as bigint), 'theme without a valid query' from k where m < 4 and no_query

@@ -20,7 +20,7 @@ from cuematch import fixed_values as fv
 from cuematch.functions import arrays, hints, text
 from cuematch.functions import vectors as V
 from cuematch.operators import contract, embed, ranking, retrieval, scenes, scoring, signals, tags, validate
-from cuematch.plans import catalog, ingest, matching, persist, reports, views
+from cuematch.plans import catalog, ingest, matching, persist, reports, scene_run, versions, views
 from cuematch.plans.storage import materialize, run_dir, spread
 from cuematch.session import ship
 from cuematch.sources import decode, files, taxonomy
@@ -707,17 +707,19 @@ def q_upsert_tracks(spark, sf):
 
 
 def q_upsert_published(spark, sf):
-    """Two upserts through the published table; of two incoming rows of a path the later one counts."""
+    """Two upserts into buckets on storage; of two incoming rows of a path the later one counts."""
     path = f"{run_dir(spark)}/published-{uuid.uuid4().hex}"
     stamp = lambda day: F.lit(f"2024-01-0{day}").cast("timestamp_ntz")
-    persist.publish(_old_tracks(spark, sf).withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), path)
+    old = _old_tracks(spark, sf).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    table = versions.Table("tracks", ("filepath",), buckets=16)
+    versions.commit(spark, path, [versions.Change(table, old)], None)
     new = fx.tracks(spark, sf).select("id", "filename", "filepath", "duration_sec", "semantic_title_en")
     early = new.withColumn("semantic_title_en", F.lit("early")).withColumn("updated_at", stamp(1))
     both = new.withColumn("updated_at", stamp(2)).unionByName(early)
     for rows in (early, both):
-        persist.publish(persist.upsert_tracks(persist.published(spark, path), rows).drop("merge_action"), path)
-    persist.drop_old_versions(spark, path)
-    out = persist.published(spark, path).withColumn("stamped", F.col("updated_at").isNotNull())
+        versions.merge(rows, path, "tracks")
+    versions.drop_old(spark, path)
+    out = versions.read(spark, path, "tracks").withColumn("stamped", F.col("updated_at").isNotNull())
     return tidy(out.drop("updated_at"))
 
 
@@ -843,6 +845,45 @@ def _answers(spark, sf) -> tuple[DataFrame, DataFrame]:
     return scenes.split_valid(lists)[0], scenes.split_valid(queries)[0]
 
 
+def q_scene_import(spark, sf):
+    """Texts of all documents with their stored answers into a store that holds scenes and matches."""
+    path = f"{run_dir(spark)}/scenes-{uuid.uuid4().hex}"
+    old, _new = _match_tables(spark, sf)
+    kept = fx.scenes(spark, sf).select(*PLACE, "theme_title_en", "theme_txt")
+    versions.commit(spark, path, [versions.Change(scene_run.SCENE_TABLE, kept), versions.Change(scene_run.MATCH_TABLE, old)], None)
+    raw = spread(fx.table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.concat(F.lit("doc_"), F.when(F.col("doc_id") % 17 != 9, F.col("doc_id").cast("string")).otherwise("x"), F.lit(".txt")).alias("file_name"), "text"
+    )
+    found = _once("found", spark, sf, lambda: scenes.scenes_of(files.prepare_screenplays(raw), HEADER)[0])
+    e, n = F.col("episode_nr"), F.col("scene_nr")
+    theme = F.struct(
+        F.lit("t").alias("theme_title_pl"), F.when(e % 11 == 5, " ").otherwise(F.concat(F.lit("T"), e.cast("string"))).alias("theme_title_en"),
+        F.lit("d").alias("description_en"), F.col("scene_txt").alias("theme_txt"),
+    )
+    lists = found.filter(n % 7 != 3).select(
+        "episode_nr", "scene_nr", F.to_json(F.struct(F.array(theme).alias("themes"), F.lit("why").alias("segmentation_reason"))).alias("answer")
+    )
+    stray = lists.filter("scene_nr = 1").withColumn("scene_nr", F.lit(100_000))
+    asked = found.filter(e % 5 != 2).select(
+        "episode_nr", "scene_nr", F.lit(1).alias("theme_nr"),
+        _query_json(F.when(e % 13 == 6, "!!!").otherwise(F.concat(F.lit("sum "), n.cast("string"))), F.lit("dialogue"), F.array(F.lit("wide"))).alias("answer"),
+    )
+    twice = asked.filter((e % 29 == 3) & (n == 2))
+    scene_run.import_scenes(raw, lists.unionByName(stray), asked.unionByName(twice), path, embed.hashing_encoder(64), HEADER)
+    none = F.lit(None)
+    s = versions.read(spark, path, "scenes").select(
+        F.lit("scene").alias("kind"), *PLACE, "theme_title_en", F.char_length("theme_txt").alias("n"), none.cast("string").alias("note")
+    )
+    r = versions.read(spark, path, "rejects").select(
+        F.lit("reject").alias("kind"), *PLACE, F.col("stage").alias("theme_title_en"), none.cast("int").alias("n"), F.col("reason").alias("note")
+    )
+    m = versions.read(spark, path, "matches").select(
+        F.lit("match").alias("kind"), "episode_nr", F.col("scene_query_id").alias("scene_nr"), none.cast("int").alias("theme_nr"),
+        none.cast("string").alias("theme_title_en"), F.col("track_query_id").alias("n"), none.cast("string").alias("note"),
+    )
+    return tidy(s.unionByName(r).unionByName(m))
+
+
 def q_assembly_rejects(spark, sf):
     """Themes whose query is lost, queries whose list is, and lists without a number."""
     lists, asked = _answers(spark, sf)

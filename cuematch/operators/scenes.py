@@ -29,7 +29,7 @@ def scenes_of(screenplays: DataFrame, header: str = fv.SCENE_HEADER) -> tuple[Da
         .when(F.coalesce("text", F.lit("")) == "", "empty text")
         .when(F.size(split) == 0, f'no scene headers found, expected keyword "{keyword}"')
     )
-    rejects = screenplays.select("file_name", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    rejects = screenplays.select("file_name", "episode_nr", reason.alias("reason")).filter(F.col("reason").isNotNull())
     return scenes, rejects
 
 

@@ -9,7 +9,7 @@ from checks import queries as q
 from checks import standins as fx
 from cuematch import fixed_values as fv
 from cuematch.operators import contract, embed, ranking, scenes, signals, validate
-from cuematch.plans import catalog, ingest, matching, persist, reports, storage, views
+from cuematch.plans import catalog, ingest, matching, persist, reports, scene_run, storage, versions, views
 from cuematch.sources import decode, files, taxonomy
 
 
@@ -311,3 +311,102 @@ def test_kinds_of_stored_answers(spark):
     got = {r["id"]: set(r["issues"]) for r in scenes.check_theme_lists(df).collect()}
     assert {"themes[0].theme_title_pl is not a text", "themes[0].description_en is not a text", "segmentation_reason is not a text"} <= got[0]
     assert got[1] == set() and got[2]
+
+
+# --- versioned stores --------------------------------------------------------
+
+TRACKS_IN_BUCKETS = versions.Table("tracks", ("filepath",), buckets=8)
+
+
+def _stored(spark, path, rows):
+    make = spark.createDataFrame(rows, "id long, filepath string, note string, updated_at timestamp_ntz")
+    return versions.commit(spark, path, [versions.Change(TRACKS_IN_BUCKETS, make)], versions.current(spark, path))
+
+
+def _new(spark, rows):
+    return spark.createDataFrame(rows, "id long, filepath string, note string")
+
+
+def test_merge_leaves_untouched_buckets_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    first = _stored(spark, path, [(i, f"f{i}", "old", None) for i in range(100)])
+    second = versions.merge(_new(spark, [(900, "f7", "new"), (901, "fresh", "new")]), path, "tracks")
+    assert (first, second) == (0, 1)
+    before, after = (versions.parts(spark, path, "tracks", v) for v in (0, 1))
+    where = {r["filepath"]: r["b"] for r in _new(spark, [(0, "f7", ""), (0, "fresh", "")]).select("filepath", TRACKS_IN_BUCKETS.part().alias("b")).collect()}
+    assert {k for k in after if after[k] != before.get(k)} == set(where.values())
+    assert len(before) == 8 and sum(after[k] == before[k] for k in before) >= 6
+    files = lambda version: {f for f in versions.read(spark, path, "tracks", version=version).inputFiles() if f.split("cuematch_part=")[1].split("/")[0] not in where.values()}
+    assert files(0) == files(1) and files(0)
+    got = {r["filepath"]: (r["id"], r["note"], r["updated_at"] is not None) for r in versions.read(spark, path, "tracks").collect()}
+    assert len(got) == 101 and got["f7"] == (7, "new", True) and got["fresh"] == (901, "new", True) and got["f8"] == (8, "old", False)
+    assert versions.read(spark, path, "tracks", version=0).filter("note = 'new'").isEmpty()
+    versions.drop_old(spark, path)
+    assert versions.versions(spark, path) == [1] and versions.read(spark, path, "tracks").count() == 101
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    base = _stored(spark, path, [(1, "a", "old", None)])
+    change = lambda note: [versions.Change(TRACKS_IN_BUCKETS, _new(spark, [(1, "a", note)]))]
+    versions.commit(spark, path, change("one"), base)
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, change("two"), base)
+    assert [r["note"] for r in versions.read(spark, path, "tracks").collect()] == ["one"]
+    with pytest.raises(ValueError, match="outside"):
+        versions.commit(spark, path, [versions.Change(TRACKS_IN_BUCKETS, _new(spark, [(1, "a", "x")]), [])], 1)
+
+
+def test_emptied_and_empty_tables(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    _stored(spark, path, [])
+    assert versions.read(spark, path, "tracks").collect() == [] and versions.parts(spark, path, "tracks") == {}
+    versions.merge(_new(spark, [(1, "a", "n")]), path, "tracks")
+    assert versions.read(spark, path, "tracks").count() == 1
+    gone = _new(spark, [(1, "a", "")])
+    base = versions.current(spark, path)
+    versions.commit(spark, path, [versions.replacing(spark, path, base, TRACKS_IN_BUCKETS, gone.limit(0), gone)], base)
+    assert versions.read(spark, path, "tracks").collect() == []
+
+
+def _scene_inputs(spark, title="Good title"):
+    plays = spark.createDataFrame(
+        [("ep 7.txt", "SCENA 1\nfirst\nSCENA 2\nsecond"), ("ep 8.txt", "no header"), ("none.txt", "SCENA 1 x"), ("a9.txt", "SCENA 1 x"), ("b9.txt", "SCENA 1 y")],
+        "file_name string, text string",
+    )
+    theme = lambda t: f'{{"themes": [{{"theme_title_pl":"a","theme_title_en":"{t}","description_en":"c","theme_txt":"d"}}], "segmentation_reason": " y "}}'
+    lists = spark.createDataFrame([(7, 1, theme(title)), (7, 2, theme("Other"))], "episode_nr int, scene_nr int, answer string")
+    answers = spark.range(1).select(q._query_json(F.lit("sum"), F.lit("dialogue"), F.array(F.lit("wide")))).first()[0]
+    queries = spark.createDataFrame([(7, 1, 1, answers), (7, 2, 1, answers)], "episode_nr int, scene_nr int, theme_nr int, answer string")
+    return plays, lists, queries
+
+
+def test_scene_run_is_one_commit(spark, tmp_path):
+    path = f"file://{tmp_path}/scenes"
+    version = scene_run.import_scenes(*_scene_inputs(spark), path, embed.hashing_encoder(16))
+    assert version == 0
+    rows = versions.read(spark, path, "scenes").orderBy("scene_nr").collect()
+    assert [(r["episode_nr"], r["scene_nr"], r["theme_title_en"], len(r["embedding_hybrid"])) for r in rows] == [(7, 1, "Good title", 16), (7, 2, "Other", 16)]
+    told = sorted((r["file_name"], r["stage"], r["reason"].split(",")[0]) for r in versions.read(spark, path, "rejects").collect())
+    assert told == [
+        ("a9.txt", "text", "several files have this episode number"), ("b9.txt", "text", "several files have this episode number"),
+        ("ep 8.txt", "text", "no scene headers found"), ("none.txt", "text", "no episode number in the file name"),
+    ]
+    matches = spark.createDataFrame([(7, 1, 5), (1, 2, 5)], "episode_nr int, scene_query_id long, track_query_id long")
+    versions.commit(spark, path, [versions.Change(scene_run.MATCH_TABLE, matches)], 0)
+    # a theme without its query is lost with its reason; the episode's matches go in the same commit
+    plays, lists, queries = _scene_inputs(spark, "New title")
+    assert scene_run.import_scenes(plays, lists, queries.filter("scene_nr = 1"), path, embed.hashing_encoder(16)) == 2
+    assert [r["theme_title_en"] for r in versions.read(spark, path, "scenes").collect()] == ["New title"]
+    assert sorted((r["scene_nr"], r["stage"]) for r in versions.read(spark, path, "rejects").filter("scene_nr is not null").collect()) == [(2, "answers")]
+    assert [r["episode_nr"] for r in versions.read(spark, path, "matches").collect()] == [1]
+    assert versions.read(spark, path, "scenes", version=1).count() == 2
+
+
+def test_failed_scene_run_changes_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/scenes"
+    scene_run.import_scenes(*_scene_inputs(spark), path, embed.hashing_encoder(16))
+    with pytest.raises(Exception, match="shape"):
+        scene_run.import_scenes(*_scene_inputs(spark, "New"), path, lambda texts: [[1.0]])
+    assert versions.versions(spark, path) == [0]
+    assert sorted(r["theme_title_en"] for r in versions.read(spark, path, "scenes").collect()) == ["Good title", "Other"]
