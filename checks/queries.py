@@ -854,16 +854,17 @@ def q_scene_import(spark, sf):
     raw = spread(fx.table(spark, sf, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("doc_"), F.when(F.col("doc_id") % 17 != 9, F.col("doc_id").cast("string")).otherwise("x"), F.lit(".txt")).alias("file_name"), "text"
     )
-    found = _once("found", spark, sf, lambda: scenes.scenes_of(files.prepare_screenplays(raw), HEADER)[0])
+    split = scenes.scenes_of(files.prepare_screenplays(raw), HEADER)[0]
+    found = _once("found", spark, sf, lambda: split.select("episode_nr", "scene_nr"))
     e, n = F.col("episode_nr"), F.col("scene_nr")
     theme = F.struct(
         F.lit("t").alias("theme_title_pl"), F.when(e % 11 == 5, " ").otherwise(F.concat(F.lit("T"), e.cast("string"))).alias("theme_title_en"),
         F.lit("d").alias("description_en"), F.col("scene_txt").alias("theme_txt"),
     )
-    lists = found.filter(n % 7 != 3).select(
+    lists = split.filter(n % 7 != 3).select(
         "episode_nr", "scene_nr", F.to_json(F.struct(F.array(theme).alias("themes"), F.lit("why").alias("segmentation_reason"))).alias("answer")
     )
-    stray = lists.filter("scene_nr = 1").withColumn("scene_nr", F.lit(100_000))
+    stray = found.filter("scene_nr = 1").select("episode_nr", F.lit(100_000).alias("scene_nr"), F.lit("{}").alias("answer"))
     asked = found.filter(e % 5 != 2).select(
         "episode_nr", "scene_nr", F.lit(1).alias("theme_nr"),
         _query_json(F.when(e % 13 == 6, "!!!").otherwise(F.concat(F.lit("sum "), n.cast("string"))), F.lit("dialogue"), F.array(F.lit("wide"))).alias("answer"),

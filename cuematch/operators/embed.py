@@ -72,8 +72,13 @@ def _try(encode: Encoder, texts: Sequence[str]) -> list[tuple[np.ndarray | None,
     ]
 
 
+def _digest(c: Column | str) -> Column:
+    """What stands for a text in joins: 32 bytes, however long it is."""
+    return F.unhex(F.sha2(c, 256))
+
+
 def encoded_texts(texts: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """(hash, text, vector, error_type, error): each distinct text of the column ``text``, encoded once and stored.
+    """(digest, vector, error_type, error): each distinct text of the column ``text``, encoded once and stored.
 
     Nothing but the texts goes through Python. A text that the encoder cannot
     take has an error in place of its vector; the others are not touched by it.
@@ -87,13 +92,13 @@ def encoded_texts(texts: DataFrame, encoder: Encoder | None = None) -> DataFrame
             found = _try(encode, batch.column(1).to_pylist())
             vectors = [None if v is None else v.astype(np.float32) for v, _kind, _text in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(vectors, pa.list_(pa.float32())),
+                [batch.column(0), pa.array(vectors, pa.list_(pa.float32())),
                  pa.array([kind for _v, kind, _text in found], pa.string()), pa.array([text for _v, _kind, text in found], pa.string())],
-                names=["hash", "text", "vector", "error_type", "error"],
+                names=["digest", "vector", "error_type", "error"],
             )
 
-    distinct = texts.select(F.xxhash64("text").alias("hash"), "text").distinct()
-    made = distinct.mapInArrow(run, "hash long, text string, vector array<float>, error_type string, error string")
+    distinct = texts.select("text").distinct().select(_digest("text").alias("digest"), "text")
+    made = distinct.mapInArrow(run, "digest binary, vector array<float>, error_type string, error string")
     return materialize(made, "encoded")
 
 
@@ -109,30 +114,31 @@ def embed_rows(
     ``columns`` maps text column to vector column. ``errors`` is an array of
     (column, error_type, error), empty for a row with all its vectors; a failed
     text has a NULL vector. All columns' texts make one narrow table, in which
-    each distinct text stands once; its vector goes back to the rows by hash and
-    text. With several text columns the rows are stored once under a number.
+    each distinct text stands once; its vector goes back to the rows by the text's
+    SHA-256, so no text is shuffled a second time. With several text columns the rows are stored once under a number.
     """
     names = list(columns)
     answer = F.struct("vector", "error_type", "error")
     if len(names) == 1:
         texts = df.filter(~_blank(names[0])).select(F.col(names[0]).alias("text"))
-        known = encoded_texts(texts, encoder).select("hash", F.col("text").alias("_text"), answer.alias("_0"))
-        hashed = df.withColumn("_hash", F.when(~_blank(names[0]), F.xxhash64(names[0])))
-        joined = hashed.join(known, (F.col("_hash") == F.col("hash")) & (F.col(names[0]) == F.col("_text")), "left")
+        known = encoded_texts(texts, encoder).select(F.col("digest").alias("_digest"), answer.alias("_0"))
+        hashed = df.withColumn("_digest", F.when(~_blank(names[0]), _digest(names[0])))
+        joined = hashed.join(known, "_digest", "left")
     else:
         keyed = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
         cells = F.array(*[F.struct(F.lit(i).alias("no"), F.when(~_blank(c), F.col(c)).alias("text")) for i, c in enumerate(names)])
-        long = keyed.select("_row", F.inline(cells)).filter(F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+        long = keyed.select("_row", F.inline(cells)).filter(F.col("text").isNotNull())
         known = encoded_texts(long, encoder)
+        long = long.select("_row", "no", _digest("text").alias("digest"))
         one = [F.max_by(answer, F.when(F.col("no") == i, F.lit(1))).alias(f"_{i}") for i in range(len(names))]
-        joined = keyed.join(long.join(known, ["hash", "text"]).groupBy("_row").agg(*one), "_row", "left")
+        joined = keyed.join(long.join(known, "digest").groupBy("_row").agg(*one), "_row", "left")
     told = F.array(*[
         F.when(_blank(c), F.struct(F.lit(c).alias("column"), F.lit("EmptyText").alias("error_type"), F.lit(f"{c} is empty").alias("error")))
         .otherwise(F.struct(F.lit(c).alias("column"), F.col(f"_{i}.error_type").alias("error_type"), F.col(f"_{i}.error").alias("error")))
         for i, c in enumerate(names)
     ])
     return joined.select(
-        *[df[c] if len(names) == 1 else F.col(c) for c in df.columns],
+        *df.columns,
         *[F.col(f"_{i}.vector").alias(out) for i, out in enumerate(columns.values())],
         F.filter(told, lambda e: e["error_type"].isNotNull()).cast(_ERRORS).alias(errors),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuematch import fixed_values as fv
@@ -25,16 +25,19 @@ def _rejects(rows: DataFrame, stage: str, reason: Column) -> DataFrame:
     return rows.select(*own, F.lit(stage).alias("stage"), reason.alias("reason"))
 
 
-def _one_answer(answers: DataFrame, keys: list[str], places: DataFrame, kind: str, at: list[str]) -> tuple[DataFrame, list[DataFrame]]:
-    """Answers that stand alone under their key and belong to a place, and the others as rejects."""
-    counted = answers.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    known = places.select(*at).distinct().withColumn("_known", F.lit(True))
-    placed = materialize(counted.join(known, at, "left"), f"{kind.replace(' ', '-')}s")
-    several = F.col("_n") > 1
-    lost = F.col("_known").isNull()
-    bad = placed.filter(several | lost)
-    reason = F.when(lost, f"{kind} without a scene").otherwise(f"several answers for one {kind}")
-    return placed.filter(~several & ~lost).drop("_n", "_known"), [_rejects(bad, "answers", reason)]
+def _one_answer(answers: DataFrame, keys: list[str], places: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers that stand alone under their key and belong to a scene; the others as rejects; the keys of all.
+
+    Only keys are counted and compared; the answers' texts stay where they are
+    unless very many keys are bad.
+    """
+    listed = materialize(answers.select(*keys), "answer-keys")
+    known = places.withColumn("known", F.lit(True))
+    counted = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(known, ["episode_nr", "scene_nr"], "left")
+    bad = materialize(counted.filter("known is null or n > 1"), "bad-answers")
+    reason = F.when(F.col("known").isNull(), f"{kind} without a scene").otherwise(f"several answers for one {kind}")
+    each = bad.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return answers.join(bad.select(*keys), keys, "left_anti"), _rejects(each, "answers", reason), listed
 
 
 def build_scenes(
@@ -52,34 +55,33 @@ def build_scenes(
     without their query; ``vectors`` for texts that the encoder cannot take.
     ``episodes`` are those whose text was split.
     """
+    place, full = ["episode_nr", "scene_nr"], ["episode_nr", "scene_nr", "theme_nr"]
     texts = prepare_screenplays(screenplays)
-    same = F.count(F.lit(1)).over(Window.partitionBy("episode_nr"))
-    texts = materialize(texts.withColumn("_same", F.when(F.col("episode_nr").isNotNull(), same).otherwise(1)), "screenplays")
-    found, refused = scenes.scenes_of(texts.filter("_same = 1").drop("_same"), header)
-    found = materialize(found.drop("file_name"), "split-scenes").withColumn("episode_nr", F.col("episode_nr").cast("int"))
+    shared = texts.filter(F.col("episode_nr").isNotNull()).groupBy("episode_nr").count().filter("count > 1").select("episode_nr")
+    found, refused = scenes.scenes_of(texts.join(shared, "episode_nr", "left_anti"), header)
+    found = materialize(found.select(*place), "split-scenes")
     told = [
         _rejects(refused, "text", F.col("reason")),
-        _rejects(texts.filter("_same > 1"), "text", F.lit("several files have this episode number")),
+        _rejects(texts.join(shared, "episode_nr", "left_semi"), "text", F.lit("several files have this episode number")),
     ]
-    place, full = ["episode_nr", "scene_nr"], ["episode_nr", "scene_nr", "theme_nr"]
-    lists, odd = _one_answer(theme_lists, place, found, "theme list", place)
-    told += odd
-    told.append(_rejects(found.join(theme_lists.select(*place), place, "left_anti"), "answers", F.lit("scene without a theme list")))
-    queries, odd = _one_answer(theme_queries, full, found, "theme query", place)
-    told += odd
-    issues = F.concat_ws("; ", "issues")
+    lists, odd, listed = _one_answer(theme_lists, place, found, "theme list")
+    told += [odd, _rejects(found.join(listed, place, "left_anti"), "answers", F.lit("scene without a theme list"))]
+    queries, odd, _listed = _one_answer(theme_queries, full, found, "theme query")
+    told.append(odd)
     checked = []
-    for rows, check in ((lists, scenes.check_theme_lists), (queries, scenes.check_theme_queries)):
-        good, bad = scenes.split_valid(materialize(check(rows), "checked"))
+    for rows, keys, check in ((lists, place, scenes.check_theme_lists), (queries, full, scenes.check_theme_queries)):
+        good, bad = scenes.split_valid(materialize(check(rows).select(*keys, "parsed", "issues"), "checked"))
         checked.append(good)
-        told.append(_rejects(bad, "answers", issues))
+        told.append(_rejects(bad, "answers", F.concat_ws("; ", "issues")))
     told.append(_rejects(scenes.assembly_rejects(*checked), "answers", F.col("reason")))
-    records = scenes.assemble_records(*checked)
+    # the scene's own text is as long as the screenplay: it joins at the end
+    records = scenes.assemble_records(*checked).drop("theme_txt")
     embedded = materialize(embed.scene_vectors(records, encoder, errors="encode_errors"), "encoded-scenes")
     texts_of = F.concat_ws("; ", F.transform("encode_errors", lambda e: F.concat_ws(": ", F.when(e["column"] != "", e["column"]), e["error"])))
     told.append(_rejects(embedded.filter(F.size("encode_errors") > 0), "vectors", texts_of))
     now = F.current_timestamp().cast("timestamp_ntz")
     whole = embedded.filter(F.size("encode_errors") == 0).withColumns({"created_at": now, "updated_at": now})
+    whole = whole.join(scenes.themes_of(checked[0]).select(*full, "theme_txt"), full)
     rows = whole.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCENES.fields])
     return rows, functools.reduce(DataFrame.unionByName, told), found.select("episode_nr").distinct()
 
