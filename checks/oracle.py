@@ -603,8 +603,10 @@ def oracle_sql() -> dict[str, str]:
     q["confidence_profile"] = f"{TAGS3} select id, {r6('mean')} as mean_score, {r6('hi')} as max_score, {r6('lo')} as min_score from picked"
     q["tag_vocab"] = f"{TAGS1} select category, string_agg(distinct name, '|' order by name) as names from sel group by category"
     q["tags_in_categories"] = f"{TAGS1} select distinct name from sel where category in ('emotion', 'atmosphere')"
-    q["tag_prompts"] = f"""{TAGS1} select id, cast(n as bigint) as tag_no, 'cinematic instrumental music with ' || t || '|music tagged as ' || replace(category, '_', ' ') || ': ' || t
-        || '|film underscore with ' || t as prompts from (select *, replace(name, '_', ' ') as t from sel)"""
+    q["tag_prompts"] = f"""with tags(n, category, name) as (values {_TAGS})
+      select cast(n as bigint) as tag_no, 'cinematic instrumental music with ' || t || '|music tagged as ' || replace(category, '_', ' ') || ': ' || t
+        || '|film underscore with ' || t as prompts, n_tracks
+      from (select n, category, replace(name, '_', ' ') as t, count(*) as n_tracks from embeddings, tags group by n, category, name)"""
     q["taxonomy_rows"] = """select cast(k as bigint) as tag_no, case when k < 2 then 'first' else lang end as category, case when k < 2 then source else lang end as category_pl,
         t || doc_id as name, t as name_pl from documents, (values (0, 'b'), (1, 'a'), (2, 'z'), (3, 'y'), (4, 'x')) v(k, t)"""
     q["profile_candidates"] = f"{TAGS2} select id, {joined('profiles')} as profiles from cands"
@@ -714,9 +716,10 @@ def oracle_sql() -> dict[str, str]:
     # scene answers and reports
     q["answer_validation"] = """select doc_id as scene_nr, array_to_string(list_filter([
         case when lang = 'fr' then 'themes[0].theme_title_en is empty' end], lambda x: x is not null), '|') as issues from documents"""
-    long = "case when n_chars % 5 = 0 then repeat('x', 121) else 'ok' end"
+    summary = "substr(coalesce(text, ''), 1, case when n_chars % 5 = 0 then 140 else 100 end)"
     q["query_validation"] = f"""select doc_id as scene_nr, array_to_string(list_filter([
-        case when n_chars % 5 = 0 then 'tags_summary_en is longer than 120' end,
+        case when {strip_sql(summary)} = '' then 'tags_summary_en is empty' end,
+        case when length({summary}) > 120 then 'tags_summary_en is longer than 120' end,
         case when lang = 'en' then 'weight_profile is empty' end,
         case when n_chars % 3 = 0 then 'overlapping tags: calm' end,
         case when doc_id % 7 = 3 then 'energy_target is not a text' end,
@@ -728,6 +731,10 @@ def oracle_sql() -> dict[str, str]:
         x as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as k from p),
         y as (select doc_id, k, {strip_sql('part')} as scene_txt from x),
         sc as (select doc_id as e, row_number() over (partition by doc_id order by k) as n, scene_txt from y where scene_txt <> '')"""
+    q["scene_rejects"] = f"""with {scene_parts}
+      select 'doc_x.txt' as file_name, cast(null as bigint) as episode_nr, 'no episode number in the file name' as reason from documents where doc_id % 17 = 9
+      union all select 'doc_' || doc_id || '.txt', doc_id, case when coalesce(text, '') = '' then 'empty text' else 'no scene headers found, expected keyword "' || '{HEADER}' || '"' end
+        from n where doc_id % 17 <> 9 and doc_id not in (select e from sc)"""
     q["scene_import"] = f"""with {SCENES}, {match_old}, {scene_parts},
         lists as (select * from sc where n % 7 <> 3 and e % 11 <> 5), twice as (select * from sc where e % 5 <> 2 and e % 29 = 3 and n = 2),
         asked as (select * from sc where e % 5 <> 2 and not (e % 29 = 3 and n = 2)),

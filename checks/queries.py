@@ -478,9 +478,9 @@ def q_tags_in_categories(spark, sf):
 
 
 def q_tag_prompts(spark, sf):
-    """Prompts of every selected tag of every track."""
-    rows = _selection(spark, sf).select("id", F.inline("selected_tags"))
-    return tidy(taxonomy.with_prompts(rows).select("id", "tag_no", "prompts"))
+    """Prompts of every tag that any track has a score for, and the number of those tracks."""
+    rows = fx.tag_scores(spark, sf).select(F.inline("tag_scores")).groupBy("tag_no", "category", "name").agg(F.count(F.lit(1)).alias("n_tracks"))
+    return tidy(taxonomy.with_prompts(rows).select("tag_no", "prompts", "n_tracks"))
 
 
 def q_taxonomy_rows(spark, sf):
@@ -595,6 +595,15 @@ def q_scene_split(spark, sf):
     return tidy(found.select("episode_nr", "scene_nr", "scene_txt"))
 
 
+def q_scene_rejects(spark, sf):
+    """Texts that give no scenes, with the reason and the word the headers should hold."""
+    raw = spread(fx.table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.concat(F.lit("doc_"), F.when(F.col("doc_id") % 17 != 9, F.col("doc_id").cast("string")).otherwise("x"), F.lit(".txt")).alias("file_name"), "text"
+    )
+    _found, rejects = scenes.scenes_of(files.prepare_screenplays(raw), HEADER)
+    return tidy(rejects.select("file_name", "episode_nr", "reason"))
+
+
 def q_embed_texts(spark, sf):
     docs = spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     rows = embed.embed_texts(docs, {"text": "v"}, embed.hashing_encoder(64)).select("doc_id", F.posexplode("v").alias("bucket", "value"))
@@ -817,13 +826,14 @@ def _query_json(summary: Column, profile: Column, must: Column) -> Column:
 
 
 def q_query_validation(spark, sf):
-    summary = F.when(F.col("n_chars") % 5 == 0, F.repeat(F.lit("x"), 121)).otherwise("ok")
+    """Answers that sum up the documents' own texts, some of them at too great a length."""
+    summary = F.substring("text", F.lit(1), F.when(F.col("n_chars") % 5 == 0, 140).otherwise(100))
     profile = F.when(F.col("lang") == "en", " \t").otherwise("dialogue")
     must = F.when(F.col("n_chars") % 3 == 0, F.array(F.lit("calm"))).otherwise(F.array(F.lit("wide")))
     answer = _query_json(summary, profile, must)
     answer = F.when(F.col("doc_id") % 7 == 3, F.replace(answer, F.lit('"low"'), F.lit("3"))).otherwise(answer)
     answer = F.when(F.col("doc_id") % 11 == 5, F.replace(answer, F.lit('["dense"]'), F.lit('["dense",null]'))).otherwise(answer)
-    answers = _docs(spark, sf).select(F.col("doc_id").alias("scene_nr"), answer.alias("answer"))
+    answers = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("scene_nr"), answer.alias("answer"))
     return tidy(scenes.check_theme_queries(answers).select("scene_nr", "issues"))
 
 

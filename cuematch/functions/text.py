@@ -67,7 +67,9 @@ def words(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    return F.initcap(words(c))
+    """Words with a capital after every character that is no letter, such as a hyphen, a digit or an apostrophe."""
+    pieces = F.split(F.lower(words(c)), r"(?<=\P{L})")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
 
 
 def cut(c: Column, n: int) -> Column:

@@ -77,22 +77,24 @@ def theme_list_kinds(raw: Column) -> Column:
     return F.concat(F.coalesce(inner, strings()), F.array_compact(F.array(reason)))
 
 
-def theme_query_kinds(raw: Column, answer: Column) -> Column:
-    """Issues of the kinds of values in a theme query: texts, and lists of texts without a null."""
-    texts, lists = ["tags_summary_en"], []
-    for group, schema in (
-        ("scene_music_semantics", schemas.SCENE_SEMANTICS), ("scene_music_targets", schemas.TARGETS),
-        ("scene_tag_selection", schemas.SCENE_TAG_SELECTION), ("clap_prompt_ensemble", schemas.PROMPT_ENSEMBLE),
-    ):
-        for f in schema.fields:
-            kind = f.dataType.typeName()
-            if kind in ("string", "array"):
-                (texts if kind == "string" else lists).append(f"{group}.{f.name}")
-    issues = [F.when(_odd_kind(_at(raw, p), "STRING"), f"{p.split('.')[-1]} is not a text") for p in texts]
-    for p in lists:
-        group, name = p.split(".")
-        holds_null = F.coalesce(F.exists(answer[group][name], lambda x: x.isNull()), F.lit(False))
-        issues.append(F.when(_odd_kind(_at(raw, p), "ARRAY<STRING>") | holds_null, f"{name} is not a list of texts"))
+_GROUPS = {
+    "scene_music_semantics": schemas.SCENE_SEMANTICS, "scene_music_targets": schemas.TARGETS,
+    "scene_tag_selection": schemas.SCENE_TAG_SELECTION, "clap_prompt_ensemble": schemas.PROMPT_ENSEMBLE,
+}
+
+
+def theme_query_kinds(raw: Column, groups: dict[str, Column], answer: Column) -> Column:
+    """Issues of the kinds of values in a theme query: texts, and lists of texts without a null.
+
+    ``groups`` are the four inner objects of ``raw`` as maps, so each is walked once.
+    """
+    fields = [(g, f.name, f.dataType.typeName()) for g, schema in _GROUPS.items() for f in schema.fields]
+    issues = [F.when(_odd_kind(_at(raw, "tags_summary_en"), "STRING"), "tags_summary_en is not a text")]
+    issues += [F.when(_odd_kind(groups[g][name], "STRING"), f"{name} is not a text") for g, name, kind in fields if kind == "string"]
+    for g, name, kind in fields:
+        if kind == "array":
+            holds_null = F.coalesce(F.exists(answer[g][name], lambda x: x.isNull()), F.lit(False))
+            issues.append(F.when(_odd_kind(groups[g][name], "ARRAY<STRING>") | holds_null, f"{name} is not a list of texts"))
     return F.array_compact(F.array(*issues))
 
 
@@ -147,18 +149,29 @@ def theme_query_issues(answer: Column) -> Column:
     return F.when(answer.isNull(), strings(["not an object"])).otherwise(listed)
 
 
+def _parsed(answers: DataFrame, json_col: str, schema) -> DataFrame:
+    """Answers with ``parsed`` and ``_raw``: the text is parsed once by the schema and once as a variant.
+
+    Both are columns of their own below the many expressions that read them;
+    written into those, each would parse the text again.
+    """
+    return answers.withColumns({"parsed": F.from_json(json_col, schema), "_raw": F.try_parse_json(json_col)})
+
+
 def check_theme_lists(answers: DataFrame, json_col: str = "answer") -> DataFrame:
     """Add ``parsed`` and ``issues`` to stored theme lists."""
-    parsed = answers.withColumn("parsed", F.from_json(json_col, schemas.THEME_LIST))
-    kinds = theme_list_kinds(F.try_parse_json(json_col))
-    return parsed.withColumn("issues", F.concat(theme_list_issues(F.col("parsed")), kinds))
+    both = _parsed(answers, json_col, schemas.THEME_LIST)
+    issues = F.concat(theme_list_issues(F.col("parsed")), theme_list_kinds(F.col("_raw")))
+    return both.withColumn("issues", issues).drop("_raw")
 
 
 def check_theme_queries(answers: DataFrame, json_col: str = "answer") -> DataFrame:
     """Add ``parsed`` and ``issues`` to stored theme queries."""
-    parsed = answers.withColumn("parsed", F.from_json(json_col, schemas.THEME_QUERY))
-    kinds = theme_query_kinds(F.try_parse_json(json_col), F.col("parsed"))
-    return parsed.withColumn("issues", F.concat(theme_query_issues(F.col("parsed")), kinds))
+    both = _parsed(answers, json_col, schemas.THEME_QUERY)
+    inner = {f"_{g}": F.try_variant_get("_raw", f"$.{g}", "map<string,variant>") for g in _GROUPS}
+    kinds = theme_query_kinds(F.col("_raw"), {g: F.col(f"_{g}") for g in _GROUPS}, F.col("parsed"))
+    issues = F.concat(theme_query_issues(F.col("parsed")), kinds)
+    return both.withColumns(inner).withColumn("issues", issues).drop("_raw", *inner)
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

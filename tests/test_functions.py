@@ -173,3 +173,11 @@ def test_segment_ranges(spark, n, count):
         starts = np.linspace(0, n - rate * seconds, count, dtype=int).tolist()
         want = [(round(s / rate, 3), round((s + rate * seconds) / rate, 3)) for s in starts]
     assert got == want
+
+
+def test_title_case_is_that_of_strings(spark):
+    from cuematch.functions import text
+
+    names = ["lo-fi_beats", "80s_synth", "rock'n'roll", "DARK_moody", "a", "", "élan_vital", "x2y", "one__two"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, n string").select("id", text.title_case(F.col("n")).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in rows} == {i: n.replace("_", " ").title() for i, n in enumerate(names)}
