@@ -166,11 +166,7 @@ def nearest(
     sums = rows.select("vector").mapInArrow(_sums, "dim int, at int, n long, s double").groupBy("dim", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     own = rows.where(query)
     asked = materialize(own.groupBy("vec_id").agg(F.min_by("vector", "code").alias("vector"), F.min_by("dim", "code").alias("dim")), "queries")
-    dims = [r["dim"] for r in asked.select("dim").distinct().limit(1000).collect()]
-    means, sizes = {}, {}
-    for r in sums.where(F.col("dim").isin(dims)).collect() if dims else []:
-        means.setdefault(r["dim"], np.zeros(r["dim"]))[r["at"]] = r["s"] / r["n"]
-        sizes[r["dim"]] = r["n"]
+    sums = materialize(sums.groupBy("dim").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", (F.col("s") / F.col("n")).alias("mean"))))["mean"].alias("means")), "means")
     schema = "query_id long, vec_id long, score double"
     parts = [spark.createDataFrame([], schema)]
     slices = max(1, -(-asked.count() // slice_size))
@@ -178,6 +174,9 @@ def nearest(
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).toArrow()
         if not got.num_rows:
             continue
+        dims = got.column("dim").unique().to_pylist()  # at most one a query of the slice
+        found = sums.where(F.col("dim").isin(dims)).collect()
+        means, sizes = {r["dim"]: np.array(r["means"]) for r in found}, {r["dim"]: r["n"] for r in found}
         q = _Queries(got.column("vec_id").to_numpy(), got.column("vector").to_pylist(), means, trees, seed)
         data = rows.select("vec_id", "vector")
         wanted = {int(i): max(least, int(share * sizes[dim])) for dim, x in q.by_dim.items() for i in x[0]}

@@ -72,3 +72,10 @@ def test_each_window_is_in_one_unit(monkeypatch):
         for a, b, p in zip(first, stop, place, strict=True):
             found[int(rows[p])] += range(int(a + shift - starts[p]), int(b + shift - starts[p]) + 1)
     assert {i: sorted(x) for i, x in found.items()} == {i: list(range(max(len(t.encode()) - L + 1, 0))) for i, t in enumerate(texts)}
+
+
+def test_order_of_wide_keys_is_that_of_narrow_ones():
+    key = np.random.default_rng(1).integers(0, 50, 400)
+    for bits in (6, 63):  # packed with the position, or sorted beside it
+        order, ordered = bwt._by_key(key, bits)
+        assert sorted(order.tolist()) == list(range(400)) and (key[order] == ordered).all() and (np.diff(ordered) >= 0).all()

@@ -110,3 +110,9 @@ def test_empty_tables(spark):
     assert prefix_forest.nearest(table(spark, []), F.lit(True)).collect() == []
     alone = table(spark, [(0, [1.0, 2.0], 1)])
     assert prefix_forest.nearest(alone, F.lit(True)).collect() == []
+
+
+def test_any_number_of_vector_lengths(spark):
+    rows = [(i, np.ones(1 + i % 1100).tolist(), 0) for i in range(1110)]
+    got = prefix_forest.nearest(table(spark, rows), F.col("vec_id") < 1100).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == [(i, i + 1100, 0.0) for i in range(10)]
