@@ -44,7 +44,7 @@ from cuematch.plans.storage import materialize
 LENGTH = 200
 GRAM = 32
 PIECE = 3 << 20  # bytes of one text that are walked at once
-BUCKET = 1 << 20  # bytes of one transform
+BUCKET = 1 << 18  # bytes of one transform, whose arrays stay in the cache of a core
 CROWD = 2000  # contents of one anchor before it is divided
 _SEND = 4_000_000
 _U = np.uint64
