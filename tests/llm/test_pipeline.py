@@ -40,4 +40,4 @@ def test_empty_documents_pass_every_stage(spark, sf):
 
 
 def test_every_operator_has_a_query():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{i}" for i in range(1, 14)}
