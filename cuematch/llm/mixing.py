@@ -17,7 +17,7 @@ Draws are hashes of the units, so a rerun gives the same result.
 
 Nulls: a null text has size 0 and takes no words; a null source is a source of
 its own, last in order; a null doc_id is kept. An empty table gives no rows.
-Column names of the input may be any: they travel inside one struct.
+Columns of the input may have any name and type: they travel inside one struct.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuematch.llm.rows import unhashed
 from cuematch.plans.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,7 +128,9 @@ def mix(
     joined = units.join(plan, units["source"].eqNullSafe(plan["_s"])).drop("_s")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("n")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("_wanted") + F.lit(1e-12))
-    key = F.xxhash64("row", F.lit(seed))
+    maps = unhashed(docs.schema)
+    key = F.xxhash64(F.to_json("row", {"ignoreNullFields": "false"}) if maps else "row", F.lit(seed))
+    by_key = [lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)] if maps else []
     open_ = joined.withColumn("_wanted", wanted).select(
         "source", "size", F.struct("row", "source_size", "target", "n", whole.alias("base")).alias("unit"), key.alias("key"),
         F.when(F.col("size") > 0, F.greatest(F.col("_wanted") - whole, F.lit(0.0)) * F.col("size")).otherwise(F.lit(0.0)).alias("mass"),
@@ -136,7 +139,7 @@ def mix(
     decided = []
     for level in range(levels):
         folded = open_.groupBy("source", "group").agg(
-            F.array_sort(F.collect_list(F.struct("key", "size", "mass", "unit"))).alias("units")
+            F.array_sort(F.collect_list(F.struct("key", "size", "mass", "unit")), *by_key).alias("units")
         )
         folded = folded.withColumn("fold", _fold(F.col("units"), seed + 2 + level))
         folded = materialize(folded, f"folded{level}")

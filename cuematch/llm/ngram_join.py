@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuematch.llm.components import components
+from cuematch.llm.rows import packed, row_hash
 from cuematch.llm.words import distinct, mixed, shingles, slices, text_bytes, trimmed, word_hashes
 from cuematch.plans.storage import materialize
 
@@ -363,8 +364,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame
 
 def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
     """One row per document: doc_id, row (hash of all its columns), n (set size), cls (id of its set, null if empty), sketch."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    sent = docs.select(F.col("doc_id").cast("long"), row.alias("row"), "text")
+    sent = docs.select(F.col("doc_id").cast("long"), row_hash(docs).alias("row"), "text")
     return sent.mapInArrow(trimmed(_described(k)), "doc_id long, row long, n long, cls long, sketch binary")
 
 
@@ -429,11 +429,9 @@ def deduplicated(docs: DataFrame, k: int = 5, threshold: float | Fraction = Frac
     lost = placed.join(won, ["root", "row"], "left_anti").select("row").distinct()
     again = placed.join(won, ["root", "row"], "left_semi").groupBy("row").count().where("count > 1").select("row")
     lost, again = materialize(lost, "lost"), materialize(again, "again")
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     send = F.broadcast if lost.count() <= _SEND else (lambda x: x)
-    kept = docs.withColumn("__row", row).join(send(lost.select(F.col("row").alias("__row"))), "__row", "left_anti")
+    kept = packed(docs).join(send(lost), "row", "left_anti")
     if again.isEmpty():
-        return kept.select(docs.columns)
-    again = again.select(F.col("row").alias("__row"))
-    once = kept.join(again, "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.join(again, "__row", "left_anti").unionByName(once).select(docs.columns)
+        return kept.select("doc.*")
+    once = kept.join(again, "row", "left_semi").dropDuplicates(["row"])
+    return kept.join(again, "row", "left_anti").unionByName(once).select("doc.*")

@@ -26,7 +26,7 @@ Nulls and edges: a null or empty text has its end as only word. A null language
 is a language of its own; documents of a language without trusted documents in
 that half are kept. Without any trusted document everything is kept and
 perplexity is null. A null doc_id is never trusted. Rows that repeat are scored
-alike. An empty table gives no rows.
+alike. Other columns may have any name and type. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuematch.llm.rows import packed, row_hash
 from cuematch.llm.words import distinct, mixed, slices, text_bytes, trimmed, word_hashes
 from cuematch.plans.storage import materialize
 
@@ -244,10 +245,6 @@ def _half(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(41)), F.lit(2))
 
 
-def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def _limited(scored: DataFrame, known: DataFrame, value: str, name: str, high: float, margin: float, support: int) -> DataFrame:
     """``scored`` with the limit ``name`` of ``value`` for each row's language and band; null for a language not in ``known``."""
     at = lambda c, p: F.percentile_approx(c, p, F.lit(100_000))
@@ -289,6 +286,6 @@ def classify(
 
 def accepted(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """The documents that are kept, all columns."""
-    gone = materialize(classify(docs, trusted, **options).where("not keep").select(F.col("row").alias("__row")).distinct(), "rejected")
+    gone = materialize(classify(docs, trusted, **options).where("not keep").select("row").distinct(), "rejected")
     send = F.broadcast if gone.count() <= _SEND else (lambda x: x)
-    return docs.withColumn("__row", row_hash(docs)).join(send(gone), "__row", "left_anti").select(docs.columns)
+    return packed(docs).join(send(gone), "row", "left_anti").select("doc.*")

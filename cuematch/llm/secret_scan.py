@@ -39,6 +39,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuematch.llm.rows import packed, row_hash
 from cuematch.plans.storage import materialize
 
 _RUN = r"[A-Za-z0-9+/_\-]"
@@ -62,7 +63,7 @@ FEATURES = [
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of all columns), number, begin (characters before it), value, before, after of every candidate."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row = row_hash(docs)
     found = docs.select("doc_id", row.alias("row"), "text").where(F.col("text").rlike(CANDIDATE))
     found = found.select(
         "doc_id", "row", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split("text", CANDIDATE, -1).alias("gaps")
@@ -216,14 +217,14 @@ def _masked(text: Column, value: Column) -> Column:
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """All documents, secrets replaced by MASK; ``n_chars``, where there is one, counts the new text."""
-    secrets = scan(docs, **options).where("secret").groupBy("row").agg(F.collect_set("value").alias("__values"))
-    secrets = materialize(secrets.withColumnRenamed("row", "__row"), "secrets")
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    secrets = scan(docs, **options).where("secret").groupBy("row").agg(F.collect_set("value").alias("values"))
+    secrets = materialize(secrets, "secrets")
     send = F.broadcast if secrets.count() <= _SEND // 10 else (lambda x: x)
-    longest = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
-    clean = F.when(F.col("__values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), _masked))
-    out = docs.withColumn("__row", row).join(send(secrets), "__row", "left").withColumn("text", clean)
+    longest = F.array_sort("values", lambda a, b: F.length(b) - F.length(a))
+    clean = F.when(F.col("values").isNull(), F.col("doc.text")).otherwise(F.aggregate(longest, F.col("doc.text"), _masked))
+    out = packed(docs).join(send(secrets), "row", "left").select("doc", "values", clean.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed = F.when(F.col("values").isNull(), F.col("doc.n_chars")).otherwise(F.length("text"))
+        new["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
