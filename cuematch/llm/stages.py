@@ -1,4 +1,12 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> docs, each over all that came before."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> docs, each over all that came before.
+
+Nulls and edges, for every stage: a null text counts as empty, has no secret, is
+never a near-duplicate, and is encoded as begin and end; a null id, language or
+source is a value of its own. Very long texts are read whole. Rows that repeat are
+judged alike; of those with words the second stage keeps one. An empty table gives
+an empty table. All but the last stage return the columns they were given, of any
+name and type, maps included.
+"""
 
 from __future__ import annotations
 
