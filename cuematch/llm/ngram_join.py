@@ -18,9 +18,11 @@ that by eight standard deviations.)
 Runs. Sets that share a code come as one sorted run. Short runs give all their
 pairs; long ones give each set's pair with the run's first set of fitting size
 and with its neighbour. What a long run has left over is looked at again once
-those links are known: only pairs of different components are compared, as
-sketches, in place. So copies by the thousand do not become pairs, and no pair
-of different components is left out.
+those links are known: pairs of different components are compared by wide sketches,
+block against block, so no task holds a whole run. Round by round each component
+offers its nearest pair, and joins where it holds; what then is still open is checked
+pair by pair. So copies by the thousand do not become pairs, and no pair of different
+components is left out.
 
 Check. Pairs whose sketches (four to eight bits per shingle) differ too much are dropped;
 the rest are verified on the whole texts. Documents with equal sets are one node
@@ -52,6 +54,8 @@ _SINGLE = 64  # below this size every shingle is a piece
 _SHORT = 24  # runs up to here give all pairs
 _HOT = 50_000  # rows of a run that are held at once
 _SEND = 2_000_000  # keys that may be sent to all tasks
+_WIDE = 64  # at most so many bits a shingle in the sketches of what long runs leave over
+_BLOCK_SETS, _BLOCK_SHINGLES = 2_000, 1_000_000  # of a block of a run, about
 _U = np.uint64
 
 
@@ -82,8 +86,8 @@ def _bands(size: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(size, 1).astype(float))[1] - 1  # floor of log2
 
 
-def _sketches(codes: np.ndarray, text: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-    bits = np.maximum(64, 8 << _bands(size)).astype(np.int64)
+def _sketches(codes: np.ndarray, text: np.ndarray, size: np.ndarray, width: int = 8) -> list[bytes | None]:
+    bits = np.maximum(64, width << _bands(size)).astype(np.int64)
     start = np.cumsum(bits) - bits
     at = start[text] + (codes & (bits[text] - 1).astype(np.uint64)).astype(np.int64)
     parity = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
@@ -271,44 +275,71 @@ def _near(t: Fraction):
     return run
 
 
-def _cross(t: Fraction):
-    """Pairs of different components within runs sorted by (sig, n): columns sig, a, n, root, sketch to a, b."""
+def _between(t: Fraction, best: bool):
+    """Pairs of different components: columns sig, i, j, block, a, n, root, sketch, sorted by (sig, i, j, n), to a, b.
 
-    def pairs(rows: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        _, a, n, root, sketch = rows
+    A group (sig, i, j) holds the blocks i and j of one signature's sets; pairs lie across
+    them, or within block i where j is i. With ``best`` each component gives its nearest
+    pair of the group only, else every pair within the sketch bound is given.
+    """
+
+    def nearest(found: list) -> list:
+        """Of (root, far, a, b) rows the least far one of each root."""
+        root, far, a, b = (np.concatenate([f[i] for f in found]) for i in range(4))
+        order = np.lexsort((b, a, far, root))
+        root = root[order]
+        first = order[np.append(True, root[1:] != root[:-1])]
+        return [tuple(x[first] for x in (np.concatenate([f[i] for f in found]) for i in range(4)))]
+
+    def pairs(rows: list) -> list:
+        _, i_, j_, block, a, n, root, sketch = rows
         size = min(map(len, sketch))
         bits = np.stack([_folded(x, size) for x in sketch])
         end = np.searchsorted(n, n * t.denominator // t.numerator, side="right")
+        across, found, held = i_[0] != j_[0], [], 0
         for i in range(len(a)):
             j = np.arange(i + 1, end[i])
-            j = j[(root[j] != root[i]) & (a[j] != a[i])]
-            if len(j):
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= _most(n[i], n[j], t)]
-                yield np.full(len(j), a[i]), a[j]
+            j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (not across))]
+            if not len(j):
+                continue
+            far = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
+            good = far <= _most(n[i], n[j], t)
+            j, far = j[good], far[good] / (n[i] + n[j][good])
+            found.append((np.full(len(j), root[i]), far, np.full(len(j), a[i]), a[j]))
+            if best:
+                found.append((root[j], far, np.full(len(j), a[i]), a[j]))
+                held += 2 * len(j)
+                if held > 500_000:
+                    found, held = nearest(found), 0
+        return nearest(found) if best and found and sum(len(f[0]) for f in found) else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)]
-        sent: set[tuple[int, int]] = set()  # a pair meets in many runs
+        held: list | None = None
+        sent: set[tuple[int, int]] = set()  # a pair meets in many groups
 
         def done(rows: list, last: int) -> Iterator[pa.RecordBatch]:
-            for part in np.split(np.arange(last), np.flatnonzero(rows[0][1:last] != rows[0][: last - 1]) + 1) if last else []:
-                new = []
-                for a, b in pairs([x[part] for x in rows]):
-                    new += [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if p not in sent]
-                if new:
-                    if len(sent) > 500_000:
-                        sent.clear()
-                    sent.update(new)
-                    a, b = zip(*new, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            new = np.any([x[1:last] != x[: max(last - 1, 0)] for x in rows[:3]], axis=0) if last > 1 else np.zeros(0, bool)
+            for part in np.split(np.arange(last), np.flatnonzero(new) + 1) if last else []:
+                for _, _, a, b in pairs([x[part] for x in rows]):
+                    fresh = [p for p in dict.fromkeys(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) if p not in sent]
+                    if fresh:
+                        if len(sent) > 500_000:
+                            sent.clear()
+                        sent.update(fresh)
+                        a, b = zip(*fresh, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            held = [np.concatenate((h, x)) for h, x in zip(held, new, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            held = new if held is None else [np.concatenate((h, x)) for h, x in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
+            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+            last = int(np.argmax(same))
             yield from done(held, last)
             held = [x[last:] for x in held]
-        yield from done(held, len(held[0]))
+        if held is not None:
+            yield from done(held, len(held[0]))
 
     return run
 
@@ -340,28 +371,86 @@ def _verified(k: int, t: Fraction):
     return run
 
 
-def _class_texts(k: int):
+def _class_texts(k: int, width: int = 0):
+    """text to cls, text, and with a ``width`` a sketch of width/2 to width bits a shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, codes, text in _sets(batch.column(0), k):
                 size, ids = _class_ids(codes, text, b - a)
                 full = pa.array(size > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids).filter(full), batch.column(0).slice(a, b - a).filter(full)], names=["cls", "text"])
+                columns = {"cls": pa.array(ids), "text": batch.column(0).slice(a, b - a)}
+                if width:
+                    columns["sketch"] = pa.array(_sketches(codes, text, size, width), pa.binary())
+                yield pa.RecordBatch.from_arrays([c.filter(full) for c in columns.values()], names=list(columns))
 
     return run
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The pairs that hold on whole texts. Texts are read again, and only those in a pair are shuffled."""
+def _texts(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(cls, text) of the sets in a pair. Texts are read again, and only those are shuffled."""
     needed = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
     send = F.broadcast if needed.count() <= _SEND else (lambda x: x)
     texts = docs.select("text").mapInArrow(trimmed(_class_texts(k)), "cls long, text string").join(send(needed), "cls", "left_semi")
-    texts = texts.groupBy("cls").agg(F.first("text").alias("text"))
+    return texts.groupBy("cls").agg(F.first("text").alias("text"))
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that hold on whole texts."""
     second = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_verified(k, t)), "a long, b long, shared long, `union` long")
 
 
+def _open(long: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of long runs (sig, a, n, root) whose run holds more than one component."""
+    rooted = long.join(roots, F.col("a") == F.col("node"), "left").select("sig", "a", "n", F.coalesce("root", "a").alias("root"))
+    several = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    several = several.where("x <> y").select("sig", F.ceil(F.greatest(F.col("members") / _BLOCK_SETS, F.col("total") / _BLOCK_SHINGLES)).alias("blocks"))
+    return rooted.join(several, "sig")
+
+
+def _between_components(left: DataFrame, wide: DataFrame, t: Fraction, best: bool) -> DataFrame:
+    """(a, b) of different components that may be linked. A run is met block by block, each pair of blocks a group."""
+    block = F.pmod(F.xxhash64("a"), F.col("blocks"))
+    rows = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", F.col("n").cast("long").alias("n"), "root")
+    rows = rows.join(wide.select(F.col("cls").alias("a"), "sketch"), "a").select("sig", "i", "j", "block", "a", "n", "root", "sketch")
+    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "a")
+    return materialize(rows.mapInArrow(trimmed(_between(t, best)), "a long, b long").distinct(), "between")
+
+
+def _joined(docs: DataFrame, long: DataFrame, found: DataFrame, roots: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """(node, root) with the links that long runs have left over.
+
+    In each round every component offers its nearest pair of each group; those that
+    hold on whole texts join components, so a group of n sets offers at most n pairs.
+    When a round joins nothing, all pairs of different components within the bound of
+    the wide sketches are checked: few, as such sketches count the differences almost
+    exactly, and none is left out.
+    """
+    left = materialize(_open(long, roots), "open")
+    if left.isEmpty():
+        return roots
+    needed = materialize(left.select(F.col("a").alias("cls")).distinct(), "open-sets")
+    send = F.broadcast if needed.count() <= _SEND else (lambda x: x)
+    wide = docs.select("text").mapInArrow(trimmed(_class_texts(k, _WIDE)), "cls long, text string, sketch binary").join(send(needed), "cls", "left_semi")
+    wide = materialize(wide.groupBy("cls").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")), "open-texts")
+    best = True
+    while True:
+        pairs = _between_components(left, wide, t, best)
+        more = materialize(_verify(wide, pairs, k, t).select("a", "b"), "verified")
+        if not more.isEmpty():
+            found = materialize(found.unionByName(more), "links")
+            roots = materialize(components(found), "roots")
+        elif best and not pairs.isEmpty():
+            best = False
+            continue
+        if more.isEmpty() or not best:
+            return roots
+        left = materialize(_open(long, roots), "open")
+
+
 def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
     """One row per document: doc_id, row (hash of all its columns), n (set size), cls (id of its set, null if empty), sketch."""
     sent = docs.select(F.col("doc_id").cast("long"), row_hash(docs).alias("row"), "text")
@@ -381,23 +470,10 @@ def links(docs: DataFrame, classes: DataFrame, k: int = 5, t: Fraction = Fractio
     pairs = runs.where("b is not null").select("a", "b").distinct()
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     near = materialize(near.mapInArrow(trimmed(_near(t)), "a long, b long"), "near")
-    found = materialize(_verify(docs, near, k, t).select("a", "b"), "verified")
+    found = materialize(_verify(_texts(docs, near, k), near, k, t).select("a", "b"), "verified")
     roots = materialize(components(found), "roots")
-
-    long = runs.where("b is null").select("sig", "a", "n").distinct()
-    long = long.join(roots, F.col("a") == F.col("node"), "left").select("sig", "a", "n", F.coalesce("root", "a").alias("root"))
-    long = materialize(long, "long")
-    open_ = long.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    left = long.join(open_, "sig", "left_semi").join(sets.select(F.col("cls").alias("a"), "sketch"), "a")
-    left = left.select("sig", "a", F.col("n").cast("long").alias("n"), "root", "sketch")
-    more = left.repartition("sig").sortWithinPartitions("sig", "n", "a").mapInArrow(trimmed(_cross(t)), "a long, b long")
-    more = materialize(more.distinct(), "cross")
-    if more.isEmpty():
-        return roots
-    extra = materialize(_verify(docs, more, k, t).select("a", "b"), "verified")
-    if extra.isEmpty():
-        return roots
-    return components(found.unionByName(extra))
+    long = materialize(runs.where("b is null").select("sig", "a", "n").distinct(), "long")
+    return _joined(docs, long, found, roots, k, t)
 
 
 def _placed(docs: DataFrame, k: int, threshold: float | Fraction) -> DataFrame:

@@ -96,3 +96,46 @@ def test_long_runs_may_cross_batches():
 
     assert pairs(whole) == pairs(small)
     assert {(0, 1), (0, 2), (1, 2), (203, 204)} <= pairs(whole)[0] and len(pairs(whole)[1]) == 200
+
+
+@pytest.mark.parametrize("block", [2_000, 7])
+def test_what_long_runs_leave_over_equals_brute_force(spark, monkeypatch, block):
+    """Over a hundred near copies around the threshold, and others that share a passage with them."""
+    monkeypatch.setattr(ngram_join, "_BLOCK_SETS", block)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(70, int(rng.integers(1, 4)), replace=False):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    rows += [(1000 + i, " ".join([*base[:30], *(f"y{i % 30}v{j}" for j in range(40 + i % 3))]), "en", "s", 1) for i in range(90)]
+    out = ngram_join.jaccard_components(cases.table(spark, rows)).collect()
+    assert cases.ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == cases.ordered(cases.jaccard_classes(rows))
+
+
+def test_components_offer_their_nearest_pairs_across_blocks():
+    t = Fraction(4, 5)
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.append(common[: 100 - i % 9], rng.integers(0, 2**63, i % 9, dtype=np.uint64)) for i in range(40)]
+    codes, text = ngram_join.distinct(np.concatenate(sets), np.repeat(np.arange(40), 100))
+    sketch = ngram_join._sketches(codes, text, np.full(40, 100), 64)
+    block = np.arange(40) % 2
+
+    def batch(rows, i, j):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.int64()) for x in (np.full(len(rows), 1), np.full(len(rows), i), np.full(len(rows), j), block[rows], rows, np.full(len(rows), 100), rows // 2)]
+            + [pa.array([sketch[r] for r in rows])],
+            names=["sig", "i", "j", "block", "a", "n", "root", "sketch"],
+        )
+
+    groups = [(np.flatnonzero(block == 0), 0, 0), (np.arange(40), 0, 1), (np.flatnonzero(block == 1), 1, 1)]
+    got = {}
+    for best in (False, True):
+        out = ngram_join._between(t, best)(iter([b.slice(x, 9) for g in groups for b in [batch(*g)] for x in range(0, b.num_rows, 9)]))
+        got[best] = {(a, b) for r in out for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)}
+    linked = {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 2 != b // 2 and len(set(sets[a]) & set(sets[b])) * 5 >= 4 * len(set(sets[a]) | set(sets[b]))}
+    assert linked <= got[False] and got[True] <= got[False] and len(got[True]) <= 60
+    assert {x // 2 for p in got[True] for x in p} == set(range(20))
