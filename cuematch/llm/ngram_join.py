@@ -54,7 +54,7 @@ _SINGLE = 64  # below this size every shingle is a piece
 _SHORT = 24  # runs up to here give all pairs
 _HOT = 50_000  # rows of a run that are held at once
 _SEND = 2_000_000  # keys that may be sent to all tasks
-_WIDE = 64  # at most so many bits a shingle in the sketches of what long runs leave over
+_WIDE = 16  # at most so many bits a shingle in the sketches of what long runs leave over
 _BLOCK_SETS, _BLOCK_SHINGLES = 2_000, 1_000_000  # of a block of a run, about
 _U = np.uint64
 

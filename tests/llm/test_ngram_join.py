@@ -121,7 +121,7 @@ def test_components_offer_their_nearest_pairs_across_blocks():
     common = rng.integers(0, 2**63, 100, dtype=np.uint64)
     sets = [np.append(common[: 100 - i % 9], rng.integers(0, 2**63, i % 9, dtype=np.uint64)) for i in range(40)]
     codes, text = ngram_join.distinct(np.concatenate(sets), np.repeat(np.arange(40), 100))
-    sketch = ngram_join._sketches(codes, text, np.full(40, 100), 64)
+    sketch = ngram_join._sketches(codes, text, np.full(40, 100), ngram_join._WIDE)
     block = np.arange(40) % 2
 
     def batch(rows, i, j):
