@@ -42,7 +42,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuematch.llm.components import components
@@ -55,6 +55,7 @@ _SHORT = 24  # runs up to here give all pairs
 _HOT = 50_000  # rows of a run that are held at once
 _SEND = 2_000_000  # keys that may be sent to all tasks
 _WIDE = 16  # at most so many bits a shingle in the sketches of what long runs leave over
+_FIRST_RUNS = 3  # runs of a set in the rounds of nearest pairs
 _BLOCK_SETS, _BLOCK_SHINGLES = 2_000, 1_000_000  # of a block of a run, about
 _U = np.uint64
 
@@ -413,6 +414,8 @@ def _open(long: DataFrame, roots: DataFrame) -> DataFrame:
 def _between_components(left: DataFrame, wide: DataFrame, t: Fraction, best: bool) -> DataFrame:
     """(a, b) of different components that may be linked. A run is met block by block, each pair of blocks a group."""
     block = F.pmod(F.xxhash64("a"), F.col("blocks"))
+    if best:  # copies mostly share their first runs; the last pass takes all runs
+        left = left.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("sig"))).where(F.col("k") <= _FIRST_RUNS).drop("k")
     rows = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", F.col("n").cast("long").alias("n"), "root")
     rows = rows.join(wide.select(F.col("cls").alias("a"), "sketch"), "a").select("sig", "i", "j", "block", "a", "n", "root", "sketch")
@@ -423,8 +426,9 @@ def _between_components(left: DataFrame, wide: DataFrame, t: Fraction, best: boo
 def _joined(docs: DataFrame, long: DataFrame, found: DataFrame, roots: DataFrame, k: int, t: Fraction) -> DataFrame:
     """(node, root) with the links that long runs have left over.
 
-    In each round every component offers its nearest pair of each group; those that
-    hold on whole texts join components, so a group of n sets offers at most n pairs.
+    In each round every component offers its nearest pair of each group, over the first
+    open runs of its sets; those that hold on whole texts join components, so a group of
+    n sets offers at most n pairs.
     When a round joins nothing, all pairs of different components within the bound of
     the wide sketches are checked: few, as such sketches count the differences almost
     exactly, and none is left out.
@@ -440,13 +444,14 @@ def _joined(docs: DataFrame, long: DataFrame, found: DataFrame, roots: DataFrame
     while True:
         pairs = _between_components(left, wide, t, best)
         more = materialize(_verify(wide, pairs, k, t).select("a", "b"), "verified")
-        if not more.isEmpty():
-            found = materialize(found.unionByName(more), "links")
-            roots = materialize(components(found), "roots")
-        elif best and not pairs.isEmpty():
+        if more.isEmpty():
+            if not best:
+                return roots
             best = False
             continue
-        if more.isEmpty() or not best:
+        found = materialize(found.unionByName(more), "links")
+        roots = materialize(components(found), "roots")
+        if not best:
             return roots
         left = materialize(_open(long, roots), "open")
 
