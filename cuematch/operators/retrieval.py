@@ -1,6 +1,6 @@
 """Exact nearest-neighbour search and candidate lists.
 
-Two exact ways, same result and same tie-break (distance, then item id):
+Three exact ways, same result and same tie-break (distance, then item id):
 
 * ``scan``: the query vectors, after a check of their size, go to every task;
   each task walks its own items once and keeps the k nearest per query, so a
@@ -9,6 +9,10 @@ Two exact ways, same result and same tie-break (distance, then item id):
   slices that fit it, and each slice is a scan of its own. Items are read once
   per slice and never shuffled. Slices run one after the other, so the driver and
   the tasks hold one of them at a time.
+* ``blocks``: where the running results of the queries would not fit a task, or the
+  slices would be many. The queries lie in blocks of bounded size, and chunks of
+  items are shuffled to every block. A task holds one block and a few chunks and
+  finishes its queries, so nothing but the answer leaves it and nothing is merged.
 
 Many tasks would each send k rows per query, nearly all of them far from the
 answer. With ``floors`` a first walk over an eighth of the items, chosen by hash,
@@ -16,7 +20,8 @@ gives each query two bounds: the k-th best of the sample, which at least k items
 surely reach, and a nearer one that about 1.5 k items are expected to reach. The
 second walk stores what reaches the sure bound; only what reaches the nearer one
 is shuffled, and for the few queries that got less than k that way all their
-stored rows. The answer is the same.
+stored rows. The answer is the same. In ``blocks`` the sampled items come first, and
+the k-th best of them is the bound for all others.
 
 NULL item vectors sort last, by id. A query without a vector has no neighbours.
 An item vector of another length than the query's has cosine 0 with it.
@@ -39,6 +44,7 @@ from cuematch.functions import vectors as V
 from cuematch.plans.storage import materialize
 
 _SLACK = 1e-9        # wider than the error of a matrix product in double
+_FLOAT_STEP = 2.0**-23  # a product of unit vectors in float is off by less than this for each number
 _QUERY_BLOCK = 256   # queries per matrix product inside a task
 _PAIR_NUMBERS = 1 << 22  # numbers of pairs whose exact distance is computed at once
 _PAIRS = "query_id long, item_id long, distance double"
@@ -78,14 +84,17 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(norms > 0, norms, 1.0)[:, None], norms
 
 
-def _exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """1 - cosine of paired rows, summed in element order: equal vectors give
-    equal numbers wherever they stand."""
+def _summed(m: np.ndarray) -> np.ndarray:
+    """Sums of the rows in element order."""
+    return np.cumsum(m, axis=1)[:, -1] if m.shape[1] else np.zeros(len(m))
+
+
+def _exact_distance(q: np.ndarray, x: np.ndarray, nq: np.ndarray, nx: np.ndarray) -> np.ndarray:
+    """1 - cosine of paired rows with their norms, summed in element order: equal
+    vectors give equal numbers wherever they stand."""
     if not len(q) or not q.shape[1]:
         return np.ones(len(q))
-    dots = np.cumsum(q * x, axis=1)[:, -1]
-    nq = np.sqrt(np.cumsum(q * q, axis=1)[:, -1])
-    nx = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+    dots = _summed(q * x)
     den = nq * nx
     return 1.0 - np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
 
@@ -111,28 +120,36 @@ class _Nearest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, sure: np.ndarray | None = None):
         self.ids, self.raw, self.k = ids, vectors, k
-        self.units, _ = _unit(vectors)
+        self.norms = np.sqrt(_summed(vectors * vectors))
+        self.units = _unit(vectors)[0].astype(np.float32)
         none = np.full(len(ids), -np.inf)
         self.bounded = (none if sure is None else sure) > -np.inf
         self.floor = none if sure is None else sure.copy()  # k-th similarity so far
         self.rows = np.zeros(0, dtype=np.int64)
         self.items = np.zeros(0, dtype=np.int64)
         self.dist = np.zeros(0)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # found since the last trim
+        self.waiting = 0
 
     def add(self, item_ids: np.ndarray, vectors: np.ndarray, missing: np.ndarray) -> None:
         here = _few_of_each(np.flatnonzero(~missing), item_ids, vectors, self.k)
         if len(here):
             x, ids = vectors[here], item_ids[here]
-            ux, _ = _unit(x)
+            ux = _unit(x)[0].astype(np.float32)
+            norms = np.sqrt(_summed(x * x))
+            slack = _SLACK + (x.shape[1] + 8) * _FLOAT_STEP
             for lo in range(0, len(self.ids), _QUERY_BLOCK):
                 hi = min(lo + _QUERY_BLOCK, len(self.ids))
                 sims = self.units[lo:hi] @ ux.T
                 floor = self.floor[lo:hi]
-                if sims.shape[1] > self.k:
+                hits = np.flatnonzero(sims >= (floor - slack).astype(np.float32)[:, None])
+                if len(hits) > self.k * (hi - lo) and sims.shape[1] > self.k:
+                    # a far floor: this chunk alone gives a nearer one
                     at = sims.shape[1] - self.k
-                    floor = np.maximum(floor, np.partition(sims, at, axis=1)[:, at])
-                q, j = np.nonzero(sims >= (floor - _SLACK)[:, None])
-                self._take(q + lo, ids, x, j)
+                    floor = np.maximum(floor, np.partition(sims, at, axis=1)[:, at] - slack)
+                    hits = np.flatnonzero(sims >= (floor - slack).astype(np.float32)[:, None])
+                q, j = np.divmod(hits, sims.shape[1])
+                self._take(q + lo, ids, x, norms, j)
         gone = item_ids[missing]
         if len(gone):
             # Only the k smallest ids without a vector can ever be wanted.
@@ -140,35 +157,40 @@ class _Nearest:
             free = np.flatnonzero(~self.bounded)  # k items with a vector reach a bound
             q = np.repeat(free, len(gone))
             self._append(q, np.tile(gone, len(free)), np.full(len(q), np.inf))
-        if len(self.rows) > 4 * self.k * len(self.ids):
+        if self.waiting > self.k * len(self.ids):
             self._trim()
 
-    def _take(self, q: np.ndarray, ids: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
+    def _take(self, q: np.ndarray, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, j: np.ndarray) -> None:
         """Exact distances of the pairs, a bounded number at a time, and the k best of each query."""
+        if not len(q):
+            return
         part = max(1, _PAIR_NUMBERS // max(1, x.shape[1]))
-        dist = np.concatenate(
-            [_exact_distance(self.raw[q[i : i + part]], x[j[i : i + part]]) for i in range(0, len(q), part)] or [np.zeros(0)]
-        )
-        order = np.lexsort((ids[j], dist, q))
-        rows = q[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = order[place < self.k]
-        self._append(q[keep], ids[j[keep]], dist[keep])
+        cuts = [(q[i : i + part], j[i : i + part]) for i in range(0, len(q), part)]
+        dist = np.concatenate([_exact_distance(self.raw[a], x[b], self.norms[a], norms[b]) for a, b in cuts])
+        items = ids[j]
+        if np.bincount(q - q[0]).max() > self.k:
+            order = np.lexsort((items, dist, q))
+            rows = q[order]
+            keep = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k]
+            q, items, dist = q[keep], items[keep], dist[keep]
+        self._append(q, items, dist)
 
     def _append(self, rows: np.ndarray, items: np.ndarray, dist: np.ndarray) -> None:
-        self.rows = np.concatenate((self.rows, rows))
-        self.items = np.concatenate((self.items, items))
-        self.dist = np.concatenate((self.dist, dist))
+        self.parts.append((rows, items, dist))
+        self.waiting += len(rows)
 
     def _trim(self) -> None:
-        order = np.lexsort((self.items, self.dist, self.rows))
-        rows = self.rows[order]
-        first = np.searchsorted(rows, np.arange(len(self.ids)))
-        place = np.arange(len(rows)) - first[rows]
-        keep = order[place < self.k]
-        last = rows[place == self.k - 1]
-        self.floor[last] = np.maximum(self.floor[last], 1.0 - self.dist[order[place == self.k - 1]])
-        self.rows, self.items, self.dist = self.rows[keep], self.items[keep], self.dist[keep]
+        rows, items, dist = (np.concatenate(c) for c in zip((self.rows, self.items, self.dist), *self.parts))
+        self.parts, self.waiting = [], 0
+        order = np.lexsort((items, dist, rows))
+        rows = rows[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(self.ids)))[rows]
+        kept = place < self.k
+        self.rows, order, place = rows[kept], order[kept], place[kept]
+        self.items, self.dist = items[order], dist[order]
+        full = place == self.k - 1
+        last = self.rows[full]
+        self.floor[last] = np.maximum(self.floor[last], 1.0 - self.dist[full])
 
     def result(self) -> pa.RecordBatch:
         self._trim()
@@ -204,9 +226,7 @@ def _collect_lists(df: DataFrame) -> list[list[tuple[np.ndarray, np.ndarray]]]:
 
 def vector_bytes(df: DataFrame, *vec_cols: str) -> int:
     """Size of the vectors as doubles and of an id per row, found by one narrow aggregate."""
-    numbers = sum((F.greatest(F.size(c), F.lit(0)) for c in vec_cols or ("vec",)), F.lit(1))
-    row = df.agg(F.sum(numbers).alias("n")).first()
-    return int(row["n"] or 0) * 8
+    return query_size(df, *vec_cols)[1]
 
 
 _MERGE_WIDTH = 64   # tasks whose results are merged first
@@ -356,6 +376,159 @@ def _scan(queries: DataFrame, items: DataFrame, k: int, floors: bool | None = No
     return _top_k(_scan_lists(queries, [k], items, floors).drop("list_no"), k)
 
 
+# --- blocks ------------------------------------------------------------------
+
+_BLOCK_BYTES = 160 << 20  # running results and vectors of the queries of one block
+_HELD_BYTES = 64 << 20    # running results of all queries up to which each task may hold them
+_ROW_BYTES = 128          # of running results, for each neighbour wanted
+_MOST_SLICES = 8          # beyond so many walks the items go to blocks of queries
+_CHUNK = 2048             # items that travel as one row
+_BLOCKS = "block long, part int, data binary"
+_RANKED = "list_no int, " + _PAIRS + ", rank int"
+
+
+def query_size(df: DataFrame, *vec_cols: str) -> tuple[int, int]:
+    """Rows, and :func:`vector_bytes`, by one narrow aggregate."""
+    numbers = sum((F.greatest(F.size(c), F.lit(0)) for c in vec_cols or ("vec",)), F.lit(1))
+    row = df.agg(F.count("*").alias("rows"), F.sum(numbers).alias("n")).first()
+    return row["rows"], int(row["n"] or 0) * 8
+
+
+def route(rows: int, size: int, ks: list[int], limit_bytes: int) -> str:
+    """How to search for ``rows`` queries whose vectors take ``size`` bytes."""
+    if rows * sum(ks) * _ROW_BYTES > _HELD_BYTES:
+        return "blocks"
+    return "scan" if size <= limit_bytes else "slices"
+
+
+def _slices(size: int, limit_bytes: int) -> int:
+    return max(1, -(-2 * size // max(1, limit_bytes)))
+
+
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _block_keys(spark: SparkSession, n: int) -> list[int]:
+    """Keys that ``repartition(n, key)`` deals to one partition each."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    rows = spark.range(32 * n).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()
+    keys = [r["id"] for r in rows]  # one number per block
+    return (keys + [32 * n + i for i in range(n)])[:n]
+
+
+def _block_lists(
+    queries: DataFrame, ks: list[int], items: DataFrame, floors: bool = False, size: tuple[int, int] | None = None
+) -> DataFrame:
+    """(list_no, query_id, item_id, distance, rank) of all queries, block by block.
+
+    ``queries``, ``items`` and ``ks`` are as in :func:`_scan_lists`. Every block is
+    met by all items, so the work is rows times items, and what is shuffled is the
+    items once per block.
+    """
+    spark = items.sparkSession
+    rows, numbers = size or query_size(queries, *queries.columns[1:])
+    needed = -(-(rows * sum(ks) * _ROW_BYTES + 3 * numbers) // _BLOCK_BYTES)
+    n = max(1, needed, min(2 * spark.sparkContext.defaultParallelism, -(-rows // _QUERY_BLOCK)))
+    keys = _block_keys(spark, n)
+
+    def pack(part: int, by_block: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                rows = np.arange(batch.num_rows)
+                if by_block:
+                    at = np.asarray(batch.column(0))
+                    rows = np.argsort(at, kind="stable")
+                    at, cuts = np.unique(at[rows], return_index=True)
+                    batch = batch.select(batch.schema.names[1:])
+                else:
+                    cuts = rows[::_CHUNK]
+                    at = np.zeros(len(cuts), dtype=np.int64)
+                # taken, as slices of lists cannot be written
+                data = [_to_bytes(batch.take(pa.array(some))) for some in np.split(rows, cuts[1:])]
+                parts = pa.array(np.full(len(data), part, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at, pa.int64()), parts, pa.array(data, pa.binary())], names=["block", "part", "data"]
+                )
+
+        return run
+
+    some = functools.reduce(operator.or_, [V.is_filled(F.col(c)) for c in queries.columns[1:]])
+    block = F.element_at(F.array(*[F.lit(k).cast("long") for k in keys]), (F.pmod(F.xxhash64("id"), F.lit(n)) + 1).cast("int"))
+    met = queries.filter(some).select(block.alias("block"), "*").mapInArrow(pack(0, True), _BLOCKS)
+    sampled = F.pmod(F.xxhash64("id"), F.lit(_SAMPLED)) == 0
+    sides = [(1, items.filter(sampled)), (2, items.filter(~sampled))] if floors else [(2, items)]
+    everywhere = F.explode(F.array(*[F.lit(k).cast("long") for k in keys]))
+    for part, side in sides:
+        packed = side.mapInArrow(pack(part, False), _BLOCKS).withColumn("block", everywhere)
+        met = met.unionByName(packed)
+
+    def finish(lists) -> Iterator[pa.RecordBatch]:
+        for no, k in enumerate(ks):
+            found = [nearest_items.result() for at, nearest_items in lists if at == no]
+            if not found:
+                continue
+            table = pa.Table.from_batches(found)
+            ids, items_, dist = (table.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            dist = np.where(np.isnan(dist), np.inf, dist)
+            order = np.lexsort((items_, dist, ids))
+            ids = ids[order]
+            rank = np.arange(len(ids)) - np.searchsorted(ids, ids)
+            kept = rank < k  # rows of one id count as one query
+            order, ids, rank = order[kept], ids[kept], rank[kept]
+            dist = dist[order]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), no, dtype=np.int32)), pa.array(ids), pa.array(items_[order]),
+                 pa.array(dist, mask=np.isinf(dist)), pa.array((rank + 1).astype(np.int32))],
+                names=["list_no", "query_id", "item_id", "distance", "rank"],
+            )
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, waiting, lists = None, None, [], []
+
+        def open_lists():
+            table = pa.Table.from_batches(waiting)
+            waiting.clear()
+            ids = np.asarray(table.column(0), dtype=np.int64)
+            for no, k in enumerate(ks):
+                column = table.column(no + 1).combine_chunks()
+                lists.extend((no, _Nearest(ids[rows], matrix, k)) for rows, matrix in _by_width(column))
+
+        for batch in batches:
+            for at, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if at != block:
+                    yield from finish(lists)
+                    lists.clear()
+                    waiting.clear()
+                    block = at
+                elif part == 2 and last == 1:
+                    for _no, nearest_items in lists:
+                        nearest_items._trim()  # from here on the sample's k-th best is the floor
+                last = part
+                chunk = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+                if part == 0:
+                    waiting.append(chunk)
+                    continue
+                if waiting:
+                    open_lists()
+                ids = np.asarray(chunk.column(0), dtype=np.int64)
+                matrices = {}
+                for no, nearest_items in lists:
+                    width = nearest_items.raw.shape[1]
+                    if (no, width) not in matrices:
+                        matrices[no, width] = _matrix(chunk.column(no + 1), width)
+                    nearest_items.add(ids, *matrices[no, width])
+        yield from finish(lists)
+
+    dealt = met.repartition(n, "block").sortWithinPartitions("block", "part")
+    return dealt.mapInArrow(walk, _RANKED)
+
+
 def _sliced_lists(
     queries: DataFrame, ks: list[int], items: DataFrame, limit_bytes: int, floors: bool | None = None
 ) -> DataFrame:
@@ -363,7 +536,7 @@ def _sliced_lists(
 
     Each slice is walked and stored before the next one is read.
     """
-    slices = max(1, -(-2 * vector_bytes(queries, *queries.columns[1:]) // max(1, limit_bytes)))
+    slices = _slices(vector_bytes(queries, *queries.columns[1:]), limit_bytes)
     number = F.pmod(F.xxhash64("id"), F.lit(slices))
     floors = _many_tasks(items) if floors is None else floors
     found = []
@@ -396,16 +569,24 @@ def nearest(
 ) -> DataFrame:
     """The k nearest items of every query: (query_id, item_id, distance, rank).
 
-    ``method`` forces ``"scan"`` or ``"slices"``; by default the size of the
-    query vectors decides. ``floors`` forces the walk for bounds or leaves it
+    ``method`` forces ``"scan"``, ``"slices"`` or ``"blocks"``; by default the size of
+    the query vectors and of their results decides, and too many slices become
+    blocks (see :func:`route`). ``floors`` forces the walk for bounds or leaves it
     out; by default the expected number of tasks decides.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     q = _narrow(queries, query_id, query_vec).filter(V.is_filled(F.col("vec")))
     x = _narrow(items, item_id, item_vec or query_vec)
-    if method is None:
-        method = "scan" if vector_bytes(q) <= limit_bytes else "slices"
+    size = None
+    if method in (None, "slices"):
+        size = query_size(q)
+        wanted = route(*size, [k], limit_bytes)
+        method = "blocks" if wanted == "blocks" else method or wanted
+        if method == "slices" and _slices(size[1], limit_bytes) > _MOST_SLICES:
+            method = "blocks"
+    if method == "blocks":
+        return _block_lists(q, [k], x, bool(floors), size).drop("list_no")
     if method == "scan":
         return _scan(q, x, k, floors)
     return _top_k(_sliced_lists(q, [k], x, limit_bytes, floors).drop("list_no"), k)
@@ -502,16 +683,24 @@ def candidates(
     by = ["embedding_hybrid", "embedding_clap_ensemble"]
     narrow = [F.col("id").cast("long").alias("id"), *by]
     sides, ks = (scenes.select(*narrow), tracks.select(*narrow)), [k_hybrid, k_ensemble]
-    if method is None:
-        method = "scan" if vector_bytes(scenes, *by) <= config.broadcast_limit_bytes else "slices"
-    if method == "scan":
-        found = _scan_lists(sides[0], ks, sides[1], floors)
+    size = None
+    if method in (None, "slices"):
+        size = query_size(scenes, *by)
+        wanted = route(*size, ks, config.broadcast_limit_bytes)
+        method = "blocks" if wanted == "blocks" else method or wanted
+        if method == "slices" and _slices(size[1], config.broadcast_limit_bytes) > _MOST_SLICES:
+            method = "blocks"
+    if method == "blocks":
+        both = _block_lists(sides[0], ks, sides[1], bool(floors), size).repartition("query_id")
     else:
-        found = _sliced_lists(sides[0], ks, sides[1], config.broadcast_limit_bytes, floors)
-    found = found.repartition("query_id")
-    limits = F.when(F.col("list_no") == 0, k_hybrid).otherwise(k_ensemble)
-    order = Window.partitionBy("query_id", "list_no").orderBy(*_order())
-    both = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits)
+        if method == "scan":
+            found = _scan_lists(sides[0], ks, sides[1], floors)
+        else:
+            found = _sliced_lists(sides[0], ks, sides[1], config.broadcast_limit_bytes, floors)
+        found = found.repartition("query_id")
+        limits = F.when(F.col("list_no") == 0, k_hybrid).otherwise(k_ensemble)
+        order = Window.partitionBy("query_id", "list_no").orderBy(*_order())
+        both = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits)
     union = _merge_lists(both.withColumnRenamed("list_no", "source"), config.candidate_union_limit)
     return union.select(
         F.col("query_id").alias("scene_query_id"), F.col("item_id").alias("track_query_id"), "place"

@@ -19,7 +19,7 @@ _PAIR_BYTES = 32  # a candidate pair in memory
 class Sizes:
     """What a check of the sizes allows; see :func:`check_sizes`."""
 
-    method: str          # how to search: "scan" or "slices"
+    method: str          # how to search: "scan", "slices" or "blocks"
     send_scenes: bool    # scenes may be sent to the pairs
     pairs: str           # "send", "spread" or "shuffle", see scoring.score_pairs
 
@@ -56,7 +56,9 @@ def check_sizes(scenes: DataFrame, tracks: DataFrame, config: MatchConfig) -> Si
     else:
         route = "send" if tracks.count() > pairs else "spread"
     return Sizes(
-        method="scan" if (row["numbers"] or 0) * 8 <= limit else "slices",  # both vectors as doubles, and ids
+        method=retrieval.route(  # by both vectors as doubles, ids and results
+            row["n"], (row["numbers"] or 0) * 8, [config.candidate_pool_hybrid, config.candidate_pool_ensemble], limit
+        ),
         send_scenes=(row["bytes"] or 0) <= limit,
         pairs=route,
     )

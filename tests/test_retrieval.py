@@ -206,3 +206,44 @@ def test_no_cross_join_in_the_plans(spark):
     for method in ("scan", "slices"):
         plan = retrieval.nearest(q, x, 3, "v", method=method)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("floors", [False, True])
+@pytest.mark.parametrize("k", [1, 7, 60])
+def test_blocks_are_exact(spark, monkeypatch, k, floors):
+    """Blocks of few queries and chunks of few items: copies, nulls, zeros, other lengths."""
+    monkeypatch.setattr(retrieval, "_BLOCK_BYTES", 12_000 * k)
+    monkeypatch.setattr(retrieval, "_QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "_CHUNK", 16)
+    items = clustered(1, 150, copies=True) + [(900, None), (901, [0.0] * 6), (902, None), (903, [1.0])]
+    queries = clustered(2, 20) + [(500, None), (501, []), (502, [0.0] * 6), (503, [1.0] * 6)]
+    want = brute(queries, [(i, v if v is None or len(v) == 6 else [0.0] * 6) for i, v in items], k)
+    got = retrieval.nearest(frame(spark, queries), frame(spark, items), k, "v", method="blocks", floors=floors)
+    assert as_lists(got) == want
+    rows = got.groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
+    assert all(r["r"] == list(range(1, min(k, len(items)) + 1)) for r in rows)
+
+
+def test_blocks_count_queries_of_one_id_as_the_scan_does(spark):
+    items, queries = clustered(21, 50), clustered(22, 6) + clustered(23, 6)
+    got = [
+        retrieval.nearest(frame(spark, queries), frame(spark, items), 9, "v", method=m).select(
+            "query_id", "rank", "item_id", F.round("distance", 12)).orderBy("query_id", "rank").collect()
+        for m in ("scan", "blocks")
+    ]
+    assert got[0] == got[1]
+
+
+def test_running_results_and_many_slices_lead_to_blocks(spark, monkeypatch):
+    """What a task holds grows with the queries times k, not with their vectors alone."""
+    assert retrieval.route(2_000, 2_000 * 520, [150], 64 << 20) == "scan"
+    assert retrieval.route(100_000, 100_000 * 520, [150], 64 << 20) == "blocks"
+    assert retrieval.route(2_000, 2_000 * 520, [5], 512 << 10) == "slices"
+    assert retrieval.route(100_000, 100_000 * 520, [150], 64 << 10) == "blocks"
+    walks = []
+    walked = retrieval._walked
+    monkeypatch.setattr(retrieval, "_walked", lambda *a: walks.append(1) or walked(*a))
+    items, queries = clustered(24, 60), clustered(25, 40)
+    got = retrieval.nearest(frame(spark, queries), frame(spark, items), 3, "v", method="slices", limit_bytes=200)
+    assert as_lists(got) == brute(queries, items, 3)
+    assert len(walks) <= 8
