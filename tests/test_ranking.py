@@ -163,3 +163,15 @@ def test_tight_limit_gives_the_same_matches(spark, sf):
         for extra in ({}, {"broadcast_limit_bytes": 1000})
     ]
     assert rows[0] == rows[1] and len(rows[0]) == 600
+
+
+def test_scores_are_written_with_methods_the_jit_compiles(spark, sf, monkeypatch):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    seen, before = [], spark.conf.get(key)
+    monkeypatch.setattr(matching, "materialize", lambda rows, _name: seen.append(spark.conf.get(key)) or rows)
+    spark.conf.set(key, "65535")
+    try:
+        matching.stored_scores(fx.scenes(spark, sf), fx.tracks(spark, sf), MatchConfig())
+        assert (seen, spark.conf.get(key)) == (["8000"], "65535")
+    finally:
+        spark.conf.set(key, before)
