@@ -64,3 +64,15 @@ def test_order_and_hits():
     for share in (0.0, 0.001, 0.5):
         some = rng.random((37, 29)) < share
         assert (retrieval._hits(some) == np.flatnonzero(some)).all()
+
+
+def test_union_within_blocks(spark, sf):
+    """Blocks give the union themselves, with ids that repeat on both sides, and shuffle no list."""
+    pairs, s, t = _odd(spark, sf)
+    s, t = s.filter("id is not null"), t.filter("id is not null")
+    config = MatchConfig(candidate_pool_hybrid=9, candidate_pool_ensemble=7, candidate_union_limit=11)
+    blocks, scan = (retrieval.candidates(s, t, config, method) for method in ("blocks", "scan"))
+    assert blocks.dtypes == scan.dtypes
+    rows = sorted(map(tuple, blocks.collect()))
+    assert rows and rows == sorted(map(tuple, scan.collect()))
+    assert "Window" not in blocks._jdf.queryExecution().executedPlan().toString()
