@@ -396,6 +396,12 @@ def _texts(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return texts.groupBy("cls").agg(F.first("text").alias("text"))
 
 
+def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that a join with ``ids`` (cls) can meet. Beyond ``_SEND`` ids the join alone drops the others."""
+    ids = materialize(ids.distinct(), "among")
+    return sets.join(F.broadcast(ids), "cls", "left_semi") if ids.count() <= _SEND else sets
+
+
 def _verify(texts: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) that hold on whole texts."""
     second = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
@@ -418,6 +424,7 @@ def _between_components(left: DataFrame, wide: DataFrame, t: Fraction, best: boo
         left = left.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("sig"))).where(F.col("k") <= _FIRST_RUNS).drop("k")
     rows = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", F.col("n").cast("long").alias("n"), "root")
+    wide = _among(wide, left.select(F.col("a").alias("cls")))
     rows = rows.join(wide.select(F.col("cls").alias("a"), "sketch"), "a").select("sig", "i", "j", "block", "a", "n", "root", "sketch")
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "a")
     return materialize(rows.mapInArrow(trimmed(_between(t, best)), "a long, b long").distinct(), "between")
@@ -431,7 +438,8 @@ def _joined(docs: DataFrame, long: DataFrame, found: DataFrame, roots: DataFrame
     n sets offers at most n pairs.
     When a round joins nothing, all pairs of different components within the bound of
     the wide sketches are checked: few, as such sketches count the differences almost
-    exactly, and none is left out.
+    exactly, and none is left out. Only the sketches of sets still open and the texts of
+    offered pairs are shuffled.
     """
     left = materialize(_open(long, roots), "open")
     if left.isEmpty():
@@ -443,7 +451,8 @@ def _joined(docs: DataFrame, long: DataFrame, found: DataFrame, roots: DataFrame
     best = True
     while True:
         pairs = _between_components(left, wide, t, best)
-        more = materialize(_verify(wide, pairs, k, t).select("a", "b"), "verified")
+        paired = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+        more = materialize(_verify(_among(wide, paired), pairs, k, t).select("a", "b"), "verified")
         if more.isEmpty():
             if not best:
                 return roots

@@ -115,6 +115,26 @@ def test_what_long_runs_leave_over_equals_brute_force(spark, monkeypatch, block)
     assert cases.ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == cases.ordered(cases.jaccard_classes(rows))
 
 
+def test_rounds_move_the_texts_of_offered_pairs_only(spark, monkeypatch):
+    """A text whose set is in no pair of a round stays out of that round's join."""
+    verify, seen = ngram_join._verify, []
+
+    def watched(texts, pairs, k, t):
+        seen.append(({r["cls"] for r in texts.select("cls").collect()}, {x for r in pairs.collect() for x in (r["a"], r["b"])}))
+        return verify(texts, pairs, k, t)
+
+    monkeypatch.setattr(ngram_join, "_verify", watched)
+    rows = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(70)]
+        words[i % 7 * 9 : i % 7 * 9 + 1 + i % 4] = [f"x{i}"]
+        rows.append((i, " ".join(words), "en", "s", 1))
+    rows += [(1000 + i, " ".join([*(f"w{j}" for j in range(30)), *(f"y{i}v{j}" for j in range(40))]), "en", "s", 1) for i in range(40)]
+    out = ngram_join.jaccard_components(cases.table(spark, rows)).collect()
+    assert cases.ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == cases.ordered(cases.jaccard_classes(rows))
+    assert len(seen) > 1 and all(texts == paired for texts, paired in seen)
+
+
 def test_components_offer_their_nearest_pairs_across_blocks():
     t = Fraction(4, 5)
     rng = np.random.default_rng(7)
