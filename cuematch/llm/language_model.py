@@ -42,6 +42,7 @@ END = np.uint64(0x7E57_0000_0000_0E0D)
 SEGMENT = 64
 _SEND = 4_000_000
 _SCORE_BYTES = 12 << 20
+_FIRST_BITS = 16  # of a word's hash, that the short list is looked up by
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,7 +89,12 @@ class _Model:
     def __init__(self, short: list[tuple[int, int]], n: int, v: int, flat: np.ndarray, words=None, counts=None):
         words_ = np.array([w for w, _ in short], np.int64).view(np.uint64)
         self.order = np.argsort(words_)
-        self.short, self.ids = words_[self.order], self.order.astype(np.int64)
+        self.short, self.ids = words_[self.order], self.order.astype(np.int16)
+        self.near = np.array([c for _, c in short] + [0], np.int64)  # counts by place; TAIL has its own
+        # the short list by the first bits of its words: where they begin, and where a second word has them
+        starts = np.arange((1 << _FIRST_BITS) + 1, dtype=np.uint64)
+        begin = np.searchsorted(self.short >> np.uint64(64 - _FIRST_BITS), starts)
+        self.begin, self.several = np.minimum(begin[:-1], len(short) - 1), np.diff(begin) > 1
         inside = sum(c for _, c in short)
         self.n, self.v, self.flat, self.words, self.counts = n, v, flat, words, counts
         self.base = n + v + 1
@@ -96,14 +102,21 @@ class _Model:
 
     def number(self, tokens: np.ndarray) -> np.ndarray:
         """Places in the short list, TAIL for all others."""
-        at = np.minimum(np.searchsorted(self.short, tokens), len(self.short) - 1)
+        first = (tokens >> np.uint64(64 - _FIRST_BITS)).astype(np.int64)
+        at = self.begin[first]
+        again = np.flatnonzero(self.several[first])
+        at[again] = np.minimum(np.searchsorted(self.short, tokens[again]), len(self.short) - 1)
         return np.where(self.short[at] == tokens, self.ids[at], gru.TAIL)
 
-    def count(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, self.counts[at], 0)
+    def count(self, tokens: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the tokens in the training texts; ``ids`` are their places in the short list."""
+        out = self.near[np.minimum(ids, len(self.near) - 1)]
+        far = np.flatnonzero(ids == gru.TAIL)
+        if len(self.words) and len(far):
+            tokens = tokens[far]
+            at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+            out[far] = np.where(self.words[at] == tokens, self.counts[at], 0)
+        return out
 
 
 def _segments(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, every: int):
@@ -196,7 +209,7 @@ def _scored(model):
                 text = np.repeat(np.arange(b - a), counts)
                 base, known = np.zeros(b - a), np.zeros(b - a, np.int64)
                 if m.words is not None:
-                    c = m.count(tokens)
+                    c = m.count(tokens, ids)
                     base = np.bincount(text, np.log10((c + 1) / m.base), b - a)
                     known = np.bincount(text[c > 0], minlength=b - a)
                     far = ids == gru.TAIL

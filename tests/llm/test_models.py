@@ -116,6 +116,25 @@ def test_gradient_equals_differences():
             assert g[k][i] == pytest.approx((loss(up) - loss(down)) / 2e-4, rel=2e-2, abs=1e-5), k
 
 
+def test_probabilities_far_below_the_range_of_floats():
+    p = parameters()
+    p["cb"] -= 300
+    p["wb"] -= 300
+    every = np.arange(gru.SHORT + 1)
+    logs = gru.log_probs(p, np.zeros((len(every), gru.HIDDEN), np.float32), every)
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_places_and_counts_of_words_with_the_same_first_bits():
+    words = np.array([5, 6, 1 << 60, (1 << 60) + 1, (1 << 63) + 9, 2**64 - 1], np.uint64)
+    short = [(int(words[i].astype(np.int64)), 10 + i) for i in (3, 0, 2, 5)]
+    m = language_model._Model(short, 100, 6, np.zeros(0), words, 10 + np.arange(6))
+    asked = np.append(words, np.array([7, 1 << 61], np.uint64))
+    places = m.number(asked)
+    assert places.tolist() == [1, gru.TAIL, 2, 0, gru.TAIL, 3, gru.TAIL, gru.TAIL]
+    assert m.count(asked, places).tolist() == [10, 11, 12, 13, 14, 15, 0, 0]
+
+
 def test_training_learns_a_pattern_and_held_out_text_gains():
     rng = np.random.default_rng(5)
     phrase = np.arange(1, 12)
