@@ -247,3 +247,17 @@ def test_running_results_and_many_slices_lead_to_blocks(spark, monkeypatch):
     got = retrieval.nearest(frame(spark, queries), frame(spark, items), 3, "v", method="slices", limit_bytes=200)
     assert as_lists(got) == brute(queries, items, 3)
     assert len(walks) <= 8
+
+
+def test_distances_of_columns_are_summed_in_element_order():
+    rng = np.random.default_rng(9)
+    q, x = rng.normal(size=(2, 50, 37))
+    nq, nx = (np.sqrt((m * m).sum(axis=1)) for m in (q, x))
+    nq[3] = 0.0
+    found = retrieval._exact_distance(q.T, x.T, nq, nx)
+    for i in range(50):
+        dot = 0.0
+        for a, b in zip(q[i], x[i]):
+            dot += a * b
+        assert found[i] == (1.0 - dot / (nq[i] * nx[i]) if nq[i] else 1.0)
+    assert retrieval._exact_distance(np.zeros((0, 2)), np.zeros((0, 2)), np.ones(2), np.ones(2)).tolist() == [1.0, 1.0]
