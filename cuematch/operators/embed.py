@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,7 @@ from cuematch.functions.text import strip
 from cuematch.plans.storage import materialize
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
+_TEXT_BYTES = 4 << 20  # of texts that are encoded at once; one text at least
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -72,6 +74,17 @@ def _try(encode: Encoder, texts: Sequence[str]) -> list[tuple[np.ndarray | None,
     ]
 
 
+def _bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts have ``_TEXT_BYTES`` at most, or are one text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column))), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + _TEXT_BYTES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _digest(c: Column | str) -> Column:
     """What stands for a text in joins: 32 bytes, however long it is."""
     return F.unhex(F.sha2(c, 256))
@@ -80,15 +93,14 @@ def _digest(c: Column | str) -> Column:
 def encoded_texts(texts: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     """(digest, vector, error_type, error): each distinct text of the column ``text``, encoded once and stored.
 
-    Nothing but the texts goes through Python. A text that the encoder cannot
+    Nothing but the texts goes through Python, a bounded number of bytes at once, whatever
+    the size of an Arrow batch. A text that the encoder cannot
     take has an error in place of its vector; the others are not touched by it.
     """
     encode = encoder or hashing_encoder()
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches for piece in _bounded(whole, 1)):
             found = _try(encode, batch.column(1).to_pylist())
             vectors = [None if v is None else v.astype(np.float32) for v, _kind, _text in found]
             yield pa.RecordBatch.from_arrays(
@@ -115,14 +127,16 @@ def embed_rows(
     (column, error_type, error), empty for a row with all its vectors; a failed
     text has a NULL vector. All columns' texts make one narrow table, in which
     each distinct text stands once; its vector goes back to the rows by the text's
-    SHA-256, so no text is shuffled a second time. With several text columns the rows are stored once under a number.
+    SHA-256, and whether it is blank is told before, so no text is shuffled a second time
+    unless the caller reads it. With several text columns the rows are stored once under a number.
     """
     names = list(columns)
     answer = F.struct("vector", "error_type", "error")
+    blank = {f"_blank_{i}": _blank(c) for i, c in enumerate(names)}
     if len(names) == 1:
         texts = df.filter(~_blank(names[0])).select(F.col(names[0]).alias("text"))
         known = encoded_texts(texts, encoder).select(F.col("digest").alias("_digest"), answer.alias("_0"))
-        hashed = df.withColumn("_digest", F.when(~_blank(names[0]), _digest(names[0])))
+        hashed = df.withColumns(blank).withColumn("_digest", F.when(~F.col("_blank_0"), _digest(names[0])))
         joined = hashed.join(known, "_digest", "left")
     else:
         keyed = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
@@ -131,9 +145,9 @@ def embed_rows(
         known = encoded_texts(long, encoder)
         long = long.select("_row", "no", _digest("text").alias("digest"))
         one = [F.max_by(answer, F.when(F.col("no") == i, F.lit(1))).alias(f"_{i}") for i in range(len(names))]
-        joined = keyed.join(long.join(known, "digest").groupBy("_row").agg(*one), "_row", "left")
+        joined = keyed.withColumns(blank).join(long.join(known, "digest").groupBy("_row").agg(*one), "_row", "left")
     told = F.array(*[
-        F.when(_blank(c), F.struct(F.lit(c).alias("column"), F.lit("EmptyText").alias("error_type"), F.lit(f"{c} is empty").alias("error")))
+        F.when(F.col(f"_blank_{i}"), F.struct(F.lit(c).alias("column"), F.lit("EmptyText").alias("error_type"), F.lit(f"{c} is empty").alias("error")))
         .otherwise(F.struct(F.lit(c).alias("column"), F.col(f"_{i}.error_type").alias("error_type"), F.col(f"_{i}.error").alias("error")))
         for i, c in enumerate(names)
     ])
@@ -151,7 +165,7 @@ def _first_error(errors: str) -> Column:
 def embed_texts(df: DataFrame, columns: dict[str, str], encoder: Encoder | None = None) -> DataFrame:
     """:func:`embed_rows` for texts that must all have a vector: any error fails the job.
 
-    The encoder gets the distinct texts of an Arrow batch and returns a matrix;
+    The encoder gets distinct texts, some of an Arrow batch at once, and returns a matrix;
     any model can stand in.
     """
     rows = embed_rows(df, columns, encoder, "_errors")

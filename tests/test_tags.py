@@ -192,6 +192,27 @@ def test_encoder_errors(spark):
         embed.embed_texts(rows.limit(1), {"text": "v"}, lambda texts: np.ones((len(texts) + 1, 4))).collect()
 
 
+def test_encoder_gets_bounded_texts(spark):
+    """However many long texts an Arrow batch holds; the vectors tell what came at once."""
+    def encode(texts):
+        return np.tile([float(sum(map(len, texts))), 1.0], (len(texts), 1))
+
+    sizes = [1 << 20] * 9 + [6 << 20, 0, 5]
+    rows = spark.createDataFrame([(i, "x" * n + f" {i}") for i, n in enumerate(sizes)], "id long, text string").coalesce(1)
+    found = embed.embed_texts(rows, {"text": "v"}, encode).select("id", "v").collect()
+    assert len(found) == len(sizes)
+    for r in found:
+        assert r["v"][0] / r["v"][1] <= max((4 << 20) * 1.001, sizes[r["id"]] + 10)
+
+
+def test_no_text_travels_with_its_vector(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string").write.parquet(f"{tmp_path}/rows")
+    rows = embed.embed_texts(spark.read.parquet(f"{tmp_path}/rows"), {"text": "v"}, embed.hashing_encoder(4)).select("id", "v")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join LeftOuter")]
+    assert "text#" not in above
+
+
 def test_tag_scores_in_slices(spark):
     vecs = embed.tag_vectors(taxonomy.with_prompts(taxonomy.default_tags(spark)), embed.hashing_encoder(8))
     tracks = spark.createDataFrame([(1, [float(i) for i in range(8)]), (2, [1.0] * 8), (3, [1.0])], "id long, embedding_audio array<float>")
