@@ -192,7 +192,8 @@ def overwrite_episodes(matches: DataFrame, path: str, episodes: Sequence[int] |
 
     Without ``episodes`` those that occur in ``matches`` are replaced. With it,
     exactly those are: only their rows are written, and a partition that gets no
-    rows is removed.
+    rows is removed. An episode is one file, or several where its rows are many: Spark
+    splits large episodes and puts small ones together by their sizes.
     """
     spark = matches.sparkSession
     if episodes is not None:
@@ -200,7 +201,7 @@ def overwrite_episodes(matches: DataFrame, path: str, episodes: Sequence[int] |
         matches = matches.filter(F.col("episode_nr").isin(wanted))
         filled = {r[0] for r in matches.select("episode_nr").distinct().collect()}  # at most the given ones
     (
-        matches.repartition("episode_nr", F.pmod(F.xxhash64("scene_query_id"), F.lit(16)))
+        matches.hint("rebalance", "episode_nr")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("episode_nr")

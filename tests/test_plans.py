@@ -166,6 +166,13 @@ def test_episode_partitions_on_storage(spark, tmp_path):
         persist.write_snapshot(make([(1, 1, 0.1)]), str(tmp_path / "s"))
 
 
+def test_small_episode_is_one_file(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(id div 20 as int) episode_nr", "id scene_query_id", "double(id) score").repartition(8)
+    persist.overwrite_episodes(rows, str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").glob("episode_nr=*/*.parquet"))) == 20
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 400
+
+
 def test_rerun_episode_replaces_scenes(spark, sf):
     s = fx.scenes(spark, sf)
     fresh = s.filter("episode_nr = 2").limit(3).withColumn("theme_txt", F.lit("fresh"))
