@@ -12,6 +12,12 @@ text's log10 is a sum over its n-grams: each text's distinct n-grams with their
 multiplicities meet the numbers in a shuffle by the n-gram's hash. No part of the
 model goes through the driver. Perplexity is 10 to the mean negative log10.
 
+Waves. What is shuffled and stored at once is a share of it: words are dealt to
+``_WAVES`` waves, a trigram with its shorter forms and contexts goes by its middle
+word, and a wave counts, makes its numbers, adds its part to every text and deletes
+its tables before the next one starts. Every wave reads all texts; n-grams travel
+packed (sorted hashes as differences, texts as places in a list).
+
 Thresholds. Trusted documents of the other half, scored like all others, give
 quantiles of perplexity per language and length band (powers of four): a document
 is kept up to the ``high`` quantile times ``margin``. A language's quantile is its
@@ -31,17 +37,22 @@ alike. Other columns may have any name and type. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuematch.llm.rows import packed, row_hash
 from cuematch.llm.words import distinct, mixed, slices, text_bytes, trimmed, word_hashes
-from cuematch.plans.storage import materialize
+from cuematch.plans.storage import delete, free_shuffles, materialize
 
+_WAVES = 8     # a power of two
+_PARTS = 32    # of the n-grams of a wave, one task each
+_CONTEXT = np.uint64(0x6A09E667F3BCC909)  # tells a context of two words from the bigram
+_CHUNK_BYTES = 4 << 20  # of texts whose n-grams are packed together
 START, END = np.uint64(0x5747_0000_0000_0001), np.uint64(0x5747_0000_0000_0003)
 _SEND = 2_000_000
 _U = np.uint64
@@ -64,17 +75,32 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _U(0x9E3779B97F4A7C15) + b)
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(0))
-        for a, b in slices(offsets):
-            u, v, w, _ = _sequences(data, offsets[a : b + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v, w)], names=["u", "v", "w"])
+def _wave(words: np.ndarray) -> np.ndarray:
+    return words >> _U(65 - _WAVES.bit_length())
+
+
+def _trigrams(wave: int | None):
+    """Trigrams of the texts, with ``wave`` those whose middle word is in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in slices(offsets):
+                u, v, w, _ = _sequences(data, offsets[a : b + 1])
+                if wave is not None:
+                    own = _wave(v) == wave
+                    u, v, w = u[own], v[own], w[own]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v, w)], names=["u", "v", "w"])
 
+    return run
 
-def _discounts(counts: DataFrame, c: str) -> list[float]:
+
+def _seen(counts: DataFrame, c: str) -> list[int]:
+    """How many n-grams were seen once, twice, three and four times."""
+    return list(counts.agg(*[F.count(F.when(F.col(c) == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first())
+
+
+def _discounts(n: list[int]) -> list[float]:
     """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
-    n = counts.agg(*[F.count(F.when(F.col(c) == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
     if not all(n):
         return [0.5, 0.75, 0.9]
     y = n[0] / (n[0] + 2 * n[1])
@@ -94,18 +120,26 @@ def _contexts(counts: DataFrame, by: list[str], c: str, d: list[float]) -> DataF
     )
 
 
-def _tables(texts: DataFrame) -> dict[str, DataFrame] | None:
-    """Probabilities of seen n-grams and weights of contexts, keyed by words."""
-    tri = materialize(texts.select("text").mapInArrow(trimmed(_trigrams), "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "trigrams")
-    bi = materialize(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
-    uni = materialize(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
+def _ngram_counts(texts: DataFrame, wave: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Trigrams with their counts, and bigrams with the numbers of words before them; stored."""
+    found = texts.select("text").mapInArrow(trimmed(_trigrams(wave)), "u long, v long, w long")
+    tri = materialize(found.groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "trigrams")
+    return tri, materialize(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
+
+
+def _words(uni: DataFrame) -> tuple[DataFrame, float] | None:
+    """Shares of words by the numbers of words before them, and that of an unseen word; None without words."""
     total, words = uni.agg(F.sum("c"), F.count(F.lit(1))).first()
     if not total:
         return None
-    d3, d2, d1 = _discounts(tri, "c"), _discounts(bi, "c"), _discounts(uni, "c")
-    saved = uni.agg(F.sum(_discount(F.col("c"), d1))).first()[0] / total
+    d = _discounts(_seen(uni, "c"))
+    saved = uni.agg(F.sum(_discount(F.col("c"), d))).first()[0] / total
     floor = saved / (words + 1)
-    p1 = uni.select("w", ((F.col("c") - _discount(F.col("c"), d1)) / F.lit(total) + F.lit(floor)).alias("p1"))
+    return uni.select("w", ((F.col("c") - _discount(F.col("c"), d)) / F.lit(total) + F.lit(floor)).alias("p1")), floor
+
+
+def _shares(tri: DataFrame, bi: DataFrame, p1: DataFrame, d3: list[float], d2: list[float]) -> dict[str, DataFrame]:
+    """Probabilities of seen bigrams and trigrams and weights of contexts, keyed by words."""
     c2 = _contexts(bi, ["v"], "c", d2)
     p2 = bi.join(c2, "v").join(p1, "w")
     p2 = p2.select("v", "w", "weight", "p1", ((F.col("c") - _discount(F.col("c"), d2)) / F.col("total") + F.col("weight") * F.col("p1")).alias("p2"))
@@ -113,8 +147,18 @@ def _tables(texts: DataFrame) -> dict[str, DataFrame] | None:
     c3 = _contexts(tri, ["u", "v"], "c", d3)
     p3 = tri.join(c3, ["u", "v"]).join(p2.select("v", "w", "p2"), ["v", "w"])
     p3 = p3.select("u", "v", "w", "weight", "p2", ((F.col("c") - _discount(F.col("c"), d3)) / F.col("total") + F.col("weight") * F.col("p2")).alias("p3"))
+    return {"p3": p3, "c3": c3.select("u", "v", "weight"), "p2": p2, "c2": c2.select("v", "weight"), "p1": p1}
+
+
+def _tables(texts: DataFrame) -> dict[str, DataFrame] | None:
+    """The whole model at once, for :class:`KneserNey`."""
+    tri, bi = _ngram_counts(texts)
+    found = _words(materialize(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words"))
+    if found is None:
+        return None
+    p1, floor = found
     floor_ = texts.sparkSession.createDataFrame([(float(floor),)], "p double")
-    return {"p3": p3, "c3": c3.select("u", "v", "weight"), "p2": p2, "c2": c2.select("v", "weight"), "p1": p1, "floor": floor_}
+    return _shares(tri, bi, p1, _discounts(_seen(tri, "c")), _discounts(_seen(bi, "c"))) | {"floor": floor_}
 
 
 class _Lookup:
@@ -160,52 +204,135 @@ class KneserNey:
         return out
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, value) of n-grams given by one to three words and a value."""
-    for batch in batches:
-        words = [batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns - 1)]
-        key = words[0]
-        for w in words[1:]:
-            key = _pair(key, w)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(batch.num_columns - 1)], names=["key", "value"])
+_PACKED = "part int, kind int, keys binary, more binary, k binary, rows binary"
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers of eight or four bytes, compressed byte by byte of all."""
+    plain = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
+
+
+def _whole(data: bytes, kind: type) -> np.ndarray:
+    plain = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _parts(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of keys that are sorted by part."""
+    part = key % _U(_PARTS)
+    cuts = np.searchsorted(part, np.arange(_PARTS + 1, dtype=np.uint64))
+    for p in range(_PARTS):
+        if cuts[p] < cuts[p + 1]:
+            yield p, int(cuts[p]), int(cuts[p + 1])
+
+
+def _rows_of(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "kind", "keys", "more", "k", "rows"])
+
+
+def _keyed(salt: np.uint64):
+    """Packed keys and values of n-grams given by one to three words and a value."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = [batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns - 1)]
+            key = words[0]
+            for w in words[1:]:
+                key = _pair(key, w)
+            key, value = key ^ salt, batch.column(batch.num_columns - 1).to_numpy()
+            order = np.lexsort((key, key % _U(_PARTS)))
+            key, value = key[order], value[order]
+            yield _rows_of([(p, 0, _squeezed(np.diff(key[a:b], prepend=_U(0))), _squeezed(value[a:b]), None, None) for p, a, b in _parts(key)])
+
+    return run
 
 
 def _numbers(tables: dict[str, DataFrame], floor: float) -> DataFrame:
-    """(key, value): what each n-gram adds to the log10 of a text, beyond ``floor`` for each of its words.
+    """What each n-gram adds to the log10 of a text, beyond ``floor`` for each of its words, packed.
 
     A context adds its weight; a seen word, bigram or trigram adds its probability
     and takes away what its shorter forms and their weights have added.
     """
     log = lambda c: F.log10(F.col(c))
+    none = _U(0)
     parts = [
-        tables["p1"].select("w", log("p1") - F.lit(floor)),
-        tables["c2"].select("v", log("weight")),
-        tables["p2"].select("v", "w", log("p2") - log("weight") - log("p1")),
-        tables["c3"].select("u", "v", log("weight")),
-        tables["p3"].select("u", "v", "w", log("p3") - log("weight") - log("p2")),
+        (none, tables["p1"].select("w", log("p1") - F.lit(floor))),
+        (none, tables["c2"].select("v", log("weight"))),
+        (none, tables["p2"].select("v", "w", log("p2") - log("weight") - log("p1"))),
+        (_CONTEXT, tables["c3"].select("u", "v", log("weight"))),
+        (none, tables["p3"].select("u", "v", "w", log("p3") - log("weight") - log("p2"))),
     ]
     out = None
-    for part in parts:
-        keyed = part.toDF(*part.columns[:-1], "value").mapInArrow(trimmed(_keyed), "key long, value double")
+    for salt, part in parts:
+        keyed = part.toDF(*part.columns[:-1], "value").mapInArrow(trimmed(_keyed(salt)), _PACKED)
         out = keyed if out is None else out.unionAll(keyed)
-    return out.groupBy("key").agg(F.sum("value").alias("value"))
-
-
-def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, key, k): each text's distinct n-grams of one to three words, the start as first context."""
+    return out
+
+
+def _ngrams(wave: int):
+    """Each text's distinct n-grams of the wave and how often it has them, packed; the start is the first context."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            rows = batch.column(0).to_numpy()
+            for a, b in slices(offsets, _CHUNK_BYTES):
+                u, v, w, text = _sequences(data, offsets[a : b + 1])
+                own = _wave(w) == wave
+                key, owner = [w[own]], [text[own]]
+                own = _wave(v) == wave
+                u, v, w, text = u[own], v[own], w[own], text[own]
+                before = _pair(u, v)
+                key += [_pair(v, w), before ^ _CONTEXT, _pair(before, w)]
+                owner += [text] * 3
+                if _wave(START) == wave:
+                    key.append(np.full(b - a, START))
+                    owner.append(np.arange(b - a))
+                key, owner = np.concatenate(key), np.concatenate(owner)
+                order = np.lexsort((owner, key, key % _U(_PARTS)))
+                key, owner = key[order], owner[order]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))[: len(key)])
+                k = np.diff(np.append(first, len(key))).astype(np.uint32)
+                key, owner = key[first], owner[first]
+                out = []
+                for p, lo, hi in _parts(key):
+                    met, place = np.unique(owner[lo:hi], return_inverse=True)
+                    out.append((
+                        p, 1, _squeezed(np.diff(key[lo:hi], prepend=_U(0))), _squeezed(place.astype(np.uint32)),
+                        _squeezed(k[lo:hi]), _squeezed(rows[a:b][met]),
+                    ))
+                if out:
+                    yield _rows_of(out)
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, sum): what the n-grams of one part add to each text; a part's numbers come before its n-grams."""
+    at, numbers, keys, values = None, [], None, None
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        row = batch.column(0).to_numpy()
-        for a, b in slices(offsets):
-            u, v, w, text = _sequences(data, offsets[a : b + 1])
-            start, each = np.full(b - a, START), np.arange(b - a)
-            key = np.concatenate((w, start, _pair(v, w), _pair(start, start), _pair(_pair(u, v), w)))
-            owner = np.concatenate((text, each, text, each, text))
-            order = np.lexsort((key, owner))
-            key, owner = key[order], owner[order]
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
-            k = np.diff(np.append(first, len(key)))
-            yield pa.RecordBatch.from_arrays([pa.array(row[a:b][owner[first]]), pa.array(key[first].view(np.int64)), pa.array(k, pa.int32())], names=["row", "key", "k"])
+        columns = [batch.column(i) for i in range(6)]
+        for i in range(batch.num_rows):
+            part, kind, key, more, k, rows = (c[i].as_py() for c in columns)
+            if part != at:
+                at, numbers, keys = part, [], None
+            key = np.cumsum(_whole(key, np.uint64), dtype=np.uint64)
+            if kind == 0:
+                numbers.append((key, _whole(more, np.float64)))
+                continue
+            if not numbers:
+                continue
+            if keys is None:
+                keys, place = np.unique(np.concatenate([x for x, _ in numbers]), return_inverse=True)
+                values = np.bincount(place, np.concatenate([x for _, x in numbers]))
+                numbers[1:] = []
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            value = np.where(keys[found] == key, values[found], 0.0) * _whole(k, np.uint32)
+            rows = _whole(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(_whole(more, np.uint32), value, len(rows)))], names=["row", "sum"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,14 +348,57 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(n / new)], names=["doc_id", "row", "lang", "n_tokens", "repetition"])
 
 
-def _scored(rows: DataFrame, tables: dict[str, DataFrame] | None) -> DataFrame:
-    """doc_id, row, lang, n_tokens, repetition, log10_prob of every row."""
+def _dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """The files of stored tables, and shuffle files that nothing refers to any more, are deleted."""
+    for table in tables:
+        delete(spark, table.inputFiles()[0].rsplit("/", 1)[0]) if table.inputFiles() else None
+    free_shuffles(spark)
+
+
+def _model(texts: DataFrame) -> tuple[DataFrame, float, list[float], list[float]] | None:
+    """Shares of words, that of an unseen word, and the discounts of trigrams and bigrams."""
+    spark = texts.sparkSession
+    seen3, seen2, words = [0] * 4, [0] * 4, []
+    for wave in range(_WAVES):
+        tri, bi = _ngram_counts(texts, wave)
+        seen3 = [a + b for a, b in zip(seen3, _seen(tri, "c"), strict=True)]
+        seen2 = [a + b for a, b in zip(seen2, _seen(bi, "c"), strict=True)]
+        words.append(materialize(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words-of-wave"))
+        _dropped(spark, tri, bi)
+    uni = materialize(functools.reduce(DataFrame.unionAll, words).groupBy("w").agg(F.sum("c").alias("c")), "words")
+    _dropped(spark, *words)
+    found = _words(uni)
+    return None if found is None else (*found, _discounts(seen3), _discounts(seen2))
+
+
+def _sums(rows: DataFrame, texts: DataFrame, p1: DataFrame, floor: float, d3: list[float], d2: list[float]) -> DataFrame:
+    """(row, sum) of all waves: what the n-grams of each text add to its log10; stored."""
+    spark = rows.sparkSession
+    out = []
+    for wave in range(_WAVES):
+        tri, bi = _ngram_counts(texts, wave)
+        tables = _shares(tri, bi, p1, d3, d2)
+        own = p1.where(F.shiftrightunsigned("w", 65 - _WAVES.bit_length()) == wave)
+        numbers = materialize(_numbers(tables | {"p1": own}, floor), "numbers")
+        _dropped(spark, tri, bi, tables["p2"])
+        grams = rows.select("row", "text").mapInArrow(trimmed(_ngrams(wave)), _PACKED)
+        dealt = numbers.unionAll(grams).repartition(_PARTS, "part").sortWithinPartitions("part", "kind")
+        added = dealt.mapInArrow(trimmed(_added), "row long, sum double")
+        out.append(materialize(added.groupBy("row").agg(F.sum("sum").alias("sum")), "sums"))
+        _dropped(spark, numbers)
+    return functools.reduce(DataFrame.unionAll, out).groupBy("row").agg(F.sum("sum").alias("sum"))
+
+
+def _scored(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, row, lang, n_tokens, repetition, log10_prob of every row, by the model of ``texts``."""
     counted = materialize(rows.mapInArrow(trimmed(_counted), "doc_id long, row long, lang string, n_tokens long, repetition double"), "counted")
-    if tables is None:
+    texts = materialize(texts.select("text"), "training-texts")
+    found = _model(texts)
+    if found is None:
         return counted.withColumn("log10_prob", F.lit(None).cast("double"))
-    floor = float(np.log10(tables["floor"].first()[0]))
-    grams = rows.select("row", "text").mapInArrow(trimmed(_ngrams), "row long, key long, k int")
-    sums = grams.join(_numbers(tables, floor), "key").groupBy("row").agg(F.sum(F.col("k") * F.col("value")).alias("sum"))
+    p1, share, d3, d2 = found
+    floor = float(np.log10(share))
+    sums = _sums(rows, texts, p1, floor, d3, d2)
     copies = counted.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat have added up
     each = copies.join(sums, "row", "left").select("row", (F.coalesce("sum", F.lit(0.0)) / F.col("copies")).alias("sum"))
     logs = F.round(F.col("n_tokens") * F.lit(floor) + F.col("sum"), 9)  # sums of doubles vary in the last digits with the order
@@ -273,7 +443,7 @@ def classify(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "lang", "text")
     first = materialize(trusted.select("doc_id").distinct().where(_half(F.col("doc_id")) == 0), "training-half")
     send = F.broadcast if first.count() <= _SEND else (lambda x: x)
-    scored = _scored(rows, _tables(rows.join(send(first), "doc_id", "left_semi")))
+    scored = _scored(rows, rows.join(send(first), "doc_id", "left_semi"))
     scored = scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))).withColumn(
         "band", F.floor(F.log2("n_tokens") / 2).cast("int")
     )

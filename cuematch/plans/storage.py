@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LARGE = 32 << 20  # bytes of a stored table after which shuffle files are looked for
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
@@ -48,6 +50,23 @@ def clear(spark: SparkSession) -> None:
     delete(spark, run_dir(spark))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of queries that nothing refers to any more.
+
+    Spark does so after a collection in the driver, which by itself may come long
+    after the disks are full.
+    """
+    spark._jvm.System.gc()
+
+
+def _free_after(spark: SparkSession, path: str) -> None:
+    """:func:`free_shuffles` where a large table has been written: what it was made from is no longer needed."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    if size >= _LARGE:
+        free_shuffles(spark)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once as Parquet and read them back.
 
@@ -56,6 +75,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _free_after(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -153,6 +154,18 @@ def test_training_learns_a_pattern_and_held_out_text_gains():
 # quality
 
 
+def test_waves_leave_no_ngrams_on_disk(spark):
+    from cuematch.plans import storage
+
+    rng = random.Random(9)
+    docs = cases.table(spark, [(i, cases.prose(rng, 400), "en", "s", 1) for i in range(12)])
+    folder = storage.run_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert quality.classify(docs, spark.createDataFrame([(i,) for i in range(12)], "doc_id long")).count() == 12
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "scored" in left and not left & {"trigrams", "bigrams", "bigram-shares", "numbers"}
+
+
 def test_kneser_ney_sums_to_one(spark):
     rng = random.Random(2)
     words = ["a", "b", "c", "d", "e", "f", "g", "h"]
