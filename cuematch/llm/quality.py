@@ -15,7 +15,7 @@ model goes through the driver. Perplexity is 10 to the mean negative log10.
 Waves. What is shuffled and stored at once is a share of it: words are dealt to
 ``_WAVES`` waves, a trigram with its shorter forms and contexts goes by its middle
 word, and a wave counts, makes its numbers, adds its part to every text and deletes
-its tables before the next one starts. Every wave reads all texts; n-grams travel
+its tables before the next one starts; few texts are one wave. Every wave reads all texts; n-grams travel
 packed (sorted hashes as differences, texts as places in a list).
 
 Thresholds. Trusted documents of the other half, scored like all others, give
@@ -50,6 +50,7 @@ from cuematch.llm.words import distinct, mixed, slices, text_bytes, trimmed, wor
 from cuematch.plans.storage import delete, free_shuffles, materialize
 
 _WAVES = 8     # a power of two
+_SMALL = 64 << 20  # bytes of all texts that go in one wave
 _PARTS = 32    # of the n-grams of a wave, one task each
 _CONTEXT = np.uint64(0x6A09E667F3BCC909)  # tells a context of two words from the bigram
 _CHUNK_BYTES = 4 << 20  # of texts whose n-grams are packed together
@@ -75,19 +76,23 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _U(0x9E3779B97F4A7C15) + b)
 
 
-def _wave(words: np.ndarray) -> np.ndarray:
-    return words >> _U(65 - _WAVES.bit_length())
+def _shift(waves: int) -> int:
+    return 65 - waves.bit_length()
 
 
-def _trigrams(wave: int | None):
-    """Trigrams of the texts, with ``wave`` those whose middle word is in it."""
+def _wave(words: np.ndarray, waves: int) -> np.ndarray:
+    return words >> _U(_shift(waves)) if waves > 1 else np.zeros(len(words), np.uint64)
+
+
+def _trigrams(wave: int, waves: int):
+    """Trigrams of the texts whose middle word is in the wave."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in slices(offsets):
                 u, v, w, _ = _sequences(data, offsets[a : b + 1])
-                if wave is not None:
-                    own = _wave(v) == wave
+                if waves > 1:
+                    own = _wave(v, waves) == wave
                     u, v, w = u[own], v[own], w[own]
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v, w)], names=["u", "v", "w"])
 
@@ -120,9 +125,9 @@ def _contexts(counts: DataFrame, by: list[str], c: str, d: list[float]) -> DataF
     )
 
 
-def _ngram_counts(texts: DataFrame, wave: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _ngram_counts(texts: DataFrame, wave: int = 0, waves: int = 1) -> tuple[DataFrame, DataFrame]:
     """Trigrams with their counts, and bigrams with the numbers of words before them; stored."""
-    found = texts.select("text").mapInArrow(trimmed(_trigrams(wave)), "u long, v long, w long")
+    found = texts.select("text").mapInArrow(trimmed(_trigrams(wave, waves)), "u long, v long, w long")
     tri = materialize(found.groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "trigrams")
     return tri, materialize(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
 
@@ -273,7 +278,7 @@ def _numbers(tables: dict[str, DataFrame], floor: float) -> DataFrame:
     return out
 
 
-def _ngrams(wave: int):
+def _ngrams(wave: int, waves: int):
     """Each text's distinct n-grams of the wave and how often it has them, packed; the start is the first context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,14 +286,14 @@ def _ngrams(wave: int):
             rows = batch.column(0).to_numpy()
             for a, b in slices(offsets, _CHUNK_BYTES):
                 u, v, w, text = _sequences(data, offsets[a : b + 1])
-                own = _wave(w) == wave
+                own = _wave(w, waves) == wave
                 key, owner = [w[own]], [text[own]]
-                own = _wave(v) == wave
+                own = _wave(v, waves) == wave
                 u, v, w, text = u[own], v[own], w[own], text[own]
                 before = _pair(u, v)
                 key += [_pair(v, w), before ^ _CONTEXT, _pair(before, w)]
                 owner += [text] * 3
-                if _wave(START) == wave:
+                if _wave(np.array([START]), waves)[0] == wave:
                     key.append(np.full(b - a, START))
                     owner.append(np.arange(b - a))
                 key, owner = np.concatenate(key), np.concatenate(owner)
@@ -355,12 +360,12 @@ def _dropped(spark: SparkSession, *tables: DataFrame) -> None:
     free_shuffles(spark)
 
 
-def _model(texts: DataFrame) -> tuple[DataFrame, float, list[float], list[float]] | None:
+def _model(texts: DataFrame, waves: int) -> tuple[DataFrame, float, list[float], list[float]] | None:
     """Shares of words, that of an unseen word, and the discounts of trigrams and bigrams."""
     spark = texts.sparkSession
     seen3, seen2, words = [0] * 4, [0] * 4, []
-    for wave in range(_WAVES):
-        tri, bi = _ngram_counts(texts, wave)
+    for wave in range(waves):
+        tri, bi = _ngram_counts(texts, wave, waves)
         seen3 = [a + b for a, b in zip(seen3, _seen(tri, "c"), strict=True)]
         seen2 = [a + b for a, b in zip(seen2, _seen(bi, "c"), strict=True)]
         words.append(materialize(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words-of-wave"))
@@ -371,17 +376,17 @@ def _model(texts: DataFrame) -> tuple[DataFrame, float, list[float], list[float]
     return None if found is None else (*found, _discounts(seen3), _discounts(seen2))
 
 
-def _sums(rows: DataFrame, texts: DataFrame, p1: DataFrame, floor: float, d3: list[float], d2: list[float]) -> DataFrame:
+def _sums(rows: DataFrame, texts: DataFrame, p1: DataFrame, floor: float, d3: list[float], d2: list[float], waves: int) -> DataFrame:
     """(row, sum) of all waves: what the n-grams of each text add to its log10; stored."""
     spark = rows.sparkSession
     out = []
-    for wave in range(_WAVES):
-        tri, bi = _ngram_counts(texts, wave)
+    for wave in range(waves):
+        tri, bi = _ngram_counts(texts, wave, waves)
         tables = _shares(tri, bi, p1, d3, d2)
-        own = p1.where(F.shiftrightunsigned("w", 65 - _WAVES.bit_length()) == wave)
+        own = p1.where(F.shiftrightunsigned("w", _shift(waves)) == wave) if waves > 1 else p1
         numbers = materialize(_numbers(tables | {"p1": own}, floor), "numbers")
         _dropped(spark, tri, bi, tables["p2"])
-        grams = rows.select("row", "text").mapInArrow(trimmed(_ngrams(wave)), _PACKED)
+        grams = rows.select("row", "text").mapInArrow(trimmed(_ngrams(wave, waves)), _PACKED)
         dealt = numbers.unionAll(grams).repartition(_PARTS, "part").sortWithinPartitions("part", "kind")
         added = dealt.mapInArrow(trimmed(_added), "row long, sum double")
         out.append(materialize(added.groupBy("row").agg(F.sum("sum").alias("sum")), "sums"))
@@ -393,12 +398,13 @@ def _scored(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, row, lang, n_tokens, repetition, log10_prob of every row, by the model of ``texts``."""
     counted = materialize(rows.mapInArrow(trimmed(_counted), "doc_id long, row long, lang string, n_tokens long, repetition double"), "counted")
     texts = materialize(texts.select("text"), "training-texts")
-    found = _model(texts)
+    waves = 1 if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= _SMALL else _WAVES
+    found = _model(texts, waves)
     if found is None:
         return counted.withColumn("log10_prob", F.lit(None).cast("double"))
     p1, share, d3, d2 = found
     floor = float(np.log10(share))
-    sums = _sums(rows, texts, p1, floor, d3, d2)
+    sums = _sums(rows, texts, p1, floor, d3, d2, waves)
     copies = counted.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat have added up
     each = copies.join(sums, "row", "left").select("row", (F.coalesce("sum", F.lit(0.0)) / F.col("copies")).alias("sum"))
     logs = F.round(F.col("n_tokens") * F.lit(floor) + F.col("sum"), 9)  # sums of doubles vary in the last digits with the order

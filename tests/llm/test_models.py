@@ -154,14 +154,18 @@ def test_training_learns_a_pattern_and_held_out_text_gains():
 # quality
 
 
-def test_waves_leave_no_ngrams_on_disk(spark):
+def test_waves_leave_no_ngrams_on_disk_and_change_nothing(spark, monkeypatch):
     from cuematch.plans import storage
 
     rng = random.Random(9)
-    docs = cases.table(spark, [(i, cases.prose(rng, 400), "en", "s", 1) for i in range(12)])
+    docs = cases.table(spark, [*[(i, cases.prose(rng, 400), "en", "s", 1) for i in range(12)], (None, None, None, None, None)])
+    trusted = spark.createDataFrame([(i,) for i in range(12)], "doc_id long")
+    scores = lambda: sorted((r["row"], r["log10_prob"]) for r in quality.classify(docs, trusted).collect())
+    whole = scores()
+    monkeypatch.setattr(quality, "_SMALL", -1)
     folder = storage.run_dir(spark).removeprefix("file:")
-    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
-    assert quality.classify(docs, spark.createDataFrame([(i,) for i in range(12)], "doc_id long")).count() == 12
+    before = set(os.listdir(folder))
+    assert scores() == whole and len(whole) == 13
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
     assert "scored" in left and not left & {"trigrams", "bigrams", "bigram-shares", "numbers"}
 

@@ -61,6 +61,17 @@ def test_episode_ranking_equals_a_loop(spark, limit, low):
     assert sorted(map(tuple, got)) == plain_rank(rows, limit, 4)
 
 
+def test_only_rows_that_can_be_kept_are_ranked_whole(spark, monkeypatch):
+    rows = made_rows(5, 2, 6, 150, 40, [i / 200 for i in range(20, 180)])
+    seen, inner = [], ranking.rank_within_scene
+    monkeypatch.setattr(ranking, "rank_within_scene", lambda scored: (seen.append(scored.count()), inner(scored))[1])
+    got = ranking.rank_episodes(spark.createDataFrame(rows, COLUMNS), MatchConfig(rank_top_n=4)).select(
+        "scene_query_id", "rank_position", "track_query_id", F.round("final_score", 9),
+        F.round("style_redundancy_penalty", 9), F.round("same_track_consecutive_penalty", 9)).collect()
+    assert sorted(map(tuple, got)) == plain_rank(rows, 2, 4)
+    assert len(seen) == 1 and len(got) <= seen[0] < len(rows) / 2
+
+
 def test_fold_streams_over_small_batches(spark):
     rows = made_rows(3, 2, 10, 8, 2, [0.8, 0.6])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
